@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from lexloom.llm import binary, chat, packing
+from lexloom.llm import binary, chat, packing, quality, simhash
 
 
 def queries() -> dict:
     return {
         "op1_spf_packing": packing.op1_spf_packing,
+        "op6_simhash_pigeonring": simhash.op6_simhash_pigeonring,
         "op7_chat_formatting": chat.op7_chat_formatting,
         "op8_binary_output": binary.op8_binary_output,
+        "op9_quality_rules": quality.op9_quality_rules,
     }
 
 
