@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lexloom.llm import binary, chat, packing, quality, simhash
+from lexloom.llm import binary, chat, flac, packing, quality, simhash
 
 
 def queries() -> dict:
     return {
         "op1_spf_packing": packing.op1_spf_packing,
+        "op10_flac_columns": flac.op10_flac_columns,
         "op6_simhash_pigeonring": simhash.op6_simhash_pigeonring,
         "op7_chat_formatting": chat.op7_chat_formatting,
         "op8_binary_output": binary.op8_binary_output,
