@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from lexloom.llm import binary, chat, flac, packing, quality, simhash
+from lexloom.llm import binary, chat, flac, langid, mixing, packing, quality, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_spf_packing": packing.op1_spf_packing,
         "op10_flac_columns": flac.op10_flac_columns,
+        "op2_toxicity_cnn": toxicity.op2_toxicity_cnn,
+        "op3_byte_cnn_langid": langid.op3_byte_cnn_langid,
+        "op5_poisson_mix": mixing.op5_poisson_mix,
         "op6_simhash_pigeonring": simhash.op6_simhash_pigeonring,
         "op7_chat_formatting": chat.op7_chat_formatting,
         "op8_binary_output": binary.op8_binary_output,
@@ -17,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_poisson_mix": mixing.OP5_SQL}
