@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lexloom.llm import binary, chat, flac, langid, mixing, packing, quality, simhash, toxicity
+import corpus_pipeline
+from lexloom.llm import binary, chat, flac, langid, mixing, packing, quality, simhash, suffix, toxicity
 
 
 def queries() -> dict:
@@ -11,10 +12,12 @@ def queries() -> dict:
         "op10_flac_columns": flac.op10_flac_columns,
         "op2_toxicity_cnn": toxicity.op2_toxicity_cnn,
         "op3_byte_cnn_langid": langid.op3_byte_cnn_langid,
+        "op4_suffix_dedup": suffix.op4_suffix_dedup,
         "op5_poisson_mix": mixing.op5_poisson_mix,
         "op6_simhash_pigeonring": simhash.op6_simhash_pigeonring,
         "op7_chat_formatting": chat.op7_chat_formatting,
         "op8_binary_output": binary.op8_binary_output,
+        "pipeline": corpus_pipeline.run,
         "op9_quality_rules": quality.op9_quality_rules,
     }
 
