@@ -1 +1,11 @@
-"""Document-corpus analytics on Spark: functions."""
+"""Functions from columns to columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def col(value) -> Column:
+    """A column by name, or the column itself."""
+    return F.col(value) if isinstance(value, str) else value
