@@ -25,8 +25,8 @@ BUCKETS, DIM, WIDTHS, FILTERS = 1 << 18, 8, (1, 2, 3), 6
 EPOCHS, LEAST_STEPS, BATCH = 3, 240, 64
 #: Texts with a word that halve the trust in its log-odds.
 SUPPORT = 8
-#: Words scored at once.
-SLICE = 1 << 18
+#: Words scored and bytes hashed at once.
+SLICE, HASHED = 1 << 17, 1 << 20
 #: What `predicted` asks of a score.
 FIXED_THRESHOLD = 0.3
 
@@ -46,7 +46,17 @@ _POWER: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def word_ids(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """((words, 2) bucket ids of all letter runs, int64 word offsets by text)."""
+    """((words, 2) bucket ids of all letter runs, int64 word offsets by text); about HASHED bytes of texts at a time."""
+    cuts = np.unique(np.concatenate(([0], np.searchsorted(offsets, np.arange(HASHED, len(body), HASHED), "left"), [len(offsets) - 1])))
+    ids, at = [np.zeros((0, 2), np.int32)], [np.zeros(1, np.int64)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        found, ends = _hashed(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        ids.append(found)
+        at.append(ends[1:] + at[-1][-1])
+    return np.concatenate(ids), np.concatenate(at)
+
+
+def _hashed(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = 1 << max(16, len(body).bit_length())
     if size not in _POWER:
         _POWER.clear()
@@ -61,7 +71,7 @@ def word_ids(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     h = (total[until] - total[first]) * inverse[first]
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    ids = np.stack((h & np.uint64(BUCKETS - 1), (h >> np.uint64(32)) & np.uint64(BUCKETS - 1)), axis=1).astype(np.int64)
+    ids = np.stack((h & np.uint64(BUCKETS - 1), (h >> np.uint64(32)) & np.uint64(BUCKETS - 1)), axis=1).astype(np.int32)
     return ids, np.searchsorted(first, offsets)
 
 
