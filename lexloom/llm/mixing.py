@@ -13,13 +13,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import table
+from lexloom.llm.common import checkpointed, table
 
 SEED = 17
 #: Target weights are text shares to this power when none are given: 1 keeps the mix, 0 evens it out.
 TEMPERATURE = 0.7
 #: No rate is above this: a small source is not repeated without end.
 MOST_RATE = 8.0
+#: The rates of up to so many sources go to all tasks; those of more join by source.
+MOST_BROADCAST = 100_000
 #: Terms of the distribution function; beyond them its rest is under 1e-12 at MOST_RATE.
 TERMS = 40
 
@@ -41,13 +43,15 @@ def poisson(u: Column, mean: Column, terms: int = TERMS) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step, lambda a: a["n"])
 
 
-def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE) -> DataFrame:
+def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, size: str | None = None) -> DataFrame:
     """(source, rate) of every source: target share of the characters over actual share.
 
     With ``weights``, a source that is not named gets none. Sources without any text count as
-    one character, so that they have a rate too. A null source is a source of its own.
+    one character, so that they have a rate too. A null source is a source of its own. ``size``
+    names a column of characters where the text itself isn't at hand.
     """
-    sizes = docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.greatest(F.sum(F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)).cast("long")), F.lit(1)).alias("chars"))
+    chars = F.col(size) if size else F.length(F.col("text").cast("string"))
+    sizes = docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.greatest(F.sum(F.coalesce(chars, F.lit(0)).cast("long")), F.lit(1)).alias("chars"))
     if weights is None:
         target = F.pow(F.col("chars").cast("double"), F.lit(temperature))
     else:
@@ -58,13 +62,15 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     return wanted.crossJoin(F.broadcast(total)).select("source", F.when(F.col("all_targets") > 0, rate).otherwise(0.0).alias("rate"))  # total is one row
 
 
-def replicate(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
+def replicate(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED, size: str | None = None) -> DataFrame:
     """``docs`` with each row repeated by its Poisson count; adds _rate, _copy and _shuffle_key.
 
     Rows that repeat a doc_id get the same count each. A null doc_id counts as the empty id. An
     empty table gives no rows. Sources may be few or many: their rates join by source.
     """
-    rate = rates(docs, weights, temperature).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
+    rate = checkpointed(rates(docs, weights, temperature, size).select(F.col("source").alias("_source"), F.col("rate").alias("_rate")))
+    if rate.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        rate = F.broadcast(rate)
     joined = docs.join(rate, F.col("source").cast("string").eqNullSafe(F.col("_source"))).drop("_source")
     n = poisson(uniform(F.lit(seed), F.lit("count"), F.col("doc_id")), F.col("_rate"))
     copies = joined.withColumn("_n", n).where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
@@ -82,8 +88,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
 
 
 def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = replicate(docs).select("doc_id", "source", F.col("_copy").cast("long").alias("copy"), F.round("_rate", 9).alias("rate"), F.col("_shuffle_key").alias("shuffle_key"), F.length("text").cast("long").alias("chars"), "_shuffle_key", "_copy")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").cast("long").alias("chars"))
+    mixed = replicate(docs, size="chars").select("doc_id", "source", F.col("_copy").cast("long").alias("copy"), F.round("_rate", 9).alias("rate"), F.col("_shuffle_key").alias("shuffle_key"), "chars", "_shuffle_key", "_copy")
     return shuffled(mixed).drop("_shuffle_key", "_copy")
 
 
