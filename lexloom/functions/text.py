@@ -20,7 +20,7 @@ def _fold_pairs() -> tuple[str, str]:
     for code in range(0xC0, 0x250):
         c = chr(code)
         plain = "".join(x for x in unicodedata.normalize("NFKD", c.lower()) if not unicodedata.combining(x))
-        if len(plain) == 1 and plain != c.lower():
+        if len(plain) == len(c.lower()) == 1 and plain != c.lower():
             pairs.append((c.lower(), plain))
     pairs = list(dict.fromkeys(pairs))
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
@@ -38,8 +38,8 @@ def fold(text) -> Column:
 
 def strip_accents(text) -> Column:
     """Without accents, case kept."""
-    upper = "".join(a.upper() for a in _FROM if len(a.upper()) == 1)
-    to = "".join(b.upper() for a, b in zip(_FROM, _TO, strict=True) if len(a.upper()) == 1)
+    pairs = [(a.upper(), b.upper()) for a, b in zip(_FROM, _TO, strict=True) if len(a.upper()) == 1]
+    upper, to = "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
     return F.regexp_replace(F.translate(F.translate(F.coalesce(col(text), F.lit("")), _FROM, _TO), upper, to), "[̀-ͯ]", "")
 
 

@@ -119,7 +119,7 @@ def index_integrity(spark, d):
 
 HYBRID_SQL = f"""{bm25_sql(f'SELECT 0 AS qid, {QUESTION!r} AS query', 200)},
 a AS (SELECT vec_id AS id, {UNIT_SQL.replace("v,", "embedding,")} AS u FROM embeddings), q AS (SELECT u FROM a ORDER BY id LIMIT 1),
-dist AS (SELECT id, {DISTANCE_SQL} AS distance FROM a, q),
+dist AS (SELECT id, {DISTANCE_SQL} AS distance FROM a, q WHERE id IN (SELECT doc_id FROM documents)),
 nearest AS (SELECT id, row_number() OVER (ORDER BY distance, id) AS rank FROM dist QUALIFY rank <= POOL),
 fused AS (SELECT id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT id, rank FROM nearest UNION ALL SELECT id, rank FROM lexical) GROUP BY id)"""
 
