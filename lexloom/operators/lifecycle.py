@@ -56,7 +56,7 @@ def rename(tables: dict[str, DataFrame], renames: DataFrame, check: str) -> dict
     """Every table with new ids by (category, old_id, new_id).
 
     ``check`` names the table whose ids must be free; nothing is renamed if one is taken. A stable_id
-    follows only where it was the old id. Paths follow where they end in the old id.
+    follows only where it was the old id. A path follows where its file begins with the old id.
     """
     targets = renames.select("category", F.col("new_id").alias("paper_id"))
     taken = targets.join(tables[check].select("category", "paper_id"), ["category", "paper_id"], "left_semi").join(renames.select("category", F.col("old_id").alias("paper_id")), ["category", "paper_id"], "left_anti")
@@ -71,7 +71,9 @@ def rename(tables: dict[str, DataFrame], renames: DataFrame, check: str) -> dict
             new["stable_id"] = F.when(F.col("new_id").isNotNull() & (F.col("stable_id") == F.col("paper_id")), F.col("new_id")).otherwise(F.col("stable_id"))
         for c in ("source_pdf", "source_tei", "source_md_clean", "tei_file"):
             if c in table.columns:
-                new[c] = F.when(F.col("new_id").isNotNull(), F.replace(F.col(c), F.col("paper_id"), F.col("new_id"))).otherwise(F.col(c))
+                folder, base = F.regexp_extract(c, "^(.*/)?", 0), F.regexp_extract(c, "[^/]*$", 0)
+                moved = F.concat(folder, "new_id", F.substr(base, F.length("paper_id") + 1))
+                new[c] = F.when(F.col("new_id").isNotNull() & base.startswith(F.col("paper_id")), moved).otherwise(F.col(c))
         out[name] = joined.select(*(new[c].alias(c) if c in new else F.col(c) for c in table.columns))
     return out
 
