@@ -204,6 +204,8 @@ def _streams(media: list[bytes]) -> list[tuple[int, bytes, list, int]]:
                 points = np.frombuffer(content, np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]))
         if points is None:
             raise ValueError("a stream without a seek table of all frames")
+        if samples != points["n"].sum(dtype=np.int64) or (points["sample"] != np.cumsum(points["n"], dtype=np.int64) - points["n"]).any():
+            raise ValueError("a seek table that does not cover its stream")
         out.append((samples, digest, points, at))
     return out
 

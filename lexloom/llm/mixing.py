@@ -84,7 +84,8 @@ def shuffled(mixed: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
     """The mixed and shuffled documents, in the columns of ``docs``."""
-    return shuffled(replicate(docs, weights, temperature, seed)).select(*docs.columns)
+    rows = docs.select("doc_id", "source", F.length(F.col("text").cast("string")).cast("long").alias("chars"), F.struct(*docs.columns).alias("row"))
+    return shuffled(replicate(rows, weights, temperature, seed, "chars")).select("row.*")
 
 
 def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
