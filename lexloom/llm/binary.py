@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import tokens
-from lexloom.llm.common import bounded_batches, spread, table
+from lexloom.llm.common import bounded_batches, spread, table, tidy
 
 CAPACITY = 2048
 #: Tokens gathered before a shard is packed: about 2000 sequences.
@@ -137,7 +137,7 @@ def pack_binary(docs: DataFrame, tokenizer_path: str | None = None, capacity: in
         if names:
             yield from flush()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SEQUENCES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), SEQUENCES)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 
 import numpy as np
@@ -10,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of one Arrow batch. Long texts make row counts alone unsafe.
-BATCH_ROWS, BATCH_BYTES = 20_000, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 20_000, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +39,46 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks, beside the JVM's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run):
+    """A function over batches that gives memory back when its task ends."""
+
+    @functools.wraps(run)
+    def over(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return over
+
+
+def tidy_group(run):
+    """A function over a group that gives memory back after it."""
+
+    def one(table):
+        try:
+            return run(table)
+        finally:
+            release()
+
+    def two(left, right):
+        try:
+            return run(left, right)
+        finally:
+            release()
+
+    return one if run.__code__.co_argcount == 1 else two  # Spark counts the parameters
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(all UTF-8 bytes, int64 offsets) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

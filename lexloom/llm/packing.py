@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm import tokens
-from lexloom.llm.common import bounded_batches, checkpointed, table
+from lexloom.llm.common import bounded_batches, checkpointed, table, tidy
 
 CAPACITY = 2048
 #: What is left of a document beside full sequences is cut once, at a multiple of this.
@@ -56,7 +56,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, grain
             names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), PIECES)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import bounded_batches, checkpointed, spread, table, text_bytes
+from lexloom.llm.common import bounded_batches, checkpointed, spread, table, text_bytes, tidy
 from lexloom.llm.components import components
 
 SHINGLE, SEED = 4, 42
@@ -62,7 +62,12 @@ def shingle_hashes(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     begin = np.repeat(at[:-1], n) + spread(n)
     last = begin + np.repeat(np.minimum(words, SHINGLE), n) - 1
     blob, digest = plain.tobytes(), xxhash.xxh64_intdigest
-    return np.fromiter((digest(blob[a:b], SEED) for a, b in zip(first[begin].tolist(), until[last].tolist(), strict=True)), np.uint64, len(begin)), n
+    begin, last = first[begin], until[last]
+    out = np.empty(len(begin), np.uint64)
+    for i in range(0, len(out), _RUN):  # Python numbers take much more room than their array
+        ends = zip(begin[i : i + _RUN].tolist(), last[i : i + _RUN].tolist(), strict=True)
+        out[i : i + _RUN] = np.fromiter((digest(blob[a:b], SEED) for a, b in ends), np.uint64)
+    return out, n
 
 
 def fingerprints(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -93,7 +98,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
                 fp = fingerprints(*shingle_hashes(*text_bytes(batch.column("text"))))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def near(one: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -159,7 +164,7 @@ def links(nodes: DataFrame) -> DataFrame:
     keyed = nodes.select("fp", F.posexplode(mask).alias("choice", "mask"))
     key = F.col("fp").bitwiseAND(F.col("mask"))
     dealt = keyed.select("choice", key.alias("key"), "fp").repartition("choice", "key").sortWithinPartitions("choice", "key")
-    return dealt.select("choice", "fp").mapInArrow(run, "u long, v long").distinct()
+    return dealt.select("choice", "fp").mapInArrow(tidy(run), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -184,7 +189,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs).select("doc_id", "component_id")
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count("*").alias("n"))
     kept = checkpointed(kept)
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+    out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi")
     repeated = kept.where("n > 1").limit(1).count()
     return out.dropDuplicates(["doc_id"]) if repeated else out
 

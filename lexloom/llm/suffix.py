@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import spread, table, text_bytes
+from lexloom.llm.common import spread, table, text_bytes, tidy_group
 
 MATCH, ANCHOR = 50, 20
 SIDE = MATCH - ANCHOR
@@ -32,7 +32,7 @@ WINDOWS = SIDE + 1
 #: Bytes of text in a batch and in a slice of the index, about.
 BATCH_BYTES, SLICE_BYTES = 4 << 20, 32 << 20
 #: Windows whose anchors are found at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _POSITION = np.uint64((1 << 21) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _VALUE = np.random.default_rng(23).integers(1, (1 << 64) - 1, 256, np.uint64)
@@ -237,7 +237,9 @@ def _compare(rows: pa.Table) -> pa.Table:
 
 
 def _by_slice(batch: Batch) -> Iterator[tuple[int, int, int]]:
-    begin = np.flatnonzero(np.concatenate(([True], batch.slice_[1:] != batch.slice_[:-1]))) if len(batch.key) else []
+    if not len(batch.key):
+        return
+    begin = np.flatnonzero(np.concatenate(([True], batch.slice_[1:] != batch.slice_[:-1])))
     for a, b in zip(begin, [*begin[1:], len(batch.key)], strict=True):
         yield int(batch.slice_[a]), int(a), int(b)
 
@@ -286,14 +288,19 @@ def _spans(starts: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 SPAN = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
 
 
-def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, spans (removed runs of bytes) and kept (the bytes left) of every row.
 
     A byte goes if a 50-byte string that covers it also starts in a row of lesser doc_id. Texts
     under 50 bytes, null and empty ones stay as they are. Rows of one doc_id are not repeats of
     each other, and a row without doc_id neither loses bytes nor takes them from others. An
-    empty table gives no rows. ``carry`` names columns to pass through.
+    empty table gives no rows. Other columns are not read.
     """
+    return _without_repeats(docs)
+
+
+def _without_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The same, with the columns that ``carry`` names as carry_…, so that no name clashes."""
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry))
     known = plain.where(F.col("doc_id").isNotNull())
@@ -335,15 +342,14 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         return pa.table([*made, *(texts.column(c) for c in carried)], ["doc_id", "n_bytes", "spans", "kept", *carried])
 
     by_batch = number.groupBy("batch")
-    entries = by_batch.applyInArrow(index, "slice int, batch int, entries binary")
-    answers = entries.groupBy("slice").applyInArrow(_scan, "batch int, slice int, answer binary")
-    around = by_batch.cogroup(answers.groupBy("batch")).applyInArrow(look, "slice int, batch int, answer binary, around binary")
-    bits = around.groupBy("slice").applyInArrow(_compare, "batch int, slice int, answer binary, bits binary")
+    entries = by_batch.applyInArrow(tidy_group(index), "slice int, batch int, entries binary")
+    answers = entries.groupBy("slice").applyInArrow(tidy_group(_scan), "batch int, slice int, answer binary")
+    around = by_batch.cogroup(answers.groupBy("batch")).applyInArrow(tidy_group(look), "slice int, batch int, answer binary, around binary")
+    bits = around.groupBy("slice").applyInArrow(tidy_group(_compare), "batch int, slice int, answer binary, bits binary")
     fields = "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary"
-    out = by_batch.cogroup(bits.groupBy("batch")).applyInArrow(cut, ", ".join([fields, *(f"`{c}` {kinds[c].simpleString()}" for c in carried)]))
+    out = by_batch.cogroup(bits.groupBy("batch")).applyInArrow(tidy_group(cut), ", ".join([fields, *(f"`{c}` {kinds[c].simpleString()}" for c in carried)]))
     whole = plain.where(F.col("doc_id").isNull()).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast("array<struct<start: long, stop: long>>").alias("spans"), F.col("text").cast("binary").alias("kept"), *carried)
-    out = out.unionByName(whole)
-    return out.select("doc_id", "n_bytes", "spans", "kept", *(F.col(f"carry_{c}").alias(c) for c in carry))
+    return out.unionByName(whole)
 
 
 def batch_number(docs: DataFrame, cuts: list[float]) -> DataFrame:
@@ -363,16 +369,14 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     A character that is cut through goes with the bytes that went.
     """
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    found = remove_repeats(docs, rest)
-
     @F.pandas_udf("string")
-    def _whole_characters(kept: pd.Series) -> pd.Series:
+    def whole_characters(kept: pd.Series) -> pd.Series:
         return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
 
-    out = found.withColumn("text", _whole_characters("kept"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    found = _without_repeats(docs, rest).withColumn("left", whole_characters("kept"))
+    kinds = dict(docs.dtypes)
+    new = {"doc_id": F.col("doc_id").cast(kinds["doc_id"]), "text": F.col("left")} | ({"n_chars": F.length("left").cast(kinds["n_chars"])} if "n_chars" in kinds else {})
+    return found.select(*(new.get(c, F.col(f"carry_{c}")).alias(c) for c in docs.columns))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from lexloom.llm.common import spread, text_bytes
 
 END_ID = 1
 #: Distinct words kept with their ids between batches; the memo starts anew beyond this.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 400_000
 #: A chunk of distinct words that is tokenized as one text.
 CHUNK_WORDS = 2000
 #: Words of these letters only are one pre-token each, whatever stands around them.
