@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_poisson_mix": mixing.OP5_SQL}
+    return {"op5_poisson_mix": mixing.OP5_SQL, "op9_quality_rules": quality.OP9_SQL}
