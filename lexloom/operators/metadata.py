@@ -205,7 +205,7 @@ def keyword_category(docs: DataFrame, keywords: DataFrame, id_col: str, text: Co
 def screening_route(status: str = "status", category: str = "category", confidence: str = "confidence") -> Column:
     """Where a screened paper goes."""
     c = F.coalesce(F.col(confidence), F.lit(0.0))
-    return F.when(F.col(status) == "DUPLICATE", "duplicates").when(F.col(status) == "error", "failed").when(F.col(category).isNull() | (F.col(category) == "irrelevant") | (c < 0.6), "failed").otherwise(F.col(category))
+    return F.when(F.col(status) == "DUPLICATE", "duplicates").when(F.col(status) == "error", "failed").when(F.col(category).isNull() | F.col(category).isin("irrelevant", "irrelevante") | (c < 0.6), "failed").otherwise(F.col(category))
 
 
 def folded_search(text, needle: str) -> Column:

@@ -59,8 +59,8 @@ def mark_downloaded(registry: DataFrame, dois: DataFrame, today: str) -> DataFra
     return _touched(registry, dois, {"status": F.lit("downloaded"), "last_checked": F.lit(today)})
 
 
-# Fixed value: the note of a reconciled row.
-RECONCILED = "reconciliado: DOI ya en el corpus (ingesta fuera de 3a_download_pdfs.py)"
+# The note of a reconciled row.
+RECONCILED = "reconciliado: DOI ya en el corpus"
 
 
 def reconcile(registry: DataFrame, corpus: DataFrame, today: str) -> DataFrame:

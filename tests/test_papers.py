@@ -366,3 +366,23 @@ def test_streams(spark, tmp_path):
     papers = usage.event_stream(spark, str(tmp_path / "p"), spark.read.parquet(str(tmp_path / "p")).schema)
     usage.run_available(usage.first_papers(papers), str(tmp_path / "out3"), str(tmp_path / "cp3"))
     assert spark.read.parquet(str(tmp_path / "out3")).count() == 1
+
+
+def test_screening_texts(spark):
+    from lexloom.operators import screening
+
+    page = "Journal of X\nA long title of a paper\n\nAbstract\n" + "This is the body of the abstract. " * 5 + "\n\nKeywords: a\n"
+    other = "2020\nElsevier\n" + "A dense first line of body text that is long enough to count.\nand more\nIntroduction\nx"
+    rows = spark.createDataFrame([("a", page, page), ("b", other, other), ("c", None, None)], "name string, first_page string, pages string")
+    got = {r.name: r for r in screening.title_and_abstract(rows).collect()}
+    assert got["a"].title == "Journal of X A long title of a paper" and got["a"].abstract.startswith("This is the body") and "Keywords" not in got["a"].abstract
+    assert got["b"].abstract == "A dense first line of body text that is long enough to count. and more" and got["c"].title == got["c"].abstract == ""
+    sheet = spark.createDataFrame([("old", "", "d0"), ("there", "10.1/t", "d0")], "name string, doi string, added string")
+    assert screening.append_missing(sheet, spark.createDataFrame([("old",), ("x",)], "name string"), "d1").count() == 3
+    renamed = spark.createDataFrame([("old", "new", "10.1/n"), ("gone", "fresh", "10.1/f"), ("z", "there", "10.1/z")], "original string, new string, doi string")
+    assert {tuple(r) for r in screening.update_renamed(sheet, renamed, "d1").collect()} == {("new", "10.1/n", "d0"), ("there", "10.1/t", "d0"), ("fresh", "10.1/f", "d1")}
+    value, method = screening.first_success([("one", "a"), ("two", "b")])
+    tries = spark.createDataFrame([("", "x"), ("y", "z"), (None, " ")], "a string, b string").select(value.alias("v"), method.alias("m")).collect()
+    assert [tuple(r) for r in tries] == [("x", "two"), ("y", "one"), (None, None)]
+    models = spark.createDataFrame([(m,) for m in ("models/gemini-2.5-flash", "models/gemini-3.8-flash-lite", "models/gemini-3.8-flash", "models/gemini-3.8-flash-image", "other")], "id string")
+    assert [r.name for r in screening.chat_models(models).orderBy("rank").collect()] == ["gemini-3.8-flash", "gemini-3.8-flash-lite", "gemini-2.5-flash"]
