@@ -99,8 +99,12 @@ def content_groups(docs: DataFrame, content: str = "text", category: str = "sour
 def content_losers(docs: DataFrame, id_col: str, content: str = "text", category: str = "source") -> DataFrame:
     """Rows to remove: all but one of equal contents in a category, a clean name first, then the least name."""
     name = F.col(id_col).cast("string")
-    order = Window.partitionBy(category, F.sha2(F.col(content).cast("string"), 256)).orderBy(F.when(ids.clean_stem(name), 0).otherwise(1), F.lower(name))
-    return docs.where(F.col(content).isNotNull()).withColumn("_n", F.row_number().over(order)).where("_n > 1").drop("_n")
+    order = F.struct(F.when(ids.clean_stem(name), 0).otherwise(1), F.lower(name), F.col(id_col))
+    hashed = docs.where(F.col(content).isNotNull()).withColumn("_h", F.sha2(F.col(content).cast("string"), 256))
+    # The one that stays is found by partial minima, so that a thousand copies are no task's burden.
+    kept = hashed.groupBy(F.col(category).alias("_c"), F.col("_h").alias("_k")).agg(F.min_by(F.col(id_col), order).alias("_keep"))
+    same = hashed[category].eqNullSafe(kept["_c"]) & (hashed["_h"] == kept["_k"]) & (hashed[id_col] != kept["_keep"])
+    return hashed.join(kept, same, "left_semi").drop("_h")
 
 
 def default_keep(members: DataFrame, group: str, seq: str = "seq") -> DataFrame:

@@ -16,8 +16,8 @@ QUERY_BLOCK = 4096
 NORM_SAMPLE, NORM_SLACK = 50_000, 1e-3
 
 
-def nearest(vectors: DataFrame, query: list[float], n: int, id_col: str = "vec_id", vector: str = "embedding", scaled: bool = True) -> DataFrame:
-    """(id, distance): the ``n`` rows nearest to one query by squared L2, ties by id.
+def distances(vectors: DataFrame, query: list[float], id_col: str = "vec_id", vector: str = "embedding", scaled: bool = True) -> DataFrame:
+    """(id, distance): squared L2 of every row from one query, to six places.
 
     The query is scaled to unit length, and so are stored vectors unless ``scaled`` says that they
     are. Null vectors are left out; a zero vector stays zero.
@@ -25,8 +25,12 @@ def nearest(vectors: DataFrame, query: list[float], n: int, id_col: str = "vec_i
     q = np.asarray(query, np.float64)
     q = q / max(float(np.sqrt((q * q).sum())), 1e-12)
     stored = F.col(vector) if scaled else normalize(vector)
-    found = vectors.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.round(squared_distance(stored, F.array(*map(F.lit, q.tolist()))), 6).alias("distance"))
-    return found.orderBy("distance", "id").limit(n)
+    return vectors.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.round(squared_distance(stored, F.array(*map(F.lit, q.tolist()))), 6).alias("distance"))
+
+
+def nearest(vectors: DataFrame, query: list[float], n: int, id_col: str = "vec_id", vector: str = "embedding", scaled: bool = True) -> DataFrame:
+    """(id, distance): the ``n`` rows nearest to one query, ties by id."""
+    return distances(vectors, query, id_col, vector, scaled).orderBy("distance", "id").limit(n)
 
 
 def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", query_id: str = "vec_id", vector: str = "embedding", drop_self: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import col, ids
 from lexloom.functions.text import filled, key
 from lexloom.operators.dedup import first_by
+from lexloom.operators.ranking import numbered
 from lexloom.operators.validation import author_names
 
 PACKAGE = 45
@@ -128,8 +129,8 @@ def packages(papers: DataFrame, packed: DataFrame | None = None, group: str = "c
         new = new.join(packed.select(group, order), [group, order], "left_anti")
         new = new.join(packed.groupBy(group).agg(F.max("package").alias("_last")), group, "left")
         start = F.coalesce("_last", F.lit(first))
-    n = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    return new.withColumn("_n", n).select(group, order, (start + F.ceil(F.col("_n") / size)).cast("int").alias("package"))
+    ranked = numbered(new, [F.col(order)], "_n", [group])  # a category may be most of all papers
+    return ranked.select(group, order, (start + F.floor(F.col("_n") / size) + 1).cast("int").alias("package"))
 
 
 def package_manifest(packed: DataFrame, papers: DataFrame, group: str = "category", order: str = "paper_id") -> DataFrame:

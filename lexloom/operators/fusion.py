@@ -9,18 +9,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.ids import year_in_id
+from lexloom.operators.ranking import numbered
 
 RRF_K = 60
+#: Rows that one task may number.
+ONE_TASK = 10_000
 
 
 def ranked(scored: DataFrame, order: list[Column], pool: int | None = None) -> DataFrame:
-    """``scored`` with rank 0, 1, ... in the given total order.
+    """``scored`` with rank 0, 1, ... in the given total order, the best ``pool`` of them.
 
-    With a pool the best rows are taken first, so that only they are numbered in one place.
+    A small pool is taken first and numbered in one place; otherwise rows are numbered where they are.
     """
-    if pool is not None:
-        scored = scored.orderBy(*order).limit(pool)
-    return scored.withColumn("rank", (F.row_number().over(Window.orderBy(*order)) - 1).cast("int"))
+    if pool is not None and pool <= ONE_TASK:
+        top = scored.orderBy(*order).limit(pool)
+        return top.withColumn("rank", (F.row_number().over(Window.orderBy(*order)) - 1).cast("int"))
+    out = numbered(scored, order).withColumn("rank", F.col("rank").cast("int"))
+    return out if pool is None else out.where(F.col("rank") < pool)
 
 
 def rrf(rankings: list[DataFrame], k: int = RRF_K) -> DataFrame:

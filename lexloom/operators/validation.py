@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -205,4 +205,4 @@ def rename_overrides(overrides: DataFrame, renames: DataFrame) -> DataFrame:
 
 def first_calls(papers: DataFrame, limit: int, order: str = "paper_id") -> DataFrame:
     """The papers of valid DOI that a bounded lookup asks for."""
-    return papers.where(ids.doi_valid("doi")).withColumn("_n", F.row_number().over(Window.orderBy(order))).where(F.col("_n") <= limit).drop("_n")
+    return papers.where(ids.doi_valid("doi")).orderBy(order).limit(limit)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import ids, text
@@ -154,7 +154,7 @@ corpus AS (SELECT *, row_number() OVER (ORDER BY distance, id) AS n FROM dist WH
 
 
 def attachment_parts(spark, d) -> tuple[DataFrame, DataFrame]:
-    every = dense.nearest(table(spark, d, "embeddings"), query_vector(spark, d), 1 << 30, scaled=False)
+    every = dense.distances(table(spark, d, "embeddings"), query_vector(spark, d), scaled=False)
     return every.where("id % 10 <> 9"), every.where("id % 10 = 9")
 
 
@@ -171,7 +171,7 @@ UNION ALL SELECT 'corpus', id, round(1.0 / (60 + n), 9), 1, -round(1.0 / (60 + n
 SELECT source, id, score, row_number() OVER (ORDER BY turn, by_, id) AS position FROM pool QUALIFY position <= 10""")
 def attachment_fusion_hybrid(spark, d):
     corpus, attached = attachment_parts(spark, d)
-    fused = fusion.rrf([fusion.ranked(corpus, [F.col("distance"), F.col("id")], 1 << 30)]).withColumn("score", F.round("score", 9))
+    fused = fusion.rrf([fusion.ranked(corpus, [F.col("distance"), F.col("id")], 200)]).withColumn("score", F.round("score", 9))
     return fusion.fuse_hybrid(fused, attached, 10, 3)
 
 
@@ -180,7 +180,7 @@ dist AS (SELECT id, label, {DISTANCE_SQL} AS distance FROM a, q), best AS (SELEC
 SELECT id, label, distance FROM best ORDER BY distance, id LIMIT 12""")
 def multi_index_quota(spark, d):
     vectors = table(spark, d, "embeddings")
-    scored = dense.nearest(vectors, query_vector(spark, d), 1 << 30, scaled=False).join(vectors.select(F.col("vec_id").alias("id"), "label"), "id")
+    scored = dense.distances(vectors, query_vector(spark, d), scaled=False).join(vectors.select(F.col("vec_id").alias("id"), "label"), "id")
     return fusion.quota_by_group(scored, "label", 3, 12).select("id", "label", "distance")
 
 
@@ -214,17 +214,17 @@ def eval_hit_mrr(spark, d):
 @query(
     f"""WITH {SELF_SQL}, dense AS (SELECT qid, label AS item, min(rank) AS first FROM top GROUP BY ALL),
 d AS (SELECT qid, item, row_number() OVER (PARTITION BY qid ORDER BY first, item) AS dense FROM dense),
-even AS (SELECT qid, label AS item, min(rank) AS first FROM (SELECT qid, label, row_number() OVER (PARTITION BY qid ORDER BY distance DESC, id) AS rank FROM pairs QUALIFY rank <= 8) GROUP BY ALL),
-e AS (SELECT qid, item, row_number() OVER (PARTITION BY qid ORDER BY first, item) AS far FROM even)
-SELECT qid, item, coalesce(dense, 0) AS dense, coalesce(far, 0) AS far, least(coalesce(dense, 1073741824), coalesce(far, 1073741824)) AS best FROM d FULL JOIN e USING (qid, item)"""
+evens AS (SELECT qid, label AS item, min(rank) AS first FROM (SELECT qid, label, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM pairs WHERE id % 2 = 0 QUALIFY rank <= 8) GROUP BY ALL),
+e AS (SELECT qid, item, row_number() OVER (PARTITION BY qid ORDER BY first, item) AS even FROM evens)
+SELECT qid, item, coalesce(dense, 0) AS dense, coalesce(even, 0) AS even, least(coalesce(dense, 1073741824), coalesce(even, 1073741824)) AS best FROM d FULL JOIN e USING (qid, item)"""
 )
 def pool_candidates(spark, d):
     vectors = table(spark, d, "embeddings")
     labels = vectors.select(F.col("vec_id").alias("id"), F.col("label").alias("item"))
-    every = dense.nearest_many(vectors, vectors.where("vec_id % 50 = 0"), 1 << 30, drop_self=True)
-    far = every.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("distance"), "id"))).where("rank <= 8")
-    groups = [fusion.first_by_group(r.join(labels, "id"), "item", 1 << 30) for r in (every.where("rank <= 8"), far)]
-    return evaluation.pool(dense=groups[0], far=groups[1]).fillna(0, ["dense", "far"])
+    asked = vectors.where("vec_id % 50 = 0")
+    arms = [dense.nearest_many(v, asked, 8, drop_self=True) for v in (vectors, vectors.where("vec_id % 2 = 0"))]
+    groups = [fusion.first_by_group(r.join(labels, "id"), "item", 8) for r in arms]
+    return evaluation.pool(dense=groups[0], even=groups[1]).fillna(0, ["dense", "even"])
 
 
 # --- chunks, pages, links --------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.operators.citations import cited, contexts
-from lexloom.operators.dense import nearest
+from lexloom.operators.dense import distances, nearest
 from lexloom.operators.fusion import ChunkFilter, fuse_dense, fuse_hybrid, pool_size, ranked, rrf
 from lexloom.operators.lexical import bm25_query
 
@@ -45,7 +45,7 @@ def search(chunks: DataFrame, spec: SearchSpec) -> DataFrame:
 def hybrid(chunks: DataFrame, spec: SearchSpec) -> DataFrame:
     """(id, score): both rankings, each cut to its pool, fused by reciprocal ranks rounded to nine places."""
     pool = pool_size(spec.k, chunks.count(), bool(spec.only))
-    dense = ranked(nearest(chunks, spec.vector, pool, "id", "embedding", spec.scaled), [F.col("distance"), F.col("id")], pool)
+    dense = ranked(distances(chunks, spec.vector, "id", "embedding", spec.scaled), [F.col("distance"), F.col("id")], pool)
     lexical = ranked(bm25_query(chunks, spec.text, "id").withColumn("score", F.round("score", 6)), [F.desc("score"), F.col("id")], pool)
     return rrf([dense, lexical]).withColumn("score", F.round("score", 9))
 

@@ -127,3 +127,17 @@ def test_evaluation(spark):
     assert {(r.qid, r.item) for r in marked.collect()} == {(5, "a"), (6, "c")}
     with pytest.raises(ValueError, match="unknown items: c"):
         evaluation.golden(marked, spark.createDataFrame([("a",)], "item string"))
+
+
+def test_numbering(spark):
+    from lexloom.operators.ranking import numbered
+
+    rows = spark.range(5000).select(F.col("id"), (F.col("id") * 7919 % 5000).alias("v"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 4)).alias("g"))
+    assert {(r.v, r.rank) for r in numbered(rows, [F.col("v")]).collect()} == {(i, i) for i in range(5000)}
+    got = numbered(rows, [F.desc("v")], "n", ["g"]).collect()
+    for g in {r.g for r in got}:
+        own = sorted((r for r in got if r.g == g), key=lambda r: -r.v)
+        assert [r.n for r in own] == list(range(len(own)))
+    assert numbered(rows.where("id < 0"), [F.col("v")]).count() == 0
+    wide = fusion.ranked(rows, [F.col("v"), F.col("id")], fusion.ONE_TASK + 1)
+    assert wide.count() == 5000 and fusion.ranked(rows, [F.col("v"), F.col("id")], 3).orderBy("rank").first().v == 0
