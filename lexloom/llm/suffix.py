@@ -31,6 +31,8 @@ SIDE = MATCH - ANCHOR
 WINDOWS = SIDE + 1
 #: Bytes of text in a batch and in a slice of the index, about.
 BATCH_BYTES, SLICE_BYTES = 4 << 20, 32 << 20
+#: Cuts between batches that the driver holds; beyond them, equal steps of doc_id split each range further.
+MOST_CUTS = 4096
 #: Windows whose anchors are found at once.
 CHUNK = 1 << 18
 _POSITION = np.uint64((1 << 21) - 1)
@@ -304,11 +306,12 @@ def _without_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry))
     known = plain.where(F.col("doc_id").isNotNull())
-    size = known.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.count("*").alias("rows")).first()
+    size = known.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.count("*").alias("rows"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
     batches = max(1, min(int(size.rows), -(-int(size.bytes or 0) // BATCH_BYTES)))
     slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size.bytes or 0) // SLICE_BYTES))
-    cuts = known.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.25 / batches) if batches > 1 else []
-    number = batch_number(known, sorted(set(cuts)))
+    ranges = min(batches, MOST_CUTS)
+    cuts = known.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.25 / ranges) if ranges > 1 else []
+    number = batch_number(known, [size.low, *sorted(set(cuts)), size.high], -(-batches // ranges))
     kinds = {f.name: f.dataType for f in plain.schema.fields}
     carried = [f"carry_{c}" for c in carry]
 
@@ -352,15 +355,24 @@ def _without_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return out.unionByName(whole)
 
 
-def batch_number(docs: DataFrame, cuts: list[float]) -> DataFrame:
-    """``docs`` with the number of its range of doc_id; later ranges have greater numbers."""
-    if not cuts:
+def batch_number(docs: DataFrame, edges: list[float], steps: int) -> DataFrame:
+    """``docs`` with the number of its range of doc_id between ``edges``, each in ``steps`` equal parts; later ids have no lesser numbers."""
+    if len(edges) == 2 and steps == 1:
         return docs.withColumn("batch", F.lit(0))
     from pyspark.ml.feature import Bucketizer
 
-    splits = [-float("inf"), *cuts, float("inf")]
-    found = Bucketizer(splits=splits, inputCol="_id", outputCol="_batch").transform(docs.withColumn("_id", F.col("doc_id").cast("double")))
-    return found.withColumn("batch", F.col("_batch").cast("int")).drop("_id", "_batch")
+    splits = [-float("inf"), *edges[1:-1], float("inf")]
+    if len(splits) == 2:
+        found = docs.withColumn("_batch", F.lit(0))
+    else:
+        found = Bucketizer(splits=splits, inputCol="_id", outputCol="_batch").transform(docs.withColumn("_id", F.col("doc_id").cast("double"))).drop("_id")
+    number = F.col("_batch").cast("int")
+    if steps > 1:
+        bounds = F.array(*(F.lit(float(e)) for e in edges))
+        low, high = F.get(bounds, number), F.get(bounds, number + 1)
+        share = (F.col("doc_id").cast("double") - low) / F.greatest(high - low, F.lit(1.0))
+        number = number * steps + F.greatest(F.lit(0), F.least(F.lit(steps - 1), F.floor(share * steps).cast("int")))
+    return found.withColumn("batch", number).drop("_batch")
 
 
 def strip_repeats(docs: DataFrame) -> DataFrame:

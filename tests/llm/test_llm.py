@@ -262,9 +262,10 @@ def found_repeats(df):
     return Counter((r.doc_id, r.n_bytes, sum(s.stop - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in df.collect() if r.doc_id is not None)
 
 
-@pytest.mark.parametrize("batch", [200, 4000, 1 << 22])
-def test_repeats_on_odd_texts(docs, none, batch, monkeypatch):
+@pytest.mark.parametrize("batch,cuts", [(200, 4096), (4000, 4096), (1 << 22, 4096), (200, 1), (200, 2)])
+def test_repeats_on_odd_texts(docs, none, batch, cuts, monkeypatch):
     monkeypatch.setattr(suffix, "BATCH_BYTES", batch)
+    monkeypatch.setattr(suffix, "MOST_CUTS", cuts)
     assert found_repeats(suffix.remove_repeats(docs)) == brute_repeats([(r[0], r[1]) for r in CASES])
     assert suffix.remove_repeats(docs).where("doc_id is null").first().kept == b"a text without a number"
     assert suffix.remove_repeats(none).count() == 0
