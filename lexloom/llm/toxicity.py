@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import bounded_batches, table, text_bytes
-from lexloom.llm.convnet import ConvNet, softmax, train
+from lexloom.llm.convnet import ConvNet, train
 
 #: Labelled rows that a fit reads at most, of each class; and the longest text among them.
 SAMPLE_ROWS, SAMPLE_CHARS = 2500, 60_000
