@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import bounded_batches, checkpointed, spread, table, text_bytes, tidy
@@ -88,17 +88,19 @@ def fingerprints(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprinted(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row; null and empty texts have fingerprint zero."""
+def fingerprinted(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """(doc_id, fp) of every row, and ``row`` where it is given; null and empty texts have fingerprint zero."""
     bounded_batches(docs.sparkSession)
+    rest = [] if row is None else [row.alias("row")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 fp = fingerprints(*shingle_hashes(*text_bytes(batch.column("text"))))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                names = [c for c in batch.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fp.view(np.int64))], [*names, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), *rest, F.col("text").cast("string")).mapInArrow(tidy(run), f"doc_id long, {'row long, ' if rest else ''}fp long")
 
 
 def near(one: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -185,13 +187,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates, in the columns of ``docs``: that of the least doc_id."""
-    found = near_duplicates(docs).select("doc_id", "component_id")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count("*").alias("n"))
-    kept = checkpointed(kept)
-    out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi")
-    repeated = kept.where("n > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    """One row of each group of near-duplicates, in the columns of ``docs``: that of the least doc_id.
+
+    Rows decide, not ids: of different rows with one doc_id, that of the least hash over all
+    columns stands for their group, and different texts under one doc_id, or without any, stay
+    apart. A row without doc_id is kept where no row of its group has one.
+    """
+    names = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    row = F.xxhash64(*(docs[c] for c, kind in names.items() if "map<" not in kind and kind != "variant"))
+    prints = checkpointed(fingerprinted(docs, row))
+    nodes = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")).alias("least"))
+    roots = components(links(nodes.select("fp")), "u", "v")
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(F.coalesce("root", "fp").alias("root"), "least")
+    least = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_kept_id"), F.col("least.row").alias("_kept_row"))
+    same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("row") == F.col("_kept_row"))
+    kept = checkpointed(prints.join(least, same).groupBy("_kept_id", "_kept_row").agg(F.count("*").alias("_kept_n")))
+
+    def rows_of(chosen: DataFrame) -> DataFrame:
+        return docs.join(chosen, docs["doc_id"].cast("long").eqNullSafe(chosen["_kept_id"]) & (row == chosen["_kept_row"]), "left_semi")
+
+    repeated = kept.where("_kept_n > 1")
+    if not repeated.limit(1).count():
+        return rows_of(kept)
+    once = rows_of(repeated).withColumn("_kept_row", row).dropDuplicates(["doc_id", "_kept_row"]).drop("_kept_row")
+    return rows_of(kept.where("_kept_n = 1")).unionByName(once)
 
 
 def op6_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:

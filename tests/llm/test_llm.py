@@ -329,6 +329,13 @@ def test_simhash(docs, none, sample, monkeypatch):
     assert kept.columns == docs.columns and kept.where("doc_id = 5").count() == 1
 
 
+def test_keep_one_decides_by_row(spark):
+    fox, sea, sky = LONG, "waves roll over the wide grey sea and gulls cry all day " * 20, "a sky of high thin cloud turned red before the storm came " * 20
+    rows = [(7, fox, "a"), (7, sea, "a"), (None, sky, "a"), (None, sky, "b"), (None, "null ids may hold many different texts, each of them its own " * 9, "a"), (None, fox, "b"), (9, sea, "b"), (9, sea, "b"), (11, "", "a"), (11, "", "a")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted((i or 0, t) for i, t, _ in [rows[0], rows[1], rows[2], rows[4], rows[8]])
+
+
 def test_links_lose_nothing(spark):
     rng = np.random.default_rng(5)
     prints = {}
