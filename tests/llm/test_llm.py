@@ -390,6 +390,21 @@ def test_quality(docs, none, sample):
     assert quality.keep_good(sample).columns == sample.columns
 
 
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_quality_knows_every_language(spark, sample, monkeypatch, most):
+    monkeypatch.setattr(quality, "MOST_BROADCAST", most)
+    rng = np.random.default_rng(3)
+    text = lambda letters: " ".join("".join(rng.choice(list(letters), int(rng.integers(2, 10)))) for _ in range(200)) + "."
+    texts = [(-1 - i, text("абвгдежзиклмнопрстуя"), "ru") for i in range(9)] + [(-11 - i, text("αβγδεζηθικλμνοπ"), "el") for i in range(9)]
+    texts += [(-30, text("#*$%&|<>"), "ru"), (-31, "il la que y del por con una para los las el " + " ".join(["el"] * 40 + [text("abcdefghijklmno")]), "it")]
+    both = sample.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
+    got = {r.doc_id: r for r in quality.judge(both).collect()}
+    assert all(got[i].kept for i in (*range(-9, 0), *range(-19, -10))) and not got[-30].kept
+    assert got[-31].word_distance is None
+    before = {r.doc_id: r.kept for r in quality.judge(sample).collect()}
+    assert {i: r.kept for i, r in got.items() if i >= 0} == before
+
+
 def test_distance(value):
     p, q = [1.0, 3.0, 0.0], [0.5, 0.0, 0.5]
     a, b = np.array(p) / 4, np.array(q)
