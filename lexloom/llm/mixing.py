@@ -18,7 +18,7 @@ from lexloom.llm.common import checkpointed, table
 SEED = 17
 #: Target weights are text shares to this power when none are given: 1 keeps the mix, 0 evens it out.
 TEMPERATURE = 0.7
-#: No rate is above this: a small source is not repeated without end.
+#: The greatest mean that is drawn at once: higher rates are sums of equal parts, each with a number of its own.
 MOST_RATE = 8.0
 #: The rates of up to so many sources go to all tasks; those of more join by source.
 MOST_BROADCAST = 100_000
@@ -43,12 +43,21 @@ def poisson(u: Column, mean: Column, terms: int = TERMS) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step, lambda a: a["n"])
 
 
+def copies(mean: Column, *keys: Column) -> Column:
+    """A Poisson number of any mean: the sum over parts of at most MOST_RATE, drawn at hashed numbers of their own."""
+    parts = F.greatest(F.lit(1), F.ceil(mean / MOST_RATE).cast("int"))
+    share = mean / parts
+    more = F.aggregate(F.sequence(F.lit(1), parts - 1), F.lit(0), lambda n, j: n + poisson(uniform(*keys, j), share))
+    return poisson(uniform(*keys), share) + F.when(parts > 1, more).otherwise(0)
+
+
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, size: str | None = None) -> DataFrame:
     """(source, rate) of every source: target share of the characters over actual share.
 
     With ``weights``, a source that is not named gets none. Sources without any text count as
-    one character, so that they have a rate too. A null source is a source of its own. ``size``
-    names a column of characters where the text itself isn't at hand.
+    one character, so that they have a rate too. A null source is a source of its own. A rate has
+    no bound: a small source is repeated until it has its share. ``size`` names a column of
+    characters where the text itself isn't at hand.
     """
     chars = F.col(size) if size else F.length(F.col("text").cast("string"))
     sizes = docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.greatest(F.sum(F.coalesce(chars, F.lit(0)).cast("long")), F.lit(1)).alias("chars"))
@@ -58,7 +67,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
         target = reduce(lambda c, kv: c.when(F.col("source") == kv[0], F.lit(float(kv[1]))), weights.items(), F.when(F.lit(False), F.lit(0.0))).otherwise(F.lit(0.0))
     wanted = sizes.withColumn("target", target)
     total = wanted.agg(F.sum(F.col("chars").cast("double")).alias("all_chars"), F.sum("target").alias("all_targets"))
-    rate = F.least(F.lit(MOST_RATE), F.col("target") / F.col("all_targets") * F.col("all_chars") / F.col("chars"))
+    rate = F.col("target") / F.col("all_targets") * F.col("all_chars") / F.col("chars")
     return wanted.crossJoin(F.broadcast(total)).select("source", F.when(F.col("all_targets") > 0, rate).otherwise(0.0).alias("rate"))  # total is one row
 
 
@@ -72,9 +81,9 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, temperat
     if rate.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         rate = F.broadcast(rate)
     joined = docs.join(rate, F.col("source").cast("string").eqNullSafe(F.col("_source"))).drop("_source")
-    n = poisson(uniform(F.lit(seed), F.lit("count"), F.col("doc_id")), F.col("_rate"))
-    copies = joined.withColumn("_n", n).where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
-    return copies.withColumn("_shuffle_key", uniform(F.lit(seed), F.lit("order"), F.col("doc_id"), F.col("_copy")))
+    n = copies(F.col("_rate"), F.lit(seed), F.lit("count"), F.col("doc_id"))
+    repeats = joined.withColumn("_n", n).where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    return repeats.withColumn("_shuffle_key", uniform(F.lit(seed), F.lit("order"), F.col("doc_id"), F.col("_copy")))
 
 
 def shuffled(mixed: DataFrame) -> DataFrame:

@@ -433,6 +433,17 @@ def test_mixing(docs, none, sample):
     assert mixing.mix(docs).columns == docs.columns and mixing.mix(none).count() == 0
 
 
+def test_small_sources_reach_their_weight(spark):
+    rows = spark.range(4000).selectExpr("id AS doc_id", "repeat('x', 100) AS text", "if(id % 100 = 0, 's', 'b') AS source")
+    weights = {"s": 0.5, "b": 0.5}
+    assert {r.source: r.rate for r in mixing.rates(rows, weights).collect()} == pytest.approx({"s": 50.0, "b": 50 / 99})
+    counts = {r.doc_id: r["count"] for r in mixing.mix(rows, weights).where("source = 's'").groupBy("doc_id").count().collect()}
+    assert len(counts) == 40 and abs(sum(counts.values()) - 2000) < 6 * 2000**0.5
+    assert 20 < np.var(list(counts.values())) < 110
+    u = spark.range(20_000).select(mixing.copies(F.lit(900.0), F.col("id")).alias("n")).agg(F.avg("n"), F.var_samp("n")).first()
+    assert abs(u[0] - 900) < 6 * (900 / 20_000) ** 0.5 and abs(u[1] / 900 - 1) < 0.1
+
+
 # --- FLAC -------------------------------------------------------------------------
 
 
