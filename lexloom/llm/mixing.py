@@ -91,16 +91,22 @@ def shuffled(mixed: DataFrame) -> DataFrame:
     return mixed.orderBy("_shuffle_key", "doc_id", "_copy")
 
 
+def draws(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
+    """The mixed and shuffled documents as structs ``row``, with the _rate, _copy and _shuffle_key of each."""
+    rows = docs.select("doc_id", "source", F.length(F.col("text").cast("string")).cast("long").alias("chars"), F.struct(*docs.columns).alias("row"))
+    return shuffled(replicate(rows, weights, temperature, seed, "chars"))
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
     """The mixed and shuffled documents, in the columns of ``docs``."""
-    rows = docs.select("doc_id", "source", F.length(F.col("text").cast("string")).cast("long").alias("chars"), F.struct(*docs.columns).alias("row"))
-    return shuffled(replicate(rows, weights, temperature, seed, "chars")).select("row.*")
+    return draws(docs, weights, temperature, seed).select("row.*")
 
 
 def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").cast("long").alias("chars"))
-    mixed = replicate(docs, size="chars").select("doc_id", "source", F.col("_copy").cast("long").alias("copy"), F.round("_rate", 9).alias("rate"), F.col("_shuffle_key").alias("shuffle_key"), "chars", "_shuffle_key", "_copy")
-    return shuffled(mixed).drop("_shuffle_key", "_copy")
+    """The columns of OP5_SQL, taken from whole documents after the global shuffle."""
+    mixed = draws(table(spark, sf_dir, "documents"))
+    columns = F.col("row.doc_id"), F.col("row.source"), F.col("_copy").cast("long").alias("copy"), F.round("_rate", 9).alias("rate"), F.col("_shuffle_key").alias("shuffle_key")
+    return mixed.select(*columns, F.length("row.text").cast("long").alias("chars"))
 
 
 OP5_SQL = f"""

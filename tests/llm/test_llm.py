@@ -444,6 +444,11 @@ def test_small_sources_reach_their_weight(spark):
     assert abs(u[0] - 900) < 6 * (900 / 20_000) ** 0.5 and abs(u[1] / 900 - 1) < 0.1
 
 
+def test_op5_shuffles_texts(spark):
+    plan = mixing.op5_poisson_mix(spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Sort \[[^\n]*\n[ +-]*Project \[[^\n]*text#", plan)
+
+
 # --- FLAC -------------------------------------------------------------------------
 
 
