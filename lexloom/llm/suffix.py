@@ -9,7 +9,9 @@ of like size merge, so that there are few of them however many batches came.
 
 An entry that an earlier level holds is a repeat as a whole. Where only its anchor string is
 known, the bytes around the anchor are dealt once more and its windows are held against each
-other one by one. Batches then mark what to remove. All of a batch's answers come back in the
+other one by one. An anchor with very many different entries is crowded: a batch that has many
+of them sends only the anchor, and all batches deal the hashes of its windows instead, so that no
+slice gets more than its share of them. Batches then mark what to remove. All of a batch's answers come back in the
 order of its own array, so an entry costs twelve bytes on the way out and under one back.
 """
 
@@ -21,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +36,10 @@ WINDOWS = SIDE + 1
 BATCH_BYTES, SLICE_BYTES = 4 << 20, 32 << 20
 #: Cuts between batches that the driver holds; beyond them, equal steps of doc_id split each range further.
 MOST_CUTS = 4096
+#: Different entries of one anchor in a batch, and in a slice, beyond which it is crowded.
+MOST_LOCAL, MOST_SHARED = 64, 4096
+#: Entries whose windows are hashed at once.
+AT_ONCE = 4096
 #: Windows whose anchors are found at once.
 CHUNK = 1 << 18
 _POSITION = np.uint64((1 << 21) - 1)
@@ -141,28 +148,57 @@ def _around(batch: Batch, entries: np.ndarray) -> np.ndarray:
     return out
 
 
+def window_hashes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, number in its row) of each window of each row."""
+    parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    power, inverse = _power(_ROW)
+    for i in range(0, len(rows), AT_ONCE):
+        part = rows[i : i + AT_ONCE]
+        # From the anchor out, no byte beyond a row's own windows is ever read.
+        total = np.concatenate((np.zeros((len(part), 1), np.uint64), np.cumsum(_VALUE[part[:, :-2]] * power[: _ROW - 2], axis=1, dtype=np.uint64)), axis=1)
+        before, count = part[:, -2].astype(np.int64), part[:, -1].astype(np.int64)
+        row = np.repeat(np.arange(len(part)), count)
+        nth = spread(count)
+        start = SIDE - before[row] + nth
+        parts.append(((total[row, start + MATCH] - total[row, start]) * inverse[start], row + i, nth))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _later(h: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which hashes come with a lesser rank too."""
+    out = np.zeros(len(h), bool)
+    if len(h):
+        order = np.lexsort((rank, h))
+        h, rank = h[order], rank[order]
+        new = np.concatenate(([True], h[1:] != h[:-1]))
+        out[order] = rank > rank[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return out
+
+
 def repeated_windows(rows: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """A bit for each window of each row that a row of lesser rank has too; bit 0 is the first window."""
     out = np.zeros(len(rows), np.uint32)
-    if not len(rows):
-        return out
-    power, inverse = _power(_ROW)
-    # From the anchor out, no byte beyond a row's own windows is ever read.
-    total = np.concatenate((np.zeros((len(rows), 1), np.uint64), np.cumsum(_VALUE[rows[:, :-2]] * power[: _ROW - 2], axis=1, dtype=np.uint64)), axis=1)
-    before, count = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64)
-    row = np.repeat(np.arange(len(rows)), count)
-    nth = spread(count)
-    start = SIDE - before[row] + nth
-    h = (total[row, start + MATCH] - total[row, start]) * inverse[start]
-    order = np.lexsort((rank[row], h))
-    h, row, nth = h[order], row[order], nth[order]
-    new = np.concatenate(([True], h[1:] != h[:-1]))
-    least = rank[row[np.flatnonzero(new)]][np.cumsum(new) - 1]
-    hit = rank[row] > least
+    h, row, nth = window_hashes(rows)
+    hit = _later(h, rank[row])
     np.bitwise_or.at(out, row[hit], np.uint32(1) << nth[hit].astype(np.uint32))
     return out
 
 
+def crowded_windows(batch: Batch, places: np.ndarray, slices: int) -> tuple[np.ndarray, ...]:
+    """The windows of entries: (hashes by slice, once each, their slices, index of each window's hash, its place, its number)."""
+    parts = [(np.zeros(0, np.uint64), places[:0], np.zeros(0, np.int64))]
+    for i in range(0, len(places), AT_ONCE):
+        h, row, nth = window_hashes(_around(batch, batch.first[places[i : i + AT_ONCE]]))
+        parts.append((h, places[i + row], nth))
+    h, place, nth = (np.concatenate(x) for x in zip(*parts, strict=True))
+    hashes, which = np.unique(h, return_inverse=True)
+    slice_ = (_mix(hashes) % np.uint64(slices)).astype(np.int64)
+    order = np.argsort(slice_, kind="stable")
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return hashes[order], slice_[order], back[which], place, nth
+
+
 class Levels:
     """Sorted arrays of entries that grow geometrically."""
 
@@ -199,51 +235,80 @@ class Levels:
         return self._merged(*self.levels)
 
 
-NEW, REPEAT, UNSURE = 0, 1, 2
+NEW, REPEAT, UNSURE, CROWDED = 0, 1, 2, 3
+
+
+def _anchors(batch: Batch) -> tuple[np.ndarray, np.ndarray]:
+    """(first place, number of places) of each anchor of a batch that has entries."""
+    stem = batch.key >> np.uint64(16)
+    begin = np.flatnonzero(np.concatenate(([True], (stem[1:] != stem[:-1]) | (batch.slice_[1:] != batch.slice_[:-1]))))
+    return begin, np.diff(np.concatenate((begin, [len(stem)])))
+
+
+def _crowd(batch: Batch, most: int) -> np.ndarray:
+    """Which places belong to anchors with more than ``most`` different entries in the batch."""
+    if not len(batch.key):
+        return np.zeros(0, bool)
+    _, size = _anchors(batch)
+    return np.repeat(size > most, size)
+
+
+def _among(some: np.ndarray, all_: np.ndarray) -> np.ndarray:
+    """Which of ``some`` are in ``all_``, which is sorted."""
+    at = np.searchsorted(all_, some)
+    out = at < len(all_)
+    out[out] = all_[at[out]] == some[out]
+    return out
 
 
-def _scan(rows: pa.Table) -> pa.Table:
-    """One slice of the index: what each batch's entries are to the batches before it."""
+def _scan(rows: pa.Table, most: int) -> pa.Table:
+    """One slice of the index: what each batch's entries are to the batches before it, or that their anchor is crowded."""
     rows = rows.sort_by("batch")
     batches, blobs = rows.column("batch").to_pylist(), rows.column("entries").to_pylist()
+    crowded = np.unique(np.frombuffer(b"".join(rows.column("crowd").to_pylist()), "<u8"))
     levels, seen = Levels(), []
     for batch, blob in zip(batches, blobs, strict=True):
         n = len(blob) // 12
         key, rest = np.frombuffer(blob, "<u8", n), np.frombuffer(blob, "<u4", n, 8 * n)
         known = levels.known(key, rest)
         seen.append((key, known))
-        levels.add(key[~known], rest[~known], batch)
-    key, _, batch = levels.all()
-    stem = key >> np.uint64(16)
-    begin = np.flatnonzero(np.concatenate(([True], stem[1:] != stem[:-1])))
-    mixed = stem[begin[np.minimum.reduceat(batch, begin) != np.maximum.reduceat(batch, begin)]]
+        if not known.all():
+            levels.add(key[~known], rest[~known], batch)
+    mixed = crowded[:0]
+    if levels.levels:
+        key, _, batch = levels.all()
+        stem = key >> np.uint64(16)
+        begin = np.flatnonzero(np.concatenate(([True], stem[1:] != stem[:-1])))
+        shared = np.minimum.reduceat(batch, begin) != np.maximum.reduceat(batch, begin)
+        many = np.diff(np.concatenate((begin, [len(stem)]))) > most
+        mixed, crowded = stem[begin[shared]], np.union1d(crowded, stem[begin[shared & many]])
     answers = []
     for own, known in seen:
-        at = np.searchsorted(mixed, own >> np.uint64(16))
-        shared = np.zeros(len(own), bool)
-        live = at < len(mixed)
-        shared[live] = mixed[at[live]] == (own >> np.uint64(16))[live]
-        answers.append(np.where(known, REPEAT, np.where(shared, UNSURE, NEW)).astype(np.uint8).tobytes())
+        own = own >> np.uint64(16)
+        answer = np.where(_among(own, crowded), CROWDED, np.where(_among(own, mixed), UNSURE, NEW))
+        answers.append(np.where(known, REPEAT, answer).astype(np.uint8).tobytes())
     return pa.table([rows.column("batch"), rows.column("slice"), pa.array(answers, pa.binary())], ["batch", "slice", "answer"])
 
 
 def _compare(rows: pa.Table) -> pa.Table:
-    """The windows around anchors of one slice that several batches have, against each other."""
-    around = [np.frombuffer(x, np.uint8).reshape(-1, _ROW) for x in rows.column("around").to_pylist()]
+    """The windows around anchors of one slice that several batches have, against each other; those of crowded anchors come as hashes, in slices below 0."""
+    blobs = rows.column("around").to_pylist()
+    hashed = rows.column("slice")[0].as_py() < 0
+    around = [np.frombuffer(x, "<u8") if hashed else np.frombuffer(x, np.uint8).reshape(-1, _ROW) for x in blobs]
     counts = [len(x) for x in around]
     rank = np.repeat(np.asarray(rows.column("batch"), np.int64), counts)
-    bits = repeated_windows(np.concatenate(around), rank)
+    bits = _later(np.concatenate(around), rank).astype(np.uint8) if hashed else repeated_windows(np.concatenate(around), rank).astype("<u4")
     ends = np.cumsum(counts)
-    parts = [bits[e - n : e].astype("<u4").tobytes() for e, n in zip(ends, counts, strict=True)]
+    parts = [bits[e - n : e].tobytes() for e, n in zip(ends, counts, strict=True)]
     return pa.table([rows.column("batch"), rows.column("slice"), rows.column("answer"), pa.array(parts, pa.binary())], ["batch", "slice", "answer", "bits"])
 
 
-def _by_slice(batch: Batch) -> Iterator[tuple[int, int, int]]:
-    if not len(batch.key):
+def _by_slice(slice_: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    if not len(slice_):
         return
-    begin = np.flatnonzero(np.concatenate(([True], batch.slice_[1:] != batch.slice_[:-1])))
-    for a, b in zip(begin, [*begin[1:], len(batch.key)], strict=True):
-        yield int(batch.slice_[a]), int(a), int(b)
+    begin = np.flatnonzero(np.concatenate(([True], slice_[1:] != slice_[:-1])))
+    for a, b in zip(begin, [*begin[1:], len(slice_)], strict=True):
+        yield int(slice_[a]), int(a), int(b)
 
 
 def _answers(rows: pa.Table, column: str, kind: str) -> np.ndarray:
@@ -251,7 +316,7 @@ def _answers(rows: pa.Table, column: str, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(x or b"" for x in blobs), kind)
 
 
-def _removed(batch: Batch, answer: np.ndarray, bits: np.ndarray) -> np.ndarray:
+def _removed(batch: Batch, answer: np.ndarray, bits: np.ndarray, hashed: np.ndarray, slices: int) -> np.ndarray:
     """First bytes of all repeated windows of a batch, ascending."""
     if not len(batch.key):
         return np.zeros(0, np.int64)
@@ -260,11 +325,12 @@ def _removed(batch: Batch, answer: np.ndarray, bits: np.ndarray) -> np.ndarray:
     full = (np.uint64(1) << count.astype(np.uint64)) - np.uint64(1)
     mark = np.where(answer == REPEAT, full, np.uint64(0))
     mark[answer == UNSURE] |= bits.astype(np.uint64)
+    _, _, which, place, nth = crowded_windows(batch, np.flatnonzero(answer == CROWDED), slices)
+    hit = hashed[which] == 1
+    np.bitwise_or.at(mark, place[hit], np.uint64(1) << nth[hit].astype(np.uint64))
     # Anchors that several documents of the batch have, among entries that differ.
-    stem = batch.key >> np.uint64(16)
-    begin = np.flatnonzero(np.concatenate(([True], (stem[1:] != stem[:-1]) | (batch.slice_[1:] != batch.slice_[:-1]))))
+    begin, size = _anchors(batch)
     least, most = np.minimum.reduceat(rank[first], begin), np.maximum.reduceat(rank[first], begin)
-    size = np.diff(np.concatenate((begin, [len(stem)])))
     own = np.flatnonzero(np.repeat(least != most, size))
     mark[own] |= repeated_windows(_around(batch, first[own]), rank[first[own]]).astype(np.uint64)
     later = rank > rank[first][batch.group]
@@ -312,26 +378,39 @@ def _without_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     ranges = min(batches, MOST_CUTS)
     cuts = known.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.25 / ranges) if ranges > 1 else []
     number = batch_number(known, [size.low, *sorted(set(cuts)), size.high], -(-batches // ranges))
+    most_local, most_shared = MOST_LOCAL, MOST_SHARED
     kinds = {f.name: f.dataType for f in plain.schema.fields}
     carried = [f"carry_{c}" for c in carry]
 
     def index(texts: pa.Table) -> pa.Table:
         batch = suffix_array(_order(texts), slices)
-        rows = [(s, batch.key[a:b].astype("<u8").tobytes() + batch.rest[a:b].astype("<u4").tobytes()) for s, a, b in _by_slice(batch)]
+        crowd = _crowd(batch, most_local)
+        rows = []
+        for s, a, b in _by_slice(batch.slice_):
+            key, rest, own = batch.key[a:b], batch.rest[a:b], crowd[a:b]
+            rows.append((s, key[~own].astype("<u8").tobytes() + rest[~own].astype("<u4").tobytes(), np.unique(key[own] >> np.uint64(16)).astype("<u8").tobytes()))
         which = texts.column("batch")[0].as_py()
-        return pa.table([pa.array([s for s, _ in rows], pa.int32()), pa.array([which] * len(rows), pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["slice", "batch", "entries"])
+        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([which] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["slice", "batch", "entries", "crowd"])
+
+    def scan(rows: pa.Table) -> pa.Table:
+        return _scan(rows, most_shared)
 
     def look(texts: pa.Table, answers: pa.Table) -> pa.Table:
         batch = suffix_array(_order(texts), slices)
-        answer = _answers(answers, "answer", np.uint8)
-        rows = [(s, answer[a:b].tobytes(), _around(batch, batch.first[a:b][answer[a:b] == UNSURE]).tobytes()) for s, a, b in _by_slice(batch)]
+        answer = np.full(len(batch.key), CROWDED, np.uint8)
+        answer[~_crowd(batch, most_local)] = _answers(answers, "answer", np.uint8)
+        rows = [(s, answer[a:b].tobytes(), _around(batch, batch.first[a:b][answer[a:b] == UNSURE]).tobytes()) for s, a, b in _by_slice(batch.slice_)]
+        hashes, dealt, *_ = crowded_windows(batch, np.flatnonzero(answer == CROWDED), slices)
+        rows += [(s - slices, None, hashes[a:b].astype("<u8").tobytes()) for s, a, b in _by_slice(dealt)]
         which = texts.column("batch")[0].as_py()
         return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([which] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["slice", "batch", "answer", "around"])
 
     def cut(texts: pa.Table, answers: pa.Table) -> pa.Table:
         texts = _order(texts)
         batch = suffix_array(texts, slices)
-        starts = _removed(batch, _answers(answers, "answer", np.uint8), _answers(answers, "bits", "<u4"))
+        hashed = pc.less(answers.column("slice"), 0)
+        whole, crowded = answers.filter(pc.invert(hashed)), answers.filter(hashed)
+        starts = _removed(batch, _answers(whole, "answer", np.uint8), _answers(whole, "bits", "<u4"), _answers(crowded, "bits", np.uint8), slices)
         body, offsets = text_bytes(texts.column("text"))
         owner, first, last = _spans(starts, offsets)
         blob, at = body.tobytes(), np.searchsorted(owner, np.arange(len(offsets)))
@@ -345,8 +424,8 @@ def _without_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         return pa.table([*made, *(texts.column(c) for c in carried)], ["doc_id", "n_bytes", "spans", "kept", *carried])
 
     by_batch = number.groupBy("batch")
-    entries = by_batch.applyInArrow(tidy_group(index), "slice int, batch int, entries binary")
-    answers = entries.groupBy("slice").applyInArrow(tidy_group(_scan), "batch int, slice int, answer binary")
+    entries = by_batch.applyInArrow(tidy_group(index), "slice int, batch int, entries binary, crowd binary")
+    answers = entries.groupBy("slice").applyInArrow(tidy_group(scan), "batch int, slice int, answer binary")
     around = by_batch.cogroup(answers.groupBy("batch")).applyInArrow(tidy_group(look), "slice int, batch int, answer binary, around binary")
     bits = around.groupBy("slice").applyInArrow(tidy_group(_compare), "batch int, slice int, answer binary, bits binary")
     fields = "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary"

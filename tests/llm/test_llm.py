@@ -282,6 +282,32 @@ def test_repeats_property(spark, monkeypatch, seed):
     assert found_repeats(suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("local,shared", [(0, 4096), (1, 2), (3, 4), (64, 1), (64, 4096)])
+def test_repeats_at_crowded_anchors(spark, monkeypatch, local, shared):
+    rng = np.random.default_rng(local)
+    word = lambda n: "".join(rng.choice(list("abcde é"), n))
+    line = "all rights reserved by those who wrote this and may be used by anyone at all"
+    ends = [word(7) for _ in range(4)]
+    rows = [(int(i), word(20) + str(rng.choice(ends)) + line + str(rng.choice(ends)) + word(int(rng.integers(0, 60)))) for i in rng.permutation(60)]
+    monkeypatch.setattr(suffix, "MOST_LOCAL", local)
+    monkeypatch.setattr(suffix, "MOST_SHARED", shared)
+    monkeypatch.setattr(suffix, "BATCH_BYTES", 900)
+    assert found_repeats(suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_repeats(rows)
+
+
+def test_crowded_anchors_spread():
+    rng = np.random.default_rng(1)
+    line = "all rights reserved by those who wrote this and may be used by anyone at all"
+    texts = ["".join(rng.choice(list("abcdefgh"), 40)) + line + "".join(rng.choice(list("abcdefgh"), 40)) for _ in range(500)]
+    batch = suffix.suffix_array(pa.table({"doc_id": range(500), "text": texts}), 16)
+    crowd = np.flatnonzero(suffix._crowd(batch, 64))
+    at_anchor = np.bincount(batch.slice_[crowd], minlength=16)
+    _, dealt, which, *_ = suffix.crowded_windows(batch, crowd, 16)
+    by_window = np.bincount(dealt, minlength=16)
+    assert len(crowd) >= 500 and at_anchor.max() > 4 * at_anchor.mean()
+    assert by_window.max() < 1.3 * by_window.mean() and len(which) > len(crowd)
+
+
 def test_levels_stay_few():
     levels = suffix.Levels()
     for i in range(64):
