@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch. Long texts make row counts alone unsafe.
 BATCH_ROWS, BATCH_BYTES = 20_000, 2 << 20
@@ -39,6 +40,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def join_hot(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+    """``rows`` with what ``lookup`` has for their ``key``; its column ``n`` counts the rows of each key, and goes.
+
+    Keys with more than a 100,000th of all rows, so at most 100,000 of them, go to all tasks, and
+    their rows stay where they are; the others join by key. Both sides are read twice.
+    """
+    total = lookup.agg(F.sum("n")).first()[0] or 0
+    limit = max(1000, total // 100_000)
+    hot, rest = lookup.where(F.col("n") > limit).drop("n"), lookup.where(F.col("n") <= limit).drop("n")
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
+    return others.unionByName(rows.join(F.broadcast(hot), key))
+
+
 def release() -> None:
     """Give freed memory back to the system: Python workers live on between tasks, beside the JVM's heap."""
     pa.default_memory_pool().release_unused()

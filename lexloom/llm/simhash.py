@@ -1,11 +1,16 @@
 """SimHash near-duplicates with pigeonring filtering.
 
-A fingerprint is a ring of eight 8-bit segments. Two fingerprints that differ in at most four
-bits leave four segments equal, so they meet under one of the 70 choices of four segments (32
-bits of key: chance meetings stay rare however many fingerprints there are). A pair that meets
-must then show a chain of consecutive segments, from some start around the ring, whose
-cumulative differences never exceed l * 4 / 8 after l segments; only then are all bits counted.
-Equal fingerprints are one node, and each bucket gives a spanning forest of its links, never all pairs.
+A fingerprint is a ring of eight 8-bit segments. Where two fingerprints differ in at most four
+bits, some start on the ring has a chain of segments whose cumulative differences stay within
+l * 4 / 8 after every l segments. So the first segment is equal, of the next two at most one
+differs, of the next four at most two: a chain of five leaves three segments equal, in one of
+five ways. Fingerprints meet under the equal segments of such a start (40 keys of 24 bits; in
+large corpora chains of seven, with 32 bits). A pair that meets must then show the chain itself,
+segment by segment from that start, and stops at the first broken budget; only pairs with a
+whole chain, which is shorter than the ring, have all bits counted.
+
+Equal fingerprints are one node, and each bucket gives a spanning forest of its links, never all
+pairs. A crowded bucket is dealt in blocks, and every two blocks meet in a task of their own.
 """
 
 from __future__ import annotations
@@ -16,18 +21,24 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import bounded_batches, checkpointed, spread, table, text_bytes, tidy
+from lexloom.llm.common import bounded_batches, checkpointed, join_hot, spread, table, text_bytes, tidy
 from lexloom.llm.components import components
 
 SHINGLE, SEED = 4, 42
 SEGMENTS, MOST_BITS = 8, 4
-#: Masks of the segments that must be equal, one for each choice.
-MASKS = [sum(0xFF << (8 * i) for i in chosen) for chosen in combinations(range(SEGMENTS), SEGMENTS - MOST_BITS)]
-#: The most differences after 1, 2, ... segments of a chain.
-BUDGET = np.arange(1, SEGMENTS + 1) * MOST_BITS // SEGMENTS
+#: The most differences after 1, 2, ... segments of a chain, and the segments of a chain that a pair must show.
+BUDGET = [n * MOST_BITS // SEGMENTS for n in range(1, SEGMENTS + 1)]
+CHAIN = 6
+#: Fingerprints from which on keys come from chains of seven segments; results are the same.
+MANY = 1 << 24
+#: Members of a bucket that meet in one task; a bucket with more is dealt in blocks of so many.
+BLOCK = 4096
+#: Crowded buckets that go to all tasks; more of them join by key.
+MOST_BROADCAST = 100_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -103,70 +114,141 @@ def fingerprinted(docs: DataFrame, row: Column | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), *rest, F.col("text").cast("string")).mapInArrow(tidy(run), f"doc_id long, {'row long, ' if rest else ''}fp long")
 
 
-def near(one: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Which pairs differ in at most four bits: a viable chain first, then all bits."""
+def chain_keys(length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(masks of the segments that a viable chain leaves equal, (masks, starts) the starts of such chains)."""
+    starts: dict[int, list[int]] = {}
+    for differ in combinations(range(length), BUDGET[length - 1]):
+        if any(sum(d < n for d in differ) > BUDGET[n - 1] for n in range(1, length + 1)):
+            continue
+        for start in range(SEGMENTS):
+            equal = sum(0xFF << (8 * ((start + i) % SEGMENTS)) for i in range(length) if i not in differ)
+            starts.setdefault(equal, []).append(start)
+    most = max(map(len, starts.values()))
+    return np.array(list(starts), np.uint64), np.array([x + x[:1] * (most - len(x)) for x in starts.values()])
+
+
+def viable(differ: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which differences show a whole chain from one of their ``starts``; each stops at its first broken budget."""
+    out = np.zeros(len(differ), bool)
+    for start in np.broadcast_to(starts, (len(differ), starts.shape[-1])).T:
+        live = np.flatnonzero(~out)
+        total = np.zeros(len(live), np.uint8)
+        for n in range(CHAIN):
+            shift = (8 * ((start[live] + n) % SEGMENTS)).astype(np.uint64)
+            total = total + np.bitwise_count((differ[live] >> shift) & np.uint64(0xFF))
+            whole = total <= BUDGET[n]
+            live, total = live[whole], total[whole]
+        out[live] = True
+    return out
+
+
+def near(one: np.ndarray, other: np.ndarray, starts: np.ndarray, tally: list[int] | None = None) -> np.ndarray:
+    """Which pairs show a chain and differ in at most four bits; ``tally`` counts pairs, those with a chain, those near."""
     differ = one ^ other
-    by_segment = np.bitwise_count(np.ascontiguousarray(differ).view(np.uint8).reshape(-1, SEGMENTS))
-    total = np.cumsum(np.concatenate((np.zeros((len(differ), 1), np.uint8), by_segment, by_segment), axis=1), axis=1, dtype=np.int16)
-    viable = np.zeros(len(differ), bool)
-    for s in range(SEGMENTS):
-        viable |= (total[:, s + 1 : s + 1 + SEGMENTS] - total[:, s : s + 1] <= BUDGET).all(axis=1)
-    at = np.flatnonzero(viable)
+    at = np.flatnonzero(viable(differ, starts))
+    close = at[np.bitwise_count(differ[at]) <= MOST_BITS]
+    if tally is not None:
+        tally[:] = [a + b for a, b in zip(tally, (len(differ), len(at), len(close)), strict=True)]
     out = np.zeros(len(differ), bool)
-    out[at] = np.bitwise_count(differ[at]) <= MOST_BITS
+    out[close] = True
     return out
 
 
-def forest(members: np.ndarray) -> list[tuple[int, int]]:
+def forest(members: np.ndarray, starts: np.ndarray, tally: list[int]) -> list[tuple[int, int]]:
     """Links that connect what is near in a bucket of different fingerprints; one less than members at most."""
     links = []
     while len(members) > 1:
         waiting, members = [members[0]], members[1:]
         while waiting and len(members):
             one = waiting.pop()
-            close = near(np.full(len(members), one), members)
+            close = near(np.full(len(members), one), members, starts, tally)
             links += [(int(one), int(x)) for x in members[close]]
             waiting += list(members[close])
             members = members[~close]
     return links
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """Links between different fingerprints, enough to connect all that are at most four bits apart."""
-    masks = np.array(MASKS, np.uint64)
+def crowded(nodes: DataFrame, masks: np.ndarray) -> DataFrame:
+    """(choice, key, n) of the buckets that may have more than BLOCK members.
+
+    Each partition names the keys that it has many of, so a bucket that no row names has at most
+    BLOCK members (or 4 a partition and half a BLOCK, where partitions are very many).
+    """
+    least = max(4, BLOCK // (2 * max(1, nodes.rdd.getNumPartitions())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fp = np.concatenate([np.zeros(0, np.int64), *(np.asarray(b.column("fp")) for b in batches)]).view(np.uint64)
+        for choice, mask in enumerate(masks):
+            key = np.sort(fp & mask)
+            begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+            size = np.diff(np.concatenate((begin, [len(key)])))
+            many = np.flatnonzero(size >= least)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(many), choice, np.int32)), pa.array(key[begin[many]].view(np.int64)), pa.array(size[many])], ["choice", "key", "n"])
+
+    named = nodes.select("fp").mapInArrow(tidy(run), "choice int, key long, n long")
+    return named.groupBy("choice", "key").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK // 2)
+
+
+def links(nodes: DataFrame, counts: list[Accumulator] | None = None) -> DataFrame:
+    """Links between different fingerprints, enough to connect all that are at most four bits apart.
+
+    ``counts``: three accumulators for the pairs that met, those that showed a chain, and those near.
+    """
+    masks, starts = chain_keys(5 if nodes.count() <= MANY else 7)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = [0, 0, 0]
+
         def emit(choice: np.ndarray, fp: np.ndarray, new: np.ndarray):
             begin = np.flatnonzero(new)
             size = np.diff(np.concatenate((begin, [len(fp)])))
             two = begin[size == 2]
-            two = two[near(fp[two], fp[two + 1])] if len(two) else two
+            two = two[near(fp[two], fp[two + 1], starts[choice[two]], tally)] if len(two) else two
             out = [np.stack((fp[two], fp[two + 1]), axis=1)]
             for b, n in zip(begin[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                if found := forest(fp[b : b + n]):
+                if found := forest(fp[b : b + n], starts[choice[b]], tally):
                     out.append(np.array(found, np.uint64))
             out = np.concatenate(out).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[:, 0])), pa.array(np.ascontiguousarray(out[:, 1]))], ["u", "v"])
 
-        held_choice, held = np.zeros(0, np.int32), np.zeros(0, np.uint64)
+        held_choice, held_pair, held = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         for batch in batches:
             held_choice = np.concatenate((held_choice, np.asarray(batch.column("choice"))))
+            held_pair = np.concatenate((held_pair, np.asarray(batch.column("blocks"))))
             held = np.concatenate((held, np.asarray(batch.column("fp")).view(np.uint64)))
             if not len(held):
                 continue
             key = held & masks[held_choice]
-            new = np.concatenate(([True], (key[1:] != key[:-1]) | (held_choice[1:] != held_choice[:-1])))
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (held_choice[1:] != held_choice[:-1]) | (held_pair[1:] != held_pair[:-1])))
             last = int(np.flatnonzero(new)[-1])
             yield emit(held_choice[:last], held[:last], new[:last])
-            held_choice, held = held_choice[last:], held[last:]
+            held_choice, held_pair, held = held_choice[last:], held_pair[last:], held[last:]
         if len(held):
             yield emit(held_choice, held, np.concatenate(([True], np.zeros(len(held) - 1, bool))))
-
-    mask = F.array(*(F.lit(signed(m)) for m in MASKS))
-    keyed = nodes.select("fp", F.posexplode(mask).alias("choice", "mask"))
-    key = F.col("fp").bitwiseAND(F.col("mask"))
-    dealt = keyed.select("choice", key.alias("key"), "fp").repartition("choice", "key").sortWithinPartitions("choice", "key")
-    return dealt.select("choice", "fp").mapInArrow(tidy(run), "u long, v long").distinct()
+        for counter, n in zip(counts or [], tally, strict=False):
+            counter.add(n)
+
+    mask = F.array(*(F.lit(signed(int(m))) for m in masks))
+    keyed = nodes.select("fp", F.posexplode(mask).alias("choice", "mask")).select("choice", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+    many = checkpointed(crowded(nodes, masks))
+    n_many = many.count()
+    if n_many:
+        blocks = F.ceil(F.col("n") / BLOCK).cast("long")
+        keyed = keyed.join(F.broadcast(many) if n_many <= MOST_BROADCAST else many, ["choice", "key"], "left").withColumn("of", F.coalesce(blocks, F.lit(1)))
+        own, other = F.pmod(F.xxhash64("fp"), F.col("of")), F.col("other")
+        keyed = keyed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
+        keyed = keyed.select("choice", "key", "fp", (F.least(own, other) * F.col("of") + F.greatest(own, other)).alias("blocks"))
+    else:
+        keyed = keyed.withColumn("blocks", F.lit(0).cast("long"))
+    dealt = keyed.repartition("choice", "key", "blocks").sortWithinPartitions("choice", "key", "blocks")
+    return dealt.select("choice", "blocks", "fp").mapInArrow(tidy(run), "u long, v long").distinct()
+
+
+def rooted(prints: DataFrame, least: Column) -> DataFrame:
+    """(fp, n, least, root) of every different fingerprint: its rows, the least of ``least``, and its component."""
+    nodes = checkpointed(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min(least).alias("least")))
+    roots = components(links(nodes.select("fp")), "u", "v")
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -177,13 +259,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows one each, and other columns are not read.
     """
     prints = checkpointed(fingerprinted(docs))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes.select("fp")), "u", "v")
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = checkpointed(rooted)
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = rooted.join(ids, "root").select("fp", "component_id")
-    return prints.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    nodes = checkpointed(rooted(prints, F.col("doc_id")))
+    ids = checkpointed(nodes.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
+    known = checkpointed(join_hot(nodes.select("root", "fp", F.col("n").alias("rows")), ids, "root").select("fp", "component_id", F.col("rows").alias("n")))
+    found = join_hot(prints, known, "fp")
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -196,12 +276,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     names = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     row = F.xxhash64(*(docs[c] for c, kind in names.items() if "map<" not in kind and kind != "variant"))
     prints = checkpointed(fingerprinted(docs, row))
-    nodes = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")).alias("least"))
-    roots = components(links(nodes.select("fp")), "u", "v")
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(F.coalesce("root", "fp").alias("root"), "least")
-    least = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_kept_id"), F.col("least.row").alias("_kept_row"))
+    nodes = rooted(prints, F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row"))
+    least = nodes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_kept_id"), F.col("least.row").alias("_kept_row"))
+    rows = prints.groupBy("doc_id", "row").agg(F.count("*").alias("_kept_n"))
     same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("row") == F.col("_kept_row"))
-    kept = checkpointed(prints.join(least, same).groupBy("_kept_id", "_kept_row").agg(F.count("*").alias("_kept_n")))
+    kept = checkpointed(rows.join(least, same).select("_kept_id", "_kept_row", "_kept_n"))
 
     def rows_of(chosen: DataFrame) -> DataFrame:
         return docs.join(chosen, docs["doc_id"].cast("long").eqNullSafe(chosen["_kept_id"]) & (row == chosen["_kept_row"]), "left_semi")

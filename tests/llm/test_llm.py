@@ -362,7 +362,10 @@ def test_keep_one_decides_by_row(spark):
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted((i or 0, t) for i, t, _ in [rows[0], rows[1], rows[2], rows[4], rows[8]])
 
 
-def test_links_lose_nothing(spark):
+@pytest.mark.parametrize("many,block", [(1 << 24, 4096), (0, 4096), (1 << 24, 8), (0, 8)])
+def test_links_lose_nothing(spark, monkeypatch, many, block):
+    monkeypatch.setattr(simhash, "MANY", many)
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rng = np.random.default_rng(5)
     prints = {}
     for _ in range(12):
@@ -371,7 +374,11 @@ def test_links_lose_nothing(spark):
             base ^= sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 6)), replace=False))
             prints[len(prints)] = base
     nodes = spark.createDataFrame([(simhash.signed(p),) for p in set(prints.values())], "fp long")
-    links = simhash.links(nodes)
+    counts = [spark.sparkContext.accumulator(0) for _ in range(3)]
+    links = simhash.links(nodes.repartition(2), counts)
+    links.count()
+    met, chained, close = (c.value for c in counts)
+    assert met > chained > close > 0
     roots = {r.node & (1 << 64) - 1: r.root for r in components.components(links, "u", "v").collect()}
     want = brute_components(prints)
     groups = {}
@@ -385,7 +392,11 @@ def test_links_lose_nothing(spark):
 @given(st.integers(0, (1 << 64) - 1), st.lists(st.integers(0, 63), max_size=7, unique=True))
 def test_the_chain_never_rejects_a_near_pair(a, bits):
     b = a ^ sum(1 << i for i in bits)
-    assert simhash.near(np.array([a], np.uint64), np.array([b], np.uint64))[0] == (len(bits) <= 4)
+    for length in (5, 7):
+        masks, starts = simhash.chain_keys(length)
+        meet = np.flatnonzero((np.uint64(a ^ b) & masks) == 0)
+        one, other = np.full(len(meet), a, np.uint64), np.full(len(meet), b, np.uint64)
+        assert bool(simhash.near(one, other, starts[meet]).any()) == (len(bits) <= 4)
 
 
 # --- quality, mixing ---------------------------------------------------------------
