@@ -2,17 +2,19 @@
 
 Documents form batches by ranges of doc_id. A batch's suffix array is sparse: it holds the
 suffixes at anchors, the least hashed 20-byte string of each 50-byte window, so that equal windows
-have equal anchors. Neighbouring windows with one anchor are one entry, sorted by the hash of the
-anchor string and then of all bytes that those windows cover. Entries are dealt by anchor to slices;
-in a slice each new batch is merge-scanned against the levels of earlier batches, and levels
-of like size merge, so that there are few of them however many batches came.
-
-An entry that an earlier level holds is a repeat as a whole. Where only its anchor string is
-known, the bytes around the anchor are dealt once more and its windows are held against each
-other one by one. An anchor with very many different entries is crowded: a batch that has many
-of them sends only the anchor, and all batches deal the hashes of its windows instead, so that no
-slice gets more than its share of them. Batches then mark what to remove. All of a batch's answers come back in the
-order of its own array, so an entry costs twelve bytes on the way out and under one back.
+have equal anchors. Neighbouring windows with one anchor are one entry. Entries are in the order
+of their suffixes' bytes, and of the bytes before the anchor, backwards, where suffixes are equal.
+
+First the batches tell each other, by short hashes, which anchors they have: what no other batch
+has is nobody's repeat. The entries of the rest are dealt with all their bytes, by anchor, to
+slices of the index. In a slice each new batch's array is merge-scanned against the levels of
+earlier batches, with the longest common prefix at each place, and levels of like size merge, so
+that there are few of them however many batches came. An entry whose whole bytes a level holds is a
+repeat; where only its anchor is common, its windows are held against each other, byte by byte.
+
+An anchor with very many different entries is crowded: all batches deal the 128-bit hashes of its
+windows, each for itself, so that no slice gets more than its share of them. Answers come back as
+places in the batch, which then cuts them out.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,25 +37,28 @@ WINDOWS = SIDE + 1
 BATCH_BYTES, SLICE_BYTES = 4 << 20, 32 << 20
 #: Cuts between batches that the driver holds; beyond them, equal steps of doc_id split each range further.
 MOST_CUTS = 4096
-#: Different entries of one anchor in a batch, and in a slice, beyond which it is crowded.
+#: Different entries of one anchor in a batch, and of all batches in a slice, beyond which it is crowded.
 MOST_LOCAL, MOST_SHARED = 64, 4096
-#: Entries whose windows are hashed at once.
+#: Entries whose windows are hashed or compared at once.
 AT_ONCE = 4096
 #: Windows whose anchors are found at once.
 CHUNK = 1 << 18
+#: Batches of one range of doc_id: a doc_id with very many rows has several.
+SALTS = 1 << 20
 _POSITION = np.uint64((1 << 21) - 1)
-_BASE = 0x9E3779B97F4A7C15
-_VALUE = np.random.default_rng(23).integers(1, (1 << 64) - 1, 256, np.uint64)
-_ROW = 2 * MATCH - ANCHOR + 2
-_powers: list[np.ndarray] = []
+_BASES = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+_VALUES = np.random.default_rng(23).integers(1, (1 << 64) - 1, (2, 256), np.uint64)
+#: An entry's bytes: from its anchor on, before its anchor backwards, and the numbers of its windows before the anchor and in all.
+_ROW = MATCH + SIDE + 2
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
+def _power(n: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    if lane not in _powers or len(_powers[lane][0]) < n:
         size = max(n, CHUNK + 2 * MATCH)
         make = lambda b: np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size, b, np.uint64))), dtype=np.uint64)
-        _powers[:] = [make(_BASE), make(pow(_BASE, -1, 1 << 64))]
-    return _powers[0], _powers[1]
+        _powers[lane] = make(_BASES[lane]), make(pow(_BASES[lane], -1, 1 << 64))
+    return _powers[lane]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -65,18 +69,17 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Batch:
-    """The entries of a batch and its sparse suffix array: distinct entries by slice, anchor hash and content hash."""
+    """The entries of a batch, in the order of its texts."""
 
     body: np.ndarray
+    offsets: np.ndarray
     anchor: np.ndarray
     low: np.ndarray  # the first and last window of each entry
     high: np.ndarray
-    rank: np.ndarray  # of the entry's document, by doc_id
-    group: np.ndarray  # place of each entry in the array
-    first: np.ndarray  # the entry that stands for each place: one of the least document
-    slice_: np.ndarray  # by place
-    key: np.ndarray  # 48 bits of the anchor's hash, 16 of the content's
-    rest: np.ndarray  # 32 more bits of the content's hash
+    content: np.ndarray  # a hash of all its bytes
+    rank: np.ndarray  # of its document, by doc_id
+    keys: np.ndarray  # slice and short hash of each different anchor, ascending
+    key: np.ndarray  # place of each entry's anchor in keys
 
 
 def _entries(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -91,7 +94,7 @@ def _entries(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
             continue
         part = body[c : c + CHUNK + MATCH]
         power, inverse = _power(len(part))
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_VALUE[part] * power[: len(part)], dtype=np.uint64)))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_VALUES[0][part] * power[: len(part)], dtype=np.uint64)))
         m = len(part) - ANCHOR + 1
         if m < WINDOWS:
             continue
@@ -116,46 +119,64 @@ def _entries(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def suffix_array(texts: pa.Table, slices: int) -> Batch:
-    """Of a batch whose rows are in the order of doc_id."""
+def batch_of(texts: pa.Table, slices: int) -> Batch:
+    """Of rows in the order of doc_id."""
     body, offsets = text_bytes(texts.column("text"))
     anchor, low, high, h, content = _entries(body, offsets)
     ids = np.asarray(texts.column("doc_id"))
     rank = np.cumsum(np.concatenate(([0], ids[1:] != ids[:-1])))[np.searchsorted(offsets, low, "right") - 1] if len(low) else low
-    key = (h & ~np.uint64(0xFFFF)) | (content >> np.uint64(48))
-    rest = content.astype(np.uint32)
-    slice_ = (h % np.uint64(slices)).astype(np.int64)
-    order = np.lexsort((rest, key, slice_))  # stable: the least document stays first
-    key, rest, slice_ = key[order], rest[order], slice_[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (key[1:] != key[:-1]) | (rest[1:] != rest[:-1]) | (slice_[1:] != slice_[:-1])
-    group = np.empty(len(order), np.int64)
-    group[order] = np.cumsum(new) - 1
-    return Batch(body, anchor, low, high, rank, group, order[new], slice_[new], key[new], rest[new])
+    keys, key = np.unique(((h % np.uint64(slices)) << np.uint64(32)) | (h >> np.uint64(32)), return_inverse=True)
+    return Batch(body, offsets, anchor, low, high, content, rank, keys, key)
 
 
 def _order(texts: pa.Table) -> pa.Table:
-    return texts.combine_chunks().sort_by("doc_id")
+    """Rows by doc_id; of one doc_id by text, so that places in a batch mean the same in every task."""
+    return texts.combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
-def _around(batch: Batch, entries: np.ndarray) -> np.ndarray:
-    """A row for each entry: the bytes around its anchor that its windows cover, windows before the anchor, windows."""
-    low, high, a = batch.low[entries, None], batch.high[entries, None], batch.anchor[entries, None]
-    at = a + np.arange(-SIDE, MATCH)
+def _rows(batch: Batch, entries: np.ndarray) -> np.ndarray:
+    """The bytes of entries; bytes that none of an entry's windows covers are 0."""
     out = np.zeros((len(entries), _ROW), np.uint8)
-    out[:, :-2] = np.where((at >= low) & (at < high + MATCH), batch.body[np.clip(at, 0, len(batch.body) - 1)], 0)
-    out[:, -2], out[:, -1] = (a - low)[:, 0], (high - low)[:, 0] + 1
+    for i in range(0, len(entries), AT_ONCE):
+        part = entries[i : i + AT_ONCE]
+        low, high, a = batch.low[part], batch.high[part], batch.anchor[part]
+        right, left = a[:, None] + np.arange(MATCH), a[:, None] - 1 - np.arange(SIDE)
+        row = out[i : i + AT_ONCE]
+        row[:, :MATCH] = np.where(right < high[:, None] + MATCH, batch.body[np.minimum(right, len(batch.body) - 1)], 0)
+        row[:, MATCH:-2] = np.where(left >= low[:, None], batch.body[np.maximum(left, 0)], 0)
+        row[:, -2], row[:, -1] = a - low, high - low + 1
     return out
 
 
-def window_hashes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sortable(rows: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(rows).view(f"S{_ROW}").ravel()
+
+
+def common(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Length of the longest common prefix of each two rows."""
+    differ = one != other
+    out = differ.argmax(axis=1)
+    out[~differ.any(axis=1)] = _ROW
+    return out
+
+
+def _full(rows: np.ndarray) -> np.ndarray:
+    return ((np.uint64(1) << rows[:, -1].astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
+
+
+def _straight(rows: np.ndarray) -> np.ndarray:
+    return np.concatenate((rows[:, MATCH:-2][:, ::-1], rows[:, :MATCH]), axis=1)
+
+
+def window_hashes(rows: np.ndarray, lane: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, row, number in its row) of each window of each row."""
     parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    power, inverse = _power(_ROW)
+    n = MATCH + SIDE
+    power, inverse = _power(n + 1, lane)
     for i in range(0, len(rows), AT_ONCE):
         part = rows[i : i + AT_ONCE]
         # From the anchor out, no byte beyond a row's own windows is ever read.
-        total = np.concatenate((np.zeros((len(part), 1), np.uint64), np.cumsum(_VALUE[part[:, :-2]] * power[: _ROW - 2], axis=1, dtype=np.uint64)), axis=1)
+        total = np.concatenate((np.zeros((len(part), 1), np.uint64), np.cumsum(_VALUES[lane][_straight(part)] * power[:n], axis=1, dtype=np.uint64)), axis=1)
         before, count = part[:, -2].astype(np.int64), part[:, -1].astype(np.int64)
         row = np.repeat(np.arange(len(part)), count)
         nth = spread(count)
@@ -164,13 +185,30 @@ def window_hashes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _later(h: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Which hashes come with a lesser rank too."""
-    out = np.zeros(len(h), bool)
-    if len(h):
-        order = np.lexsort((rank, h))
-        h, rank = h[order], rank[order]
-        new = np.concatenate(([True], h[1:] != h[:-1]))
+def _classes(h: np.ndarray, rows: np.ndarray, row: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    """A number for each window, the same for the same bytes and for no others; the hash is a guide only."""
+    _, first, cls, size = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    text = np.lib.stride_tricks.sliding_window_view(_straight(rows), MATCH, axis=1)
+    start = SIDE - rows[row, -2].astype(np.int64) + nth
+    many = np.flatnonzero(size[cls] > 1)
+    wrong = [np.zeros(0, np.int64)]
+    for i in range(0, len(many), AT_ONCE * 8):
+        at = many[i : i + AT_ONCE * 8]
+        lead = first[cls[at]]
+        wrong.append(cls[at[(text[row[at], start[at]] != text[row[lead], start[lead]]).any(axis=1)]])
+    wrong = np.flatnonzero(np.isin(cls, np.concatenate(wrong)))
+    if len(wrong):  # one hash, several strings
+        cls[wrong] = len(size) + np.unique(np.ascontiguousarray(text[row[wrong], start[wrong]]).view(f"S{MATCH}").ravel(), return_inverse=True)[1]
+    return cls
+
+
+def _later(cls: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which windows come with a lesser rank too."""
+    out = np.zeros(len(cls), bool)
+    if len(cls):
+        order = np.lexsort((rank, cls))
+        cls, rank = cls[order], rank[order]
+        new = np.concatenate(([True], cls[1:] != cls[:-1]))
         out[order] = rank > rank[np.flatnonzero(new)][np.cumsum(new) - 1]
     return out
 
@@ -178,49 +216,52 @@ def _later(h: np.ndarray, rank: np.ndarray) -> np.ndarray:
 def repeated_windows(rows: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """A bit for each window of each row that a row of lesser rank has too; bit 0 is the first window."""
     out = np.zeros(len(rows), np.uint32)
-    h, row, nth = window_hashes(rows)
-    hit = _later(h, rank[row])
-    np.bitwise_or.at(out, row[hit], np.uint32(1) << nth[hit].astype(np.uint32))
+    if len(rows):
+        h, row, nth = window_hashes(rows)
+        hit = _later(_classes(h, rows, row, nth), rank[row])
+        np.bitwise_or.at(out, row[hit], np.uint32(1) << nth[hit].astype(np.uint32))
     return out
 
 
-def crowded_windows(batch: Batch, places: np.ndarray, slices: int) -> tuple[np.ndarray, ...]:
-    """The windows of entries: (hashes by slice, once each, their slices, index of each window's hash, its place, its number)."""
-    parts = [(np.zeros(0, np.uint64), places[:0], np.zeros(0, np.int64))]
-    for i in range(0, len(places), AT_ONCE):
-        h, row, nth = window_hashes(_around(batch, batch.first[places[i : i + AT_ONCE]]))
-        parts.append((h, places[i + row], nth))
-    h, place, nth = (np.concatenate(x) for x in zip(*parts, strict=True))
-    hashes, which = np.unique(h, return_inverse=True)
-    slice_ = (_mix(hashes) % np.uint64(slices)).astype(np.int64)
-    order = np.argsort(slice_, kind="stable")
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    return hashes[order], slice_[order], back[which], place, nth
+def _mixed(rows: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Places, in sorted rows, of the anchors that rows of different ranks have."""
+    if not len(rows):
+        return np.zeros(0, np.int64)
+    begin = np.flatnonzero(np.concatenate(([True], common(rows[1:], rows[:-1]) < ANCHOR)))
+    several = np.minimum.reduceat(rank, begin) != np.maximum.reduceat(rank, begin)
+    return np.flatnonzero(np.repeat(several, np.diff(np.concatenate((begin, [len(rows)])))))
 
 
 class Levels:
     """Sorted arrays of entries that grow geometrically."""
 
     def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def known(self, key: np.ndarray, rest: np.ndarray) -> np.ndarray:
-        found = np.zeros(len(key), bool)
-        for k, r, _ in self.levels:
-            at, open_ = np.searchsorted(k, key), np.flatnonzero(~found)
-            at = at[open_]
-            while len(open_):  # entries with one key stand together; there is rarely more than one
-                live = at < len(k)
-                live[live] = k[at[live]] == key[open_[live]]
-                open_, at = open_[live], at[live]
-                same = r[at] == rest[open_]
-                found[open_[same]] = True
-                open_, at = open_[~same], at[~same] + 1
-        return found
-
-    def add(self, key: np.ndarray, rest: np.ndarray, batch: int) -> None:
-        level = key, rest, np.full(len(key), batch, np.int64)
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    @staticmethod
+    def _heads(rows: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(rows[:, :8]).view(">u8").ravel().astype(np.uint64)
+
+    def scan(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(longest prefix that each row has in common with a level's row, rank of a level's row that equals it)."""
+        best, rank = np.zeros(len(rows), np.int64), np.full(len(rows), np.iinfo(np.int64).max)
+        heads, keys = self._heads(rows), _sortable(rows)
+        for head, level, ranks, _ in self.levels:
+            first, last = np.searchsorted(head, heads), np.searchsorted(head, heads, "right")
+            at = np.flatnonzero((last > first) & (best < _ROW))
+            place = first[at]
+            several = np.flatnonzero(last[at] - place > 1)
+            place[several] = np.searchsorted(_sortable(level), keys[at[several]])
+            for beside in (place, place - 1):  # nothing has more in common with a row than its neighbours
+                near = np.clip(beside, 0, len(level) - 1)
+                own = common(level[near], rows[at])
+                rank[at] = np.where(own == _ROW, ranks[near], rank[at])
+                best[at] = np.maximum(best[at], own)
+        return best, rank
+
+    def add(self, rows: np.ndarray, rank: int, ids: np.ndarray) -> None:
+        """Of a batch whose rows are sorted."""
+        level = self._heads(rows), rows, np.full(len(rows), rank, np.int64), ids
         while self.levels and len(self.levels[-1][0]) < 2 * len(level[0]):
             level = self._merged(self.levels.pop(), level)
         self.levels.append(level)
@@ -228,79 +269,113 @@ class Levels:
     @staticmethod
     def _merged(*levels: tuple) -> tuple:
         parts = [np.concatenate(x) for x in zip(*levels, strict=True)]
-        order = np.lexsort((parts[1], parts[0]))
+        order = np.argsort(_sortable(parts[1]), kind="stable")  # runs in order merge in one pass
         return tuple(x[order] for x in parts)
 
     def all(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return self._merged(*self.levels)
-
+        """(rows, ranks, ids) of all levels as one sorted array."""
+        none = np.zeros(0, np.uint64), np.zeros((0, _ROW), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return self._merged(none, *self.levels)[1:]
 
-NEW, REPEAT, UNSURE, CROWDED = 0, 1, 2, 3
 
+NEW, SHARED, CROWDED = 0, 1, 2
 
-def _anchors(batch: Batch) -> tuple[np.ndarray, np.ndarray]:
-    """(first place, number of places) of each anchor of a batch that has entries."""
-    stem = batch.key >> np.uint64(16)
-    begin = np.flatnonzero(np.concatenate(([True], (stem[1:] != stem[:-1]) | (batch.slice_[1:] != batch.slice_[:-1]))))
-    return begin, np.diff(np.concatenate((begin, [len(stem)])))
 
-
-def _crowd(batch: Batch, most: int) -> np.ndarray:
-    """Which places belong to anchors with more than ``most`` different entries in the batch."""
-    if not len(batch.key):
-        return np.zeros(0, bool)
-    _, size = _anchors(batch)
-    return np.repeat(size > most, size)
-
-
-def _among(some: np.ndarray, all_: np.ndarray) -> np.ndarray:
-    """Which of ``some`` are in ``all_``, which is sorted."""
-    at = np.searchsorted(all_, some)
-    out = at < len(all_)
-    out[out] = all_[at[out]] == some[out]
-    return out
+def _sizes(batch: Batch) -> np.ndarray:
+    """How many different entries each anchor has, up to 255."""
+    order = np.lexsort((batch.content, batch.key))
+    key, content = batch.key[order], batch.content[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
+    return np.minimum(np.bincount(key[new], minlength=len(batch.keys)), 255)
 
 
-def _scan(rows: pa.Table, most: int) -> pa.Table:
-    """One slice of the index: what each batch's entries are to the batches before it, or that their anchor is crowded."""
-    rows = rows.sort_by("batch")
-    batches, blobs = rows.column("batch").to_pylist(), rows.column("entries").to_pylist()
-    crowded = np.unique(np.frombuffer(b"".join(rows.column("crowd").to_pylist()), "<u8"))
-    levels, seen = Levels(), []
-    for batch, blob in zip(batches, blobs, strict=True):
-        n = len(blob) // 12
-        key, rest = np.frombuffer(blob, "<u8", n), np.frombuffer(blob, "<u4", n, 8 * n)
-        known = levels.known(key, rest)
-        seen.append((key, known))
-        if not known.all():
-            levels.add(key[~known], rest[~known], batch)
-    mixed = crowded[:0]
-    if levels.levels:
-        key, _, batch = levels.all()
-        stem = key >> np.uint64(16)
-        begin = np.flatnonzero(np.concatenate(([True], stem[1:] != stem[:-1])))
-        shared = np.minimum.reduceat(batch, begin) != np.maximum.reduceat(batch, begin)
-        many = np.diff(np.concatenate((begin, [len(stem)]))) > most
-        mixed, crowded = stem[begin[shared]], np.union1d(crowded, stem[begin[shared & many]])
-    answers = []
-    for own, known in seen:
-        own = own >> np.uint64(16)
-        answer = np.where(_among(own, crowded), CROWDED, np.where(_among(own, mixed), UNSURE, NEW))
-        answers.append(np.where(known, REPEAT, answer).astype(np.uint8).tobytes())
-    return pa.table([rows.column("batch"), rows.column("slice"), pa.array(answers, pa.binary())], ["batch", "slice", "answer"])
-
-
-def _compare(rows: pa.Table) -> pa.Table:
-    """The windows around anchors of one slice that several batches have, against each other; those of crowded anchors come as hashes, in slices below 0."""
-    blobs = rows.column("around").to_pylist()
-    hashed = rows.column("slice")[0].as_py() < 0
-    around = [np.frombuffer(x, "<u8") if hashed else np.frombuffer(x, np.uint8).reshape(-1, _ROW) for x in blobs]
-    counts = [len(x) for x in around]
-    rank = np.repeat(np.asarray(rows.column("batch"), np.int64), counts)
-    bits = _later(np.concatenate(around), rank).astype(np.uint8) if hashed else repeated_windows(np.concatenate(around), rank).astype("<u4")
+def _meet(rows: pa.Table, local: int, shared: int) -> pa.Table:
+    """One slice: which anchors of each batch other batches have, and which are crowded."""
+    blobs = rows.column("anchors").to_pylist()
+    counts = [len(x) // 5 for x in blobs]
+    key = np.concatenate([np.frombuffer(x, "<u4", n) for x, n in zip(blobs, counts, strict=True)])
+    size = np.concatenate([np.frombuffer(x, np.uint8, n, 4 * n) for x, n in zip(blobs, counts, strict=True)])
+    _, which, batches = np.unique(key, return_inverse=True, return_counts=True)
+    many = (np.bincount(which, size) > shared) | (np.bincount(which, size > local) > 0)
+    answer = np.where(batches < 2, NEW, np.where(many, CROWDED, SHARED)).astype(np.uint8)[which]
     ends = np.cumsum(counts)
-    parts = [bits[e - n : e].tobytes() for e, n in zip(ends, counts, strict=True)]
-    return pa.table([rows.column("batch"), rows.column("slice"), rows.column("answer"), pa.array(parts, pa.binary())], ["batch", "slice", "answer", "bits"])
+    parts = [answer[e - n : e].tobytes() for e, n in zip(ends, counts, strict=True)]
+    return pa.table([rows.column("batch"), rows.column("slice"), pa.array(parts, pa.binary())], ["batch", "slice", "answer"])
+
+
+def _looked(batch: Batch, answer: np.ndarray) -> tuple:
+    """What a batch finds by itself, and what it asks: ((places, bits) of repeats, (rows, places, anchors) of shared entries in suffix order, (rows, places, open windows) of crowded ones)."""
+    state = answer[batch.key]
+    alone = np.bincount(batch.key, minlength=len(batch.keys)) < 2
+    asked = np.flatnonzero((state != NEW) | ~alone[batch.key])
+    rows, rank = _rows(batch, asked), batch.rank[asked]
+    order = np.argsort(_sortable(rows), kind="stable")  # the suffix array; of equal entries the least document is first
+    rows, rank, asked = rows[order], rank[order], asked[order]
+    first = np.flatnonzero(np.concatenate(([True], common(rows[1:], rows[:-1]) < _ROW))) if len(rows) else np.zeros(0, np.int64)
+    group = np.repeat(np.arange(len(first)), np.diff(np.concatenate((first, [len(rows)]))))
+    least = rank[first]
+    bits = np.zeros(len(first), np.uint32)
+    mixed = _mixed(rows[first], least)
+    bits[mixed] = repeated_windows(rows[first[mixed]], least[mixed])
+    full = _full(rows)
+    mark = np.where(rank > least[group], full, bits[group])
+    hit, asks = np.flatnonzero(mark), mark != full
+    ask = lambda kind: np.flatnonzero(asks & (state[asked] == kind))
+    shared, crowd = ask(SHARED), ask(CROWDED)
+    return (batch.low[asked[hit]], mark[hit]), (rows[shared], batch.low[asked[shared]], batch.key[asked[shared]]), (rows[crowd], batch.low[asked[crowd]], ~mark[crowd] & full[crowd])
+
+
+def crowded_windows(rows: np.ndarray, low: np.ndarray, open_: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(128-bit hashes, places, slices) of the windows of rows that ``open_`` has bits for, by slice."""
+    one, row, nth = window_hashes(rows)
+    two = window_hashes(rows, 1)[0]
+    live = np.flatnonzero((open_[row] >> nth.astype(np.uint32)) & np.uint32(1))
+    slice_ = (_mix(one[live]) % np.uint64(slices)).astype(np.int64)
+    live = live[np.argsort(slice_, kind="stable")]
+    return np.stack((one[live], two[live]), axis=1), low[row[live]] + nth[live], np.sort(slice_)
+
+
+def _scan(rows: pa.Table, slices: int) -> pa.Table:
+    """One slice of the index: which windows of each batch the batches before it have.
+
+    In slices below 0 the windows of crowded anchors come as hashes; from ``slices`` on come the
+    repeats that a batch found by itself, on their way back to it.
+    """
+    which = rows.column("slice")[0].as_py()
+    if which >= slices:
+        return rows.select(["batch", "at", "rows"]).rename_columns(["batch", "at", "bits"])
+    rows = rows.sort_by("batch")
+    batches, blobs = rows.column("batch").to_pylist(), rows.column("rows").to_pylist()
+    if which < 0:
+        hashes = [np.frombuffer(x, "<u8").reshape(-1, 2) for x in blobs]
+        h, rank = np.concatenate(hashes), np.repeat(np.array(batches, np.int64) // SALTS, [len(x) for x in hashes])
+        order = np.lexsort((h[:, 1], h[:, 0]))
+        cls = np.empty(len(h), np.int64)
+        cls[order] = np.cumsum(np.concatenate(([True], (h[order[1:]] != h[order[:-1]]).any(axis=1)))) - 1
+        ends = np.cumsum([len(x) for x in hashes])[:-1]
+        marks = np.split(_later(cls, rank).astype(np.uint32), ends)
+    else:
+        levels, marks, seen, n = Levels(), [], [], 0
+        for batch, blob in zip(batches, blobs, strict=True):
+            own, rank = np.frombuffer(blob, np.uint8).reshape(-1, _ROW), batch // SALTS
+            prefix, known = levels.scan(own)
+            repeat = (prefix == _ROW) & (known < rank)
+            new = np.flatnonzero(~repeat)
+            seen.append((new, np.arange(n, n + len(new))))
+            marks.append(np.where(repeat, _full(own), np.uint32(0)))
+            if len(new):
+                levels.add(own[new], rank, seen[-1][1])
+            n += len(new)
+        all_rows, ranks, ids = levels.all()
+        mixed, bits = _mixed(all_rows, ranks), np.zeros(n, np.uint32)
+        bits[ids[mixed]] = repeated_windows(all_rows[mixed], ranks[mixed])
+        for mark, (new, own) in zip(marks, seen, strict=True):
+            mark[new] = bits[own]
+    hits = [np.flatnonzero(m) for m in marks]
+    at = [np.frombuffer(x, "<u4")[hit].tobytes() for x, hit in zip(rows.column("at").to_pylist(), hits, strict=True)]
+    found = [m[hit].astype("<u4").tobytes() for m, hit in zip(marks, hits, strict=True)]
+    return pa.table([rows.column("batch"), pa.array(at, pa.binary()), pa.array(found, pa.binary())], ["batch", "at", "bits"])
 
 
 def _by_slice(slice_: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -311,34 +386,12 @@ def _by_slice(slice_: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield int(slice_[a]), int(a), int(b)
 
 
-def _answers(rows: pa.Table, column: str, kind: str) -> np.ndarray:
-    blobs = rows.sort_by("slice").column(column).to_pylist()
-    return np.frombuffer(b"".join(x or b"" for x in blobs), kind)
-
-
-def _removed(batch: Batch, answer: np.ndarray, bits: np.ndarray, hashed: np.ndarray, slices: int) -> np.ndarray:
+def _starts(hits: pa.Table) -> np.ndarray:
     """First bytes of all repeated windows of a batch, ascending."""
-    if not len(batch.key):
-        return np.zeros(0, np.int64)
-    first, rank = batch.first, batch.rank
-    count = batch.high[first] - batch.low[first] + 1
-    full = (np.uint64(1) << count.astype(np.uint64)) - np.uint64(1)
-    mark = np.where(answer == REPEAT, full, np.uint64(0))
-    mark[answer == UNSURE] |= bits.astype(np.uint64)
-    _, _, which, place, nth = crowded_windows(batch, np.flatnonzero(answer == CROWDED), slices)
-    hit = hashed[which] == 1
-    np.bitwise_or.at(mark, place[hit], np.uint64(1) << nth[hit].astype(np.uint64))
-    # Anchors that several documents of the batch have, among entries that differ.
-    begin, size = _anchors(batch)
-    least, most = np.minimum.reduceat(rank[first], begin), np.maximum.reduceat(rank[first], begin)
-    own = np.flatnonzero(np.repeat(least != most, size))
-    mark[own] |= repeated_windows(_around(batch, first[own]), rank[first[own]]).astype(np.uint64)
-    later = rank > rank[first][batch.group]
-    entry_mark = np.where(later, full[batch.group], mark[batch.group])
-    hit = np.flatnonzero(entry_mark)
-    windows = (entry_mark[hit, None] >> np.arange(WINDOWS, dtype=np.uint64)) & np.uint64(1)
-    row, nth = np.nonzero(windows)
-    return np.sort(batch.low[hit[row]] + nth)
+    at = np.frombuffer(b"".join(hits.column("at").to_pylist()), "<u4").astype(np.int64)
+    bits = np.frombuffer(b"".join(hits.column("bits").to_pylist()), "<u4")
+    row, nth = np.nonzero((bits[:, None] >> np.arange(WINDOWS, dtype=np.uint32)) & np.uint32(1))
+    return np.sort(at[row] + nth)
 
 
 def _spans(starts: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -377,42 +430,40 @@ def _without_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size.bytes or 0) // SLICE_BYTES))
     ranges = min(batches, MOST_CUTS)
     cuts = known.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.25 / ranges) if ranges > 1 else []
-    number = batch_number(known, [size.low, *sorted(set(cuts)), size.high], -(-batches // ranges))
+    number = batch_number(known, [size.low, *cuts, size.high], -(-batches // ranges))
     most_local, most_shared = MOST_LOCAL, MOST_SHARED
     kinds = {f.name: f.dataType for f in plain.schema.fields}
     carried = [f"carry_{c}" for c in carry]
 
     def index(texts: pa.Table) -> pa.Table:
-        batch = suffix_array(_order(texts), slices)
-        crowd = _crowd(batch, most_local)
-        rows = []
-        for s, a, b in _by_slice(batch.slice_):
-            key, rest, own = batch.key[a:b], batch.rest[a:b], crowd[a:b]
-            rows.append((s, key[~own].astype("<u8").tobytes() + rest[~own].astype("<u4").tobytes(), np.unique(key[own] >> np.uint64(16)).astype("<u8").tobytes()))
-        which = texts.column("batch")[0].as_py()
-        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([which] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["slice", "batch", "entries", "crowd"])
+        batch, which = batch_of(_order(texts), slices), texts.column("batch")[0].as_py()
+        sizes, slice_ = _sizes(batch), (batch.keys >> np.uint64(32)).astype(np.int64)
+        rows = [(s, batch.keys[a:b].astype("<u4").tobytes() + sizes[a:b].astype(np.uint8).tobytes()) for s, a, b in _by_slice(slice_)]
+        return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([which] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["slice", "batch", "anchors"])
 
-    def scan(rows: pa.Table) -> pa.Table:
-        return _scan(rows, most_shared)
+    def meet(rows: pa.Table) -> pa.Table:
+        return _meet(rows, most_local, most_shared)
 
     def look(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        batch = suffix_array(_order(texts), slices)
-        answer = np.full(len(batch.key), CROWDED, np.uint8)
-        answer[~_crowd(batch, most_local)] = _answers(answers, "answer", np.uint8)
-        rows = [(s, answer[a:b].tobytes(), _around(batch, batch.first[a:b][answer[a:b] == UNSURE]).tobytes()) for s, a, b in _by_slice(batch.slice_)]
-        hashes, dealt, *_ = crowded_windows(batch, np.flatnonzero(answer == CROWDED), slices)
-        rows += [(s - slices, None, hashes[a:b].astype("<u8").tobytes()) for s, a, b in _by_slice(dealt)]
-        which = texts.column("batch")[0].as_py()
-        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([which] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["slice", "batch", "answer", "around"])
-
-    def cut(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        batch, which = batch_of(_order(texts), slices), texts.column("batch")[0].as_py()
+        answer = np.frombuffer(b"".join(answers.sort_by("slice").column("answer").to_pylist()), np.uint8)
+        (low, mark), (shared, at, anchor), crowd = _looked(batch, answer)
+        rows = [(slices + which, mark.astype("<u4").tobytes(), low.astype("<u4").tobytes())] if len(low) else []
+        dealt = (batch.keys[anchor] >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(dealt, kind="stable")  # within a slice the suffix order stays
+        shared, at = shared[order], at[order]
+        rows += [(s, shared[a:b].tobytes(), at[a:b].astype("<u4").tobytes()) for s, a, b in _by_slice(dealt[order])]
+        hashes, at, dealt = crowded_windows(*crowd, slices)
+        rows += [(s - slices, hashes[a:b].astype("<u8").tobytes(), at[a:b].astype("<u4").tobytes()) for s, a, b in _by_slice(dealt)]
+        return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([which] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["slice", "batch", "rows", "at"])
+
+    def scan(rows: pa.Table) -> pa.Table:
+        return _scan(rows, slices)
+
+    def cut(texts: pa.Table, hits: pa.Table) -> pa.Table:
         texts = _order(texts)
-        batch = suffix_array(texts, slices)
-        hashed = pc.less(answers.column("slice"), 0)
-        whole, crowded = answers.filter(pc.invert(hashed)), answers.filter(hashed)
-        starts = _removed(batch, _answers(whole, "answer", np.uint8), _answers(whole, "bits", "<u4"), _answers(crowded, "bits", np.uint8), slices)
         body, offsets = text_bytes(texts.column("text"))
-        owner, first, last = _spans(starts, offsets)
+        owner, first, last = _spans(_starts(hits), offsets)
         blob, at = body.tobytes(), np.searchsorted(owner, np.arange(len(offsets)))
         kept, spans = [], []
         for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
@@ -424,49 +475,67 @@ def _without_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         return pa.table([*made, *(texts.column(c) for c in carried)], ["doc_id", "n_bytes", "spans", "kept", *carried])
 
     by_batch = number.groupBy("batch")
-    entries = by_batch.applyInArrow(tidy_group(index), "slice int, batch int, entries binary, crowd binary")
-    answers = entries.groupBy("slice").applyInArrow(tidy_group(scan), "batch int, slice int, answer binary")
-    around = by_batch.cogroup(answers.groupBy("batch")).applyInArrow(tidy_group(look), "slice int, batch int, answer binary, around binary")
-    bits = around.groupBy("slice").applyInArrow(tidy_group(_compare), "batch int, slice int, answer binary, bits binary")
+    anchors = by_batch.applyInArrow(tidy_group(index), "slice long, batch long, anchors binary")
+    answers = anchors.groupBy("slice").applyInArrow(tidy_group(meet), "batch long, slice long, answer binary")
+    entries = by_batch.cogroup(answers.groupBy("batch")).applyInArrow(tidy_group(look), "slice long, batch long, rows binary, at binary")
+    hits = entries.groupBy("slice").applyInArrow(tidy_group(scan), "batch long, at binary, bits binary")
     fields = "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary"
-    out = by_batch.cogroup(bits.groupBy("batch")).applyInArrow(tidy_group(cut), ", ".join([fields, *(f"`{c}` {kinds[c].simpleString()}" for c in carried)]))
+    out = by_batch.cogroup(hits.groupBy("batch")).applyInArrow(tidy_group(cut), ", ".join([fields, *(f"`{c}` {kinds[c].simpleString()}" for c in carried)]))
     whole = plain.where(F.col("doc_id").isNull()).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast("array<struct<start: long, stop: long>>").alias("spans"), F.col("text").cast("binary").alias("kept"), *carried)
     return out.unionByName(whole)
 
 
 def batch_number(docs: DataFrame, edges: list[float], steps: int) -> DataFrame:
-    """``docs`` with the number of its range of doc_id between ``edges``, each in ``steps`` equal parts; later ids have no lesser numbers."""
+    """``docs`` with the number of their batch; ``batch // SALTS`` is that of its range of doc_id.
+
+    Ranges lie between ``edges``, each in ``steps`` equal parts; later ids have no lesser numbers.
+    A doc_id that is several edges has a range of its own, which as many batches share by text.
+    """
     if len(edges) == 2 and steps == 1:
-        return docs.withColumn("batch", F.lit(0))
+        return docs.withColumn("batch", F.lit(0).cast("long"))
     from pyspark.ml.feature import Bucketizer
 
-    splits = [-float("inf"), *edges[1:-1], float("inf")]
-    if len(splits) == 2:
+    inner, crowd = edges[1:-1], {}
+    for e in inner:
+        crowd[e] = crowd.get(e, 0) + 1
+    crowd = {e: n for e, n in crowd.items() if n > 1}
+    bounds = sorted({*inner, *(e + 1 for e in crowd)})
+    if not bounds:
         found = docs.withColumn("_batch", F.lit(0))
     else:
+        splits = [-float("inf"), *bounds, float("inf")]
         found = Bucketizer(splits=splits, inputCol="_id", outputCol="_batch").transform(docs.withColumn("_id", F.col("doc_id").cast("double"))).drop("_id")
     number = F.col("_batch").cast("int")
+    salts = F.get(F.array(F.lit(1), *(F.lit(min(crowd.get(e, 1), SALTS)) for e in bounds)), number)
     if steps > 1:
-        bounds = F.array(*(F.lit(float(e)) for e in edges))
-        low, high = F.get(bounds, number), F.get(bounds, number + 1)
+        whole = F.array(*(F.lit(float(e)) for e in [edges[0], *bounds, edges[-1]]))
+        low, high = F.get(whole, number), F.get(whole, number + 1)
         share = (F.col("doc_id").cast("double") - low) / F.greatest(high - low, F.lit(1.0))
-        number = number * steps + F.greatest(F.lit(0), F.least(F.lit(steps - 1), F.floor(share * steps).cast("int")))
-    return found.withColumn("batch", number).drop("_batch")
+        part = F.when(salts > 1, F.lit(0)).otherwise(F.greatest(F.lit(0), F.least(F.lit(steps - 1), F.floor(share * steps).cast("int"))))
+        number = number * steps + part
+        salts = F.when(salts > 1, F.least(salts * steps, F.lit(SALTS))).otherwise(salts)
+    salt = F.pmod(F.xxhash64("text"), salts.cast("long"))
+    return found.withColumn("batch", number.cast("long") * SALTS + salt).drop("_batch")
 
 
 def strip_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` in their columns with repeats removed from text; n_chars, where there is one, follows.
 
-    A character that is cut through goes with the bytes that went.
+    A character that is cut through goes with the bytes that went. A null text stays null, with its
+    n_chars; rows without doc_id stay as they are, repeated rows are treated each for itself, and
+    an empty table gives no rows.
     """
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     @F.pandas_udf("string")
     def whole_characters(kept: pd.Series) -> pd.Series:
         return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
 
-    found = _without_repeats(docs, rest).withColumn("left", whole_characters("kept"))
+    null = "".join(["no_text", *docs.columns])  # a name that no column has
+    found = _without_repeats(docs.withColumn(null, F.col("text").isNull()), (*rest, null)).withColumn("left", whole_characters("kept"))
     kinds = dict(docs.dtypes)
-    new = {"doc_id": F.col("doc_id").cast(kinds["doc_id"]), "text": F.col("left")} | ({"n_chars": F.length("left").cast(kinds["n_chars"])} if "n_chars" in kinds else {})
+    new = {"doc_id": F.col("doc_id").cast(kinds["doc_id"]), "text": F.when(~F.col(f"carry_{null}"), F.col("left"))}
+    if "n_chars" in kinds:
+        new["n_chars"] = F.when(F.col(f"carry_{null}"), F.col("carry_n_chars")).otherwise(F.length("left").cast(kinds["n_chars"]))
     return found.select(*(new.get(c, F.col(f"carry_{c}")).alias(c) for c in docs.columns))
 
 
@@ -474,3 +543,17 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP4_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, doc_id, p, substr(h, 2 * p - 1, {2 * MATCH}) AS s FROM (SELECT *, unnest(range(1, length(h) // 2 - {MATCH - 2})) AS p FROM d)),
+m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+hit AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM w JOIN m USING (s) WHERE doc_id > least),
+g AS (SELECT r, p, sum(CASE WHEN p <= before + {MATCH} THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY p) AS k FROM hit),
+span AS (SELECT r, min(p) AS a, max(p) + {MATCH} AS b FROM g GROUP BY r, k),
+gap AS (SELECT r, a, b, lag(b, 1, 1) OVER (PARTITION BY r ORDER BY a) AS since FROM span),
+cut AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * since - 1, 2 * (a - since)), '' ORDER BY a) AS kept FROM gap JOIN d USING (r) GROUP BY r)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN last IS NULL THEN h ELSE kept || substr(h, 2 * last - 1) END)) AS kept_sha256 FROM d LEFT JOIN cut USING (r)
+"""

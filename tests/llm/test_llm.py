@@ -299,26 +299,59 @@ def test_crowded_anchors_spread():
     rng = np.random.default_rng(1)
     line = "all rights reserved by those who wrote this and may be used by anyone at all"
     texts = ["".join(rng.choice(list("abcdefgh"), 40)) + line + "".join(rng.choice(list("abcdefgh"), 40)) for _ in range(500)]
-    batch = suffix.suffix_array(pa.table({"doc_id": range(500), "text": texts}), 16)
-    crowd = np.flatnonzero(suffix._crowd(batch, 64))
-    at_anchor = np.bincount(batch.slice_[crowd], minlength=16)
-    _, dealt, which, *_ = suffix.crowded_windows(batch, crowd, 16)
+    batch = suffix.batch_of(pa.table({"doc_id": range(500), "text": texts}), 16)
+    crowd = suffix._sizes(batch) > 64
+    _, (shared, _, _), (rows, low, open_) = suffix._looked(batch, np.where(crowd, suffix.CROWDED, suffix.NEW))
+    at_anchor = np.bincount(((batch.keys >> np.uint64(32)).astype(int))[batch.key[crowd[batch.key]]], minlength=16)
+    hashes, at, dealt = suffix.crowded_windows(rows, low, open_, 16)
     by_window = np.bincount(dealt, minlength=16)
-    assert len(crowd) >= 500 and at_anchor.max() > 4 * at_anchor.mean()
-    assert by_window.max() < 1.3 * by_window.mean() and len(which) > len(crowd)
-
-
-def test_levels_stay_few():
-    levels = suffix.Levels()
+    assert len(rows) >= 500 and not len(shared) and at_anchor.max() > 4 * at_anchor.mean()
+    assert by_window.max() < 1.3 * by_window.mean() and len(at) > len(rows) and len(np.unique(hashes, axis=0)) == len(hashes)
+
+
+def test_windows_with_one_hash_are_told_apart(monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = np.zeros((40, suffix._ROW), np.uint8)
+    rows[:, :-2] = rng.integers(97, 99, (40, suffix._ROW - 2))
+    rows[20:] = rows[:20]
+    rows[:, -2], rows[:, -1] = suffix.SIDE, suffix.WINDOWS
+    want = suffix.repeated_windows(rows, np.arange(40))
+    assert (want[20:] == (1 << 31) - 1).all() and not want[:20].any()
+    monkeypatch.setattr(suffix, "_VALUES", np.ones_like(suffix._VALUES))
+    monkeypatch.setattr(suffix, "_power", lambda n, lane=0: (np.ones(n, np.uint64), np.ones(n, np.uint64)))
+    assert (suffix.repeated_windows(rows, np.arange(40)) == want).all()
+
+
+def test_a_crowded_doc_id_has_several_batches(spark):
+    rows = [(5 if i % 3 else i, f"text {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for steps in (1, 3):
+        found = suffix.batch_number(df, [0, 3, 5, 5, 5, 5, 100, 297], steps).collect()
+        assert len({r.batch for r in found if r.doc_id == 5}) == 4 * steps
+        ranges = sorted({(r.doc_id, r.batch // suffix.SALTS) for r in found})
+        assert ranges == sorted(ranges, key=lambda x: x[1]) and len({b for i, b in ranges if i == 5}) == 1
+        assert not {b for i, b in ranges if i == 5} & {b for i, b in ranges if i != 5}
+
+
+def test_levels_stay_few_and_find_the_longest_prefix():
+    rng = np.random.default_rng(4)
+    make = lambda n: np.sort(np.ascontiguousarray(rng.integers(97, 99, (n, suffix._ROW), np.uint8)).view(f"S{suffix._ROW}").ravel()).view(np.uint8).reshape(n, -1)
+    levels, all_rows = suffix.Levels(), []
     for i in range(64):
-        levels.add(np.arange(i * 10, i * 10 + 10, dtype=np.uint64), np.zeros(10, np.uint32), i)
-    assert len(levels.levels) <= 7 and levels.known(np.array([5, 9999], np.uint64), np.zeros(2, np.uint32)).tolist() == [True, False]
+        all_rows.append(make(10))
+        levels.add(all_rows[-1], i, np.arange(10 * i, 10 * i + 10))
+    all_rows = np.concatenate(all_rows)
+    assert len(levels.levels) <= 7 and sorted(levels.all()[2].tolist()) == list(range(640))
+    asked = np.concatenate((make(30), all_rows[200:210]))
+    prefix, rank = levels.scan(asked)
+    want = np.array([max(suffix.common(all_rows, np.repeat(r[None], 640, axis=0))) for r in asked])
+    assert (np.where(want < 8, 0, want) == np.where(prefix < 8, 0, prefix)).all() and rank[30:].tolist() == [20] * 10
 
 
 def test_strip_keeps_columns(docs):
     out = suffix.strip_repeats(docs)
     assert out.columns == docs.columns and out.count() == len(CASES)
-    assert out.where("doc_id = 6").first().text.strip() != ""
+    assert out.where("doc_id = 6").first().text.strip() != "" and out.where("doc_id = 2").first().text is None
 
 
 def brute_fingerprint(text):
