@@ -1,8 +1,9 @@
-"""A small convolutional classifier of id sequences, trained in numpy.
+"""A small convolutional classifier of id sequences, trained in numpy from random weights.
 
 Ids are embedded (the sum of one row of each table), filters of several widths slide over the
 embeddings, each filter's greatest response anywhere in the sequence is kept, and a softmax
-layer reads those. Only the winning positions carry gradients, so a step touches few rows.
+layer reads those. Training may begin with a soft maximum, which shows every position to the
+gradient, and harden it from epoch to epoch; the last epochs, and the net, use the maximum itself.
 """
 
 from __future__ import annotations
@@ -46,68 +47,60 @@ class _Adam:
             value -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-8)
 
 
-def train(sequences: list[np.ndarray], labels: np.ndarray, classes: int, vocabulary: int, *, dim: int, widths: tuple[int, ...], filters: int, epochs: int, batch: int = 64, rate: float = 0.005, row_rate: float = 0.1, seed: int = 7, prior: list[np.ndarray] | None = None) -> ConvNet:
-    """Fit to sequences of ids, (length, tables) each. The same input gives the same net.
+def pool(y: np.ndarray, size: np.ndarray, beta: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """(pooled responses of consecutive sequences, each response's share in its sequence's).
 
-    ``prior``: for each table a value of every id, which begins as the first coordinate of its
-    row; the first filter of each width begins by reading it.
+    Without ``beta`` the maximum; with it log(mean(exp(beta * y))) / beta.
+    """
+    starts, own = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
+    top = np.maximum.reduceat(y, starts)
+    e = (y == top[own]).astype(np.float32) if beta is None else np.exp(beta * (y - top[own]))
+    total = np.add.reduceat(e, starts)
+    pooled = top if beta is None else top + np.log(total / size[:, None].astype(np.float32)) / np.float32(beta)
+    return pooled, e / total[own]
+
+
+def train(sequences: list[np.ndarray], labels: np.ndarray, classes: int, vocabulary: int, *, dim: int, widths: tuple[int, ...], filters: int, betas: list[float | None], batch: int = 64, rate: float = 0.01, row_rate: float = 0.1, scale: float = 0.3, seed: int = 7) -> ConvNet:
+    """Fit to sequences of ids, (length, tables) each; id ``vocabulary`` is padding. The same input gives the same net.
+
+    ``betas``: the softness of the maximum in each pass over the sequences, None for the maximum
+    itself. ``scale``: of the embeddings at the start; ids that are never seen keep theirs.
     """
     rng = np.random.default_rng(seed)
     n_tables = sequences[0].shape[1]
-    tables = [np.concatenate((rng.normal(0, 0.3, (vocabulary, dim)), np.zeros((1, dim)))).astype(np.float32) for _ in range(n_tables)]
+    tables = [np.concatenate((rng.normal(0, scale, (vocabulary, dim)), np.zeros((1, dim)))).astype(np.float32) for _ in range(n_tables)]
     weights = {w: rng.normal(0, (w * dim) ** -0.5, (w, dim, filters)).astype(np.float32) for w in widths}
-    net = ConvNet(tables, weights, np.zeros(filters * len(widths), np.float32), rng.normal(0, 0.2, (filters * len(widths), classes)).astype(np.float32), np.zeros(classes, np.float32))
-    if prior is not None:
-        for t, p in zip(tables, prior, strict=True):
-            t *= 0.1
-            t[:-1, 0] = p
-        for k, w in enumerate(weights.values()):
-            w[:, :, 0] *= 0.1
-            w[0, 0, 0] = 1
-            net.out[k * filters] = np.linspace(-1, 1, classes)
-            net.bias[k * filters] = -0.5 * sum(float(p.max()) for p in prior)  # open to what both tables call likely
-        net.shift += np.log(np.bincount(labels, minlength=classes) + 1.0).astype(np.float32)
+    net = ConvNet(tables, weights, np.zeros(filters * len(widths), np.float32), rng.normal(0, 0.5, (filters * len(widths), classes)).astype(np.float32), np.zeros(classes, np.float32))
     most, adam = net.most, _Adam(rate)
-    squares = [np.full(len(t), 1e-3, np.float32) for t in tables]
+    squares = [np.full(len(t), 1e-12, np.float32) for t in tables]
     pad = np.full((most, n_tables), vocabulary, np.int64)
-    for _ in range(epochs):
+    for beta in betas:
         order = rng.permutation(len(sequences))
-        for at in range(0, len(order) - batch // 2, batch):
+        for at in range(0, max(1, len(order) - batch // 2), batch):
             chosen = order[at : at + batch]
             ids = np.concatenate([x for i in chosen for x in (sequences[i], pad)])
             size = np.array([max(1, len(sequences[i])) for i in chosen])
-            begin = np.concatenate(([0], np.cumsum([len(sequences[i]) + most for i in chosen])))[:-1]
+            begin = np.cumsum([0, *(len(sequences[i]) + most for i in chosen)])[:-1]
+            owner = np.repeat(np.arange(len(chosen)), size)
+            live = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
             x = sum(t[ids[:, j]] for j, t in enumerate(net.tables))
-            n = len(x) - most + 1
-            pooled, where = [], []
-            for w in widths:
-                y = sum(x[j : n + j] @ net.filters[w][j] for j in range(w))
-                top = np.stack([b + y[b : b + s].argmax(axis=0) for b, s in zip(begin, size, strict=True)])
-                where.append(top)
-                pooled.append(np.take_along_axis(y, top, axis=0))
-            features = np.maximum(np.concatenate(pooled, axis=1) + net.bias, 0)
+            parts = [pool(sum(x[live + j] @ net.filters[w][j] for j in range(w)), size, beta) for w in widths]
+            features = np.maximum(np.concatenate([p for p, _ in parts], axis=1) + net.bias, 0)
             p = softmax(features @ net.out + net.shift)
             p[np.arange(len(chosen)), labels[chosen]] -= 1
             p /= len(chosen)
             d_features = (p @ net.out.T) * (features > 0)
             steps = [(net.out, features.T @ p), (net.shift, p.sum(axis=0)), (net.bias, d_features.sum(axis=0))]
-            row_at, row_grad = [], []
+            d_x = np.zeros_like(x)
             for k, w in enumerate(widths):
-                d = d_features[:, k * filters : (k + 1) * filters]
-                grad = np.empty_like(net.filters[w])
+                g = d_features[owner, k * filters : (k + 1) * filters] * parts[k][1]
+                steps.append((net.filters[w], np.stack([x[live + j].T @ g for j in range(w)])))
                 for j in range(w):
-                    seen = x[where[k] + j]
-                    grad[j] = np.einsum("bf,bfd->df", d, seen)
-                    row_at.append((where[k] + j).ravel())
-                    row_grad.append((d[:, :, None] * net.filters[w][j].T[None]).reshape(-1, dim))
-                steps.append((net.filters[w], grad))
+                    d_x[live + j] += g @ net.filters[w][j].T
             adam.step(steps)
-            rows, grads = ids[np.concatenate(row_at)], np.concatenate(row_grad)
-            live = np.abs(grads).max(axis=1) > 0
             for j, t in enumerate(net.tables):
-                own, inverse = np.unique(rows[live, j], return_inverse=True)
-                total = np.zeros((len(own), dim), np.float32)
-                np.add.at(total, inverse, grads[live])
+                own, inverse = np.unique(ids[:, j], return_inverse=True)
+                total = np.stack([np.bincount(inverse, d_x[:, c], len(own)) for c in range(dim)], axis=1).astype(np.float32)
                 total[own == vocabulary] = 0
                 squares[j][own] += (total**2).mean(axis=1)
                 t[own] -= row_rate * total / np.sqrt(squares[j][own])[:, None]

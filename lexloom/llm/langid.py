@@ -13,15 +13,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import bounded_batches, spread, table, text_bytes
 from lexloom.llm.convnet import ConvNet, softmax, train
 from lexloom.llm.toxicity import held_out
 
-#: Labelled rows of each language that a fit reads at most, the most windows of one text in it, and the most languages.
-SAMPLE_ROWS, SAMPLE_WINDOWS, MOST_LANGUAGES = 400, 3, 256
+#: Labelled rows of each language that a fit reads at most, and the windows of one text in it.
+SAMPLE_ROWS, SAMPLE_WINDOWS = 400, 3
+#: Rows of all languages together; very many languages have fewer rows each, but LEAST_ROWS.
+MOST_ROWS, LEAST_ROWS = 40_000, 20
 WINDOW, DIM, WIDTHS, FILTERS, EPOCHS, LEAST_STEPS, BATCH = 256, 8, (2, 3, 4), 8, 6, 300, 32
 #: Windows scored at once.
 SLICE = 48
@@ -93,39 +95,37 @@ def _has_letter(text: str | None) -> bool:
 
 
 def labelled_sample(docs: DataFrame, rows: int) -> pa.Table:
-    """(text, lang) of at most ``rows`` documents of each language, by a hash of doc_id, none of the held-out fold.
+    """(lang, windows) of at most ``rows`` documents of each language, by a hash of doc_id, none of the held-out fold.
 
-    The most frequent MOST_LANGUAGES languages are learned, ties by name.
+    Every language counts. The windows are SAMPLE_WINDOWS pieces of WINDOW characters from
+    hashed places of the whole text; of several rows with one doc_id and lang one text stands for all.
     """
     known = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    names = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
     keys = known.select("doc_id", "lang")
-    parts = [keys.where(F.col("lang") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for name in names]
-    if not parts:
-        return known.select("doc_id", "lang", "text").toArrow()
-    chosen = parts[0]
-    for p in parts[1:]:
-        chosen = chosen.unionByName(p)  # rows * MOST_LANGUAGES at most
-    # The first bytes of a training text do for its windows; predictions read texts whole.
-    return known.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", F.substring("text", 1, WINDOW * SAMPLE_WINDOWS * 4).alias("text")).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    n_languages = keys.agg(F.count_distinct("lang")).first()[0]
+    rows = max(min(rows, LEAST_ROWS), min(rows, MOST_ROWS // max(1, n_languages)))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = keys.withColumn("nth", nth).where(F.col("nth") <= rows).select("doc_id", "lang").distinct()  # each task passes on no more than that
+    places = F.greatest(F.lit(1), F.ceil(F.length("text") / WINDOW))
+    windows = F.array(*(F.substr("text", (F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(k)), places) * WINDOW + 1).cast("int"), F.lit(WINDOW)) for k in range(SAMPLE_WINDOWS)))
+    cut = known.select("doc_id", "lang", F.struct(F.xxhash64("text").alias("h"), F.array_distinct(windows).alias("windows")).alias("row"))
+    one = cut.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("row").alias("row"))
+    return one.select("doc_id", "lang", "row.windows").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Train on windows of the sample. Without labelled texts there is no net, and nothing is predicted."""
     sample = labelled_sample(docs, rows)
     languages = sorted(set(sample.column("lang").to_pylist()))
-    body, offsets = text_bytes(sample.column("text"))
-    owner, start, length = windows(offsets)
-    if len(languages) < 2 or not len(owner):
+    windows = sample.column("windows").combine_chunks()
+    y = np.repeat(np.searchsorted(languages, sample.column("lang").to_pylist()), np.diff(np.asarray(windows.offsets))) if len(sample) else np.zeros(0, np.int64)
+    body, offsets = text_bytes(windows.flatten())
+    sequences = [_CLASS[body[a : min(b, a + WINDOW)]][:, None] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    full = [i for i, s in enumerate(sequences) if len(s)]
+    if len(languages) < 2 or not full:
         return LanguageModel(None, languages)
-    nth = spread(np.bincount(owner, minlength=len(offsets) - 1))
-    # Windows of a text are taken evenly from what the sample holds of it.
-    count = np.bincount(owner, minlength=len(offsets) - 1)[owner]
-    chosen = np.flatnonzero((nth * SAMPLE_WINDOWS) // np.maximum(count, SAMPLE_WINDOWS) != ((nth - 1) * SAMPLE_WINDOWS) // np.maximum(count, SAMPLE_WINDOWS))
-    y = np.searchsorted(languages, sample.column("lang").to_pylist())[owner[chosen]]
-    sequences = [_CLASS[body[s : s + n]][:, None] for s, n in zip(start[chosen], length[chosen], strict=True)]
-    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(sequences)))
-    return LanguageModel(train(sequences, y, len(languages), CLASSES, dim=DIM, widths=WIDTHS, filters=FILTERS, epochs=epochs, batch=BATCH, rate=0.01, row_rate=0.05), languages)
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(full)))
+    return LanguageModel(train([sequences[i] for i in full], y[full], len(languages), CLASSES, dim=DIM, widths=WIDTHS, filters=FILTERS, betas=[None] * epochs, batch=BATCH, row_rate=0.05), languages)
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -1,8 +1,9 @@
 """Toxicity by a convolutional text classifier over hashed word embeddings.
 
 A word is the sum of two hashed rows, so words rarely share both. Texts are scored whole:
-the greatest response of each filter over all words of a text. Training uses a bounded sample
-of labelled rows on the driver; thresholds by language are set on labelled rows kept aside.
+the greatest response of each filter over all words of a text. Training starts from random
+weights and uses a bounded sample of labelled rows on the driver; the scale of the scores and the
+thresholds by language are set on two parts of it that are kept aside.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from lexloom.llm.convnet import ConvNet, train
 #: Labelled rows that a fit reads at most, of each class; and the longest text among them.
 SAMPLE_ROWS, SAMPLE_CHARS = 2500, 60_000
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 18, 8, (1, 2, 3), 6
-#: Passes over the sample, and the fewest steps that they make together.
-EPOCHS, LEAST_STEPS, BATCH = 3, 240, 64
-#: Texts with a word that halve the trust in its log-odds.
-SUPPORT = 8
+#: How soft the maximum is in the passes over the sample, the fewest steps that they make together, and rows of a step.
+BETAS, LEAST_STEPS, BATCH = (1.0, 2.0, 4.0, 8.0, None, None), 240, 64
+#: Texts of the sample that must have a bucket; rarer ones are not learned and say nothing.
+SUPPORT = 3
 #: Words scored and bytes hashed at once.
 SLICE, HASHED = 1 << 17, 1 << 20
 #: What `predicted` asks of a score.
@@ -107,7 +108,7 @@ class ToxicityModel:
         empty = n == 0
         if empty.any():
             pooled[empty] = self._pool(self._embed(np.full((most + 1, 2), BUCKETS)), np.array([0]), 1)
-        z = self.net.logits(pooled)
+        z = self.net.logits(pooled).astype(np.float64)
         return 1 / (1 + np.exp(-np.clip(self.slope * (z[:, 1] - z[:, 0]) + self.intercept, -30, 30)))
 
     def _embed(self, ids: np.ndarray) -> np.ndarray:
@@ -129,12 +130,19 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> pa.Table:
-    """At most ``rows`` labelled texts of each class, chosen by a hash of doc_id, none of the held-out fold."""
+    """At most ``rows`` labelled texts of each class, chosen by a hash of doc_id, none of the held-out fold.
+
+    A doc_id with several labels is toxic if one of them says so; of several rows one text stands
+    for a doc_id.
+    """
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     parts = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for c in (0, 1)]
     chosen = parts[0].unionByName(parts[1])  # 2 * rows at most
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where(F.length("text") <= SAMPLE_CHARS)
-    return texts.join(F.broadcast(chosen), "doc_id").toArrow().sort_by("doc_id")
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
+    texts = docs.select(F.col("doc_id").cast("long"), F.struct(F.col("text").cast("string").alias("text"), lang.cast("string").alias("lang")).alias("row")).where(F.coalesce(F.length("row.text"), F.lit(0)) <= SAMPLE_CHARS)
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("row", F.xxhash64("row.text")).alias("row"))
+    return one.select("doc_id", "row.text", "row.lang", "toxic").toArrow().sort_by("doc_id")
 
 
 def toxic_share(labels: DataFrame) -> float:
@@ -144,45 +152,52 @@ def toxic_share(labels: DataFrame) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> ToxicityModel:
-    """Train on four fifths of the sample; set scale and thresholds on the rest.
+    """Train on four fifths of the sample; set the scale on half of the rest and thresholds on the other half.
 
-    Without rows of both classes there is no net, and every score is 0.
+    Both count the classes as often as all labels have them, not as the sample does. Without rows
+    of both classes there is no net, and every score is 0.
     """
     sample = labelled_sample(docs, labels, rows)
     y = np.asarray(sample.column("toxic"), np.int64)
     if len(y) < 20 or len(set(y.tolist())) < 2:
         return ToxicityModel(None)
-    ids, at = word_ids(*text_bytes(sample.column("text")))
-    sequences = [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-    aside = np.arange(len(y)) % 5 == 4
-    seen, truth = [sequences[i] for i in np.flatnonzero(~aside)], y[~aside]
-    net = train(seen, truth, 2, BUCKETS, dim=DIM, widths=WIDTHS, filters=FILTERS, epochs=max(EPOCHS, -(-LEAST_STEPS * BATCH // len(seen))), batch=BATCH, row_rate=0.02, prior=_log_odds(seen, truth))
+    part = np.empty(len(y), np.int64)
+    for c in (0, 1):  # the same shares of both classes
+        part[y == c] = np.arange((y == c).sum()) % 10
+    net = train_net(sample.filter(pa.array(part < 8)).column("text"), y[part < 8])
     model = ToxicityModel(net)
-    rest = sample.filter(pa.array(aside))
-    margin = np.log(np.clip(s := model.scores(rest.column("text")), 1e-9, 1)) - np.log(np.clip(1 - s, 1e-9, 1))
-    model.slope, model.intercept = _platt(margin, y[aside])
-    share = min(max(toxic_share(labels), 1e-4), 1 - 1e-4)  # the sample has its own share of each class
+    share = min(max(toxic_share(labels), 1e-4), 1 - 1e-4)
+    own = sample.filter(pa.array(part == 8))
+    s = np.clip(model.scores(own.column("text")), 1e-9, 1 - 1e-9)
+    if len(set(y[part == 8].tolist())) == 2:
+        model.slope, model.intercept = _platt(np.log(s / (1 - s)), y[part == 8])
     model.intercept += float(np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean())))
-    score, lang = model.scores(rest.column("text")), np.array(rest.column("lang").to_pylist(), object)
-    model.threshold = _best(score, y[aside])
+    last = sample.filter(pa.array(part == 9))
+    truth, score, lang = y[part == 9], model.scores(last.column("text")), np.array(last.column("lang").to_pylist(), object)
+    weight = np.where(truth == 1, share / max(1, (truth == 1).sum()), (1 - share) / max(1, (truth == 0).sum()))
+    model.threshold = _best(score, truth, weight)
     for name in sorted({x for x in lang if x is not None}):
-        own = lang == name
-        if min(y[aside][own].sum(), (1 - y[aside][own]).sum()) >= 5:
-            model.thresholds[name] = _best(score[own], y[aside][own])
+        of = lang == name
+        if min((truth[of] == 1).sum(), (truth[of] == 0).sum()) >= 5:
+            model.thresholds[name] = _best(score[of], truth[of], weight[of])
     return model
 
 
-def _log_odds(sequences: list[np.ndarray], y: np.ndarray) -> list[np.ndarray]:
-    """How much likelier a bucket is in texts of class 1, shrunk where few texts have it; by table."""
-    out = []
-    for j in range(2):
-        counts = np.zeros((2, BUCKETS))
-        for s, c in zip(sequences, y, strict=True):
-            counts[c, np.unique(s[:, j])] += 1
-        rate = (counts + 0.5) / (np.array([[(y == 0).sum()], [(y == 1).sum()]]) + 1)
-        support = counts.sum(axis=0)
-        out.append((np.log(rate[1] / rate[0]) * support / (support + SUPPORT)).astype(np.float32))
-    return out
+def train_net(texts: pa.Array, y: np.ndarray) -> ConvNet:
+    """The net of labelled texts, from random weights; buckets of too few texts are padding while it learns, and 0 after."""
+    ids, at = word_ids(*text_bytes(texts))
+    owner = np.repeat(np.arange(len(y)), np.diff(at))
+    rare = []
+    for j in range(ids.shape[1]):
+        pairs = np.unique(ids[:, j].astype(np.int64) * len(y) + owner)
+        rare.append(np.bincount(pairs // len(y), minlength=BUCKETS) < SUPPORT)
+        ids[rare[j][ids[:, j]], j] = BUCKETS
+    again = max(1, -(-LEAST_STEPS * BATCH // (len(BETAS) * len(y))))
+    betas = [b for b in BETAS for _ in range(again)]
+    net = train([ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], y, 2, BUCKETS, dim=DIM, widths=WIDTHS, filters=FILTERS, betas=betas, batch=BATCH, scale=0.01)
+    for t, none in zip(net.tables, rare, strict=True):
+        t[:-1][none] = 0
+    return net
 
 
 def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -198,10 +213,10 @@ def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, b
 
 
-def _best(score: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the thresholds with the best F1."""
+def _best(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """The middle of the thresholds with the best weighted F1."""
     grid = np.linspace(0.05, 0.95, 19)
-    f1 = np.array([2 * ((score >= t) & (y == 1)).sum() / max(1, (score >= t).sum() + y.sum()) for t in grid])
+    f1 = np.array([2 * weight[(score >= t) & (y == 1)].sum() / max(1e-12, weight[score >= t].sum() + weight[y == 1].sum()) for t in grid])
     return float(np.median(grid[f1 == f1.max()]))
 
 
@@ -209,7 +224,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, held_out, score, predicted (score >= 0.3) and flagged (by the language's threshold).
 
     Null and empty texts get the score of an empty text. Repeated rows are scored each for
-    itself, and an empty table gives no rows.
+    itself, and an empty table gives no rows. Without a column ``lang`` one threshold holds for all.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, fixed by BUCKETS and DIM
@@ -220,7 +235,8 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                 found = shared.value.scores(batch.column("text"))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), batch.column("lang"), pa.array(found, pa.float64())], ["doc_id", "held_out", "lang", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("lang").cast("string"), F.col("text").cast("string"))
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
+    rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), lang.cast("string").alias("lang"), F.col("text").cast("string"))
     scored = rows.mapInArrow(run, "doc_id long, held_out boolean, lang string, score double")
     least = F.lit(model.threshold)
     if model.thresholds:

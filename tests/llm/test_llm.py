@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexloom.llm import binary, chat, components, flac, langid, mixing, packing, quality, registry, simhash, suffix, tokens, toxicity
+from lexloom.llm import binary, chat, components, convnet, flac, langid, mixing, packing, quality, registry, simhash, suffix, tokens, toxicity
 from lexloom.llm.common import text_bytes
 
 DIR = "/root/testdata/sf0.001"
@@ -211,6 +211,41 @@ def test_toxicity(spark, docs, none):
     assert {r.score for r in toxicity.score(docs, blank).collect()} == {0.0}
 
 
+def test_toxicity_forward_pass(spark, sample):
+    """Scores against the net's definition, word by word."""
+    model = toxicity.fit(sample, spark.read.parquet(f"{DIR}/labels.parquet"))
+    texts = [r.text for r in sample.limit(20).collect()] + ["", None, "one"]
+    for text, got in zip(texts, model.scores(pa.array(texts)), strict=True):
+        ids, _ = toxicity.word_ids(*text_bytes(pa.array([text], pa.string())))
+        x = np.concatenate((model.net.tables[0][ids[:, 0]] + model.net.tables[1][ids[:, 1]], np.zeros((4, toxicity.DIM), np.float32)))
+        n = max(1, len(ids))
+        pooled = np.concatenate([np.max([sum(x[i + j] @ f[j] for j in range(w)) for i in range(n)], axis=0) for w, f in model.net.filters.items()])
+        z = np.maximum(pooled + model.net.bias, 0) @ model.net.out + model.net.shift
+        assert got == pytest.approx(1 / (1 + np.exp(-(model.slope * (z[1] - z[0]) + model.intercept))), abs=1e-5)
+
+
+def test_gradients_of_the_soft_maximum():
+    rng = np.random.default_rng(0)
+    y, size = rng.normal(size=(9, 2)), np.array([4, 5])
+    for beta in (0.5, 3.0, None):
+        pooled, share = convnet.pool(y, size, beta)
+        for i in range(9):
+            moved = y.copy()
+            moved[i] += 1e-6
+            step = (convnet.pool(moved, size, beta)[0] - pooled)[int(i >= 4)] / 1e-6
+            assert np.allclose(step, share[i], atol=1e-3)
+
+
+@pytest.mark.parametrize("rows", [1, 25])
+def test_samples_are_bounded_under_repeats(spark, monkeypatch, rows):
+    same = spark.range(600).selectExpr("if(id % 2 = 0, 4, 8) AS doc_id", "concat('text ', id) AS text", "if(id % 2 = 0, 'en', 'fr') AS lang", "int(id % 2) AS toxic")
+    assert toxicity.labelled_sample(same, same, rows).num_rows == 2
+    assert langid.labelled_sample(same, rows).num_rows == 2
+    many = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "concat('l', id % 300) AS lang")
+    found = langid.labelled_sample(many, rows)
+    assert len(set(found.column("lang").to_pylist())) == 300 and found.num_rows <= 300 * rows
+
+
 def test_toxicity_slices_agree(spark, sample, monkeypatch):
     model = toxicity.fit(sample, spark.read.parquet(f"{DIR}/labels.parquet"))
     texts = sample.limit(60).toArrow().column("text").combine_chunks()
