@@ -24,6 +24,8 @@ from lexloom.llm.toxicity import held_out
 SAMPLE_ROWS, SAMPLE_WINDOWS = 400, 3
 #: Rows of all languages together; very many languages have fewer rows each, but LEAST_ROWS.
 MOST_ROWS, LEAST_ROWS = 40_000, 20
+#: Numbers of rows by language that go to all tasks; those of more languages join.
+MOST_BROADCAST = 100_000
 WINDOW, DIM, WIDTHS, FILTERS, EPOCHS, LEAST_STEPS, BATCH = 256, 8, (2, 3, 4), 8, 6, 300, 32
 #: Windows scored at once.
 SLICE = 48
@@ -102,10 +104,14 @@ def labelled_sample(docs: DataFrame, rows: int) -> pa.Table:
     """
     known = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     keys = known.select("doc_id", "lang")
-    n_languages = keys.agg(F.count_distinct("lang")).first()[0]
+    sizes = keys.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"))
+    n_languages = sizes.count()
     rows = max(min(rows, LEAST_ROWS), min(rows, MOST_ROWS // max(1, n_languages)))
+    # A hash leaves some four times too many and forty more, so that no language is one task's, and their least hashes stay.
+    near = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) <= F.lit(float((4 * rows + 40) << 32)) / F.col("n")
+    some = keys.join(F.broadcast(sizes) if n_languages <= MOST_BROADCAST else sizes, "lang").where(F.coalesce(near, F.lit(True))).select("doc_id", "lang").distinct()
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = keys.withColumn("nth", nth).where(F.col("nth") <= rows).select("doc_id", "lang").distinct()  # each task passes on no more than that
+    chosen = some.withColumn("nth", nth).where(F.col("nth") <= rows).select("doc_id", "lang")
     places = F.greatest(F.lit(1), F.ceil(F.length("text") / WINDOW))
     windows = F.array(*(F.substr("text", (F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(k)), places) * WINDOW + 1).cast("int"), F.lit(WINDOW)) for k in range(SAMPLE_WINDOWS)))
     cut = known.select("doc_id", "lang", F.struct(F.xxhash64("text").alias("h"), F.array_distinct(windows).alias("windows")).alias("row"))
