@@ -495,6 +495,17 @@ def test_quality(docs, none, sample):
     assert quality.keep_good(sample).columns == sample.columns
 
 
+@pytest.mark.parametrize("places", [20, 3, 60])
+def test_repeated_words_whatever_the_hash(spark, monkeypatch, places):
+    """With few bits for places or for the hash the windows themselves decide."""
+    monkeypatch.setattr(quality, "PLACES", places)
+    rng = np.random.default_rng(places)
+    texts = [" ".join(rng.choice(list("abcdef"), int(n))) for n in rng.integers(0, 40, 60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n for r in df.select("doc_id", quality.repeated_words(F.array_remove(F.split("text", " "), "")).alias("n")).collect()}
+    assert got == {i: brute_quality(t)[4] for i, t in enumerate(texts)}
+
+
 @pytest.mark.parametrize("most", [100_000, 0])
 def test_quality_knows_every_language(spark, sample, monkeypatch, most):
     monkeypatch.setattr(quality, "MOST_BROADCAST", most)
