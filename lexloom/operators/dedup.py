@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,17 +18,24 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def least_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """As ``first_by`` for an ascending order with nulls first, by partial minima: a group may be any share of the rows."""
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    return best.select(*(F.col(c) if c in keys else F.col(f"_row.`{c}`").alias(c) for c in df.columns))
+
+
 def most_cited(hits: DataFrame, doi: str = "doi", cited: str = "cited_by", seq: str = "seq") -> DataFrame:
     """The most cited row of each DOI, earlier ones first at ties; rows without DOI all stay."""
     n = F.coalesce(F.col(cited).cast("string").try_cast("long"), F.lit(0))
     has = F.coalesce(F.trim(doi), F.lit("")) != ""
-    return first_by(hits.where(has), [doi], [n.desc(), F.col(seq)]).unionByName(hits.where(~has))
+    return least_by(hits.where(has), [doi], [-n, F.col(seq)]).unionByName(hits.where(~has))
 
 
 def first_doi(rows: DataFrame, doi: str = "doi", seq: str = "seq") -> DataFrame:
     """The first row of each DOI in lower case; rows without one go."""
     keyed = rows.withColumn("_doi", ids.doi(doi, "corpus")).where(F.col("_doi") != "")
-    return first_by(keyed, ["_doi"], [F.col(seq)]).drop("_doi")
+    return least_by(keyed, ["_doi"], [F.col(seq)]).drop("_doi")
 
 
 def doi_report(rows: DataFrame, doi: str = "doi") -> DataFrame:
@@ -80,12 +88,12 @@ def decide(papers: DataFrame, across: bool = False) -> DataFrame:
     return intra.unionByName(cross)
 
 
-def title_groups(papers: DataFrame, title: str = "title", doi: str = "doi", category: str = "category", id_col: str = "paper_id") -> DataFrame:
-    """(category, norm_title, n, paper_ids): one title at least twice in a category, unless with two different DOIs.
+def title_groups(papers: DataFrame, title: str = "title", doi: str = "doi", category: str = "category") -> DataFrame:
+    """(category, norm_title, n): one title at least twice in a category, unless with two different DOIs.
 
     Titles under ten characters, normalised, are left out.
     """
-    keyed = papers.select(category, F.col(id_col).alias("id"), title_key(title).alias("norm_title"), F.nullif(ids.doi(doi, "corpus"), F.lit("")).alias("d")).where(F.length("norm_title") >= LEAST_TITLE)
+    keyed = papers.select(category, title_key(title).alias("norm_title"), F.nullif(ids.doi(doi, "corpus"), F.lit("")).alias("d")).where(F.length("norm_title") >= LEAST_TITLE)
     groups = keyed.groupBy(category, "norm_title").agg(F.count("*").alias("n"), F.count_distinct("d").alias("n_dois"))
     found = groups.where("n >= 2 and n_dois < 2").select(category, "norm_title", "n")
     return found
@@ -130,11 +138,16 @@ def screen_batch(batch: DataFrame, corpus: DataFrame) -> DataFrame:
     keyed = batch.withColumn("_doi", ids.doi("doi", "corpus"))
     known_doi = corpus.select(ids.doi("doi", "corpus").alias("_doi")).where(F.col("_doi") != "").distinct().withColumn("_in_corpus", F.lit(True))
     known_hash = corpus.select("sha256").where(F.col("sha256").isNotNull()).distinct().withColumn("_same_content", F.lit(True))
-    seen = keyed.join(known_doi, "_doi", "left").join(known_hash, "sha256", "left")
-    free = F.col("_in_corpus").isNull() & F.col("_same_content").isNull()
-    nth = F.row_number().over(Window.partitionBy("_doi", free).orderBy("name"))
-    outcome = F.when(F.col("_in_corpus"), "duplicate_doi").when(F.col("_same_content"), "duplicate_hash").when(F.col("_doi") == "", "kept_no_doi").when(F.col("_nth") > 1, "duplicate_batch").otherwise("kept")
-    return seen.withColumn("_nth", nth).withColumn("outcome", outcome).drop("_doi", "_in_corpus", "_same_content", "_nth")
+    seen = keyed.join(known_hash, "sha256", "left")
+    # Rows without DOI, however many, meet no other row.
+    free = seen.where("_doi = ''").withColumn("outcome", F.when(F.col("_same_content"), "duplicate_hash").otherwise("kept_no_doi"))
+    named = seen.where("_doi != ''").join(known_doi, "_doi", "left")
+    new = F.col("_in_corpus").isNull() & F.col("_same_content").isNull()
+    nth = F.row_number().over(Window.partitionBy("_doi", new).orderBy("name"))
+    outcome = F.when(F.col("_in_corpus"), "duplicate_doi").when(F.col("_same_content"), "duplicate_hash").when(F.col("_nth") > 1, "duplicate_batch").otherwise("kept")
+    named = named.withColumn("_nth", nth).withColumn("outcome", outcome)
+    columns = [*batch.columns, "outcome"]
+    return free.select(*columns).unionByName(named.select(*columns))
 
 
 def matches_by_prefix(names: DataFrame, known: DataFrame, name: str = "name", known_name: str = "known") -> DataFrame:
@@ -150,15 +163,49 @@ def matches_by_prefix(names: DataFrame, known: DataFrame, name: str = "name", kn
 
 
 def same_paper(papers: DataFrame, others: DataFrame) -> DataFrame:
-    """(id, other_id, by): equal content, or the same DOI. Both have id, sha256 and doi."""
+    """(id, other_id, by): the least other id with equal content, else that with the same DOI. Both have id, sha256 and doi."""
     a = papers.select("id", "sha256", ids.doi("doi", "corpus").alias("d"))
     b = others.select(F.col("id").alias("other_id"), "sha256", ids.doi("doi", "corpus").alias("d"))
-    by_hash = a.join(b, "sha256").where("id != other_id").select("id", "other_id", F.lit("hash").alias("by"))
-    by_doi = a.where("d != ''").drop("sha256").join(b.drop("sha256"), "d").where("id != other_id").select("id", "other_id", F.lit("doi").alias("by"))
-    return first_by(by_hash.unionByName(by_doi), ["id", "other_id"], [F.col("by").desc()])
 
+    def least_two(rows: DataFrame, on: str) -> DataFrame:  # one of two different ids is another's
+        low = F.min("other_id").alias("low")
+        first = rows.groupBy(on).agg(low)
+        second = rows.join(first, on).where("other_id != low").groupBy(on).agg(F.min("other_id").alias("next"))
+        return first.join(second, on, "left")
+
+    other = F.when(F.col("low") != F.col("id"), F.col("low")).otherwise(F.col("next"))
+    by_hash = a.where("sha256 IS NOT NULL").join(least_two(b.where("sha256 IS NOT NULL").select("sha256", "other_id"), "sha256"), "sha256").select("id", other.alias("other_id"), F.lit(0).alias("turn"))
+    by_doi = a.where("d != ''").join(least_two(b.where("d != ''").select("d", "other_id"), "d"), "d").select("id", other.alias("other_id"), F.lit(1).alias("turn"))
+    best = least_by(by_hash.unionByName(by_doi).where("other_id IS NOT NULL"), ["id"], [F.col("turn"), F.col("other_id")])
+    return best.select("id", "other_id", F.when(F.col("turn") == 0, "hash").otherwise("doi").alias("by"))
 
-def unique_names(rows: DataFrame, name: str, seq: str) -> DataFrame:
-    """``rows`` with unique_name: the second of a name ends in _2 and so on, in order of ``seq``."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(seq))
-    return rows.withColumn("_n", n).withColumn("unique_name", F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), F.col("_n")))).drop("_n")
+
+def unique_names(rows: DataFrame, name: str, seq: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with unique_name: in order of ``seq`` each takes its name, else the first of name_2, name_3, ... that is free.
+
+    Names are numbered where they stand; only families in which some name ends in a number, as
+    ``a_2`` does beside ``a``, are gone through one by one. Names must not be null.
+    """
+    root = F.regexp_replace(name, r"(_\d+)+$", "")
+    keyed = rows.withColumn("_root", root)
+    family = [*within, "_root"]
+    odd = keyed.where(F.col(name) != F.col("_root")).select(*family).distinct()
+    n = F.row_number().over(Window.partitionBy(*within, name).orderBy(seq))
+    plain = keyed.join(odd, family, "left_anti").withColumn("_n", n)
+    plain = plain.withColumn("unique_name", F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), F.col("_n"))))
+
+    def probe(group: pd.DataFrame) -> pd.DataFrame:
+        group, taken, after = group.sort_values(seq, kind="stable"), set(), {}
+        out = []
+        for x in group[name]:
+            free, k = x, after.get(x, 2)
+            while free in taken:
+                free, k = f"{x}_{k}", k + 1
+            after[x] = k if free != x else 2
+            taken.add(free)
+            out.append(free)
+        return group.assign(unique_name=out)[[*rows.columns, "unique_name"]]
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    probed = keyed.join(odd, family, "left_semi").groupBy(*family).applyInPandas(probe, f"{kinds}, unique_name string")
+    return plain.select(*rows.columns, "unique_name").unionByName(probed)

@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.vectors import norm, normalize, squared_distance
+from lexloom.operators.ranking import checkpointed
 
-#: Queries that one pass over the corpus answers; more take more passes.
-QUERY_BLOCK = 4096
-NORM_SAMPLE, NORM_SLACK = 50_000, 1e-3
+#: Vectors of a block of queries, and of a block of the corpus.
+QUERY_BLOCK, CORPUS_BLOCK = 4096, 16_384
+NORM_SLACK = 1e-3
 
 
 def distances(vectors: DataFrame, query: list[float], id_col: str = "vec_id", vector: str = "embedding", scaled: bool = True) -> DataFrame:
@@ -36,59 +37,61 @@ def nearest(vectors: DataFrame, query: list[float], n: int, id_col: str = "vec_i
 def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", query_id: str = "vec_id", vector: str = "embedding", drop_self: bool = False) -> DataFrame:
     """(qid, id, distance, rank): the ``k`` nearest of each query by squared L2 of unit vectors.
 
-    Queries go out in blocks of QUERY_BLOCK. Every partition multiplies its vectors with a block
-    and keeps its own best ``k`` for each query, so that what is shuffled does not grow with pairs.
+    Both sides are packed into blocks by the tasks that read them, and every block of the corpus
+    meets every block of queries in some task, which passes on its best ``k`` for each query. The
+    corpus is read once however many queries there are, and nothing goes through the driver.
     """
-    spark = vectors.sparkSession
-    asked = queries.where(F.col(vector).isNotNull()).select(F.col(query_id).cast("long").alias("qid"), F.col(vector).cast("array<double>").alias("v"))
-    total = asked.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(query_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     corpus = vectors.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    parts = []
-    for b in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).orderBy("qid").toArrow()
-        if not rows.num_rows:
-            continue
-        ids = np.asarray(rows.column("qid"))
-        matrix = np.asarray(rows.column("v").combine_chunks().flatten()).reshape(len(ids), -1)
-        matrix = matrix / np.maximum(np.sqrt((matrix**2).sum(axis=1, keepdims=True)), 1e-12)
-        shared = spark.sparkContext.broadcast((ids, matrix))  # QUERY_BLOCK vectors at most, hash skew aside
-        parts.append(corpus.mapInArrow(_best_of(shared, k, drop_self), "qid long, id long, distance double"))
-    if not parts:
-        return spark.createDataFrame([], "qid long, id long, distance double, rank int")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    theirs = checkpointed(asked.repartition(blocks, "id").mapInArrow(_packed(QUERY_BLOCK), "ids binary, vectors binary")).toDF("qids", "queries")
+    own = corpus.mapInArrow(_packed(CORPUS_BLOCK), "ids binary, vectors binary")
+    found = own.crossJoin(theirs).mapInArrow(_best_of(k, drop_self), "qid long, id long, distance double")  # of blocks: a stated query set against all rows
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id")))
     return ranked.where(F.col("rank") <= k)
 
 
-def _best_of(shared, k: int, drop_self: bool):
+def _packed(size: int):
+    """Rows of (id, v) as blocks of ids and unit vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, size):
+                part = batch.slice(i, size)
+                ids = np.asarray(part.column(0))
+                x = np.asarray(part.column(1).flatten()).reshape(len(ids), -1)
+                x = x / np.maximum(np.sqrt((x**2).sum(axis=1, keepdims=True)), 1e-12)
+                yield pa.RecordBatch.from_arrays([pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([x.astype("<f8").tobytes()], pa.binary())], ["ids", "vectors"])
+
+    return run
+
+
+def _best_of(k: int, drop_self: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, matrix = shared.value
-        best_id, best = np.zeros((len(qid), 0), np.int64), np.zeros((len(qid), 0))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = np.asarray(batch.column("id"))
-            x = np.asarray(batch.column("v").flatten()).reshape(len(ids), -1)
-            x = x / np.maximum(np.sqrt((x**2).sum(axis=1, keepdims=True)), 1e-12)
-            d = np.round(np.maximum(0, (matrix**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None] - 2 * matrix @ x.T), 6)
-            if drop_self:
-                d[qid[:, None] == ids[None]] = np.inf
-            best_id = np.concatenate((best_id, np.broadcast_to(ids, d.shape)), axis=1)
-            best = np.concatenate((best, d), axis=1)
-            order = np.lexsort((best_id, best), axis=1)[:, :k]
-            best_id, best = np.take_along_axis(best_id, order, axis=1), np.take_along_axis(best, order, axis=1)
-        live = np.isfinite(best)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, live.sum(axis=1))), pa.array(best_id[live]), pa.array(best[live])], ["qid", "id", "distance"])
+            for row in zip(*(batch.column(i) for i in range(4)), strict=True):
+                ids, x, qid, matrix = (np.frombuffer(v.as_py(), t) for v, t in zip(row, ("<i8", "<f8", "<i8", "<f8"), strict=True))
+                x, matrix = x.reshape(len(ids), -1), matrix.reshape(len(qid), -1)
+                for i in range(0, len(qid), max(1, (1 << 22) // len(ids))):
+                    part = matrix[i : i + max(1, (1 << 22) // len(ids))]
+                    q = qid[i : i + len(part)]
+                    d = np.round(np.maximum(0, (part**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None] - 2 * part @ x.T), 6)
+                    if drop_self:
+                        d[q[:, None] == ids[None]] = np.inf
+                    best = d if d.shape[1] <= k else np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+                    at, of = np.nonzero((d <= best.max(axis=1, keepdims=True)) & np.isfinite(d))  # ties stay, ranks come later
+                    order = np.lexsort((ids[of], d[at, of], at))
+                    at, of = at[order], of[order]
+                    nth = np.arange(len(at)) - np.searchsorted(at, at)
+                    at, of = at[nth < k], of[nth < k]
+                    yield pa.RecordBatch.from_arrays([pa.array(q[at]), pa.array(ids[of]), pa.array(d[at, of])], ["qid", "id", "distance"])
 
     return run
 
 
 def integrity(vectors: DataFrame, meta: DataFrame, normalized: bool, vector: str = "embedding") -> DataFrame:
     """One row of what an index must hold: as many vectors as rows, mean norm 1, the flag set."""
-    mean = vectors.where(F.col(vector).isNotNull()).limit(NORM_SAMPLE).agg(F.avg(norm(vector)).alias("mean_norm"))
+    mean = vectors.where(F.col(vector).isNotNull()).agg(F.avg(norm(vector)).alias("mean_norm"))
     counts = vectors.agg(F.count("*").alias("n_vectors")).crossJoin(meta.agg(F.count("*").alias("n_rows"))).crossJoin(mean)  # three single rows
     checks = F.filter(
         F.array(

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def judge(rankings: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
+def judge(rankings: DataFrame, relevant: DataFrame, k: int, asked: DataFrame | None = None) -> DataFrame:
     """(qid, hit, rr, first_position): of every question with a relevant paper, found among the first ``k`` or not.
 
-    ``rankings`` has qid, item and position from 1; ``relevant`` has qid and item.
+    ``rankings`` has qid, item and position from 1; ``relevant`` has qid and item. ``asked`` (qid)
+    names the questions where ``relevant`` holds no more than what rankings found.
     """
     first = rankings.where(F.col("position") <= k).join(relevant, ["qid", "item"], "left_semi").groupBy("qid").agg(F.min("position").alias("first_position"))
-    asked = relevant.select("qid").distinct()
+    asked = (relevant if asked is None else asked).select("qid").distinct()
     return asked.join(first, "qid", "left").select("qid", F.col("first_position").isNotNull().cast("int").alias("hit"), F.coalesce(1.0 / F.col("first_position"), F.lit(0.0)).alias("rr"), "first_position")
 
 

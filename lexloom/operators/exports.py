@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import col, ids
 from lexloom.functions.text import filled, key
-from lexloom.operators.dedup import first_by
+from lexloom.operators.dedup import least_by
 from lexloom.operators.ranking import numbered
 from lexloom.operators.validation import author_names
 
@@ -117,8 +117,9 @@ def find_pdf(papers: DataFrame, files: DataFrame) -> DataFrame:
     p = papers.select("paper_id", F.lower("paper_id").alias("_a"), F.lower(F.coalesce("stable_id", F.lit(""))).alias("_b"), F.substring(F.lower("paper_id"), 1, 20).alias("_c"))
     one = p.join(f, F.col("_a") == F.col("_s")).select("paper_id", "file", F.lit(0).alias("turn"))
     two = p.join(f, F.col("_b") == F.col("_s")).select("paper_id", "file", F.lit(1).alias("turn"))
-    three = p.join(f.withColumn("_c2", F.substring("_s", 1, 20)), F.col("_c") == F.col("_c2")).select("paper_id", "file", F.lit(2).alias("turn"))
-    return first_by(one.unionByName(two).unionByName(three), ["paper_id"], [F.col("turn"), F.col("file")]).select("paper_id", "file")
+    begun = f.groupBy(F.substring("_s", 1, 20).alias("_c2")).agg(F.min("file").alias("file"))  # one file of all that begin alike
+    three = p.join(begun, F.col("_c") == F.col("_c2")).select("paper_id", "file", F.lit(2).alias("turn"))
+    return least_by(one.unionByName(two).unionByName(three), ["paper_id"], [F.col("turn"), F.col("file")]).select("paper_id", "file")
 
 
 def packages(papers: DataFrame, packed: DataFrame | None = None, group: str = "category", order: str = "paper_id", size: int = PACKAGE, first: int = 0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import tokens
+from lexloom.operators.ranking import checkpointed, let
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -42,9 +43,10 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", tex
 
     Statistics cover the whole corpus. Only postings of query terms are made: terms are cut to
     those before the join, and a term's postings meet the queries that ask for it. Null texts
-    are empty documents, which count. Without documents or query terms there are no rows.
+    are empty documents, which count. Without documents or query terms there are no rows. The
+    corpus is tokenized once, into the shared checkpoint folder.
     """
-    toks = tokenized(docs, doc_id, text)
+    toks = checkpointed(tokenized(docs, doc_id, text))
     size = corpus_size(toks)
     asked = query_terms(queries, query_id, query_text)
     known = asked.select("term").distinct().withColumnRenamed("term", "asked_term")
@@ -56,29 +58,30 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", tex
 
 
 def bm25_query(docs: DataFrame, query: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, score) for one query: term counts are taken inside each row, so only document frequencies are shuffled."""
+    """(id, score) for one query, of rows with a positive score.
+
+    One pass tokenizes the corpus and keeps a row's length and its counts of the query's terms;
+    statistics and scores follow from those. Only a negative idf asks for the whole vocabulary.
+    """
     spark = docs.sparkSession
     asked = [r.term for r in spark.range(1).select(F.explode(tokens(F.lit(query))).alias("term")).collect()]
-    toks = tokenized(docs, doc_id, text)
-    if not asked:
-        return toks.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
     terms = sorted(set(asked))
-    count = [F.sum(F.array_contains("toks", t).cast("long")).alias(f"df{i}") for i, t in enumerate(terms)]
-    stats = toks.agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("avgdl"), *count).first()
+    counts = lambda w: F.struct(F.size(w).alias("dl"), F.array(*(F.size(w) - F.size(F.array_remove(w, t)) for t in terms)).cast("array<int>").alias("tf"))
+    kept = checkpointed(docs.select(F.col(doc_id).alias("id"), let(tokens(text), counts).alias("p"))).select("id", "p.dl", "p.tf")
+    stats = kept.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.get("tf", F.lit(i)) > 0).alias(f"df{i}") for i in range(len(terms)))).first()
+    if not asked or not stats.n:
+        return kept.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
     value = lambda df: spark.range(1).select((F.log(F.lit(stats.n - df + 0.5)) - F.log(F.lit(df + 0.5))).alias("x")).first().x
-    raw = [value(stats[f"df{i}"] or 0) for i in range(len(terms))] if stats.n else []
-    if any(r < 0 for r in raw):  # only then does the whole vocabulary matter
-        size = corpus_size(toks)
-        mean = document_frequency(toks).crossJoin(F.broadcast(size)).agg(F.avg(F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("m")).first().m
+    raw = [value(stats[f"df{i}"]) for i in range(len(terms))]
+    if any(r < 0 for r in raw):
+        size = spark.createDataFrame([(stats.n,)], "n_docs long")
+        mean = document_frequency(tokenized(docs, doc_id, text)).crossJoin(F.broadcast(size)).agg(F.avg(F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("m")).first().m  # size is one row
         raw = [EPSILON * mean if r < 0 else r for r in raw]
-    if not raw:
-        return toks.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
-    dl = F.size("toks")
     score = F.lit(0.0)
-    for t, weight in zip(terms, raw, strict=True):
-        tf = dl - F.size(F.array_remove("toks", t))
-        score = score + asked.count(t) * weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(stats.avgdl)))
-    return toks.select("id", score.alias("score")).where("score > 0")
+    for i, (t, weight) in enumerate(zip(terms, raw, strict=True)):
+        tf = F.get("tf", F.lit(i))
+        score = score + asked.count(t) * weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(stats.avgdl)))
+    return kept.select("id", score.alias("score")).where("score > 0")
 
 
 def top_by_query(scored: DataFrame, k: int, score: str = "score", descending: bool = True, digits: int = 6) -> DataFrame:

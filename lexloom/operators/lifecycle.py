@@ -6,12 +6,12 @@ against, and a rename is a mapping that is joined to every table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import ids
 from lexloom.functions.text import filled, key
-from lexloom.operators.dedup import first_by
+from lexloom.operators.dedup import least_by, unique_names
 
 
 def visible(table: DataFrame, tombstones: DataFrame, on: list[str] | None = None) -> DataFrame:
@@ -81,9 +81,8 @@ def rename(tables: dict[str, DataFrame], renames: DataFrame, check: str) -> dict
 def rename_preview(papers: DataFrame) -> DataFrame:
     """(category, paper_id, new_id, changes): canonical ids by year, surname and title, made unique in a category."""
     made = papers.withColumn("_base", ids.paper_id(F.col("year"), F.col("authors"), F.col("title")))
-    n = F.row_number().over(Window.partitionBy("category", "_base").orderBy("paper_id"))
-    new = F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat(F.col("_base"), F.lit("_"), F.col("_n")))
-    return made.withColumn("_n", n).select("category", "paper_id", new.alias("new_id"), (new != F.col("paper_id")).alias("changes"))
+    named = unique_names(made.select("category", "paper_id", "_base"), "_base", "paper_id", ("category",))
+    return named.select("category", "paper_id", F.col("unique_name").alias("new_id"), (F.col("unique_name") != F.col("paper_id")).alias("changes"))
 
 
 def merge_tree(target: DataFrame, source: DataFrame, on: list[str]) -> DataFrame:
@@ -140,7 +139,7 @@ def processable(tei: DataFrame, texts: DataFrame, pdfs: DataFrame | None = None,
 def copy_selected(wanted: DataFrame, corpus: DataFrame, project: DataFrame) -> DataFrame:
     """(doi, name, outcome) of wanted DOIs: existing in the project, copied from the corpus, or not_found."""
     w = wanted.select(ids.doi("doi", "corpus").alias("doi")).where("doi != ''").distinct()
-    have = first_by(corpus.select(ids.doi("doi", "corpus").alias("doi"), "name"), ["doi"], [F.col("name")])
+    have = least_by(corpus.select(ids.doi("doi", "corpus").alias("doi"), "name"), ["doi"], [F.col("name")])
     there = project.select("name").distinct().withColumn("_there", F.lit(True))
     return w.join(have, "doi", "left").join(there, "name", "left").select("doi", "name", F.when(F.col("name").isNull(), "not_found").when(F.col("_there"), "existing").otherwise("copied").alias("outcome"))
 

@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import ids
 from lexloom.functions.text import fold, key, title_key
-from lexloom.operators.dedup import first_by
+from lexloom.operators.dedup import first_by, least_by
 
 # What a missing field costs.
 PENALTIES = (("missing_title", 0.25), ("missing_doi", 0.20), ("missing_abstract", 0.15), ("missing_year", 0.10), ("missing_authors", 0.10), ("no_references_extracted", 0.10), ("short_md_clean", 0.10))
 LEAST_REFERENCES, LEAST_BYTES = 5, 3000
 
 
+#: Rows of a configuration of keywords.
+MOST_KEYWORDS = 10_000
+
+
 def blank(c: str) -> Column:
     return F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
 
@@ -49,7 +53,7 @@ def keep_filled(new: DataFrame, before: DataFrame, on: list[str], fields: tuple[
 
 def last_record(papers: DataFrame, on: str = "paper_id", line: str = "line_no") -> DataFrame:
     """One record of each id: the last."""
-    return first_by(papers, [on], [F.desc(line)])
+    return least_by(papers, [on], [-F.col(line)])
 
 
 def overlay_books(papers: DataFrame, books: DataFrame) -> DataFrame:
@@ -64,7 +68,7 @@ def overlay_books(papers: DataFrame, books: DataFrame) -> DataFrame:
 def year_by_paper(chunks: DataFrame, papers: DataFrame) -> DataFrame:
     """``chunks`` with year by paper_id or stable_id, else from the id."""
     names = papers.select(F.explode(F.array_distinct(F.array_compact(F.array("paper_id", "stable_id")))).alias("paper_id"), F.col("year").alias("_year"), "line_no")
-    known = first_by(names.where("coalesce(_year, 0) != 0"), ["paper_id"], [F.desc("line_no")]).drop("line_no")
+    known = least_by(names.where("coalesce(_year, 0) != 0"), ["paper_id"], [-F.col("line_no")]).drop("line_no")
     return chunks.join(known, "paper_id", "left").withColumn("year", F.coalesce("_year", ids.year_in_id("paper_id"))).drop("_year")
 
 
@@ -96,7 +100,7 @@ def doi_by_priority(files: DataFrame, manual: DataFrame, titles: DataFrame) -> D
     ``manual`` has name or title and doi; ``titles`` has title and doi.
     """
     stemmed = F.regexp_replace("name", r"(?i)\.pdf$", "")
-    by = lambda k, name: first_by(manual.where(k.isNotNull() & (k != "")).select(k.alias("_k"), F.col("doi").alias(name), "seq"), ["_k"], [F.col("seq")]).drop("seq")
+    by = lambda k, name: least_by(manual.where(k.isNotNull() & (k != "")).select(k.alias("_k"), F.col("doi").alias(name), "seq"), ["_k"], [F.col("seq")]).drop("seq")
     out = files.withColumns({"_n": F.lower("name"), "_s": key(stemmed), "_t": title_key("title", "ascii")})
     out = out.join(by(F.lower("name"), "_d1").withColumnRenamed("_k", "_n"), "_n", "left")
     out = out.join(by(key(F.regexp_replace("name", r"(?i)\.pdf$", "")), "_d2").withColumnRenamed("_k", "_s"), "_s", "left")
@@ -114,7 +118,7 @@ def title_table(rows: DataFrame) -> DataFrame:
     """(title_key, doi, conflicting): the first DOI of a title, and whether another was given for it."""
     keyed = rows.select(title_key("title", "ascii").alias("title_key"), ids.doi("doi", "plain").alias("doi"), "seq").where("title_key != '' and doi != ''")
     conflict = keyed.groupBy("title_key").agg((F.count_distinct(F.lower("doi")) > 1).alias("conflicting"))
-    return first_by(keyed, ["title_key"], [F.col("seq")]).drop("seq").join(conflict, "title_key")
+    return least_by(keyed, ["title_key"], [F.col("seq")]).drop("seq").join(conflict, "title_key")
 
 
 def lookup_year(message: Column, mode: str = "lookup") -> Column:
@@ -186,10 +190,13 @@ def skip_rows(spec: str) -> set[int]:
 def keyword_category(docs: DataFrame, keywords: DataFrame, id_col: str, text: Column) -> DataFrame:
     """(id, category, confidence): the only category with a keyword in the text (anywhere, also within words); else null and 0.
 
-    ``keywords`` (category, keyword) is configuration: its rows become one expression.
+    ``keywords`` (category, keyword) is configuration: its rows, MOST_KEYWORDS at most, become one expression.
     """
     groups: dict[str, list[str]] = {}
-    for r in keywords.orderBy("category", "keyword").collect():
+    rows = keywords.orderBy("category", "keyword").limit(MOST_KEYWORDS + 1).collect()
+    if len(rows) > MOST_KEYWORDS:
+        raise ValueError(f"more than {MOST_KEYWORDS} keywords")
+    for r in rows:
         groups.setdefault(r.category, []).append(r.keyword.lower())
     low = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)[\s ]+", " "))
 

@@ -9,6 +9,7 @@ from lexloom.functions import col
 from lexloom.functions.text import fold, trim_space
 
 EDGE, LEAST_PAGES, SHARE, MOST_LINE, LEAST_LINE = 2, 4, 100, 80, 3
+# Fixed value: what a line with a page number looks like.
 PAGE_NUMBER = r"^\s*[-–—]?\s*(?:\d{1,4}|[ivxlcdmIVXLCDM]{1,7})\s*[-–—]?\s*$"
 
 

@@ -11,13 +11,21 @@ _ROWS = 33  # bits of a row's number within its partition
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once, in the shared folder that the session names, or a folder of our own where it names none."""
+    """``df`` computed once, in the shared folder that the session names; a local session may name none, a cluster must."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexloom-"))
     return df.checkpoint(eager=True)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once for each row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def numbered(df: DataFrame, order: list[Column], name: str = "rank", group: list[str] | None = None) -> DataFrame:
     """``df`` with 0, 1, ... in the total order ``order``, within each ``group`` if one is given.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import ids
-from lexloom.operators.dedup import first_by
+from lexloom.operators.dedup import least_by
 
 # The columns of the registry in order, and the states that an upsert leaves alone.
 COLUMNS = ("doi", "title", "year", "category", "landing_url", "status", "reason", "last_checked", "notes", "snooze_until")
@@ -40,9 +40,8 @@ def upsert(registry: DataFrame, rows: DataFrame, today: str, seq: str = "seq") -
     text = lambda c, n=None: F.substring(x, 1, n) if n and (x := F.coalesce(F.col(c).cast("string"), F.lit(""))) is not None else F.coalesce(F.col(c).cast("string"), F.lit(""))
     landing = F.coalesce(F.col("landing_url").cast("string"), F.concat(F.lit("https://doi.org/"), F.trim("doi"))) if "landing_url" in rows.columns else F.concat(F.lit("https://doi.org/"), F.trim("doi"))
     entry = given.select("_k", seq, F.trim("doi").alias("n_doi"), text("title", 300).alias("n_title"), text("year").alias("n_year"), text("category").alias("n_category"), landing.alias("n_landing_url"), text("reason", 200).alias("n_reason"))
-    last = first_by(entry, ["_k"], [F.desc(seq)]).drop("n_doi", seq)
-    spelled = first_by(entry, ["_k"], [F.col(seq)]).select("_k", "n_doi")
-    new = last.join(spelled, "_k").withColumn("n_last_checked", F.lit(today))
+    values = F.struct("n_title", "n_year", "n_category", "n_landing_url", "n_reason")
+    new = entry.groupBy("_k").agg(F.max_by(values, seq).alias("last"), F.min_by("n_doi", seq).alias("n_doi")).select("_k", "last.*", "n_doi", F.lit(today).alias("n_last_checked"))
     both = registry.withColumn("_k", _key()).withColumn("_old", F.lit(True)).join(new, "_k", "full")
     old, fresh = F.col("_old").isNotNull(), F.col("n_doi").isNotNull()
     refresh = old & fresh & ~F.col("status").isin(*RESOLVED)
@@ -85,7 +84,7 @@ BLOCKED = "vetado manualmente (no estaba en el registro)"
 def block(registry: DataFrame, rows: DataFrame, today: str, reason: str = "") -> DataFrame:
     """DOIs become blocked, and come in if they are new; snoozes stay as they are."""
     changed = _touched(registry, rows, {"status": F.lit("blocked"), "reason": F.lit(reason[:200]), "last_checked": F.lit(today)})
-    fresh = first_by(rows.withColumn("_k", _key()).where("_k != ''"), ["_k"], [F.col("doi")]).join(registry.select(_key().alias("_k")), "_k", "left_anti")
+    fresh = least_by(rows.withColumn("_k", _key()).where("_k != ''"), ["_k"], [F.col("doi")]).join(registry.select(_key().alias("_k")), "_k", "left_anti")
     fixed = {"doi": F.trim("doi"), "status": F.lit("blocked"), "reason": F.lit(reason[:200]), "last_checked": F.lit(today), "notes": F.lit(BLOCKED), "landing_url": F.concat(F.lit("https://doi.org/"), F.trim("doi"))}
     take = lambda c: fixed[c] if c in fixed else F.coalesce(F.col(c).cast("string"), F.lit("")) if c in rows.columns else F.lit("")
     return changed.unionByName(fresh.select(*(take(c).alias(c) for c in COLUMNS)))
@@ -123,4 +122,4 @@ def doi_origins(papers: DataFrame, files: DataFrame) -> DataFrame:
     """(doi, origin) over metadata first and file names after, the first of each."""
     a = papers.select(ids.doi("doi", "corpus").alias("doi"), F.col("origin"), F.lit(0).alias("turn"))
     b = files.select(F.lower(ids.doi("name", "filename")).alias("doi"), F.col("name").alias("origin"), F.lit(1).alias("turn"))
-    return first_by(a.unionByName(b).where("doi != ''"), ["doi"], [F.col("turn"), F.col("origin")]).select("doi", "origin")
+    return least_by(a.unionByName(b).where("doi != ''"), ["doi"], [F.col("turn"), F.col("origin")]).select("doi", "origin")

@@ -18,7 +18,7 @@ AFFILIATION = [
     "department", "dept", "faculty", "school", "laboratory", "laboratories", "lab", "college", "center", "centre",
     "gmbh", "inc", "ltd", "llc", "corp", "dtu", "lyngby", "denmark", "spain", "china", "germany", "netherlands",
 ]
-EDITORS = ["how", "andiappan", "ng", "lam", "varbanov", "klemeš", "klemes", "walmsley", "tan"]
+EDITORS = ["how", "andiappan", "ng", "lam", "varbanov", "klemeš", "klemes", "walmsley", "tan"]  # fixed values: a default, see ``issues``
 EDITORS_DOI = "10.3303/"
 FLAGGING = ("medium", "high")
 LEAST_RATIO, LEAST_OVERLAP, LEAST_JOURNAL = 0.85, 0.5, 8
@@ -95,9 +95,19 @@ def issue_counts(validated: DataFrame) -> DataFrame:
 
 
 @F.pandas_udf(DoubleType())
-def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Twice the matching characters over all, by longest matching blocks. Edit distance is something else."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+def _blocks_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([1.0 if x is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+
+
+def matching_ratio(a: Column, b: Column) -> Column:
+    """Twice the matching characters over all, by longest matching blocks; nulls are empty. Edit distance is something else.
+
+    Equal texts, and pairs whose lengths alone keep them under the limit, are not compared.
+    """
+    a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
+    bound = 2 * F.least(F.length(a), F.length(b)) / F.greatest(F.lit(1), F.length(a) + F.length(b))
+    asks = (a != b) & (bound >= LEAST_RATIO)
+    return F.when(a == b, 1.0).when(bound < LEAST_RATIO, bound).otherwise(_blocks_ratio(F.when(asks, a), F.when(asks, b)))
 
 
 def surnames(authors: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import ids, text
 from lexloom.functions.vectors import norm
 from lexloom.operators import chunking, citations, dedup, dense, evaluation, exports, fusion, lexical, lifecycle, metadata, pages, registry, rollups, validation
+from lexloom.operators.ranking import checkpointed
 from lexloom.plans import retrieval
 from lexloom.plans.tables import PAPERS_SQL, papers, table
 
@@ -112,9 +113,9 @@ def dense_knn_scaled(spark, d):
     return dense.nearest(table(spark, d, "embeddings").withColumn("embedding", longer), query_vector(spark, d), 20, scaled=False)
 
 
-@query("SELECT count(*) AS n_vectors, (SELECT count(*) FROM documents) AS n_rows, CASE WHEN count(*) <> (SELECT count(*) FROM documents) THEN 'count' ELSE '' END AS problems FROM embeddings")
+@query("SELECT count(*) AS n_vectors, (SELECT count(*) FROM documents) AS n_rows, round(avg(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 5) AS mean_norm, CASE WHEN count(*) <> (SELECT count(*) FROM documents) THEN 'count' ELSE '' END AS problems FROM embeddings")
 def index_integrity(spark, d):
-    return dense.integrity(table(spark, d, "embeddings"), table(spark, d, "documents"), True).select("n_vectors", "n_rows", "problems")
+    return dense.integrity(table(spark, d, "embeddings"), table(spark, d, "documents"), True).select("n_vectors", "n_rows", F.round("mean_norm", 5).alias("mean_norm"), "problems")
 
 
 HYBRID_SQL = f"""{bm25_sql(f'SELECT 0 AS qid, {QUESTION!r} AS query', 200)},
@@ -207,8 +208,9 @@ SELECT count(*) AS n, round(avg((pos IS NOT NULL)::INT), 6) AS hit_rate, round(a
 def eval_hit_mrr(spark, d):
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("item"), "label")
     found = self_neighbours(spark, d, 8).select("qid", F.col("id").alias("item"), F.col("rank").alias("position"))
-    asked = vectors.where("item % 50 = 0").select(F.col("item").alias("qid"), "label")
-    return evaluation.hit_rate_and_mrr(evaluation.judge(found, asked.join(vectors, "label").select("qid", "item"), 8))
+    asked = vectors.where("item % 50 = 0").select(F.col("item").alias("qid"), F.col("label").alias("asked_label"))
+    relevant = found.join(vectors, "item").join(asked, "qid").where("label = asked_label").select("qid", "item")
+    return evaluation.hit_rate_and_mrr(evaluation.judge(found, relevant, 8, asked))
 
 
 @query(
@@ -336,7 +338,8 @@ LOOSE = "loose AS (SELECT * REPLACE (lower(" + TAIL_DOI + ") AS doi) FROM papers
 
 
 def loose_papers(spark, d) -> DataFrame:
-    return papers(spark, d).withColumn("doi", ids.doi("doi", "loose"))
+    """Papers with their normalised DOI, which later steps use many times: computed once."""
+    return checkpointed(papers(spark, d).withColumn("doi", ids.doi("doi", "loose")))
 
 
 @query(f"""WITH {PAPERS_SQL}, {LOOSE} SELECT seq, doi, cited_by FROM loose WHERE doi = '' UNION ALL
