@@ -194,6 +194,8 @@ def unique_names(rows: DataFrame, name: str, seq: str, within: tuple[str, ...] =
     plain = keyed.join(odd, family, "left_anti").withColumn("_n", n)
     plain = plain.withColumn("unique_name", F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), F.col("_n"))))
 
+    columns = [*rows.columns, "unique_name"]
+
     def probe(group: pd.DataFrame) -> pd.DataFrame:
         group, taken, after = group.sort_values(seq, kind="stable"), set(), {}
         out = []
@@ -204,8 +206,8 @@ def unique_names(rows: DataFrame, name: str, seq: str, within: tuple[str, ...] =
             after[x] = k if free != x else 2
             taken.add(free)
             out.append(free)
-        return group.assign(unique_name=out)[[*rows.columns, "unique_name"]]
+        return group.assign(unique_name=out)[columns]
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     probed = keyed.join(odd, family, "left_semi").groupBy(*family).applyInPandas(probe, f"{kinds}, unique_name string")
-    return plain.select(*rows.columns, "unique_name").unionByName(probed)
+    return plain.select(*columns).unionByName(probed)

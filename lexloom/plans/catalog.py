@@ -216,17 +216,19 @@ def eval_hit_mrr(spark, d):
 @query(
     f"""WITH {SELF_SQL}, dense AS (SELECT qid, label AS item, min(rank) AS first FROM top GROUP BY ALL),
 d AS (SELECT qid, item, row_number() OVER (PARTITION BY qid ORDER BY first, item) AS dense FROM dense),
-evens AS (SELECT qid, label AS item, min(rank) AS first FROM (SELECT qid, label, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM pairs WHERE id % 2 = 0 QUALIFY rank <= 8) GROUP BY ALL),
-e AS (SELECT qid, item, row_number() OVER (PARTITION BY qid ORDER BY first, item) AS even FROM evens)
-SELECT qid, item, coalesce(dense, 0) AS dense, coalesce(even, 0) AS even, least(coalesce(dense, 1073741824), coalesce(even, 1073741824)) AS best FROM d FULL JOIN e USING (qid, item)"""
+halves AS (SELECT vec_id AS id, label, {UNIT_SQL.replace("v,", "embedding[1:32],")} AS u FROM embeddings),
+half_pairs AS (SELECT q.id AS qid, a.id, a.label, {DISTANCE_SQL} AS distance FROM halves a, halves q WHERE q.id % 50 = 0 AND a.id <> q.id),
+half_items AS (SELECT qid, label AS item, min(rank) AS first FROM (SELECT qid, label, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM half_pairs QUALIFY rank <= 8) GROUP BY ALL),
+e AS (SELECT qid, item, row_number() OVER (PARTITION BY qid ORDER BY first, item) AS half FROM half_items)
+SELECT qid, item, coalesce(dense, 0) AS dense, coalesce(half, 0) AS half, least(coalesce(dense, 1073741824), coalesce(half, 1073741824)) AS best FROM d FULL JOIN e USING (qid, item)"""
 )
 def pool_candidates(spark, d):
     vectors = table(spark, d, "embeddings")
     labels = vectors.select(F.col("vec_id").alias("id"), F.col("label").alias("item"))
-    asked = vectors.where("vec_id % 50 = 0")
-    arms = [dense.nearest_many(v, asked, 8, drop_self=True) for v in (vectors, vectors.where("vec_id % 2 = 0"))]
+    half = vectors.withColumn("embedding", F.slice("embedding", 1, 32))
+    arms = [dense.nearest_many(v, v.where("vec_id % 50 = 0"), 8, drop_self=True) for v in (vectors, half)]
     groups = [fusion.first_by_group(r.join(labels, "id"), "item", 8) for r in arms]
-    return evaluation.pool(dense=groups[0], even=groups[1]).fillna(0, ["dense", "even"])
+    return evaluation.pool(dense=groups[0], half=groups[1]).fillna(0, ["dense", "half"])
 
 
 # --- chunks, pages, links --------------------------------------------------------
@@ -253,7 +255,7 @@ def split_max_chars(spark, d):
     return chunking.split_long(table(spark, d, "documents")).select("doc_id", "piece_index", F.length("piece").alias("chars"), F.md5("piece").alias("piece_md5"))
 
 
-@query()
+@query(f"WITH {WINDOWS_SQL} SELECT doc_id, chunk_index, md5(chunk) AS chunk_md5 FROM chunks")
 def packed_chunks(spark, d):
     return chunking.chunk_texts(table(spark, d, "documents")).select("doc_id", "chunk_index", F.md5("chunk").alias("chunk_md5"))
 
@@ -409,28 +411,28 @@ def dup_losers_hash(spark, d):
 
 
 @query(
-    f"""WITH {PAPERS_SQL}, {LOOSE}, t AS (SELECT doi, sha256(title) AS sha, paper_id AS name, category FROM loose),
-b AS (SELECT * FROM t WHERE category = 'BUILDING'), c AS (SELECT * FROM t WHERE category = 'MACHINERY'),
+    f"""WITH {PAPERS_SQL}, {LOOSE}, t AS (SELECT doi, sha256(title) AS sha, paper_id AS name, source_type FROM loose),
+b AS (SELECT * FROM t WHERE source_type IS NOT NULL), c AS (SELECT * FROM t WHERE source_type IS NULL),
 s AS (SELECT b.*, doi <> '' AND doi IN (SELECT doi FROM c) AS by_doi, sha IN (SELECT sha FROM c) AS by_hash FROM b)
 SELECT name, CASE WHEN by_doi THEN 'duplicate_doi' WHEN by_hash THEN 'duplicate_hash' WHEN doi = '' THEN 'kept_no_doi'
  WHEN row_number() OVER (PARTITION BY doi, by_doi OR by_hash ORDER BY name) > 1 THEN 'duplicate_batch' ELSE 'kept' END AS outcome FROM s"""
 )
 def screen_batch(spark, d):
-    rows = loose_papers(spark, d).select("doi", F.sha2("title", 256).alias("sha256"), F.col("paper_id").alias("name"), "category")
-    return dedup.screen_batch(rows.where("category = 'BUILDING'").drop("category"), rows.where("category = 'MACHINERY'").select("doi", "sha256")).select("name", "outcome")
+    rows = loose_papers(spark, d).select("doi", F.sha2("title", 256).alias("sha256"), F.col("paper_id").alias("name"), "source_type")
+    return dedup.screen_batch(rows.where("source_type IS NOT NULL").drop("source_type"), rows.where("source_type IS NULL").select("doi", "sha256")).select("name", "outcome")
 
 
 KEY_SQL = "regexp_replace(regexp_replace(lower(x), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
 
 
 @query(
-    f"""WITH n AS (SELECT DISTINCT left(text, 200) AS name FROM documents WHERE text IS NOT NULL), m AS (SELECT DISTINCT left(text, 90) AS known FROM documents WHERE text IS NOT NULL),
+    f"""WITH n AS (SELECT DISTINCT text AS name FROM documents WHERE text IS NOT NULL), m AS (SELECT DISTINCT split_part(text, chr(10), 1) AS known FROM documents WHERE text IS NOT NULL),
 a AS (SELECT name, {KEY_SQL.replace("lower(x)", "lower(name)")} AS k FROM n), b AS (SELECT known, {KEY_SQL.replace("lower(x)", "lower(known)")} AS k FROM m)
 SELECT DISTINCT md5(name) AS name_md5, md5(known) AS known_md5 FROM a JOIN b ON a.k = b.k OR (length(b.k) >= 60 AND starts_with(a.k, b.k))"""
 )
 def prefix_match(spark, d):
     docs = table(spark, d, "documents").where("text is not null")
-    names, known = docs.select(F.substring("text", 1, 200).alias("name")).distinct(), docs.select(F.substring("text", 1, 90).alias("known")).distinct()
+    names, known = docs.select(F.col("text").alias("name")).distinct(), docs.select(F.substring_index("text", "\n", 1).alias("known")).distinct()
     return dedup.matches_by_prefix(names, known).select(F.md5("name").alias("name_md5"), F.md5("known").alias("known_md5"))
 
 
@@ -619,18 +621,18 @@ def registry_active(spark, d):
     return registry.active(registry_parts(spark, d)[0], "2026-01-01").select("doi", "category")
 
 
-@query("""SELECT vec_id AS id, 'keep' AS outcome FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)
-UNION ALL SELECT doc_id, 'embed' FROM documents WHERE doc_id % 3 <> 0 AND doc_id NOT IN (SELECT vec_id FROM embeddings)""")
+@query("""SELECT vec_id AS id, 'keep' AS outcome FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels)
+UNION ALL SELECT doc_id, 'embed' FROM labels WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""")
 def index_incremental(spark, d):
     index = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
-    kept, new = dense.incremental(index, table(spark, d, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("id")), "id")
+    kept, new = dense.incremental(index, table(spark, d, "labels").select(F.col("doc_id").alias("id")), "id")
     return kept.withColumn("outcome", F.lit("keep")).unionByName(new.withColumn("outcome", F.lit("embed")))
 
 
-@query("""SELECT vec_id AS id, 'phantom' AS status FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)
-UNION ALL SELECT doc_id, 'unindexed' FROM documents WHERE doc_id % 2 = 0 AND doc_id NOT IN (SELECT vec_id FROM embeddings)""")
+@query("""SELECT vec_id AS id, 'phantom' AS status FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL SELECT doc_id, 'unindexed' FROM labels WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""")
 def index_coherence(spark, d):
-    return dense.coherence(table(spark, d, "embeddings").select(F.col("vec_id").alias("id")), table(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("id")), "id")
+    return dense.coherence(table(spark, d, "embeddings").select(F.col("vec_id").alias("id")), table(spark, d, "labels").select(F.col("doc_id").alias("id")), "id")
 
 
 @query("SELECT vec_id, label, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS norm FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
@@ -674,13 +676,13 @@ def master_index(spark, d):
 
 # --- citations and exports -----------------------------------------------------------
 
-SURNAME_SQL = "CASE author_kind WHEN 'full' THEN 'Customer' || o_custkey WHEN 'glued' THEN coalesce('Brand', 'Anna') WHEN 'place' THEN 'Tests' ELSE upper(left(split_part(paper_id, '_', 2), 1)) || lower(substr(split_part(paper_id, '_', 2), 2)) END"
+SURNAME_SQL = "CASE WHEN author_kind = 'full' THEN 'Customer' || o_custkey WHEN author_kind = 'glued' AND p_brand IS NOT NULL THEN 'Brand' WHEN author_kind = 'place' THEN 'Tests' ELSE upper(left(split_part(paper_id, '_', 2), 1)) || lower(substr(split_part(paper_id, '_', 2), 2)) END"
 
 
 @query(f"""WITH {PAPERS_SQL}, {LOOSE} SELECT seq, '(' || {SURNAME_SQL} || ', ' || coalesce(year::VARCHAR, nullif(regexp_extract(paper_id, '(19\\d{{2}}|20[0-3]\\d)', 1), ''), 's.f.') || CASE WHEN doi <> '' THEN '; ' || doi ELSE '' END || ')' AS cite
-FROM loose WHERE NOT (author_kind = 'glued' AND p_brand IS NULL)""")
+FROM loose""")
 def cite_keys(spark, d):
-    return loose_papers(spark, d).where("NOT (seq % 3 = 0 AND seq % 23 <> 0 AND authors[0].full IS NULL)").select("seq", citations.article_key().alias("cite"))
+    return loose_papers(spark, d).select("seq", citations.article_key().alias("cite"))
 
 
 ANSWER = "coalesce(text, '') || ' [' || (conv_id % 12) || '] [3][' || turn || ']' || chr(10) || 'Referencias:' || chr(10) || '[99]'"
@@ -706,18 +708,17 @@ def chat_prompts(spark, d):
     return citations.chat_prompt(table(spark, d, "conversations")).select("conv_id", F.md5("prompt").alias("prompt_md5"))
 
 
-BIB_SQL = f"""base AS (SELECT *, CASE author_kind WHEN 'full' THEN 'customer' WHEN 'glued' THEN regexp_replace('Anna' || p_brand, '[^a-zA-Z]', '', 'g') WHEN 'place' THEN 'Tests' ELSE '' END || coalesce(year::VARCHAR, 'XXXX') AS base,
- CASE author_kind WHEN 'full' THEN 'Maria Customer' || o_custkey WHEN 'glued' THEN 'Anna' || p_brand WHEN 'place' THEN 'University of Tests' ELSE 'Unknown' END AS names FROM loose),
+BIB_SQL = f"""base AS (SELECT *, CASE author_kind WHEN 'full' THEN 'customer' WHEN 'glued' THEN coalesce(regexp_replace('Anna' || p_brand, '[^a-zA-Z]', '', 'g'), '') WHEN 'place' THEN 'Tests' ELSE '' END || coalesce(year::VARCHAR, 'XXXX') AS base,
+ CASE author_kind WHEN 'full' THEN 'Maria Customer' || o_custkey WHEN 'glued' THEN coalesce('Anna' || p_brand, 'Unknown') WHEN 'place' THEN 'University of Tests' ELSE 'Unknown' END AS names FROM loose),
 k AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY seq) - 2 AS n FROM base),
 b AS (SELECT *, base || CASE WHEN n < 0 THEN '' WHEN n < 26 THEN chr((n + 97)::INT) ELSE '_' || (n + 2) END AS bib_key FROM k)"""
 
 
 @query(f"""WITH {PAPERS_SQL}, {LOOSE}, {BIB_SQL} SELECT paper_id, bib_key, md5('@article{{' || bib_key || ',' || chr(10) || '  author   = {{' || names || '}},' || chr(10) || '  title    = {{' || title || '}},' || chr(10)
 || CASE WHEN journal <> '' THEN '  journal  = {{' || journal || '}},' || chr(10) ELSE '' END || CASE WHEN year IS NOT NULL THEN '  year     = {{' || year || '}},' || chr(10) ELSE '' END
-|| CASE WHEN doi <> '' THEN '  doi      = {{' || doi || '}},' || chr(10) ELSE '' END || CASE WHEN coalesce(abstract, '') <> '' THEN '  abstract = {{' || abstract || '}},' || chr(10) ELSE '' END || '}}') AS entry_md5 FROM b WHERE base IS NOT NULL""")
+|| CASE WHEN doi <> '' THEN '  doi      = {{' || doi || '}},' || chr(10) ELSE '' END || CASE WHEN coalesce(abstract, '') <> '' THEN '  abstract = {{' || abstract || '}},' || chr(10) ELSE '' END || '}}') AS entry_md5 FROM b""")
 def bibtex_export(spark, d):
-    rows = loose_papers(spark, d).where("NOT (seq % 3 = 0 AND seq % 23 <> 0 AND authors[0].full IS NULL)")
-    return exports.bibtex(rows).select("paper_id", "bib_key", F.md5("entry").alias("entry_md5"))
+    return exports.bibtex(loose_papers(spark, d)).select("paper_id", "bib_key", F.md5("entry").alias("entry_md5"))
 
 
 @query(f"WITH {PAPERS_SQL}, {LOOSE} SELECT seq, paper_id FROM loose WHERE doi <> '' AND (year IS NULL OR year BETWEEN 1995 AND 2000)")
@@ -732,8 +733,12 @@ def catalogue_filter(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from lexloom.plans import catalog_more  # noqa: F401  # registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from lexloom.plans import catalog_more  # noqa: F401
+
     return dict(ORACLES)

@@ -386,3 +386,28 @@ def test_screening_texts(spark):
     assert [tuple(r) for r in tries] == [("x", "two"), ("y", "one"), (None, None)]
     models = spark.createDataFrame([(m,) for m in ("models/gemini-2.5-flash", "models/gemini-3.8-flash-lite", "models/gemini-3.8-flash", "models/gemini-3.8-flash-image", "other")], "id string")
     assert [r.name for r in screening.chat_models(models).orderBy("rank").collect()] == ["gemini-3.8-flash", "gemini-3.8-flash-lite", "gemini-2.5-flash"]
+
+
+def test_unique_names_probe_until_free(spark):
+    def named(names):
+        rows = spark.createDataFrame([(x, i) for i, x in enumerate(names)], "name string, seq int").repartition(3)
+        return [r.unique_name for r in dedup.unique_names(rows, "name", "seq").orderBy("seq").collect()]
+
+    assert named(["a", "a", "a_2", "b", "b"]) == ["a", "a_2", "a_2_2", "b", "b_2"]
+    assert named(["a_2", "a", "a", "a"]) == ["a_2", "a", "a_3", "a_4"]
+    assert named(["a_2", "a_2", "a", "a"]) == ["a_2", "a_2_2", "a", "a_3"]
+    assert named([]) == []
+    two = spark.createDataFrame([("x", "a", 1), ("y", "a", 1), ("x", "a", 2)], "g string, name string, seq int")
+    assert sorted(r.unique_name for r in dedup.unique_names(two, "name", "seq", ("g",)).collect()) == ["a", "a", "a_2"]
+
+
+def test_first_rows_by_partial_minima(spark):
+    rows = spark.createDataFrame([("a", 2, None), ("a", 1, "x"), ("b", None, "y"), ("b", 0, "z")], "k string, n int, v string")
+    assert sorted(map(tuple, dedup.least_by(rows, ["k"], [F.col("n")]).collect()), key=str) == [("a", 1, "x"), ("b", None, "y")]
+
+
+def test_screening_without_dois(spark):
+    batch = spark.createDataFrame([("", "h1", "a"), (None, "h2", "b"), ("", "h2", "c"), ("10.1/x", "h3", "d"), ("10.1/X", "h4", "e"), ("10.1/y", None, "f")], "doi string, sha256 string, name string")
+    corpus = spark.createDataFrame([("10.1/y", "h1"), (None, None)], "doi string, sha256 string")
+    got = {r.name: r.outcome for r in dedup.screen_batch(batch, corpus).collect()}
+    assert got == {"a": "duplicate_hash", "b": "kept_no_doi", "c": "kept_no_doi", "d": "kept", "e": "duplicate_batch", "f": "duplicate_doi"}

@@ -141,3 +141,20 @@ def test_numbering(spark):
     assert numbered(rows.where("id < 0"), [F.col("v")]).count() == 0
     wide = fusion.ranked(rows, [F.col("v"), F.col("id")], fusion.ONE_TASK + 1)
     assert wide.count() == 5000 and fusion.ranked(rows, [F.col("v"), F.col("id")], 3).orderBy("rank").first().v == 0
+
+
+def test_neighbours_by_blocks(spark, monkeypatch):
+    """Blocks of any size give what every pair, held against each other, gives."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = rng.integers(-2, 3, (70, 3)).astype(float)  # with ties
+    x[x.any(axis=1) == 0] = 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    u = x / np.sqrt((x**2).sum(axis=1, keepdims=True))
+    d = np.round(((u[:, None] - u[None]) ** 2).sum(axis=2), 6)
+    want = {(q, int(i), r + 1) for q in range(70) for r, i in enumerate([i for i in np.lexsort((np.arange(70), d[q])) if i != q][:4])}
+    for queries, corpus in ((4096, 16_384), (7, 9)):
+        monkeypatch.setattr(dense, "QUERY_BLOCK", queries)
+        monkeypatch.setattr(dense, "CORPUS_BLOCK", corpus)
+        assert {(r.qid, r.id, r.rank) for r in dense.nearest_many(df, df, 4, drop_self=True).collect()} == want
