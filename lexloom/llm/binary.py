@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import tokens
-from lexloom.llm.common import bounded_batches, spread, table, tidy
+from lexloom.llm.common import bounded_batches, spread, stored, table, tidy
 
 CAPACITY = 2048
 #: Tokens gathered before a shard is packed: about 2000 sequences.
@@ -146,7 +146,11 @@ def write_packed(packed: DataFrame, path: str) -> None:
 
 
 def read_segments(packed: DataFrame) -> DataFrame:
-    """The pieces as the stored matrices hold them, with the CRC-32 of the ids found there."""
+    """The pieces as the stored matrices hold them, with the CRC-32 of the ids found there.
+
+    Each piece is a row, also of repeated documents; null doc_ids stay null, and no sequences give
+    no rows. Positions that don't begin at 0 with each piece raise.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,4 +170,4 @@ def read_segments(packed: DataFrame) -> DataFrame:
 
 
 def op8_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_segments(pack_binary(table(spark, sf_dir, "documents")))
+    return read_segments(stored(pack_binary(table(spark, sf_dir, "documents")), "packed"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,23 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def use_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of our own only where none is named."""
+    """The shared folder the cluster names; a local session may name none and gets a folder of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexloom-"))
     return context.getCheckpointDir()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to a new folder beside the checkpoints, and read from there."""
+    path = f"{use_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder, without its lineage."""
     use_checkpoint_dir(df.sparkSession)

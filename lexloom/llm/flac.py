@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import bounded_batches, spread, table, text_bytes
+from lexloom.llm.common import bounded_batches, spread, stored, table, text_bytes
 
 BLOCK = 512
 UNIT = 64
@@ -375,8 +375,29 @@ def encode_media(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def decode_each(media: list[bytes]) -> list[tuple[bytes, np.ndarray] | None]:
+    """As ``decode``, but a stream that is null, damaged or of another kind gives None and leaves the others alone."""
+    try:
+        return decode(media)
+    except (ValueError, IndexError, TypeError):
+        if len(media) == 1:
+            return [None]
+        half = len(media) // 2
+        return decode_each(media[:half]) + decode_each(media[half:])
+
+
+def blocks(payload: bytes, points: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(first sample, samples, PCM bytes) of each frame: where to seek to, and what is there."""
+    for first, n in zip(points["sample"].tolist(), points["n"].tolist(), strict=True):
+        yield first, n, payload[first : first + n]
+
+
 def pcm_blocks(media: DataFrame) -> DataFrame:
-    """One row per frame of each stream: its first sample, number of samples and PCM bytes."""
+    """One row per frame of each stream: its first sample, number of samples and PCM bytes.
+
+    A stream that is null, damaged or of another kind is one row of nulls beside its doc_id. Repeated
+    rows give their frames each, and an empty table gives no rows.
+    """
     bounded_batches(media.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,14 +405,27 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             rows = []
-            for doc, (payload, points) in zip(batch.column("doc_id").to_pylist(), decode(batch.column("media").to_pylist()), strict=True):
-                rows += [(doc, i, int(s), int(n), payload[int(s) : int(s) + int(n)]) for i, (s, _, n) in enumerate(points.tolist())]
+            for doc, found in zip(batch.column("doc_id").to_pylist(), decode_each(batch.column("media").to_pylist()), strict=True):
+                rows += [(doc, i, *b) for i, b in enumerate(blocks(*found))] if found else [(doc, None, None, None, None)]
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "block", "first_sample", "n_samples", "pcm"])
 
     return media.select("doc_id", "media").mapInArrow(run, "doc_id long, block int, first_sample long, n_samples int, pcm binary")
 
 
+def _digest(found: tuple[bytes, np.ndarray] | None) -> tuple:
+    """(bytes, SHA-256, CRC-32 of the last unit, feature) over a stream's PCM blocks in order."""
+    if found is None:
+        return None, None, None, None
+    whole, size, tail = hashlib.sha256(), 0, b""
+    for first, n, pcm in blocks(*found):
+        if first != size or len(pcm) != n:
+            raise ValueError("PCM blocks do not join")
+        whole.update(pcm)
+        size, tail = size + n, (tail + pcm)[-UNIT:]
+    return size, whole.hexdigest(), zlib.crc32(tail), _feature(found[0])
+
+
 def _feature(payload: bytes) -> str:
     x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
     crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
@@ -399,14 +433,18 @@ def _feature(payload: bytes) -> str:
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """What the stored streams hold when read back."""
+    """What the PCM blocks of the stored streams hold when read back.
+
+    A damaged stream has null in the columns of its payload, and a null one in those of the stream
+    too. Repeated rows give a row each, and an empty table none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             blobs = batch.column("media").to_pylist()
-            rows = [(len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(b), hashlib.sha256(b).hexdigest(), _feature(p)) for b, (p, _) in zip(blobs, decode(blobs), strict=True)]
+            rows = [(*p[:3], *((None, None) if b is None else (len(b), hashlib.sha256(b).hexdigest())), p[3]) for b, p in zip(blobs, map(_digest, decode_each(blobs)), strict=True)]
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             made = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *made], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
@@ -415,4 +453,4 @@ def digests(media: DataFrame) -> DataFrame:
 
 
 def op10_flac_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(encode_media(table(spark, sf_dir, "documents")))
+    return digests(stored(encode_media(table(spark, sf_dir, "documents")), "media"))

@@ -87,8 +87,13 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, temperat
 
 
 def shuffled(mixed: DataFrame) -> DataFrame:
-    """In order of the hashed key over all partitions."""
-    return mixed.orderBy("_shuffle_key", "doc_id", "_copy")
+    """In order of the hashed key over all partitions.
+
+    Keys are uniform in [0, 1), so equal ranges of them are equal partitions; no pass over the
+    data looks for their bounds.
+    """
+    n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return mixed.repartitionById(n, F.floor(F.col("_shuffle_key") * n).cast("int")).sortWithinPartitions("_shuffle_key", "doc_id", "_copy")
 
 
 def draws(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
@@ -98,7 +103,12 @@ def draws(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
-    """The mixed and shuffled documents, in the columns of ``docs``."""
+    """The mixed and shuffled documents, in the columns of ``docs``.
+
+    Null texts count as no characters, a null source as one of its own, a null doc_id as the empty
+    id. Repeated rows get the same count each, ties of the key go by doc_id and copy, and an empty
+    table gives no rows.
+    """
     return draws(docs, weights, temperature, seed).select("row.*")
 
 

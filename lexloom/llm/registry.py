@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_suffix_dedup": suffix.OP4_SQL, "op5_poisson_mix": mixing.OP5_SQL, "op9_quality_rules": quality.OP9_SQL}
+    return {"op4_suffix_dedup": suffix.OP4_SQL, "op5_poisson_mix": mixing.OP5_SQL, "op7_chat_formatting": chat.OP7_SQL, "op9_quality_rules": quality.OP9_SQL}

@@ -35,6 +35,8 @@ SIDE = MATCH - ANCHOR
 WINDOWS = SIDE + 1
 #: Bytes of text in a batch and in a slice of the index, about.
 BATCH_BYTES, SLICE_BYTES = 4 << 20, 32 << 20
+#: Bytes of text behind a task, at most, about.
+TASK_BYTES = 128 << 20
 #: Cuts between batches that the driver holds; beyond them, equal steps of doc_id split each range further.
 MOST_CUTS = 4096
 #: Different entries of one anchor in a batch, and of all batches in a slice, beyond which it is crowded.
@@ -474,11 +476,17 @@ def _without_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         made = [texts.column("doc_id"), pa.array(np.diff(offsets)), pa.array(spans, pa.list_(SPAN)), pa.array(kept, pa.binary())]
         return pa.table([*made, *(texts.column(c) for c in carried)], ["doc_id", "n_bytes", "spans", "kept", *carried])
 
-    by_batch = number.groupBy("batch")
+    tasks = -(-int(size.bytes or 0) // TASK_BYTES)
+
+    def dealt(rows: DataFrame, by: str) -> DataFrame:
+        """As many tasks as the text asks for, where the session's number is too small."""
+        return rows.repartition(tasks, by) if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else rows
+
+    by_batch = dealt(number, "batch").groupBy("batch")
     anchors = by_batch.applyInArrow(tidy_group(index), "slice long, batch long, anchors binary")
-    answers = anchors.groupBy("slice").applyInArrow(tidy_group(meet), "batch long, slice long, answer binary")
+    answers = dealt(anchors, "slice").groupBy("slice").applyInArrow(tidy_group(meet), "batch long, slice long, answer binary")
     entries = by_batch.cogroup(answers.groupBy("batch")).applyInArrow(tidy_group(look), "slice long, batch long, rows binary, at binary")
-    hits = entries.groupBy("slice").applyInArrow(tidy_group(scan), "batch long, at binary, bits binary")
+    hits = dealt(entries, "slice").groupBy("slice").applyInArrow(tidy_group(scan), "batch long, at binary, bits binary")
     fields = "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary"
     out = by_batch.cogroup(hits.groupBy("batch")).applyInArrow(tidy_group(cut), ", ".join([fields, *(f"`{c}` {kinds[c].simpleString()}" for c in carried)]))
     whole = plain.where(F.col("doc_id").isNull()).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast("array<struct<start: long, stop: long>>").alias("spans"), F.col("text").cast("binary").alias("kept"), *carried)

@@ -562,7 +562,10 @@ def test_small_sources_reach_their_weight(spark):
 
 def test_op5_shuffles_texts(spark):
     plan = mixing.op5_poisson_mix(spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
-    assert re.search(r"Sort \[[^\n]*\n[ +-]*Project \[[^\n]*text#", plan)
+    assert re.search(r"Sort \[[^\n]*\n[ +-]*RepartitionByExpression[^\n]*\n[ +-]*Project \[[^\n]*text#", plan)
+    mixed = mixing.draws(spark.read.parquet(f"{DIR}/documents.parquet"))
+    keys = [r._shuffle_key for r in mixed.select("_shuffle_key").collect()]
+    assert keys == sorted(keys) and len(keys) > 100
 
 
 # --- FLAC -------------------------------------------------------------------------
@@ -578,6 +581,20 @@ def test_flac_round_trip(docs, none):
     assert flac.digests(flac.encode_media(none)).count() == 0
 
 
+def test_flac_damaged_streams(spark):
+    good = flac.encode(np.arange(1280, dtype=np.uint8), np.array([0, 640, 1280]))
+    bad = bytearray(good[1])
+    bad[-3] ^= 1
+    rows = [(1, 640, good[0]), (2, 640, bytes(bad)), (3, 640, good[1]), (4, 0, b""), (5, 3, b"abc"), (6, 0, None), (None, 640, good[0])]
+    media = spark.createDataFrame([(i, n, None if b is None else bytearray(b)) for i, n, b in rows], "doc_id long, n_bytes long, media binary").coalesce(1)
+    got = {r.doc_id: r for r in flac.digests(media).collect()}
+    assert {i for i, r in got.items() if r.payload_bytes == 640} == {1, 3, None}
+    assert all(got[i].payload_sha256 is None and got[i].feature is None for i in (2, 4, 5, 6)) and got[2].media_bytes == len(bad) and got[6].media_bytes is None
+    blocks = flac.pcm_blocks(media).collect()
+    assert {r.doc_id for r in blocks if r.pcm is None} == {2, 4, 5, 6}
+    assert b"".join(bytes(r.pcm) for r in sorted((r for r in blocks if r.doc_id == 3), key=lambda r: r.first_sample)) == bytes(range(128, 256)) + bytes(range(256)) * 2
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.integers(0, 1 << 30), st.sampled_from(["noise", "ramp", "flat", "tone"]), st.integers(1, 30))
 def test_flac_signals(seed, kind, units):
@@ -617,7 +634,7 @@ def test_flac_linear_prediction():
 
 def test_registered_sql(spark):
     c = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     for name, sql in registry.oracle_sql().items():
         got, want = registry.queries()[name](spark, DIR).toPandas(), c.execute(sql).df()
