@@ -17,22 +17,27 @@ from lexloom.llm.common import use_checkpoint_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep. Null and empty texts go; repeated rows stay or go together."""
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near-duplicates: that of the least doc_id, of which rows without one come last."""
     return simhash.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, without the 50-byte strings that a lesser doc_id has; null texts and rows without doc_id stay as they are."""
     return suffix.strip_repeats(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows repeated by their source's rate, shuffled; a null source is one of its own."""
     return mixing.mix(docs)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each row; a null or empty text is the single end token. No rows give none, here as in every stage."""
     return packing.pack(docs)
 
 
