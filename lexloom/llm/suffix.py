@@ -23,7 +23,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -225,13 +224,21 @@ def repeated_windows(rows: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return out
 
 
-def _mixed(rows: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Places, in sorted rows, of the anchors that rows of different ranks have."""
+def repeated_by_anchor(rows: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """``repeated_windows`` of sorted rows, some anchors at a time; anchors of a single rank have none."""
+    out = np.zeros(len(rows), np.uint32)
     if not len(rows):
-        return np.zeros(0, np.int64)
+        return out
     begin = np.flatnonzero(np.concatenate(([True], common(rows[1:], rows[:-1]) < ANCHOR)))
     several = np.minimum.reduceat(rank, begin) != np.maximum.reduceat(rank, begin)
-    return np.flatnonzero(np.repeat(several, np.diff(np.concatenate((begin, [len(rows)])))))
+    size = np.diff(np.concatenate((begin, [len(rows)])))[several]
+    begin = begin[several]
+    part = np.cumsum(size) // AT_ONCE
+    for p in np.unique(part):
+        own = part == p
+        at = np.repeat(begin[own], size[own]) + spread(size[own])
+        out[at] = repeated_windows(rows[at], rank[at])
+    return out
 
 
 class Levels:
@@ -317,9 +324,7 @@ def _looked(batch: Batch, answer: np.ndarray) -> tuple:
     first = np.flatnonzero(np.concatenate(([True], common(rows[1:], rows[:-1]) < _ROW))) if len(rows) else np.zeros(0, np.int64)
     group = np.repeat(np.arange(len(first)), np.diff(np.concatenate((first, [len(rows)]))))
     least = rank[first]
-    bits = np.zeros(len(first), np.uint32)
-    mixed = _mixed(rows[first], least)
-    bits[mixed] = repeated_windows(rows[first[mixed]], least[mixed])
+    bits = repeated_by_anchor(rows[first], least)
     full = _full(rows)
     mark = np.where(rank > least[group], full, bits[group])
     hit, asks = np.flatnonzero(mark), mark != full
@@ -370,8 +375,8 @@ def _scan(rows: pa.Table, slices: int) -> pa.Table:
                 levels.add(own[new], rank, seen[-1][1])
             n += len(new)
         all_rows, ranks, ids = levels.all()
-        mixed, bits = _mixed(all_rows, ranks), np.zeros(n, np.uint32)
-        bits[ids[mixed]] = repeated_windows(all_rows[mixed], ranks[mixed])
+        bits = np.zeros(n, np.uint32)
+        bits[ids] = repeated_by_anchor(all_rows, ranks)
         for mark, (new, own) in zip(marks, seen, strict=True):
             mark[new] = bits[own]
     hits = [np.flatnonzero(m) for m in marks]
@@ -422,8 +427,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return _without_repeats(docs)
 
 
-def _without_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """The same, with the columns that ``carry`` names as carry_…, so that no name clashes."""
+def _without_repeats(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """The same, with the columns that ``carry`` names as carry_…, so that no name clashes; ``as_text``: kept as a string, without cut characters."""
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry))
     known = plain.where(F.col("doc_id").isNotNull())
@@ -473,7 +478,8 @@ def _without_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
             edges = [a, *(x for s in own for x in s), b]
             kept.append(b"".join(blob[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)))
             spans.append([{"start": x - a, "stop": y - a} for x, y in own])
-        made = [texts.column("doc_id"), pa.array(np.diff(offsets)), pa.array(spans, pa.list_(SPAN)), pa.array(kept, pa.binary())]
+        left = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+        made = [texts.column("doc_id"), pa.array(np.diff(offsets)), pa.array(spans, pa.list_(SPAN)), left]
         return pa.table([*made, *(texts.column(c) for c in carried)], ["doc_id", "n_bytes", "spans", "kept", *carried])
 
     tasks = -(-int(size.bytes or 0) // TASK_BYTES)
@@ -487,9 +493,9 @@ def _without_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     answers = dealt(anchors, "slice").groupBy("slice").applyInArrow(tidy_group(meet), "batch long, slice long, answer binary")
     entries = by_batch.cogroup(answers.groupBy("batch")).applyInArrow(tidy_group(look), "slice long, batch long, rows binary, at binary")
     hits = dealt(entries, "slice").groupBy("slice").applyInArrow(tidy_group(scan), "batch long, at binary, bits binary")
-    fields = "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary"
+    fields = f"doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept {'string' if as_text else 'binary'}"
     out = by_batch.cogroup(hits.groupBy("batch")).applyInArrow(tidy_group(cut), ", ".join([fields, *(f"`{c}` {kinds[c].simpleString()}" for c in carried)]))
-    whole = plain.where(F.col("doc_id").isNull()).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast("array<struct<start: long, stop: long>>").alias("spans"), F.col("text").cast("binary").alias("kept"), *carried)
+    whole = plain.where(F.col("doc_id").isNull()).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast("array<struct<start: long, stop: long>>").alias("spans"), F.col("text").cast("string" if as_text else "binary").alias("kept"), *carried)
     return out.unionByName(whole)
 
 
@@ -534,16 +540,12 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     an empty table gives no rows.
     """
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    @F.pandas_udf("string")
-    def whole_characters(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
     null = "".join(["no_text", *docs.columns])  # a name that no column has
-    found = _without_repeats(docs.withColumn(null, F.col("text").isNull()), (*rest, null)).withColumn("left", whole_characters("kept"))
+    found = _without_repeats(docs.withColumn(null, F.col("text").isNull()), (*rest, null), as_text=True)
     kinds = dict(docs.dtypes)
-    new = {"doc_id": F.col("doc_id").cast(kinds["doc_id"]), "text": F.when(~F.col(f"carry_{null}"), F.col("left"))}
+    new = {"doc_id": F.col("doc_id").cast(kinds["doc_id"]), "text": F.when(~F.col(f"carry_{null}"), F.col("kept"))}
     if "n_chars" in kinds:
-        new["n_chars"] = F.when(F.col(f"carry_{null}"), F.col("carry_n_chars")).otherwise(F.length("left").cast(kinds["n_chars"]))
+        new["n_chars"] = F.when(F.col(f"carry_{null}"), F.col("carry_n_chars")).otherwise(F.length("kept").cast(kinds["n_chars"]))
     return found.select(*(new.get(c, F.col(f"carry_{c}")).alias(c) for c in docs.columns))
 
 
