@@ -21,8 +21,8 @@ from lexloom.llm.common import bounded_batches, checkpointed, table, tidy
 CAPACITY = 2048
 #: What is left of a document beside full sequences is cut once, at a multiple of this.
 GRAIN = 512
-#: Ranks within a length are counted in parts of about so many pieces, so that no length is one task's.
-PART_ROWS = 100_000
+#: Ranks within a length are counted in parts of at least so many pieces, so that no length is one task's; and the most parts beside one a length.
+PART_ROWS, MOST_PARTS = 250, 100_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -113,10 +113,11 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
     spark = docs.sparkSession
     cuts = checkpointed(pieces(docs, tokenizer_path or tokens.default_path(), capacity, grain))
     histogram = {r.length: r.n for r in cuts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
-    parts = spark.createDataFrame([(length, -(-n // PART_ROWS)) for length, n in histogram.items()], "length long, parts long")
+    part_rows = max(PART_ROWS, sum(histogram.values()) // MOST_PARTS)
+    parts = spark.createDataFrame([(length, -(-n // part_rows)) for length, n in histogram.items()], "length long, parts long")
     cuts = cuts.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("parts")))
     counts = cuts.groupBy("length", "part").agg(F.count("*").alias("n"))
-    # A row for each PART_ROWS pieces, and one a length.
+    # MOST_PARTS rows, and one a length.
     before = counts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     slots = spark.createDataFrame(plan(histogram, capacity), "length long, lo long, hi long, base long, offset long")
     within = Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")
