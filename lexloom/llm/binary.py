@@ -20,7 +20,7 @@ from lexloom.llm.common import bounded_batches, spread, stored, table, tidy
 
 CAPACITY = 2048
 #: Tokens gathered before a shard is packed: about 2000 sequences.
-SHARD_TOKENS = 4 << 20
+SHARD_TOKENS = 2 << 20
 PAD_ID = 0
 #: Sequences in one Arrow batch that leaves a task.
 OUT_ROWS = 256
