@@ -217,3 +217,12 @@ def screening_route(status: str = "status", category: str = "category", confiden
 
 def folded_search(text, needle: str) -> Column:
     return fold(text).contains(needle.lower())
+
+
+def concat_with_lineage(frames: dict[str, DataFrame], column: str = "origin") -> DataFrame:
+    """All rows of the frames with the name of theirs; columns that a frame lacks are null."""
+    out = None
+    for name, frame in frames.items():
+        own = frame.withColumn(column, F.lit(name))
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out

@@ -123,3 +123,21 @@ def doi_origins(papers: DataFrame, files: DataFrame) -> DataFrame:
     a = papers.select(ids.doi("doi", "corpus").alias("doi"), F.col("origin"), F.lit(0).alias("turn"))
     b = files.select(F.lower(ids.doi("name", "filename")).alias("doi"), F.col("name").alias("origin"), F.lit(1).alias("turn"))
     return least_by(a.unionByName(b).where("doi != ''"), ["doi"], [F.col("turn"), F.col("origin")]).select("doi", "origin")
+
+
+def with_outcome(rows: DataFrame, outcomes: DataFrame, on: str = "row_id") -> DataFrame:
+    """``rows`` with status and method of their download by row number; a row without an outcome is pending."""
+    return rows.join(outcomes.select(on, "status", "method"), on, "left").withColumn("status", F.coalesce("status", F.lit("pending")))
+
+
+def split_pending(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that are downloaded, rows that are not)."""
+    done = F.col("status") == "downloaded"
+    return rows.where(done), rows.where(~done)
+
+
+def feed_back(registry: DataFrame, rows: DataFrame, today: str, seq: str = "row_id") -> DataFrame:
+    """The registry after a download: what failed comes in or is refreshed with its status as reason, what came is marked."""
+    done, pending = split_pending(rows)
+    asked = pending.drop("reason").withColumn("reason", F.col("status")).drop("status")
+    return mark_downloaded(upsert(registry, asked, today, seq), done, today)

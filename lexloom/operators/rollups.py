@@ -101,3 +101,14 @@ def corpus_header(papers: DataFrame, keywords: DataFrame) -> DataFrame:
 
 def shortest(docs: DataFrame, n: int = 5, words: str = "n_words", id_col: str = "paper_id") -> DataFrame:
     return docs.orderBy(words, id_col).limit(n)
+
+
+def listing(papers: DataFrame, chunks: DataFrame, index: DataFrame) -> DataFrame:
+    """(category, n_papers, n_chunks, n_vectors, models) of every category that any of the tables names.
+
+    ``index`` has category and model; models are sorted and joined by commas, empty without an index.
+    """
+    counts = [t.groupBy("category").agg(F.count("*").alias(n)) for t, n in ((papers, "n_papers"), (chunks, "n_chunks"), (index, "n_vectors"))]
+    models = index.groupBy("category").agg(F.array_join(F.sort_array(F.collect_set("model")), ",").alias("models"))
+    out = counts[0].join(counts[1], "category", "full").join(counts[2], "category", "full").join(models, "category", "left")
+    return out.fillna(0, ["n_papers", "n_chunks", "n_vectors"]).fillna("", ["models"])

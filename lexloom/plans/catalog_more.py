@@ -454,6 +454,32 @@ def known_dois(spark, d):
     return registry.known_dois(rows.where("source_type IS NOT NULL"), names)
 
 
+@query(f"""WITH {PAPERS_SQL}, {LOOSE}, {REGISTRY_SQL}, o AS (SELECT *, CASE seq % 3 WHEN 0 THEN 'downloaded' WHEN 1 THEN 'no_pdf' ELSE 'pending' END AS outcome FROM loose WHERE doi <> ''),
+done AS (SELECT DISTINCT doi FROM o WHERE outcome = 'downloaded'), failed AS (SELECT doi, arg_max(outcome, seq) AS reason FROM o WHERE outcome <> 'downloaded' GROUP BY doi)
+SELECT coalesce(reg.doi, failed.doi) AS doi, CASE WHEN coalesce(reg.doi, failed.doi) IN (SELECT doi FROM done) THEN 'downloaded' ELSE coalesce(status, 'pending') END AS status,
+CASE WHEN failed.doi IS NOT NULL AND (reg.doi IS NULL OR status = 'pending') THEN failed.reason ELSE reg.reason END AS reason FROM reg FULL JOIN failed ON reg.doi = failed.doi""")
+def download_feedback(spark, d):
+    old, rows = registry_parts(spark, d)
+    rows = rows.withColumn("row_id", F.col("seq"))
+    outcomes = rows.where("seq % 3 < 2").select("row_id", F.when(F.col("seq") % 3 == 0, "downloaded").otherwise("no_pdf").alias("status"), F.lit("unpaywall").alias("method"))
+    return registry.feed_back(old, registry.with_outcome(rows, outcomes), "2026-01-01").select("doi", "status", "reason")
+
+
+@query(f"""WITH {PAPERS_SQL}, p AS (SELECT category, count(*) AS n_papers FROM papers WHERE n_references > 0 GROUP BY 1), c AS (SELECT source AS category, count(*) AS n_chunks FROM documents GROUP BY 1),
+i AS (SELECT 'label ' || label AS category, count(*) AS n_vectors, array_to_string(list_sort(list_distinct(list('m' || vec_id % 3))), ',') AS models FROM embeddings GROUP BY 1)
+SELECT category, coalesce(n_papers, 0) AS n_papers, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_vectors, 0) AS n_vectors, coalesce(models, '') AS models FROM p FULL JOIN c USING (category) FULL JOIN i USING (category)""")
+def category_listing(spark, d):
+    index = table(spark, d, "embeddings").select(F.concat(F.lit("label "), "label").alias("category"), F.concat(F.lit("m"), F.col("vec_id") % 3).alias("model"))
+    return rollups.listing(papers(spark, d).where("n_references > 0"), table(spark, d, "documents").select(F.col("source").alias("category")), index)
+
+
+@query("SELECT 'documents' AS origin, doc_id AS id, n_chars, NULL AS turn FROM documents UNION ALL SELECT 'conversations', conv_id, NULL, turn FROM conversations UNION ALL SELECT 'benchmark', item_id, NULL, NULL FROM benchmark")
+def concat_with_lineage(spark, d):
+    docs, turns, items = table(spark, d, "documents"), table(spark, d, "conversations"), table(spark, d, "benchmark")
+    frames = {"documents": docs.select(F.col("doc_id").alias("id"), "n_chars"), "conversations": turns.select(F.col("conv_id").alias("id"), "turn"), "benchmark": items.select(F.col("item_id").alias("id"))}
+    return metadata.concat_with_lineage(frames)
+
+
 # --- validation -----------------------------------------------------------------------------
 
 

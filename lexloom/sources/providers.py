@@ -98,3 +98,24 @@ def answer(prompts: DataFrame, make: Callable[[], Generator], prompt: str = "pro
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string()), pa.array(failed, pa.string())], [*batch.schema.names, "answer", "error"])
 
     return prompts.mapInArrow(run, ", ".join([*kinds, "answer string", "error string"]))
+
+
+class TitleSearch(Protocol):
+    """The works, as JSON, that fit a title best, best first."""
+
+    def __call__(self, title: str, n: int) -> list[str]: ...
+
+
+def suggest(papers: DataFrame, make: Callable[[], TitleSearch], n: int = 3, id_col: str = "paper_id") -> DataFrame:
+    """(id, rank from 1, message): up to ``n`` works for each title; blank titles aren't asked for."""
+    kind = papers.schema[id_col].dataType.simpleString()
+    wanted = papers.where(F.trim("title") != "").select(id_col, "title")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ask = make()
+        for batch in batches:
+            found = [ask(t, n)[:n] for t in batch.column(1).to_pylist()]
+            at = [i for i, x in enumerate(found) for _ in x]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array([r for x in found for r in range(1, len(x) + 1)], pa.int32()), pa.array([m for x in found for m in x], pa.string())], [id_col, "rank", "message"])
+
+    return wanted.mapInArrow(run, f"`{id_col}` {kind}, rank int, message string")

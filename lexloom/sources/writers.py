@@ -12,7 +12,10 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).json(path)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", mark: bool = False) -> None:
+    """``mark``: every file begins with the byte order mark that spreadsheet programs look for."""
+    if mark:
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
     df.write.mode(mode).options(header="true", encoding="UTF-8").csv(path)
 
 

@@ -411,3 +411,21 @@ def test_screening_without_dois(spark):
     corpus = spark.createDataFrame([("10.1/y", "h1"), (None, None)], "doi string, sha256 string")
     got = {r.name: r.outcome for r in dedup.screen_batch(batch, corpus).collect()}
     assert got == {"a": "duplicate_hash", "b": "kept_no_doi", "c": "kept_no_doi", "d": "kept", "e": "duplicate_batch", "f": "duplicate_doi"}
+
+
+def test_title_suggestions(spark):
+    from lexloom.sources import providers
+
+    class Search:
+        def __call__(self, title, n):
+            return [f"{title} {i}" for i in range(0 if title == "none" else 5)]
+
+    rows = spark.createDataFrame([("a", "one"), ("b", " "), ("c", None), ("d", "none")], "paper_id string, title string")
+    assert sorted(map(tuple, providers.suggest(rows, Search).collect())) == [("a", 1, "one 0"), ("a", 2, "one 1"), ("a", 3, "one 2")]
+
+
+def test_csv_with_a_mark(spark, tmp_path):
+    from lexloom.sources import writers
+
+    writers.write_csv(spark.createDataFrame([("x", 1)], "name string, n int").coalesce(1), str(tmp_path / "c"), mark=True)
+    assert next((tmp_path / "c").glob("part-*")).read_bytes() == b"\xef\xbb\xbfname,n\nx,1\n"
