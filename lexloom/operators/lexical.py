@@ -60,14 +60,15 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", tex
 def bm25_query(docs: DataFrame, query: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, score) for one query, of rows with a positive score.
 
-    One pass tokenizes the corpus and keeps a row's length and its counts of the query's terms;
-    statistics and scores follow from those. Only a negative idf asks for the whole vocabulary.
+    One pass tokenizes the corpus into the shared checkpoint folder; lengths and counts of the
+    query's terms follow from there. Only a negative idf asks for the whole vocabulary.
     """
     spark = docs.sparkSession
     asked = [r.term for r in spark.range(1).select(F.explode(tokens(F.lit(query))).alias("term")).collect()]
     terms = sorted(set(asked))
     counts = lambda w: F.struct(F.size(w).alias("dl"), F.array(*(F.size(w) - F.size(F.array_remove(w, t)) for t in terms)).cast("array<int>").alias("tf"))
-    kept = checkpointed(docs.select(F.col(doc_id).alias("id"), let(tokens(text), counts).alias("p"))).select("id", "p.dl", "p.tf")
+    toks = checkpointed(tokenized(docs, doc_id, text))
+    kept = checkpointed(toks.select("id", let(F.col("toks"), counts).alias("p"))).select("id", "p.dl", "p.tf")
     stats = kept.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.get("tf", F.lit(i)) > 0).alias(f"df{i}") for i in range(len(terms)))).first()
     if not asked or not stats.n:
         return kept.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
@@ -75,7 +76,7 @@ def bm25_query(docs: DataFrame, query: str, doc_id: str = "doc_id", text: str =
     raw = [value(stats[f"df{i}"]) for i in range(len(terms))]
     if any(r < 0 for r in raw):
         size = spark.createDataFrame([(stats.n,)], "n_docs long")
-        mean = document_frequency(tokenized(docs, doc_id, text)).crossJoin(F.broadcast(size)).agg(F.avg(F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("m")).first().m  # size is one row
+        mean = document_frequency(toks).crossJoin(F.broadcast(size)).agg(F.avg(F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("m")).first().m  # size is one row
         raw = [EPSILON * mean if r < 0 else r for r in raw]
     score = F.lit(0.0)
     for i, (t, weight) in enumerate(zip(terms, raw, strict=True)):
