@@ -1,9 +1,10 @@
 """FLAC streams of 8-bit mono samples, encoded and decoded many frames at a time.
 
 The frames of a batch are rows of a matrix. The seek table of each stream says where its
-frames begin, so Rice codes of all frames are read in lockstep: step t reads the t-th residual
-of every frame. Predictors are undone by cumulative sums (fixed) or a step for each sample
-(quantised linear prediction), and both checksums of every frame and the MD5 of every stream are verified.
+frames begin, or a search for headers where a table has not all of them, so Rice codes of all
+frames are read in lockstep: step t reads the t-th residual of every frame. Predictors are undone
+by cumulative sums (fixed) or a step for each sample of all frames (quantised linear prediction),
+and both checksums of every frame and the MD5 of every stream are verified.
 """
 
 from __future__ import annotations
@@ -26,9 +27,8 @@ RATE = 8000
 #: Frames encoded or decoded in one go: 1 MB of samples.
 GROUP = 2048
 MOST_ORDER = 4
-#: A frame goes verbatim only where its Rice codes take over so many times the plain bits, so that
-#: reading is by the predictor nearly everywhere.
-VERBATIM_OVER = 1.25
+#: Order of the encoder's linear predictors and bits of their coefficients.
+LPC_ORDER, PRECISION = 8, 12
 
 
 def _table(poly: int, width: int, bits: int) -> np.ndarray:
@@ -83,8 +83,52 @@ def _header(number: int, n: int) -> bytes:
     return b"\xff\xf8" + bytes([0x74, 0x02]) + _number(number) + (n - 1).to_bytes(2, "big")
 
 
+def _predictors(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Quantised coefficients, the newest sample's first, and shifts, for each row of samples.
+
+    Autocorrelations are sums of whole numbers and the rest goes element by element, so a frame has
+    the same predictor in whichever batch it stands.
+    """
+    sizes, own = np.unique(n, return_inverse=True)
+    t, sizes = np.arange(BLOCK), sizes[:, None]
+    window = np.maximum(0, 256 * (t + 1) * (sizes - t) // (sizes + 1) ** 2).astype(np.float64)
+    w = x * window[own]
+    lags = [np.einsum("ij,ij->i", w[:, i:], w[:, : BLOCK - i]) for i in range(LPC_ORDER + 1)]
+    error, a = lags[0] * (1 + 2.0**-20) + 1, []
+    for i in range(LPC_ORDER):
+        rest = lags[i + 1].copy()
+        for j in range(i):
+            rest -= a[j] * lags[i - j]
+        k = rest / error
+        a = [a[j] - k * a[i - 1 - j] for j in range(i)] + [k]
+        error = np.maximum(error * (1 - k * k), 1)
+    a = np.stack(a, axis=1)
+    shift = np.clip(PRECISION - 1 - np.frexp(np.abs(a).max(axis=1))[1], 0, 15).astype(np.int64)
+    top = 1 << (PRECISION - 1)
+    return np.clip(np.rint(a * 2.0 ** shift[:, None]), -top, top - 1).astype(np.int32), shift
+
+
+def _rice(r: np.ndarray, coded: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(residuals folded to positive numbers, the best of three parameters, bits of the codes) of each row."""
+    u = np.where(coded, (r << 1) ^ (r >> 31), 0)
+    mean = u.sum(axis=1) / np.maximum(1, count)
+    guess = np.frexp(np.maximum(1, mean * 0.7))[1].astype(np.int64) - 1
+    best, k = None, guess
+    for change in (-1, 0, 1):
+        kk = np.clip(guess + change, 0, 14)
+        bits = (u >> kk[:, None].astype(np.int32)).sum(axis=1) + count * (kk + 1)
+        if best is None:
+            best, k = bits, kk
+        else:
+            k, best = np.where(bits < best, kk, k), np.minimum(bits, best)
+    return u, k, best
+
+
 def encode_frames(x: np.ndarray, n: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes of all frames, int64 offsets). ``x``: int16 rows of BLOCK signed samples, ``n`` of them used."""
+    """(bytes of all frames, int64 offsets). ``x``: int16 rows of BLOCK signed samples, ``n`` of them used.
+
+    Each frame takes the smallest of its forms: constant, verbatim, fixed or linear prediction.
+    """
     rows = len(x)
     used = np.arange(BLOCK) < n[:, None]
     residual, cost = [x], [np.where(used, np.abs(x), 0)[:, MOST_ORDER:].sum(axis=1, dtype=np.int64)]
@@ -94,23 +138,22 @@ def encode_frames(x: np.ndarray, n: np.ndarray, number: np.ndarray) -> tuple[np.
         residual.append(d)
         cost.append(np.where(used, np.abs(d), 0)[:, MOST_ORDER:].sum(axis=1, dtype=np.int64))
     order = np.argmin(np.stack(cost), axis=0)
-    r = np.choose(order[:, None], residual).astype(np.int32)
+    fixed = np.choose(order[:, None], residual).astype(np.int32)
+    u, k, bits = _rice(fixed, used & (np.arange(BLOCK) >= order[:, None]), n - order)
+    sub = 8 + 8 * order + 10 + bits
+    weight, shift = _predictors(x, n)
+    wide = x.astype(np.int32)
+    guess = sum(weight[:, j, None] * wide[:, LPC_ORDER - 1 - j : BLOCK - 1 - j] for j in range(LPC_ORDER)) >> shift[:, None].astype(np.int32)
+    wide[:, LPC_ORDER:] -= guess
+    lpc_u, lpc_k, lpc_bits = _rice(wide, used & (np.arange(BLOCK) >= LPC_ORDER), n - LPC_ORDER)
+    weights = 9 + PRECISION * LPC_ORDER
+    lpc_sub = 8 + 8 * LPC_ORDER + weights + 10 + lpc_bits
+    lpc = (n > LPC_ORDER) & (lpc_sub < sub)
+    u, k, sub, order = np.where(lpc[:, None], lpc_u, u), np.where(lpc, lpc_k, k), np.where(lpc, lpc_sub, sub), np.where(lpc, LPC_ORDER, order)
     coded = used & (np.arange(BLOCK) >= order[:, None])
-    u = np.where(coded, (r << 1) ^ (r >> 31), 0)
-    mean = u.sum(axis=1) / np.maximum(1, n - order)
-    guess = np.floor(np.log2(np.maximum(1, mean * 0.7))).astype(np.int64)
-    best, k = None, guess
-    for shift in (-1, 0, 1):
-        kk = np.clip(guess + shift, 0, 14)
-        bits = (u >> kk[:, None]).sum(axis=1) + (n - order) * (kk + 1)
-        if best is None:
-            best, k = bits, kk
-        else:
-            k, best = np.where(bits < best, kk, k), np.minimum(bits, best)
     held = np.where(used, x, x[:, :1])
     constant = held.max(axis=1) == held.min(axis=1)
-    sub = 8 + 8 * order + 10 + best
-    verbatim = ~constant & (sub > VERBATIM_OVER * (8 + 8 * n))
+    verbatim = ~constant & (sub > 8 + 8 * n)
     sub = np.where(constant, 16, np.where(verbatim, 8 + 8 * n, sub))
     heads = [_header(a, b) for a, b in zip(number.tolist(), n.tolist(), strict=True)]
     head = np.fromiter(map(len, heads), np.int64, rows)
@@ -124,16 +167,22 @@ def encode_frames(x: np.ndarray, n: np.ndarray, number: np.ndarray) -> tuple[np.
             bits[at + j] = value >> (width - 1 - j) & 1
 
     rice = ~constant & ~verbatim
-    put(begin, np.where(constant, 0, np.where(verbatim, 2, (8 + order) << 1)), 8)
+    lpc &= rice
+    put(begin, np.where(constant, 0, np.where(verbatim, 2, np.where(lpc, 31 + order, 8 + order) << 1)), 8)
     put(begin[constant] + 8, x[constant, 0] & 0xFF, 8)
     if verbatim.any():
         plain = used & verbatim[:, None]
         at = np.where(plain, 8 * np.arange(BLOCK) + 8 + begin[:, None], 0)[plain]
         put(at, x[plain] & 0xFF, 8)
-    for p in range(MOST_ORDER):
+    for p in range(LPC_ORDER):
         warm = rice & (order > p)
         put(begin[warm] + 8 + 8 * p, x[warm, p] & 0xFF, 8)
-    put((begin + 8 + 8 * order)[rice], k[rice], 10)
+    after = begin + 8 + 8 * order
+    put(after[lpc], (PRECISION - 1) << 5 | shift[lpc], 9)
+    for p in range(LPC_ORDER):
+        put(after[lpc] + 9 + PRECISION * p, weight[lpc, p], PRECISION)
+    after += np.where(lpc, weights, 0)
+    put(after[rice], k[rice], 10)
     coded &= rice[:, None]
     flat, kk = u[coded], np.repeat(k, coded.sum(axis=1))
     q = flat >> kk
@@ -142,7 +191,7 @@ def encode_frames(x: np.ndarray, n: np.ndarray, number: np.ndarray) -> tuple[np.
     end = np.cumsum(size_of)
     row_first = np.concatenate(([0], np.cumsum(count)))[:-1]
     before = np.concatenate(([0], end))[row_first]
-    stop = end - size_of + np.repeat(begin + 18 + 8 * order - before, count) + q
+    stop = end - size_of + np.repeat(after + 10 - before, count) + q
     bits[stop] = 1
     for j in range(int(k.max(initial=0))):
         deep = kk > j
@@ -177,7 +226,7 @@ def encode(body: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     for i in range(len(size)):
         a, b = first[i], first[i + 1]
         own = length[a:b]
-        table_ = np.zeros(b - a, np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]))
+        table_ = np.zeros(b - a, _POINT)
         table_["sample"], table_["offset"], table_["n"] = number[a:b] * BLOCK, ends[a:b] - ends[a], n[a:b]
         digest = hashlib.md5((body[offsets[i] : offsets[i + 1]] ^ 0x80).tobytes()).digest()
         info = BLOCK.to_bytes(2, "big") * 2 + int(own.min()).to_bytes(3, "big") + int(own.max()).to_bytes(3, "big") + (RATE << 44 | 7 << 36 | int(size[i])).to_bytes(8, "big") + digest
@@ -185,8 +234,33 @@ def encode(body: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return streams
 
 
-def _streams(media: list[bytes]) -> list[tuple[int, bytes, list, int]]:
-    """(samples, MD5, seek points, where frames begin) of each stream."""
+_POINT = np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
+
+
+def _frames(blob: bytes, at: int, samples: int) -> np.ndarray:
+    """Seek points of all frames from ``at`` on: headers with the next number and a right checksum, each behind a whole frame."""
+    body = np.frombuffer(blob, np.uint8)
+    places = np.flatnonzero((body[at:-1] == 0xFF) & (body[at + 1 :] == 0xF8)) + at
+    begins: list[int] = []
+    size: list[int] = []
+    for p in places.tolist():
+        head = _head(np.concatenate((body[p : p + 16], np.zeros(16, np.uint8))), np.zeros(1, np.int64))
+        length = int(head[0][0])
+        if int(head[1][0]) != len(begins) or p + length >= len(body) or crc8(body[None, p : p + length + 1])[0]:
+            continue
+        if begins and crc16(_right(body, np.array(begins[-1:]), np.array([p - begins[-1]])))[0]:
+            continue
+        begins.append(p)
+        size.append(int(head[2][0]))
+    out = np.zeros(len(begins), _POINT)
+    out["sample"], out["offset"], out["n"] = np.cumsum(size) - size, np.array(begins, np.int64) - at, size
+    if sum(size) != samples:
+        raise ValueError("frames do not make up their stream")
+    return out
+
+
+def _streams(media: list[bytes]) -> list[tuple[int, bytes, np.ndarray, int]]:
+    """(samples, MD5, seek points of all frames, where frames begin) of each stream."""
     out = []
     for blob in media:
         if blob[:4] != b"fLaC":
@@ -201,34 +275,37 @@ def _streams(media: list[bytes]) -> list[tuple[int, bytes, list, int]]:
                     raise ValueError("only 8-bit mono streams are read")
                 samples, digest = word & (1 << 36) - 1, content[18:34]
             elif kind == 3:
-                points = np.frombuffer(content, np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]))
-        if points is None:
-            raise ValueError("a stream without a seek table of all frames")
-        if samples != points["n"].sum(dtype=np.int64) or (points["sample"] != np.cumsum(points["n"], dtype=np.int64) - points["n"]).any():
-            raise ValueError("a seek table that does not cover its stream")
+                points = np.frombuffer(content, _POINT)
+        if points is None or samples != points["n"].sum(dtype=np.int64) or (points["sample"] != np.cumsum(points["n"], dtype=np.int64) - points["n"]).any():
+            points = _frames(blob, at, samples)
         out.append((samples, digest, points, at))
     return out
 
 
-def decode_frames(body: np.ndarray, start: np.ndarray, length: np.ndarray, n: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """int32 rows of samples; raises where a header, checksum or code is wrong."""
-    rows = np.arange(len(start))
-    if crc16(_right(body, start, length)).any():
-        raise ValueError("a frame checksum is wrong")
+def _head(body: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of the header before its checksum, frame number, samples) of the frames at ``start``."""
     lead = body[start + 4]
     tail = np.where(lead < 0x80, 0, np.where(lead < 0xE0, 1, np.where(lead < 0xF0, 2, np.where(lead < 0xF8, 3, np.where(lead < 0xFC, 4, 5)))))
-    got = np.where(tail == 0, lead, lead & (0x3F >> tail)).astype(np.int64)
+    number = np.where(tail == 0, lead, lead & (0x3F >> tail)).astype(np.int64)
     for j in range(int(tail.max())):
         more = tail > j
-        got[more] = got[more] << 6 | body[start[more] + 5 + j] & 0x3F
-    code = body[start + 2] >> 4
+        number[more] = number[more] << 6 | body[start[more] + 5 + j] & 0x3F
+    code, rate = (body[start + 2] >> 4).astype(np.int64), body[start + 2] & 15
     extra = np.where(code == 6, 1, np.where(code == 7, 2, 0))
-    head = 5 + tail + extra
-    samples = np.where(code >= 8, 256 << np.maximum(0, code.astype(np.int64) - 8), 0)
+    samples = np.where(code >= 8, 256 << np.maximum(0, code - 8), np.where(code >= 2, 576 << np.clip(code - 2, 0, 3), np.where(code == 1, 192, 0)))
     for wide in (1, 2):
         own = extra == wide
         samples[own] = 1 + sum(body[start[own] + 5 + tail[own] + j].astype(np.int64) << (8 * (wide - 1 - j)) for j in range(wide))
-    if (body[start] != 0xFF).any() or (body[start + 1] != 0xF8).any() or (body[start + 3] != 0x02).any() or (got != number).any() or (samples != n).any():
+    return 5 + tail + extra + np.where(rate == 12, 1, np.where((rate == 13) | (rate == 14), 2, 0)), number, samples
+
+
+def decode_frames(body: np.ndarray, start: np.ndarray, length: np.ndarray, n: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """int32 rows of samples; raises where a header, checksum or code is wrong."""
+    rows = np.arange(len(start))
+    if crc16(_right(body, start, length)).any():
+        raise ValueError("a frame checksum is wrong")
+    head, got, samples = _head(body, start)
+    if (body[start] != 0xFF).any() or (body[start + 1] != 0xF8).any() or (body[start + 3] & 0xFD).any() or (got != number).any() or (samples != n).any():
         raise ValueError("a frame header does not agree with the seek table")
     if crc8(_right(body, start, head + 1, 1)).any():
         raise ValueError("a header checksum is wrong")
@@ -239,8 +316,10 @@ def decode_frames(body: np.ndarray, start: np.ndarray, length: np.ndarray, n: np
     read = lambda pos: window[pos >> 3] << (pos & 7).astype(np.uint64)
     field = lambda pos, width: (read(pos) >> np.uint64(64 - width)).astype(np.int64)
     pos = (start + head + 1) * 8
-    kind = field(pos, 8) >> 1
-    pos = pos + 8
+    kind = field(pos, 8)
+    if (kind & 1).any():
+        raise ValueError("wasted bits are not read")
+    kind, pos = kind >> 1, pos + 8
     width = int(n.max())
     out = np.zeros((len(start), width), np.int32)
     sign = lambda v, bits: (v ^ (1 << (bits - 1))) - (1 << (bits - 1))
@@ -258,11 +337,18 @@ def decode_frames(body: np.ndarray, start: np.ndarray, length: np.ndarray, n: np
         warm = order > p
         out[warm, p] = sign(field(pos[warm] + 8 * p, 8), 8)
     pos = pos + 8 * order
-    weights: dict[int, tuple[np.ndarray, int]] = {}
-    for i in np.flatnonzero(lpc).tolist():
-        precision, shift, at = int(field(pos[i : i + 1], 4)[0]) + 1, int(field(pos[i : i + 1] + 4, 5)[0]), pos[i] + 9
-        weights[i] = sign(field(at + precision * np.arange(order[i]), precision), precision), int(sign(shift, 5))
-        pos[i] = at + precision * order[i]
+    linear = rows[lpc]
+    reach = int(order[lpc].max(initial=0))
+    weight = np.zeros((reach, len(linear)), np.int64)
+    precision, shift = field(pos[lpc], 4) + 1, sign(field(pos[lpc] + 4, 5), 5)
+    if (shift < 0).any():
+        raise ValueError("a negative shift")
+    for j in range(reach):
+        own = order[lpc] > j
+        width_of = precision[own]
+        value = (read(pos[linear[own]] + 9 + width_of * j) >> (64 - width_of).astype(np.uint64)).astype(np.int64)
+        weight[reach - 1 - j, own] = (value ^ (1 << (width_of - 1))) - (1 << (width_of - 1))
+    pos[lpc] += 9 + precision * order[lpc]
     coded = rows[lpc | fixed]
     p, m, left = pos[coded], n[coded], order[coded]
     method, parts = field(p, 2), field(p + 2, 4)
@@ -270,7 +356,7 @@ def decode_frames(body: np.ndarray, start: np.ndarray, length: np.ndarray, n: np
         raise ValueError("a reserved residual coding")
     p, param = p + 6, 4 + method
     part = m >> parts
-    k = np.zeros(len(coded), np.uint64)
+    k, plain = np.zeros(len(coded), np.uint64), np.full(len(coded), -1, np.int64)
     codes = np.zeros((width, len(coded)), np.int64)
     one = np.uint64(1)
     for t in range(width):
@@ -279,13 +365,14 @@ def decode_frames(body: np.ndarray, start: np.ndarray, length: np.ndarray, n: np
         if fresh.any():
             own = np.flatnonzero(fresh)
             value = (read(p[own]) >> (64 - param[own]).astype(np.uint64)).astype(np.int64)
-            if (value == (1 << param[own]) - 1).any():
-                raise ValueError("escaped residuals are not read")
-            k[own], p[own] = value.astype(np.uint64), p[own] + param[own]
+            k[own], p[own], plain[own] = value.astype(np.uint64), p[own] + param[own], -1
+            if len(own := own[value == (1 << param[own]) - 1]):  # an escape: residuals of so many bits follow as they are
+                plain[own], k[own], p[own] = field(p[own], 5), 0, p[own] + 5
         w = read(p)
         top = (w >> np.uint64(32)).astype(np.float64)
         q = 32 - np.frexp(top)[1].astype(np.int64)
-        if (long := live & (top == 0)).any():
+        as_is = live & (plain >= 0)
+        if (long := live & (top == 0) & ~as_is).any():
             for i in np.flatnonzero(long).tolist():  # a quotient of 32 or more
                 at = int(p[i]) + 32
                 while not int(read(np.array([at]))[0]) >> 63:
@@ -294,7 +381,12 @@ def decode_frames(body: np.ndarray, start: np.ndarray, length: np.ndarray, n: np
         p2 = p + q + 1
         low = np.where(q + k.astype(np.int64) < 56, (w << np.minimum(q + 1, 63).astype(np.uint64)), read(np.minimum(p2, 8 * len(body)))) >> one >> (np.uint64(63) - k)
         codes[t] = np.where(live, q << k.astype(np.int64) | low.astype(np.int64), 0)
-        p = np.where(live, p2 + k.astype(np.int64), p)
+        if as_is.any():
+            size = plain[as_is]
+            value = np.where(size == 0, 0, (w[as_is] >> (64 - np.maximum(1, size)).astype(np.uint64)).astype(np.int64))
+            value = np.where(size == 0, 0, (value ^ (1 << np.maximum(0, size - 1))) - (1 << np.maximum(0, size - 1)))
+            codes[t, as_is] = (value << 1) ^ (value >> 63)
+        p = np.where(as_is, p + plain, np.where(live, p2 + k.astype(np.int64), p))
     if (-(-p // 8) != start[coded] + length[coded] - 2).any():
         raise ValueError("residuals do not end where the frame does")
     residual = ((codes >> 1) ^ -(codes & 1)).T.astype(np.int32)
@@ -309,11 +401,15 @@ def decode_frames(body: np.ndarray, start: np.ndarray, length: np.ndarray, n: np
                 a[:, j] = begin[j]
                 a[:, j:] = np.cumsum(a[:, j:], axis=1)
             out[own] = a
-    for i, (weight, shift) in weights.items():
-        x = out[i].astype(np.int64)
-        for s in range(int(order[i]), int(n[i])):
-            x[s] += int(weight @ x[s - len(weight) : s][::-1]) >> shift
-        out[i] = x
+    if reach:
+        x = np.zeros((reach + width, len(linear)), np.int32)
+        x[reach:] = out[linear].T
+        first, until = order[linear], n[linear]
+        weight, shift = weight.astype(np.int32), shift.astype(np.int32)
+        for t in range(1, width):
+            step = np.einsum("ij,ij->j", weight, x[t : t + reach]) >> shift
+            x[reach + t] += step if first.max() <= t < until.min() else np.where((t >= first) & (t < until), step, 0)
+        out[linear] = x[reach:].T
     return out
 
 

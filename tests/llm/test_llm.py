@@ -629,6 +629,126 @@ def test_flac_linear_prediction():
     assert got[0].tolist() == x
 
 
+class Bits:
+    """Bits of a stream, one after another."""
+
+    def __init__(self, data):
+        self.all, self.at = "".join(format(b, "08b") for b in data), 0
+
+    def take(self, n):
+        self.at += n
+        return int(self.all[self.at - n : self.at] or "0", 2)
+
+    def signed(self, n):
+        v = self.take(n)
+        return v - (1 << n) if n and v >> (n - 1) else v
+
+    def unary(self):
+        q = self.all.index("1", self.at) - self.at
+        self.at += q + 1
+        return q
+
+
+def slow_flac(blob):
+    """Samples of an 8-bit mono stream, read bit by bit as the format is described, and the kinds of its subframes."""
+    at, last = 4, 0
+    while not last:
+        last, size = blob[at] >> 7, int.from_bytes(blob[at + 1 : at + 4], "big")
+        if not blob[at] & 127:
+            total = int.from_bytes(blob[at + 14 : at + 22], "big") & (1 << 36) - 1
+        at += 4 + size
+    bits, out, kinds = Bits(blob[at:]), [], []
+    while len(out) < total:
+        assert bits.take(16) == 0xFFF8
+        code, rate, _ = bits.take(4), bits.take(4), bits.take(8)
+        lead = bits.take(8)
+        bits.take(8 * max(0, len(format(lead, "08b").split("0")[0]) - 1))
+        n = bits.take(8) + 1 if code == 6 else bits.take(16) + 1 if code == 7 else 192 if code == 1 else 256 << (code - 8)
+        bits.take(16 if rate == 12 else 8)
+        kind = bits.take(8) >> 1
+        kinds.append(kind)
+        if kind < 2:
+            x = [bits.signed(8)] * n if kind == 0 else [bits.signed(8) for _ in range(n)]
+        else:
+            order = kind - 31 if kind >= 32 else kind - 8
+            x = [bits.signed(8) for _ in range(order)]
+            weight, shift = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]][order] if kind < 32 else None, 0
+            if kind >= 32:
+                precision, shift = bits.take(4) + 1, bits.take(5)
+                weight = [bits.signed(precision) for _ in range(order)]
+            width, parts = 4 + bits.take(2), 1 << bits.take(4)
+            for part in range(parts):
+                k = bits.take(width)
+                plain = bits.take(5) if k == (1 << width) - 1 else None
+                for _ in range(n // parts - (order if part == 0 else 0)):
+                    if plain is None:
+                        u = bits.unary() << k | bits.take(k)
+                        r = u >> 1 if u % 2 == 0 else -(u + 1) // 2
+                    else:
+                        r = bits.signed(plain)
+                    x.append(r + (sum(w * v for w, v in zip(weight, x[::-1])) >> shift))
+        out += x
+        bits.at += -bits.at % 8 + 16
+    return bytes(v + 128 for v in out), kinds
+
+
+def test_flac_streams_bit_by_bit(docs):
+    """The encoder's streams, read by a plain reader of the format; linear predictors are among them."""
+    seen = set()
+    for r in flac.encode_media(docs).collect():
+        payload, kinds = slow_flac(bytes(r.media))
+        assert payload == flac.decode([bytes(r.media)])[0][0] and payload.rstrip(b"\0") in {(t or "").encode() for _, t, _, _ in CASES}
+        seen |= set(kinds)
+    rng = np.random.default_rng(5)
+    tone = (128 + 60 * np.sin(np.arange(2048) / 7) + rng.normal(0, 3, 2048)).astype(np.uint8)
+    payload, kinds = slow_flac(flac.encode(tone, np.array([0, 2048]))[0])
+    assert payload == tone.tobytes() and 31 + flac.LPC_ORDER in kinds
+    noise = rng.integers(0, 256, 640).astype(np.uint8)
+    payload, kinds = slow_flac(flac.encode(noise, np.array([0, 640]))[0])
+    assert payload == noise.tobytes() and kinds == [1, 1]
+
+
+def foreign_flac(x, size, rng, escape):
+    """A stream of other habits: no seek table, blocks of 192, eight Rice partitions, escapes, a rate beside the header."""
+    out = b""
+    row = lambda b: np.frombuffer(b, np.uint8)[None]
+    for number, a in enumerate(range(0, len(x), size)):
+        v = x[a : a + size]
+        n, parts = len(v), 8 if len(v) % 8 == 0 and len(v) > 16 else 1
+        bits = format((8 + 1) << 1, "08b") + format(v[0] & 255, "08b") + "01" + format(parts.bit_length() - 1, "04b")
+        residual = [v[i] - v[i - 1] for i in range(1, n)]
+        for part in range(parts):
+            own = residual[max(0, part * n // parts - 1) : (part + 1) * n // parts - 1]
+            if escape(part):
+                width = 0 if not any(own) else 10
+                bits += "11111" + format(width, "05b") + "".join(format(r & 1023, "010b") for r in own if width)
+            else:
+                bits += "00011"
+                for r in own:
+                    u = 2 * r if r >= 0 else -2 * r - 1
+                    bits += "0" * (u >> 3) + "1" + format(u & 7, "03b")
+        bits += "0" * (-len(bits) % 8)
+        head = b"\xff\xf8" + (bytes([0x1C, 0]) + flac._number(number) if n == 192 else bytes([0x6C, 2]) + flac._number(number) + bytes([n - 1])) + bytes([8])
+        frame = head + bytes([int(flac.crc8(row(head))[0])]) + int(bits, 2).to_bytes(len(bits) // 8, "big")
+        out += frame + int(flac.crc16(flac._right(np.frombuffer(frame, np.uint8), np.array([0]), np.array([len(frame)])))[0]).to_bytes(2, "big")
+    digest = hashlib.md5(bytes(v & 255 for v in x)).digest()
+    info = (192).to_bytes(2, "big") * 2 + bytes(6) + (8000 << 44 | 7 << 36 | len(x)).to_bytes(8, "big") + digest
+    return b"fLaC\x80" + len(info).to_bytes(3, "big") + info + out
+
+
+@pytest.mark.parametrize("escape", [lambda p: False, lambda p: p % 2 == 1, lambda p: True])
+def test_flac_foreign_streams(escape):
+    rng = np.random.default_rng(3)
+    x = [int(v) for v in np.clip(np.cumsum(rng.integers(-9, 10, 500)), -128, 127)] + [5] * 130
+    stream = foreign_flac(x, 192, rng, escape)
+    want = bytes(v + 128 for v in x)
+    payload, points = flac.decode([stream])[0]
+    assert payload == want == slow_flac(stream)[0] and points["sample"].tolist() == [0, 192, 384, 576]
+    mixed = flac.decode([flac.encode(np.arange(128, dtype=np.uint8), np.array([0, 128]))[0], stream])
+    assert mixed[0][0] == bytes(range(128)) and mixed[1][0] == want
+    assert flac.decode_each([stream[:-1], stream])[0] is None
+
+
 # --- queries and pipeline ------------------------------------------------------------
 
 
