@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.vectors import norm, normalize, squared_distance
@@ -17,16 +17,21 @@ QUERY_BLOCK, CORPUS_BLOCK = 4096, 16_384
 NORM_SLACK = 1e-3
 
 
-def distances(vectors: DataFrame, query: list[float], id_col: str = "vec_id", vector: str = "embedding", scaled: bool = True) -> DataFrame:
-    """(id, distance): squared L2 of every row from one query, to six places.
+def distance_to(query: list[float], vector: str = "embedding", scaled: bool = True) -> Column:
+    """Squared L2 from one query, to six places.
 
     The query is scaled to unit length, and so are stored vectors unless ``scaled`` says that they
-    are. Null vectors are left out; a zero vector stays zero.
+    are. A zero vector stays zero.
     """
     q = np.asarray(query, np.float64)
     q = q / max(float(np.sqrt((q * q).sum())), 1e-12)
     stored = F.col(vector) if scaled else normalize(vector)
-    return vectors.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.round(squared_distance(stored, F.array(*map(F.lit, q.tolist()))), 6).alias("distance"))
+    return F.round(squared_distance(stored, F.array(*map(F.lit, q.tolist()))), 6)
+
+
+def distances(vectors: DataFrame, query: list[float], id_col: str = "vec_id", vector: str = "embedding", scaled: bool = True) -> DataFrame:
+    """(id, distance) of every row from one query, as ``distance_to`` has it. Null vectors are left out."""
+    return vectors.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), distance_to(query, vector, scaled).alias("distance"))
 
 
 def nearest(vectors: DataFrame, query: list[float], n: int, id_col: str = "vec_id", vector: str = "embedding", scaled: bool = True) -> DataFrame:

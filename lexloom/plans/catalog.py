@@ -148,6 +148,20 @@ def hybrid_rrf_filtered(spark, d):
     return retrieval.search(chunk_collection(spark, d), spec).select("id", "score", "rank")
 
 
+@query(
+    f"""WITH e AS (SELECT vec_id AS id, {UNIT_SQL.replace("v,", "embedding,")} AS u FROM embeddings), a AS (SELECT * FROM e WHERE id IN (SELECT doc_id FROM documents)),
+q AS ((SELECT 'any' AS qid, 20 AS k, u FROM e ORDER BY id LIMIT 1) UNION ALL (SELECT 'some', 12, u FROM e ORDER BY id DESC LIMIT 1)),
+dist AS (SELECT qid, k, a.id, {DISTANCE_SQL} AS score FROM a, q)
+SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score, id) - 1 AS rank FROM dist JOIN documents ON doc_id = id
+WHERE qid = 'any' OR (lang IN ('de', 'fr') AND 1990 + doc_id % 40 >= 2000) QUALIFY rank < k"""
+)
+def batch_questions(spark, d):
+    last = list(table(spark, d, "embeddings").orderBy(F.desc("vec_id")).first().embedding)
+    only = fusion.ChunkFilter(sections=["de", "fr"], year_start=2000)
+    specs = {"any": retrieval.SearchSpec("", query_vector(spark, d), 20, scaled=False), "some": retrieval.SearchSpec("", last, 12, only=only, scaled=False)}
+    return retrieval.search_many(chunk_collection(spark, d), specs).select("qid", "id", "score", "rank")
+
+
 ATTACHED_SQL = f"""a AS (SELECT vec_id AS id, {UNIT_SQL.replace("v,", "embedding,")} AS u FROM embeddings), q AS (SELECT u FROM a ORDER BY id LIMIT 1),
 dist AS (SELECT id, {DISTANCE_SQL} AS distance FROM a, q),
 att AS (SELECT *, row_number() OVER (ORDER BY distance, id) AS n FROM dist WHERE id % 10 = 9),

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import ids, text
 from lexloom.operators import chunking, citations, dedup, evaluation, exports, lifecycle, metadata, pages, registry, rollups, screening, tei, validation
+from lexloom.plans import flows
 from lexloom.plans.catalog import CORPUS_DOI, KEY_SQL, LOOSE, REGISTRY_SQL, WORDS_SQL, loose_papers, query, registry_parts, usage
 from lexloom.plans.tables import PAPERS_SQL, papers, table
+from lexloom.sources import readers
 
 
 def key_sql(x: str) -> str:
@@ -677,3 +679,18 @@ def corpus_headers(spark, d):
 @query(f"SELECT doc_id AS paper_id, len({WORDS_SQL}) AS n_words FROM documents ORDER BY n_words, doc_id LIMIT 5")
 def shortest_texts(spark, d):
     return rollups.shortest(table(spark, d, "documents").select(F.col("doc_id").alias("paper_id"), F.size(text.words("text")).alias("n_words")))
+
+
+@query(f"WITH {PAPERS_SQL} SELECT seq, trim(coalesce(doi, '')) AS doi, trim(title) AS title, coalesce(CAST(year AS VARCHAR), '') AS year, journal, cited_by, '' AS volume FROM papers")
+def literature_entries(spark, d):
+    entry = F.to_json(F.struct(F.col("doi").alias("prism:doi"), F.concat(F.lit(" "), "title").alias("dc:title"), F.concat(F.col("year").cast("string"), F.lit("-05-01")).alias("prism:coverDate"), F.col("journal").alias("prism:publicationName"), F.col("cited_by").alias("citedby-count")))
+    return readers.parse_entries(papers(spark, d).select("seq", entry.alias("entry"))).select("seq", "doi", "title", "year", "journal", "cited_by", "volume")
+
+
+@query(f"""WITH {PAPERS_SQL}, {LOOSE}, f AS (SELECT seq, doi FROM loose WHERE doi <> '' QUALIFY row_number() OVER (PARTITION BY doi ORDER BY seq) = 1)
+SELECT seq, doi, CASE WHEN doi IN (SELECT doi FROM loose WHERE n_references = 1) THEN 'blocked' WHEN doi IN (SELECT doi FROM loose WHERE source_type = 'manual') THEN 'known' ELSE 'download' END AS plan FROM f""")
+def project_plan(spark, d):
+    rows = loose_papers(spark, d)
+    names = rows.withColumnRenamed("paper_id", "name")
+    made = flows.project_from_table("project", rows.select("doi", "title", "seq"), names.where("source_type = 'manual'").select("doi", "name"), names.where("seq % 3 = 0").select("name"), rows.where("n_references = 1").select("doi"))
+    return made["rows"].select("seq", "doi", "plan")

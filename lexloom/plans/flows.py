@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -10,10 +11,13 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import ids
 from lexloom.operators.chunking import chunk_articles, chunk_texts
-from lexloom.operators.dedup import screen_batch
+from lexloom.operators.dedup import doi_report, first_doi, screen_batch
 from lexloom.operators.dense import incremental
-from lexloom.operators.metadata import keep_filled, with_quality, year_by_paper
+from lexloom.operators.lifecycle import copy_selected, processable
+from lexloom.operators.metadata import keep_filled, keyword_category, screening_route, with_quality, year_by_paper
 from lexloom.operators.pages import chapters, clean_pages, front_or_back
+from lexloom.operators.registry import download_plan
+from lexloom.operators.screening import title_and_abstract
 from lexloom.operators.tei import read_tei
 
 
@@ -81,6 +85,57 @@ def ingest(batch: DataFrame, corpus: DataFrame, index: DataFrame, chunks: DataFr
     return {"screened": screen_batch(batch, corpus), "index": kept, "to_embed": new}
 
 
+def screen_papers(batch: DataFrame, corpus: DataFrame, keywords: DataFrame) -> DataFrame:
+    """``batch`` with outcome, title, abstract, category, confidence and route, nothing moved yet.
+
+    ``batch`` has name (unique), doi, sha256, first_page and pages; duplicates of the corpus or of
+    each other go to their own route, whatever their category.
+    """
+    screened = screen_batch(batch, corpus)
+    read = title_and_abstract(batch)
+    classes = keyword_category(read, keywords, "name", F.concat_ws(" ", "title", "abstract"))
+    joined = screened.join(read, "name").join(classes, "name")
+    status = F.when(F.col("outcome").startswith("duplicate"), "DUPLICATE").otherwise("OK")
+    return joined.withColumn("status", status).withColumn("route", screening_route()).drop("first_page", "pages")
+
+
+def project_name(name: str, reserved: tuple[str, ...] = ()) -> str:
+    """``name``, if a project may have it: small letters, digits, _ and -, and no category of the collection."""
+    if not re.fullmatch(r"[a-z0-9_-]+", name):
+        raise ValueError(f"not a name of a project: {name}")
+    if name in reserved:
+        raise ValueError(f"{name} is a category of the collection")
+    return name
+
+
+def process_project(name: str, pdfs: DataFrame, texts: DataFrame, tei: DataFrame) -> dict[str, DataFrame]:
+    """Tables of a project of its own, with its name: what has a PDF (name), a text (name) and a TEI (name, tei_xml) is processed.
+
+    Raises where there is no PDF at all; nothing is screened.
+    """
+    project = project_name(name)
+    if not pdfs.limit(1).count():
+        raise ValueError("no PDFs")
+    ready = processable(tei, texts, pdfs)
+    tables = process_articles(ready.select(F.col("name").alias("paper_id"), "tei_xml"))
+    return {k: t.withColumn("project", F.lit(project)) for k, t in tables.items()}
+
+
+def project_from_table(name: str, rows: DataFrame, corpus: DataFrame, project: DataFrame, blocked: DataFrame, reserved: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """What a table of papers (doi, title, seq) asks for: rows, report, copies and downloads.
+
+    The first row of each DOI counts. Papers that the corpus (doi, name) has are copied, unless the
+    project (name) holds them, and the others downloaded, but for blocked ones. Raises without a DOI.
+    """
+    project_name(name, reserved)
+    kept = first_doi(rows)
+    if not kept.limit(1).count():
+        raise ValueError("no DOI in the table")
+    plan = download_plan(kept, blocked, corpus)
+    copies = copy_selected(plan.where("plan = 'known'"), corpus, project)
+    return {"rows": plan, "report": doi_report(rows), "copies": copies, "downloads": plan.where("plan = 'download'").drop("plan")}
+
+
 def paper_doi(files: DataFrame) -> DataFrame:
     """``files`` with the DOI of their document information, else of their first pages."""
     return files.withColumn("doi", F.coalesce(ids.doi("info", "text"), ids.doi("first_pages", "text")))

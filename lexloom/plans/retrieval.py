@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.operators.citations import cited, contexts
-from lexloom.operators.dense import distances, nearest
+from lexloom.operators.dense import distance_to, distances, nearest
 from lexloom.operators.fusion import ChunkFilter, fuse_dense, fuse_hybrid, pool_size, ranked, rrf
 from lexloom.operators.lexical import bm25_query
 
@@ -51,12 +52,25 @@ def hybrid(chunks: DataFrame, spec: SearchSpec) -> DataFrame:
 
 
 def search_many(chunks: DataFrame, specs: dict[str, SearchSpec]) -> DataFrame:
-    """Results of several questions with their qid; each has its own filter."""
-    out = None
-    for qid, spec in specs.items():
-        one = search(chunks, spec).withColumn("qid", F.lit(qid))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Results of several questions with their qid; each has its own filter.
+
+    Dense questions share one scan of the chunks, and each task keeps the best of each question
+    before the shuffle. Hybrid questions, whose ranks cover the whole collection, have a plan each.
+    Raises where there is no question.
+    """
+    if not specs:
+        raise ValueError("no questions")
+    dense = {q: s for q, s in specs.items() if not s.hybrid}
+    parts = [search(chunks, s).withColumn("qid", F.lit(q)) for q, s in specs.items() if s.hybrid]
+    return reduce(DataFrame.unionByName, ([_dense_many(chunks, dense)] if dense else []) + parts)
+
+
+def _dense_many(chunks: DataFrame, specs: dict[str, SearchSpec]) -> DataFrame:
+    hits = [F.when(s.only.condition(), F.struct(F.lit(q).alias("qid"), F.lit(s.k).alias("k"), distance_to(s.vector, scaled=s.scaled).alias("score"))) for q, s in specs.items()]
+    scored = chunks.where("embedding IS NOT NULL").select("id", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("h")).select("id", "h.*")
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("score", "id"))
+    best = scored.withColumn("rank", rank).where(F.col("rank") <= max(s.k for s in specs.values())).where(F.col("rank") <= F.col("k"))
+    return best.withColumn("rank", (F.col("rank") - 1).cast("int")).drop("k").join(chunks.drop("embedding"), "id")
 
 
 def with_attachment(results: DataFrame, attached: DataFrame, k: int, least: int, hybrid_scores: bool) -> DataFrame:

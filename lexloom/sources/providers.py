@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -100,6 +102,63 @@ def answer(prompts: DataFrame, make: Callable[[], Generator], prompt: str = "pro
     return prompts.mapInArrow(run, ", ".join([*kinds, "answer string", "error string"]))
 
 
+class Busy(Exception):
+    """A service asks to wait; ``seconds`` says how long."""
+
+    def __init__(self, seconds: float = 60) -> None:
+        super().__init__(seconds)
+        self.seconds = seconds
+
+
+class PageFetch(Protocol):
+    """A page of a literature search, from record ``start`` on, as JSON; raises Busy, or OSError where it can't be had."""
+
+    def __call__(self, query: str, start: int, count: int) -> str: ...
+
+
+PAGE, TRIES = 25, 3
+
+
+def _page(fetch: PageFetch, query: str, start: int, pause: float) -> tuple[int, list[dict]]:
+    for attempt in range(1, TRIES + 1):
+        try:
+            found = json.loads(fetch(query, start, PAGE)).get("search-results", {})
+            total = str(found.get("opensearch:totalResults", "0"))
+            return int(total) if total.isdigit() else 0, found.get("entry", [])
+        except Busy as e:
+            time.sleep(e.seconds)
+        except OSError:
+            time.sleep(pause * attempt * 3)
+    raise RuntimeError(f"no page from record {start} in {TRIES} tries")
+
+
+def search_pages(queries: DataFrame, make: Callable[[], PageFetch], most: int = 5000, pause: float = 1.0) -> DataFrame:
+    """(category, query, seq from 0, entry as JSON): the first ``most`` records of each query, page by page.
+
+    ``queries`` has category and query. Entries that report an error don't count. Pages end where
+    the service has no more, and a page that can't be had in three tries fails the task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fetch = make()
+        for batch in batches:
+            for category, query in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                start, seq, total = 0, 0, None
+                while total is None or start < total:
+                    if start:
+                        time.sleep(pause)
+                    size, entries = _page(fetch, query, start, pause)
+                    total = min(most, size) if total is None else total
+                    good = [json.dumps(e, ensure_ascii=False) for e in entries if "error" not in e][: total - seq]
+                    yield pa.RecordBatch.from_arrays([pa.array([category] * len(good), pa.string()), pa.array([query] * len(good), pa.string()), pa.array(range(seq, seq + len(good)), pa.int64()), pa.array(good, pa.string())], ["category", "query", "seq", "entry"])
+                    start, seq = start + PAGE, seq + len(good)
+                    if not entries:
+                        break
+
+    asked = queries.select("category", "query")
+    return asked.mapInArrow(run, "category string, query string, seq long, entry string")
+
+
 class TitleSearch(Protocol):
     """The works, as JSON, that fit a title best, best first."""
 

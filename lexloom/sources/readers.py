@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -112,6 +114,66 @@ def keyword_table(spark: SparkSession, keywords: dict[str, list[str]]) -> DataFr
     return spark.createDataFrame(rows, "category string, seq int, keyword string")
 
 
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A configuration file: JSON, or YAML where a reader of it is installed. An empty file is an empty dict."""
+    text = "".join(r.value for r in spark.read.text(path, wholetext=True).collect())  # one file of settings
+    if path.endswith((".yml", ".yaml")):
+        import yaml
+
+        return yaml.safe_load(text) or {}
+    return json.loads(text or "{}")
+
+
+def named_queries(config: dict) -> list[tuple[str, str]]:
+    """(category, query) of ``queries``: a category has one query or a list of them; blank ones don't count."""
+    found = [(c, q) for c, own in (config.get("queries") or {}).items() for q in (own if isinstance(own, list) else [own])]
+    return [(c, q.strip()) for c, q in found if q and q.strip()]
+
+
+def active_categories(config: dict) -> list[str]:
+    """Names of ``categories`` in order: a list of names, or settings by name of which ``active: false`` leaves one out."""
+    own = config.get("categories") or []
+    return [c for c in own if own[c] is None or own[c].get("active", True)] if isinstance(own, dict) else list(own)
+
+
+def within(base: str, since_year: int | None = None, until_year: int | None = None, doc_type: str | None = None, recent_days: int | None = None) -> str:
+    """A query of a literature search service, narrowed to years, a type and the last days."""
+    parts = [f"({base})"]
+    if since_year:
+        parts.append(f"PUBYEAR > {since_year - 1}")
+    if until_year:
+        parts.append(f"PUBYEAR < {until_year + 1}")
+    if doc_type:
+        parts.append(f"DOCTYPE({doc_type})")
+    if recent_days is not None:
+        parts.append(f"RECENT({recent_days})")
+    return " AND ".join(parts)
+
+
+# Where a record of the search service holds each column.
+ENTRY = {
+    "doi": "prism:doi",
+    "title": "dc:title",
+    "authors": "dc:creator",
+    "year": "prism:coverDate",
+    "journal": "prism:publicationName",
+    "volume": "prism:volume",
+    "issue": "prism:issueIdentifier",
+    "pages": "prism:pageRange",
+    "cited_by": "citedby-count",
+    "doc_type": "subtypeDescription",
+    "open_access": "openaccess",
+    "url": "prism:url",
+    "service_id": "dc:identifier",
+}
+
+
+def parse_entries(entries: DataFrame, entry: str = "entry") -> DataFrame:
+    """Records of the search service as JSON, as columns of text: what is missing or isn't JSON is empty, a year is that of the cover."""
+    text = {name: F.trim(F.coalesce(F.get_json_object(entry, f"$['{path}']"), F.lit(""))) for name, path in ENTRY.items()}
+    return entries.withColumns(text | {"year": F.substring(text["year"], 1, 4)}).drop(entry)
+
+
 def search_query(terms: list[str], since_year: int | None = None, doc_types: tuple[str, ...] = ("ar", "re")) -> str:
     """A query of a literature search service: all terms in title, abstract or keywords, since a year."""
     parts = [f"TITLE-ABS-KEY({t})" for t in terms]

@@ -39,6 +39,45 @@ def read_version(spark: SparkSession, table: str, back: int = 0) -> DataFrame:
     return spark.read.parquet(f"{table}/{versions[back].version}")
 
 
+def write_snapshot(files: DataFrame, folder: str, taken_at: str, keep: int = 12) -> str | None:
+    """``files`` (path, content) as the snapshot ``taken_at``, or None where paths and contents are those of the last one.
+
+    Contents come before the manifest, so a snapshot that was broken off isn't one. Of the
+    snapshots only the newest ``keep`` stay. No files, no snapshot. Names of snapshots sort by time.
+    """
+    spark = files.sparkSession
+    now = files.select("path", F.sha2(F.col("content"), 256).alias("sha256"), F.octet_length("content").alias("bytes"))
+    if not now.limit(1).count():
+        return None
+    before = sorted(snapshots(spark, folder))
+    if before:
+        last = spark.read.parquet(f"{folder}/manifest/taken_at={before[-1]}").select("path", F.col("sha256").alias("was"))
+        if not now.join(last, "path", "full_outer").where(~F.col("sha256").eqNullSafe(F.col("was"))).limit(1).count():
+            return None
+    files.write.parquet(f"{folder}/content/taken_at={taken_at}")
+    now.write.parquet(f"{folder}/manifest/taken_at={taken_at}")
+    for old in [*before, taken_at][: -keep or None] if keep > 0 else []:
+        _delete(spark, f"{folder}/manifest/taken_at={old}")
+        _delete(spark, f"{folder}/content/taken_at={old}")
+    return taken_at
+
+
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path, system = _path(spark, name)
+    system.delete(path, True)
+
+
+def snapshots(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the whole snapshots under ``folder``."""
+    path, system = _path(spark, f"{folder}/manifest/taken_at=*/_SUCCESS")
+    return [f.getPath().getParent().getName().partition("=")[2] for f in system.globStatus(path) or []]
+
+
 def append_log(rows: DataFrame, path: str, ts: str = "ts") -> None:
     """Rows to the folder of their month."""
     rows.withColumn("month", F.date_format(ts, "yyyy-MM")).write.mode("append").partitionBy("month").json(path)

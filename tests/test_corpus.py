@@ -228,3 +228,85 @@ def test_steps():
     ok = flows.run_steps([flows.Step("a", lambda: done.append(1)), flows.Step("b", lambda: 1 / 0), flows.Step("c", lambda: done.append(2))])
     assert ok == ("partial", [("a", "ok"), ("b", "error: division by zero"), ("c", "skipped")]) and done == [1]
     assert flows.run_steps([flows.Step("a", lambda: 1 / 0)])[0] == "error" and flows.run_steps([])[0] == "ok"
+
+
+def pages_of(total):
+    def fetch(query, start, count):
+        if query == "busy" and not seen:
+            seen.append(1)
+            raise providers.Busy(0)
+        if query == "down":
+            raise OSError
+        entries = [{"dc:title": f" T{i} ", "prism:coverDate": "2019-05-01", "citedby-count": i} if i % 10 != 7 else {"error": "x"} for i in range(start, min(total, start + count))]
+        return json.dumps({"search-results": {"opensearch:totalResults": str(total), "entry": entries}})
+
+    seen: list[int] = []
+    return fetch
+
+
+def test_literature_search(spark):
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import tests
+    queries = spark.createDataFrame([("c", "plain"), ("d", "busy")], "category string, query string").coalesce(1)
+    got = providers.search_pages(queries, lambda: pages_of(60), most=55, pause=0).collect()
+    mine = sorted(r.seq for r in got if r.category == "c")
+    assert mine == list(range(54)) and sum(r.category == "d" for r in got) == 54
+    assert providers.search_pages(queries, lambda: pages_of(0), pause=0).count() == 0
+    with pytest.raises(Exception, match="no page from record 0"):
+        providers.search_pages(queries.withColumn("query", F.lit("down")), lambda: pages_of(5), pause=0).collect()
+    rows = readers.parse_entries(spark.createDataFrame([(json.dumps({"dc:title": " A ", "prism:coverDate": "2019-05-01", "citedby-count": 7}),), ("no JSON",), (None,)], "entry string")).collect()
+    assert [(r.title, r.year, r.cited_by, r.doi) for r in rows] == [("A", "2019", "7", ""), ("", "", "", ""), ("", "", "", "")]
+    assert readers.within("a OR b", 2000, 2010, "ar", 30) == "(a OR b) AND PUBYEAR > 1999 AND PUBYEAR < 2011 AND DOCTYPE(ar) AND RECENT(30)" and readers.within("x") == "(x)"
+
+
+def test_configuration(spark, tmp_path):
+    config = {"queries": {"a": ["q1", " "], "b": "q2"}, "categories": {"a": None, "b": {"active": False}, "c": {}}}
+    (tmp_path / "c.json").write_text(json.dumps(config))
+    (tmp_path / "c.yml").write_text("queries:\n  a: [q1, ' ']\n  b: q2\ncategories:\n  a:\n  b: {active: false}\n  c: {}\n")
+    read = readers.read_config(spark, str(tmp_path / "c.json"))
+    assert readers.named_queries(read) == [("a", "q1"), ("b", "q2")] and readers.active_categories(read) == ["a", "c"]
+    assert readers.active_categories({"categories": ["x"]}) == ["x"] and readers.named_queries({}) == [] == readers.active_categories({})
+    pytest.importorskip("yaml")
+    assert readers.read_config(spark, str(tmp_path / "c.yml")) == config
+
+
+def test_snapshots(spark, tmp_path):
+    folder = str(tmp_path / "snapshots")
+    files = lambda *rows: spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary")
+    one, two = files(("a", b"1"), ("b", b"2")), files(("a", b"1"))
+    assert writers.write_snapshot(files(), folder, "t0") is None
+    assert writers.write_snapshot(one, folder, "t1") == "t1" and writers.write_snapshot(one, folder, "t2") is None
+    assert writers.write_snapshot(two, folder, "t3") == "t3"  # a file that went is a change
+    assert writers.write_snapshot(files(("a", b"3")), folder, "t4", keep=2) == "t4"
+    assert sorted(writers.snapshots(spark, folder)) == ["t3", "t4"]
+    assert spark.read.parquet(f"{folder}/content").select("taken_at").distinct().count() == 2
+
+
+def test_flows_of_papers(spark):
+    kinds = "name string, doi string, sha256 string, first_page string, pages string"
+    page = "A study of biogas in towns\nAbstract\n" + "Biogas from towns is measured over many years and compared with that of farms, with care. " * 2
+    batch = spark.createDataFrame([("a", "10.1/a", "h1", page, page), ("b", "10.1/a", "h2", page, page), ("c", None, "h3", "short", None), ("d", "10.1/known", "h4", page, page)], kinds)
+    corpus = spark.createDataFrame([("10.1/known", "h9", "known")], "doi string, sha256 string, name string")
+    keywords = spark.createDataFrame([("energy", "biogas")], "category string, keyword string")
+    got = {r.name: (r.outcome, r.category, r.route) for r in flows.screen_papers(batch, corpus, keywords).collect()}
+    assert got == {"a": ("kept", "energy", "energy"), "b": ("duplicate_batch", "energy", "duplicates"), "c": ("kept_no_doi", None, "failed"), "d": ("duplicate_doi", "energy", "duplicates")}
+    rows = spark.createDataFrame([("10.1/KNOWN", "t", 0), ("10.1/new", "t", 1), ("10.1/new", "u", 2), ("10.1/bad", "t", 3), (None, "t", 4)], "doi string, title string, seq long")
+    blocked, held = spark.createDataFrame([("10.1/bad",)], "doi string"), spark.createDataFrame([], "name string")
+    out = flows.project_from_table("mine", rows, corpus, held, blocked)
+    assert [(r.doi, r.outcome) for r in out["copies"].collect()] == [("10.1/known", "copied")]
+    assert [(r.doi, r.title) for r in out["downloads"].collect()] == [("10.1/new", "t")]
+    assert [tuple(r) for r in out["report"].collect()] == [(1, 1)] and out["rows"].count() == 3
+    for bad in ("Mine", "energy", ""):
+        with pytest.raises(ValueError):
+            flows.project_from_table(bad, rows, corpus, held, blocked, reserved=("energy",))
+    with pytest.raises(ValueError):
+        flows.project_from_table("mine", rows.where("doi IS NULL"), corpus, held, blocked)
+    tei = spark.createDataFrame([("x", TEI), ("y", TEI)], "name string, tei_xml string")
+    names = lambda *ns: spark.createDataFrame([(n,) for n in ns], "name string")
+    tables = flows.process_project("p-1", names("x", "z"), names("x", "y"), tei)
+    assert [(r.paper_id, r.project) for r in tables["papers"].collect()] == [("x", "p-1")] and tables["chunks"].where("project = 'p-1'").count() > 0
+    with pytest.raises(ValueError):
+        flows.process_project("p-1", names(), names("x"), tei)

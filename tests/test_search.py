@@ -26,6 +26,16 @@ def okapi(docs: list[list[str]], query: list[str]) -> list[float]:
     return [sum(idf.get(t, 0) * d.count(t) * 2.5 / (d.count(t) + 1.5 * (0.25 + 0.75 * len(d) / avg)) for t in query) for d in docs]
 
 
+def test_search_many_is_search(spark, chunks):
+    spec = retrieval.SearchSpec
+    specs = {"a": spec("", [1.0] * 8, 2, scaled=False), "b": spec("", [0.5, -1.0] * 4, 3, only=fusion.ChunkFilter(sections=["methods"]), scaled=False), "c": spec("H2S", [1.0] * 8, 2, hybrid=True, scaled=False), "d": spec("", [1.0] * 8, 4, only=fusion.ChunkFilter(doc_type="book"), scaled=False)}
+    got = {(r.qid, r.rank, r.id, round(r.score, 6)) for r in retrieval.search_many(chunks, specs).collect()}
+    want = {(q, r.rank, r.id, round(r.score, 6)) for q, s in specs.items() for r in retrieval.search(chunks, s).collect()}
+    assert got == want and {q for q, *_ in got} == {"a", "b", "c"}
+    with pytest.raises(ValueError):
+        retrieval.search_many(chunks, {})
+
+
 def test_bm25_both_ways(spark, chunks):
     docs = [r.toks for r in lexical.tokenized(chunks, "id", "text").orderBy("id").collect()]
     query = "H2S gas h2s"
