@@ -24,11 +24,11 @@ from lexloom.llm.common import bounded_batches, spread, stored, table, text_byte
 BLOCK = 512
 UNIT = 64
 RATE = 8000
-#: Frames encoded or decoded in one go: 1 MB of samples.
-GROUP = 2048
+#: Samples encoded or decoded in one go.
+GROUP = 1 << 20
 MOST_ORDER = 4
 #: Order of the encoder's linear predictors and bits of their coefficients.
-LPC_ORDER, PRECISION = 8, 12
+LPC_ORDER, PRECISION = 4, 8
 
 
 def _table(poly: int, width: int, bits: int) -> np.ndarray:
@@ -78,8 +78,8 @@ def _number(n: int) -> bytes:
 
 
 def _header(number: int, n: int) -> bytes:
-    if n == BLOCK:
-        return b"\xff\xf8" + bytes([0x94, 0x02]) + _number(number)
+    if n & (n - 1) == 0 and 256 <= n <= 32768:
+        return b"\xff\xf8" + bytes([(n.bit_length() - 1) << 4 | 4, 0x02]) + _number(number)
     return b"\xff\xf8" + bytes([0x74, 0x02]) + _number(number) + (n - 1).to_bytes(2, "big")
 
 
@@ -90,10 +90,11 @@ def _predictors(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     the same predictor in whichever batch it stands.
     """
     sizes, own = np.unique(n, return_inverse=True)
-    t, sizes = np.arange(BLOCK), sizes[:, None]
+    block = x.shape[1]
+    t, sizes = np.arange(block), sizes[:, None]
     window = np.maximum(0, 256 * (t + 1) * (sizes - t) // (sizes + 1) ** 2).astype(np.float64)
     w = x * window[own]
-    lags = [np.einsum("ij,ij->i", w[:, i:], w[:, : BLOCK - i]) for i in range(LPC_ORDER + 1)]
+    lags = [np.einsum("ij,ij->i", w[:, i:], w[:, : block - i]) for i in range(LPC_ORDER + 1)]
     error, a = lags[0] * (1 + 2.0**-20) + 1, []
     for i in range(LPC_ORDER):
         rest = lags[i + 1].copy()
@@ -125,12 +126,12 @@ def _rice(r: np.ndarray, coded: np.ndarray, count: np.ndarray) -> tuple[np.ndarr
 
 
 def encode_frames(x: np.ndarray, n: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes of all frames, int64 offsets). ``x``: int16 rows of BLOCK signed samples, ``n`` of them used.
+    """(bytes of all frames, int64 offsets). ``x``: int16 rows of signed samples, ``n`` of them used.
 
     Each frame takes the smallest of its forms: constant, verbatim, fixed or linear prediction.
     """
-    rows = len(x)
-    used = np.arange(BLOCK) < n[:, None]
+    rows, block = x.shape
+    used = np.arange(block) < n[:, None]
     residual, cost = [x], [np.where(used, np.abs(x), 0)[:, MOST_ORDER:].sum(axis=1, dtype=np.int64)]
     for _ in range(MOST_ORDER):
         d = residual[-1].copy()
@@ -139,18 +140,18 @@ def encode_frames(x: np.ndarray, n: np.ndarray, number: np.ndarray) -> tuple[np.
         cost.append(np.where(used, np.abs(d), 0)[:, MOST_ORDER:].sum(axis=1, dtype=np.int64))
     order = np.argmin(np.stack(cost), axis=0)
     fixed = np.choose(order[:, None], residual).astype(np.int32)
-    u, k, bits = _rice(fixed, used & (np.arange(BLOCK) >= order[:, None]), n - order)
+    u, k, bits = _rice(fixed, used & (np.arange(block) >= order[:, None]), n - order)
     sub = 8 + 8 * order + 10 + bits
     weight, shift = _predictors(x, n)
     wide = x.astype(np.int32)
-    guess = sum(weight[:, j, None] * wide[:, LPC_ORDER - 1 - j : BLOCK - 1 - j] for j in range(LPC_ORDER)) >> shift[:, None].astype(np.int32)
+    guess = sum(weight[:, j, None] * wide[:, LPC_ORDER - 1 - j : block - 1 - j] for j in range(LPC_ORDER)) >> shift[:, None].astype(np.int32)
     wide[:, LPC_ORDER:] -= guess
-    lpc_u, lpc_k, lpc_bits = _rice(wide, used & (np.arange(BLOCK) >= LPC_ORDER), n - LPC_ORDER)
+    lpc_u, lpc_k, lpc_bits = _rice(wide, used & (np.arange(block) >= LPC_ORDER), n - LPC_ORDER)
     weights = 9 + PRECISION * LPC_ORDER
     lpc_sub = 8 + 8 * LPC_ORDER + weights + 10 + lpc_bits
     lpc = (n > LPC_ORDER) & (lpc_sub < sub)
     u, k, sub, order = np.where(lpc[:, None], lpc_u, u), np.where(lpc, lpc_k, k), np.where(lpc, lpc_sub, sub), np.where(lpc, LPC_ORDER, order)
-    coded = used & (np.arange(BLOCK) >= order[:, None])
+    coded = used & (np.arange(block) >= order[:, None])
     held = np.where(used, x, x[:, :1])
     constant = held.max(axis=1) == held.min(axis=1)
     verbatim = ~constant & (sub > 8 + 8 * n)
@@ -172,7 +173,7 @@ def encode_frames(x: np.ndarray, n: np.ndarray, number: np.ndarray) -> tuple[np.
     put(begin[constant] + 8, x[constant, 0] & 0xFF, 8)
     if verbatim.any():
         plain = used & verbatim[:, None]
-        at = np.where(plain, 8 * np.arange(BLOCK) + 8 + begin[:, None], 0)[plain]
+        at = np.where(plain, 8 * np.arange(block) + 8 + begin[:, None], 0)[plain]
         put(at, x[plain] & 0xFF, 8)
     for p in range(LPC_ORDER):
         warm = rice & (order > p)
@@ -205,18 +206,19 @@ def encode_frames(x: np.ndarray, n: np.ndarray, number: np.ndarray) -> tuple[np.
     return out, offsets
 
 
-def encode(body: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """A FLAC stream for each payload; each holds a positive number of samples."""
+def encode(body: np.ndarray, offsets: np.ndarray, block: int = BLOCK) -> list[bytes]:
+    """A FLAC stream for each payload, in frames of ``block`` samples (16 to 32768); each holds a positive number of samples."""
     size = np.diff(offsets)
-    frames = -(-size // BLOCK)
+    frames = -(-size // block)
     owner, number = np.repeat(np.arange(len(size)), frames), spread(frames)
-    start = offsets[:-1][owner] + number * BLOCK
-    n = np.minimum(BLOCK, offsets[1:][owner] - start)
+    start = offsets[:-1][owner] + number * block
+    n = np.minimum(block, offsets[1:][owner] - start)
     parts, lengths = [], []
-    for a in range(0, len(owner), GROUP):
-        s, m = start[a : a + GROUP], n[a : a + GROUP]
-        at = np.minimum(s[:, None] + np.arange(BLOCK), (s + m - 1)[:, None])
-        out, ends = encode_frames(body[at].astype(np.int16) - 128, m, number[a : a + GROUP])
+    group = max(1, GROUP // block)
+    for a in range(0, len(owner), group):
+        s, m = start[a : a + group], n[a : a + group]
+        at = np.minimum(s[:, None] + np.arange(block), (s + m - 1)[:, None])
+        out, ends = encode_frames(body[at].astype(np.int16) - 128, m, number[a : a + group])
         parts.append(out)
         lengths.append(np.diff(ends))
     coded, length = np.concatenate(parts), np.concatenate(lengths)
@@ -227,9 +229,9 @@ def encode(body: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         a, b = first[i], first[i + 1]
         own = length[a:b]
         table_ = np.zeros(b - a, _POINT)
-        table_["sample"], table_["offset"], table_["n"] = number[a:b] * BLOCK, ends[a:b] - ends[a], n[a:b]
+        table_["sample"], table_["offset"], table_["n"] = number[a:b] * block, ends[a:b] - ends[a], n[a:b]
         digest = hashlib.md5((body[offsets[i] : offsets[i + 1]] ^ 0x80).tobytes()).digest()
-        info = BLOCK.to_bytes(2, "big") * 2 + int(own.min()).to_bytes(3, "big") + int(own.max()).to_bytes(3, "big") + (RATE << 44 | 7 << 36 | int(size[i])).to_bytes(8, "big") + digest
+        info = block.to_bytes(2, "big") * 2 + int(own.min()).to_bytes(3, "big") + int(own.max()).to_bytes(3, "big") + (RATE << 44 | 7 << 36 | int(size[i])).to_bytes(8, "big") + digest
         streams.append(b"fLaC\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + (18 * int(b - a)).to_bytes(3, "big") + table_.tobytes() + coded[ends[a] : ends[b]].tobytes())
     return streams
 
@@ -427,10 +429,11 @@ def decode(media: list[bytes]) -> list[tuple[bytes, np.ndarray]]:
     until[last] = base + sizes
     n, number = points["n"].astype(np.int64), spread(counts)
     pieces = []
-    for a in range(0, len(begin), GROUP):
-        s, e, m = begin[a : a + GROUP], until[a : a + GROUP], n[a : a + GROUP]
+    group = max(1, GROUP // int(n.max()))
+    for a in range(0, len(begin), group):
+        s, e, m = begin[a : a + group], until[a : a + group], n[a : a + group]
         view = body[s[0] : e[-1]]
-        x = decode_frames(view, s - s[0], e - s, m, number[a : a + GROUP])
+        x = decode_frames(view, s - s[0], e - s, m, number[a : a + group])
         pieces.append((x[np.arange(x.shape[1]) < m[:, None]] + 128).astype(np.uint8))
     flat = np.concatenate(pieces)
     out, at = [], 0
@@ -454,8 +457,8 @@ def payloads(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, ends, n
 
 
-def encode_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and the FLAC stream of every text.
+def encode_media(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_bytes and the FLAC stream of every text, in frames of ``block`` samples.
 
     Null and empty texts are one unit of zeros. Equal texts give equal streams. Repeated rows
     give a stream each, an empty table none; other columns are not read.
@@ -466,7 +469,7 @@ def encode_media(docs: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 body, ends, n = payloads(batch.column("text"))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(encode(body, ends), pa.binary())], ["doc_id", "n_bytes", "media"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(encode(body, ends, block), pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 

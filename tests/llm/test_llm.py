@@ -708,6 +708,20 @@ def test_flac_streams_bit_by_bit(docs):
     assert payload == noise.tobytes() and kinds == [1, 1]
 
 
+@pytest.mark.parametrize("block", [16, 512, 1024, 4608])
+def test_flac_block_sizes(block):
+    """Streams don't depend on what else is in a batch, whatever the size of frames."""
+    rng = np.random.default_rng(block)
+    parts = [rng.integers(90, 122, 64 * int(u)).astype(np.uint8) for u in (1, 40, 200)]
+    offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+    streams = flac.encode(np.concatenate(parts), offsets, block)
+    for part, stream in zip(parts, streams, strict=True):
+        assert slow_flac(stream)[0] == part.tobytes() and flac.encode(part, np.array([0, len(part)]), block) == [stream]
+        payload, points = flac.decode([stream])[0]
+        assert payload == part.tobytes() and points["sample"].tolist() == list(range(0, len(part), block))
+    assert [p for p, _ in flac.decode(streams)] == [p.tobytes() for p in parts]
+
+
 def foreign_flac(x, size, rng, escape):
     """A stream of other habits: no seek table, blocks of 192, eight Rice partitions, escapes, a rate beside the header."""
     out = b""
