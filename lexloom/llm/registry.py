@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lexloom.llm import binary, chat, flac, langid, mixing, packing, quality, simhash, suffix, toxicity, whitening, windows
+from lexloom.llm import binary, chat, flac, langid, mixing, packing, quality, simhash, spelling, suffix, toxicity, whitening, windows
 
 
 def queries() -> dict:
@@ -20,9 +20,10 @@ def queries() -> dict:
         "pipeline": corpus_pipeline.run,
         "op9_quality_rules": quality.op9_quality_rules,
         "op11_window_dedup": windows.op11_window_dedup,
+        "op12_spelling_variants": spelling.op12_spelling_variants,
         "op13_bitsliced_whitening": whitening.op13_bitsliced_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_suffix_dedup": suffix.OP4_SQL, "op5_poisson_mix": mixing.OP5_SQL, "op7_chat_formatting": chat.OP7_SQL, "op9_quality_rules": quality.OP9_SQL, "op11_window_dedup": windows.OP11_SQL}
+    return {"op4_suffix_dedup": suffix.OP4_SQL, "op5_poisson_mix": mixing.OP5_SQL, "op7_chat_formatting": chat.OP7_SQL, "op9_quality_rules": quality.OP9_SQL, "op11_window_dedup": windows.OP11_SQL, "op12_spelling_variants": spelling.OP12_SQL}
