@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.vectors import norm, normalize, squared_distance
-from lexloom.operators.ranking import checkpointed
 
-#: Vectors of a block of queries, and of a block of the corpus.
-QUERY_BLOCK, CORPUS_BLOCK = 4096, 16_384
+#: Bytes of the vectors of a part of the queries, and of the corpus.
+PART_BYTES = 8 << 20
+#: Distances that a task computes at once.
+AT_ONCE = 1 << 22
 NORM_SLACK = 1e-3
 
 
@@ -40,58 +40,85 @@ def nearest(vectors: DataFrame, query: list[float], n: int, id_col: str = "vec_i
 
 
 def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", query_id: str = "vec_id", vector: str = "embedding", drop_self: bool = False) -> DataFrame:
-    """(qid, id, distance, rank): the ``k`` nearest of each query by squared L2 of unit vectors.
+    """(qid, id, distance, rank): the ``k`` nearest of each query by squared L2 of unit vectors, ties by id.
 
-    Both sides are packed into blocks by the tasks that read them, and every block of the corpus
-    meets every block of queries in some task, which passes on its best ``k`` for each query. The
-    corpus is read once however many queries there are, and nothing goes through the driver.
+    See ``grid`` for how queries and corpus meet. Null vectors are left out on both sides.
     """
-    asked = queries.where(F.col(vector).isNotNull()).select(F.col(query_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    corpus = vectors.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    theirs = checkpointed(asked.repartition(blocks, "id").mapInArrow(_packed(QUERY_BLOCK), "ids binary, vectors binary")).toDF("qids", "queries")
-    own = corpus.mapInArrow(_packed(CORPUS_BLOCK), "ids binary, vectors binary")
-    found = own.crossJoin(theirs).mapInArrow(_best_of(k, drop_self), "qid long, id long, distance double")  # of blocks: a stated query set against all rows
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id")))
+    asked = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(vector).cast("array<double>").alias("v"), F.lit(k).alias("keep"))
+    corpus = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    ranked = grid(corpus, asked, drop_self).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id")))
     return ranked.where(F.col("rank") <= k)
 
 
-def _packed(size: int):
-    """Rows of (id, v) as blocks of ids and unit vectors."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, size):
-                part = batch.slice(i, size)
-                ids = np.asarray(part.column(0))
-                x = np.asarray(part.column(1).flatten()).reshape(len(ids), -1)
-                x = x / np.maximum(np.sqrt((x**2).sum(axis=1, keepdims=True)), 1e-12)
-                yield pa.RecordBatch.from_arrays([pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([x.astype("<f8").tobytes()], pa.binary())], ["ids", "vectors"])
-
-    return run
-
-
-def _best_of(k: int, drop_self: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in zip(*(batch.column(i) for i in range(4)), strict=True):
-                ids, x, qid, matrix = (np.frombuffer(v.as_py(), t) for v, t in zip(row, ("<i8", "<f8", "<i8", "<f8"), strict=True))
-                x, matrix = x.reshape(len(ids), -1), matrix.reshape(len(qid), -1)
-                for i in range(0, len(qid), max(1, (1 << 22) // len(ids))):
-                    part = matrix[i : i + max(1, (1 << 22) // len(ids))]
-                    q = qid[i : i + len(part)]
-                    d = np.round(np.maximum(0, (part**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None] - 2 * part @ x.T), 6)
-                    if drop_self:
-                        d[q[:, None] == ids[None]] = np.inf
-                    best = d if d.shape[1] <= k else np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-                    at, of = np.nonzero((d <= best.max(axis=1, keepdims=True)) & np.isfinite(d))  # ties stay, ranks come later
-                    order = np.lexsort((ids[of], d[at, of], at))
-                    at, of = at[order], of[order]
-                    nth = np.arange(len(at)) - np.searchsorted(at, at)
-                    at, of = at[nth < k], of[nth < k]
-                    yield pa.RecordBatch.from_arrays([pa.array(q[at]), pa.array(ids[of]), pa.array(d[at, of])], ["qid", "id", "distance"])
-
-    return run
+def grid(corpus: DataFrame, asked: DataFrame, drop_self: bool = False) -> DataFrame:
+    """(qid, id, distance): of ``corpus`` (id, v) the nearest of each of ``asked`` (qid, v, keep), and more than those.
+
+    Both sides are dealt to parts of bounded size; each part of the corpus is computed once and
+    shuffled to the cells of its row of the grid, each part of the queries to those of its column.
+    A cell passes on at most the best ``keep`` of each query, so what comes out can be cut to the
+    best of all; a null ``keep`` asks for every row. Where ``corpus`` has ``passes`` (numbers of
+    filters) and ``asked`` has ``only``, a query sees the rows that pass its filter, and all where
+    ``only`` is null. Where ``asked`` has ``scaled`` and it is true, stored vectors are taken as they are.
+    """
+    own, theirs = corpus.where("v IS NOT NULL"), asked.where("v IS NOT NULL")
+    first = theirs.select(F.size("v").alias("n")).first()
+    rows = max(1, PART_BYTES // (8 * max(1, first.n if first else 1)))
+    parts, columns = max(1, -(-own.count() // rows)), max(1, -(-theirs.count() // rows))
+    own = own if "passes" in own.columns else own.withColumn("passes", F.lit(None).cast("array<int>"))
+    for name, kind in (("only", "int"), ("scaled", "boolean")):
+        theirs = theirs if name in theirs.columns else theirs.withColumn(name, F.lit(None).cast(kind))
+    number = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
+    # Copies for each cell: as many as the other side has parts, so one where the queries are few.
+    a = own.select("id", "v", "passes", number(parts, "id", "v").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("j"))
+    b = theirs.select("qid", "v", "keep", "only", "scaled", number(columns, "qid", "v").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("i"))
+    kinds = f"qid {dict(theirs.dtypes)['qid']}, id {dict(own.dtypes)['id']}, distance double"
+
+    def cell(x: pa.Table, q: pa.Table) -> pa.Table:
+        return _cell(x, q, drop_self)
+
+    return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInArrow(cell, kinds)
+
+
+def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows, as they are and scaled to unit length."""
+    x = np.asarray(column.combine_chunks().flatten()).reshape(len(column), -1)
+    return x, x / np.maximum(np.sqrt((x**2).sum(axis=1, keepdims=True)), 1e-12)
+
+
+def _cell(own: pa.Table, asked: pa.Table, drop_self: bool) -> pa.Table:
+    """The best rows of a part of the corpus for each query of a part of the queries."""
+    out = [asked.select(["qid"]).slice(0, 0).append_column("id", pa.array([], own.schema.field("id").type)).append_column("distance", pa.array([], pa.float64()))]
+    if not own.num_rows or not asked.num_rows:
+        return out[0]
+    order = np.asarray(pc.sort_indices(own.column("id")))  # ties by id stay in their order
+    own = own.take(pa.array(order))
+    ids, (raw, unit), queries = own.column("id").combine_chunks(), _matrix(own.column("v")), _matrix(asked.column("v"))[1]
+    passes = own.column("passes").combine_chunks()
+    filled = pc.list_value_length(passes).fill_null(0)
+    row, of = np.repeat(np.arange(len(passes)), np.asarray(filled)), np.asarray(passes.flatten())
+    keep, only, scaled, qid = (asked.column(c).to_pylist() for c in ("keep", "only", "scaled", "qid"))
+    names, squares = np.asarray(ids), {True: (raw**2).sum(axis=1), False: (unit**2).sum(axis=1)}
+    at_once = max(1, AT_ONCE // len(ids))
+    for i, q in enumerate(queries):
+        if i % at_once == 0:
+            some = queries[i : i + at_once].T
+            dots = {flag: (raw if flag else unit) @ some for flag in {bool(x) for x in scaled[i : i + at_once]}}
+        flag = bool(scaled[i])
+        d = np.round(np.maximum(0, (q**2).sum() + squares[flag] - 2 * dots[flag][:, i % at_once]), 6)
+        if only[i] is not None:
+            may = np.zeros(len(d), bool)
+            may[row[of == only[i]]] = True
+            d[~may] = np.inf
+        if drop_self:
+            d[names == qid[i]] = np.inf
+        at = np.flatnonzero(np.isfinite(d))
+        if keep[i] is not None and keep[i] < len(at):
+            most = np.partition(d[at], keep[i] - 1)[keep[i] - 1]
+            at = at[d[at] <= most]
+            at = at[np.argsort(d[at], kind="stable")][: keep[i]]
+        if len(at):
+            out.append(pa.table([pa.array([qid[i]] * len(at), asked.schema.field("qid").type), ids.take(pa.array(at)), pa.array(d[at])], ["qid", "id", "distance"]))
+    return pa.concat_tables(out)
 
 
 def integrity(vectors: DataFrame, meta: DataFrame, normalized: bool, vector: str = "embedding") -> DataFrame:

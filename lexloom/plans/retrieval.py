@@ -5,13 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.functions.ids import year_in_id
 from lexloom.operators.citations import cited, contexts
-from lexloom.operators.dense import distance_to, distances, nearest
-from lexloom.operators.fusion import ChunkFilter, fuse_dense, fuse_hybrid, pool_size, ranked, rrf
-from lexloom.operators.lexical import bm25_query
+from lexloom.operators.dense import distances, grid, nearest
+from lexloom.operators.fusion import RRF_K, ChunkFilter, fuse_dense, fuse_hybrid, pool_size, ranked, rrf
+from lexloom.operators.lexical import bm25_query, bm25_scores
+from lexloom.operators.ranking import checkpointed, numbered
 
 
 @dataclass(frozen=True)
@@ -51,26 +53,85 @@ def hybrid(chunks: DataFrame, spec: SearchSpec) -> DataFrame:
     return rrf([dense, lexical]).withColumn("score", F.round("score", 9))
 
 
+QUESTIONS = "qid string, text string, vector array<double>, k int, hybrid boolean, type string, part string, papers array<string>, sections array<string>, year_start int, year_end int, doc_type string, scaled boolean"
+FILTER = ["type", "part", "papers", "sections", "year_start", "year_end", "doc_type"]
+#: Different filters of one batch, which all tasks get.
+MOST_FILTERS = 10_000
+
+
 def search_many(chunks: DataFrame, specs: dict[str, SearchSpec]) -> DataFrame:
-    """Results of several questions with their qid; each has its own filter.
+    """Results of several questions with their qid; each has its own filter. Raises where there is no question.
 
-    Dense questions share one scan of the chunks, and each task keeps the best of each question
-    before the shuffle. Hybrid questions, whose ranks cover the whole collection, have a plan each.
-    Raises where there is no question.
+    As ``search_batch``, without the rows of questions that can't be answered.
     """
     if not specs:
         raise ValueError("no questions")
-    dense = {q: s for q, s in specs.items() if not s.hybrid}
-    parts = [search(chunks, s).withColumn("qid", F.lit(q)) for q, s in specs.items() if s.hybrid]
-    return reduce(DataFrame.unionByName, ([_dense_many(chunks, dense)] if dense else []) + parts)
-
-
-def _dense_many(chunks: DataFrame, specs: dict[str, SearchSpec]) -> DataFrame:
-    hits = [F.when(s.only.condition(), F.struct(F.lit(q).alias("qid"), F.lit(s.k).alias("k"), distance_to(s.vector, scaled=s.scaled).alias("score"))) for q, s in specs.items()]
-    scored = chunks.where("embedding IS NOT NULL").select("id", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("h")).select("id", "h.*")
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("score", "id"))
-    best = scored.withColumn("rank", rank).where(F.col("rank") <= max(s.k for s in specs.values())).where(F.col("rank") <= F.col("k"))
-    return best.withColumn("rank", (F.col("rank") - 1).cast("int")).drop("k").join(chunks.drop("embedding"), "id")
+    rows = []
+    for qid, s in specs.items():
+        f = s.only
+        paper = (f.paper or None, None) if isinstance(f.paper, str) else (None, list(f.paper) if f.paper else None)
+        rows.append((qid, s.text, None if s.vector is None else [float(x) for x in s.vector], s.k, s.hybrid, f.type or None, *paper, list(f.sections) or None, f.year_start or None, f.year_end or None, f.doc_type or None, s.scaled))
+    return search_batch(chunks, chunks.sparkSession.createDataFrame(rows, QUESTIONS)).where("error IS NULL").drop("error")
+
+
+def asked_wrongly(questions: DataFrame, dims: int | None) -> DataFrame:
+    """``questions`` with ``error``: what keeps a question from being answered, or null."""
+    bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    again = F.count("*").over(Window.partitionBy("qid")) > 1
+    problems = [(F.col("qid").isNull(), "no qid"), (again, "several questions of one qid"), (F.col("k").isNull() | (F.col("k") < 1), "k below 1"), (F.col("vector").isNull(), "no vector"), (bad, "a vector with an entry that is no number")]
+    if dims is not None:
+        problems.append((F.size("vector") != dims, f"a vector of other than {dims} entries"))
+    problems.append((F.coalesce(F.col("hybrid"), F.lit(False)) & (F.trim(F.coalesce("text", F.lit(""))) == ""), "no text"))
+    return questions.withColumn("error", F.coalesce(*(F.when(c, F.lit(m)) for c, m in problems)))
+
+
+def passes(f) -> Column:
+    """Whether a chunk passes a filter given as a struct of FILTER; as ``ChunkFilter.condition`` for one that is known."""
+    year = F.coalesce(F.nullif(F.col("year").cast("int"), F.lit(0)), year_in_id("paper_id"))
+    conditions = [F.col("doc_type") == f["doc_type"], F.col("type") == f["type"], F.lower("paper_id").contains(F.lower(f["part"])), F.array_contains(f["papers"], F.col("paper_id")), F.array_contains(f["sections"], F.col("section_canonical")), year >= f["year_start"], year <= f["year_end"]]
+    asked = [f[c] for c in ("doc_type", "type", "part", "papers", "sections", "year_start", "year_end")]
+    return reduce(lambda a, b: a & b, (a.isNull() | F.coalesce(c, F.lit(False)) for a, c in zip(asked, conditions, strict=True)))
+
+
+def search_batch(chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """(qid, rank from 0, id, score, error and the chunk's columns): ``search`` for a table of QUESTIONS, in one plan.
+
+    The plan has the same size for any number of questions. Dense and lexical ranks are numbered
+    together, within each question and over range partitions. A question that can't be answered
+    (no qid or one that others have, no vector or one of other length, k below 1, a hybrid one
+    without text) has one row with its error, and the others are as without it. A question that
+    nothing answers has no row. Without questions there are no rows.
+    """
+    spark = chunks.sparkSession
+    one = chunks.where("embedding IS NOT NULL").select(F.size("embedding").alias("n")).first()
+    judged = checkpointed(asked_wrongly(questions.select(*spark.createDataFrame([], QUESTIONS).columns), one.n if one else None))
+    wrong, good = judged.where("error IS NOT NULL").select("qid", "error"), judged.where("error IS NULL")
+    filters = good.select(*FILTER).distinct().where(F.coalesce(*(F.col(c).cast("string") for c in FILTER)).isNotNull())
+    filters = checkpointed(filters.withColumn("only", F.row_number().over(Window.orderBy(*FILTER)).cast("int")))  # of few rows, see below
+    if filters.count() > MOST_FILTERS:
+        raise ValueError(f"more than {MOST_FILTERS} different filters: ask in several batches")
+    same = reduce(lambda a, b: a & b, (good[c].eqNullSafe(filters[c]) for c in FILTER))
+    asked = good.join(F.broadcast(filters), same, "left").select(good["qid"], "text", "vector", "k", F.coalesce(good["hybrid"], F.lit(False)).alias("hybrid"), "only", F.coalesce(good["scaled"], F.lit(True)).alias("scaled"))
+    total = chunks.count()
+    pool = F.when(F.col("only").isNotNull(), F.lit(total)).otherwise(F.least(F.lit(total), F.greatest(10 * F.col("k"), F.lit(200))))
+    asked = checkpointed(asked.withColumn("pool", F.when(F.col("hybrid"), pool).otherwise(F.col("k"))))
+    every = filters.agg(F.collect_list(F.struct("only", *FILTER)).alias("filters"))  # one row, of MOST_FILTERS at most
+    seen = F.transform(F.filter("filters", passes), lambda f: f["only"])
+    kinds = {"type": "string", "paper_id": "string", "section_canonical": "string", "year": "int", "doc_type": "string"}
+    described = chunks.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in chunks.columns})
+    known = checkpointed(described.crossJoin(F.broadcast(every)).select("id", F.col("embedding").cast("array<double>").alias("v"), "text", seen.alias("passes")))
+    # A hybrid question ranks the whole collection and is filtered afterwards, a dense one first.
+    near = grid(known, asked.select("qid", F.col("vector").alias("v"), F.when(~F.col("hybrid") | F.col("only").isNull(), F.col("pool").cast("int")).alias("keep"), F.when(~F.col("hybrid"), F.col("only")).alias("only"), "scaled"))
+    words = bm25_scores(known, asked.where("hybrid").select("qid", F.col("text").alias("query")), "id")
+    arms = near.select("qid", F.lit("dense").alias("arm"), "id", F.col("distance").alias("by")).unionByName(words.select("qid", F.lit("lexical").alias("arm"), "id", (-F.round("score", 6)).alias("by")))
+    ranks = numbered(arms, [F.col("by"), F.col("id")], group=["qid", "arm"]).join(asked.select("qid", "hybrid", "only", "k", "pool"), "qid").where(F.col("rank") < F.col("pool"))
+    fused = ranks.where("hybrid").groupBy("qid", "id", "only", "k").agg(F.round(F.sum(1.0 / (F.lit(RRF_K) + F.col("rank") + 1)), 9).alias("score"))
+    may = fused.where("only IS NULL").unionByName(fused.where("only IS NOT NULL").join(known.select("id", F.explode("passes").alias("only")), ["id", "only"], "left_semi").select(*fused.columns))
+    best = may.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id")) - 1).where(F.col("rank") < F.col("k"))
+    plain = ranks.where(~F.col("hybrid")).select("qid", "id", F.col("by").alias("score"), F.col("rank").cast("int").alias("rank"))
+    hits = plain.unionByName(best.select("qid", "id", "score", F.col("rank").cast("int").alias("rank")))
+    found = hits.join(chunks.drop("embedding"), "id").withColumn("error", F.lit(None).cast("string"))
+    return found.unionByName(wrong, allowMissingColumns=True)
 
 
 def with_attachment(results: DataFrame, attached: DataFrame, k: int, least: int, hybrid_scores: bool) -> DataFrame:

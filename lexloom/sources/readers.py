@@ -108,6 +108,13 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFr
     return found.select("path", F.regexp_extract("path", r"[^/]*$", 0).alias("name"), F.col("modificationTime").alias("modified"), "length").distinct()
 
 
+def file_marks(spark: SparkSession, path: str) -> str:
+    """A hash of names, times and lengths of the files under ``path``, which changes when one of them does; contents aren't read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    row = found.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("path", "modificationTime", "length")).alias("x")).first()
+    return f"{row.n}:{row.x}"
+
+
 def keyword_table(spark: SparkSession, keywords: dict[str, list[str]]) -> DataFrame:
     """Configuration as a table: category, seq, keyword; an order-keeping list without repeats."""
     rows = [(c, i, w) for c, ws in keywords.items() for i, w in enumerate(dict.fromkeys(ws))]

@@ -36,6 +36,36 @@ def test_search_many_is_search(spark, chunks):
         retrieval.search_many(chunks, {})
 
 
+def test_a_batch_has_one_plan_and_a_row_for_each_bad_question(spark, chunks):
+    good = ("H2S gas", [1.0] * 8, 2, True, None, None, None, ["methods"], None, None, None, False)
+    bad = {
+        "no vector": ("gas", None, 2, False),
+        "short": ("gas", [1.0], 2, False),
+        "nan": ("gas", [float("nan")] * 8, 2, False),
+        "no k": ("gas", [1.0] * 8, 0, False),
+        "no text": (" ", [1.0] * 8, 2, True),
+        None: ("gas", [1.0] * 8, 2, False),
+        "twice": ("gas", [1.0] * 8, 2, False),
+    }
+    rows = [("a", *good), *((q, *x, *[None] * 8) for q, x in bad.items()), ("twice", *bad["no k"], *[None] * 8)]
+    got = retrieval.search_batch(chunks, spark.createDataFrame(rows, retrieval.QUESTIONS)).collect()
+    wrong = [r for r in got if r.error is not None]
+    assert sorted(str(r.qid) for r in wrong) == sorted([*map(str, bad), "twice"]) and all(r.id is None and r["rank"] is None for r in wrong)
+    want = retrieval.search(chunks, retrieval.SearchSpec("H2S gas", [1.0] * 8, 2, True, fusion.ChunkFilter(sections=["methods"]), False)).collect()
+    assert [(r.id, r["rank"], round(r.score, 9)) for r in got if r.error is None] == [(r.id, r["rank"], round(r.score, 9)) for r in want]
+    size = lambda n: len(retrieval.search_batch(chunks, spark.createDataFrame([(f"q{i}", "gas", [float(i + 1)] * 8, 2, i % 2 == 0, None, None, None, None, 1990 + i, None, None, False) for i in range(n)], retrieval.QUESTIONS))._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert size(3) == size(60)
+    assert retrieval.search_batch(chunks, spark.createDataFrame([], retrieval.QUESTIONS)).count() == 0
+    assert retrieval.search_batch(chunks.where("id < 0"), spark.createDataFrame(rows[:1], retrieval.QUESTIONS)).count() == 0
+
+
+def test_filters_of_a_batch_are_those_of_one(spark, chunks):
+    only = [fusion.ChunkFilter(**k) for k in ({"type": "text"}, {"type": "table"}, {"paper": "2001_A"}, {"paper": "1_A"}, {"paper": ["2001_a_b", "x"]}, {"sections": ["methods", "y"]}, {"year_start": 2002}, {"year_end": 2002}, {"doc_type": "article", "year_start": 2001, "year_end": 2003})]
+    specs = {str(i): retrieval.SearchSpec("", [1.0] * 8, 5, only=f, scaled=False) for i, f in enumerate(only)}
+    got = {(r.qid, r.id) for r in retrieval.search_many(chunks, specs).collect()}
+    assert got == {(str(i), r.id) for i, f in enumerate(only) for r in chunks.where(f.condition()).collect()}
+
+
 def test_bm25_both_ways(spark, chunks):
     docs = [r.toks for r in lexical.tokenized(chunks, "id", "text").orderBy("id").collect()]
     query = "H2S gas h2s"
@@ -164,7 +194,75 @@ def test_neighbours_by_blocks(spark, monkeypatch):
     u = x / np.sqrt((x**2).sum(axis=1, keepdims=True))
     d = np.round(((u[:, None] - u[None]) ** 2).sum(axis=2), 6)
     want = {(q, int(i), r + 1) for q in range(70) for r, i in enumerate([i for i in np.lexsort((np.arange(70), d[q])) if i != q][:4])}
-    for queries, corpus in ((4096, 16_384), (7, 9)):
-        monkeypatch.setattr(dense, "QUERY_BLOCK", queries)
-        monkeypatch.setattr(dense, "CORPUS_BLOCK", corpus)
-        assert {(r.qid, r.id, r.rank) for r in dense.nearest_many(df, df, 4, drop_self=True).collect()} == want
+    for size in (8 << 20, 8 * 3 * 9):
+        monkeypatch.setattr(dense, "PART_BYTES", size)
+        found = dense.nearest_many(df, df, 4, drop_self=True)
+        assert {(r.qid, r.id, r.rank) for r in found.collect()} == want
+        plan = found._jdf.queryExecution().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+# --- inverted index ------------------------------------------------------------
+
+
+@pytest.fixture
+def small_stripes(monkeypatch):
+    from lexloom.operators import inverted
+
+    monkeypatch.setattr(inverted, "STRIPE", 2)
+    monkeypatch.setattr(inverted, "FIRST", 1)
+    return inverted
+
+
+def test_index_equals_scan_through_refreshes(spark, tmp_path, small_stripes):
+    import random
+
+    rng = random.Random(2)
+    text = lambda: " ".join(rng.choices(["gas", "H2S", "bio-gas", "agua", "x1", "the", "the", "the"], k=rng.randrange(12)))
+    rows = {i: text() for i in range(60)}
+    rows[7] = None
+    index = small_stripes.InvertedIndex(spark, str(tmp_path / "index"))
+    asked = spark.createDataFrame([(1, "H2S gas"), (2, "the the agua"), (3, "zzz"), (4, ""), (5, "biogas x1 bio-gas")], "qid long, query string")
+
+    def check():
+        docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+        want = lexical.top_by_query(lexical.bm25_scores(docs, asked), 5).collect()
+        got = index.top(asked, 5).collect()
+        assert sorted((r.qid, r["rank"], r.id, r.score) for r in got) == sorted((r.qid, r["rank"], r.id, r.score) for r in want)
+        assert index.integrity().first().ok
+        return docs
+
+    assert index.refresh(spark.createDataFrame(list(rows.items()), "doc_id long, text string")) == (60, 0)
+    docs = check()
+    seq = index.store.manifest()["seq"]
+    assert index.refresh(docs.unionByName(docs)) is None and index.store.manifest()["seq"] == seq
+    rows |= {100: "gas gas gas", 3: "H2S the", 4: None}
+    del rows[9], rows[10]
+    assert index.refresh(spark.createDataFrame(list(rows.items()), "doc_id long, text string")) == (3, 4)
+    check()
+    rows[10] = "agua"
+    index.refresh(spark.createDataFrame(list(rows.items()), "doc_id long, text string"))
+    check()
+    index.compact()
+    check()
+    rows.clear()
+    index.refresh(spark.createDataFrame([], "doc_id long, text string"))
+    assert index.top_one("gas", 3).count() == 0 and index.integrity().first().n_docs == 0
+
+
+def test_index_reads_its_terms_only(spark, tmp_path, small_stripes):
+    rows = [(i, " ".join(["gas"] * (1 + i % 3) + [f"w{i}"] * (i % 40) + ["rare"] * (i in (5, 90)))) for i in range(120)]
+    index = small_stripes.InvertedIndex(spark, str(tmp_path / "index"))
+    index.refresh(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = index.top_one("rare gas", 2)
+    assert [r.id for r in found.orderBy("rank").collect()][0] in (5, 90)
+    plan = found._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket" in plan and "In(term, [gas,rare])" in plan
+    # Of the stripes, those that can't reach the second best aren't scored.
+    tables = index.tables()
+    asked, few = index._asked(tables, spark.createDataFrame([(0, "rare gas")], "qid int, query string"), "qid", "query")
+    bounds = index.bounds(asked, few, tables["postings"])
+    best = min(r.score for r in found.collect())
+    assert 0 < bounds.where(F.col("bound") >= best - 1e-6).count() < bounds.count() / 4
+    # Files of terms in other partitions aren't listed in the scan.
+    assert {r.bucket for r in index._of(tables["postings"], few).select("bucket").distinct().collect()} <= {b for b, _ in few}
