@@ -506,9 +506,9 @@ def test_repeated_words_whatever_the_hash(spark, monkeypatch, places):
     assert got == {i: brute_quality(t)[4] for i, t in enumerate(texts)}
 
 
-@pytest.mark.parametrize("most", [100_000, 0])
+@pytest.mark.parametrize("most", [200, 0])
 def test_quality_knows_every_language(spark, sample, monkeypatch, most):
-    monkeypatch.setattr(quality, "MOST_BROADCAST", most)
+    monkeypatch.setattr(quality, "MOST_REFERENCES", most)
     rng = np.random.default_rng(3)
     text = lambda letters: " ".join("".join(rng.choice(list(letters), int(rng.integers(2, 10)))) for _ in range(200)) + "."
     texts = [(-1 - i, text("абвгдежзиклмнопрстуя"), "ru") for i in range(9)] + [(-11 - i, text("αβγδεζηθικλμνοπ"), "el") for i in range(9)]
@@ -521,6 +521,36 @@ def test_quality_knows_every_language(spark, sample, monkeypatch, most):
     assert {i: r.kept for i, r in got.items() if i >= 0} == before
 
 
+@pytest.mark.parametrize("most", [200, 0])
+def test_quality_of_unnamed_and_misnamed_languages(spark, sample, monkeypatch, most):
+    """Clean texts stay whatever they name; junk goes even where it alone, or with few others, names its language."""
+    monkeypatch.setattr(quality, "MOST_REFERENCES", most)
+    rng = np.random.default_rng(4)
+    text = lambda letters, n=300: " ".join("".join(rng.choice(list(letters), int(rng.integers(2, 10)))) for _ in range(n))
+    cyrillic, han, latin = "абвгдежзиклмнопрстуя", "的一是不了人我在有他这为之大来以个中上们", "abcdefghilmnoprstuv"
+    clean = [(cyrillic, None), (cyrillic, "en"), (cyrillic, "ru"), (han, None), (han, "en"), (han, "zh"), (latin, None), (latin, "pl"), (latin, "xx")]
+    junk = [("#*$%&|<>", x) for x in (None, "en", "ru", "xx", "yy")]
+    rows = [(-1 - i, text(a), x) for i, (a, x) in enumerate(clean)] + [(-101 - i, text(a), x) for i, (a, x) in enumerate(junk)]
+    rows += [(-1000 - i, text(latin, 100), "sv") for i in range(30)] + [(-2000 - i, text(cyrillic, 100), "uk") for i in range(30)] + [(-3000, text("#*$%&|<>"), "sv"), (-3001, text("#*$%&|<>"), "uk"), (-3002, text(cyrillic) + " " + text("#*$%&|<>", 900), "uk")]
+    both = sample.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = {r.doc_id: r.kept for r in quality.judge(both).where("doc_id < 0").collect()}
+    assert [x for i, x in enumerate(clean) if not got[-1 - i]] == []
+    assert [x for i, x in enumerate(junk) if got[-101 - i]] == []
+    assert all(got[-1000 - i] and got[-2000 - i] for i in range(30)) and not any(got[i] for i in (-3000, -3001, -3002))
+    alone = spark.createDataFrame([(1, text(latin), "en"), (2, text(han), None)], "doc_id long, text string, lang string")
+    assert [r.kept for r in quality.judge(alone).collect()] == [True, True]
+
+
+def test_quality_sql_with_further_references(sample):
+    langs = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("l"), F.col("doc_id") % 2)).otherwise(F.col("lang"))
+    rows = sample.select("doc_id", F.when(F.col("doc_id") % 6 == 0, F.translate("text", "abcdefghijklmno", "абвгдежзиклмнопа")).otherwise(F.col("text")).alias("text"), langs.alias("lang"))
+    want = duckdb.connect()
+    want.register("documents", rows.toPandas())
+    kept = {r[0]: r[-1] for r in want.execute(quality.OP9_SQL).fetchall()}
+    got = {r.doc_id: r.kept for r in quality.judge(rows).collect()}
+    assert got == kept and {r.lang for r in rows.select("lang").distinct().collect()} == {"de", "en", "es", "fr", "l0", "l1"}
+
+
 def test_distance(value):
     p, q = [1.0, 3.0, 0.0], [0.5, 0.0, 0.5]
     a, b = np.array(p) / 4, np.array(q)
