@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from lexloom.functions import ids
 from lexloom.functions.text import fold
+from lexloom.sources import lines
 
 # Names under which a table may hold a column, the first that is there wins.
 ALIASES = {
@@ -40,9 +42,8 @@ def read_chunks(spark: SparkSession, path: str, schema: StructType | str, phase:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no from 1, line) of text files that are not blank, each file whole."""
-    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return files.select("path", F.posexplode(F.split("value", "\n")).alias("pos", "line")).where(F.trim("line") != "").select("path", (F.col("pos") + 1).alias("line_no"), "line")
+    """(path, line_no from 1, line) of text files that are not blank; a large file is many tasks' work."""
+    return lines.numbered(spark, path).where(F.trim("line") != "").select("path", "line_no", "line")
 
 
 def read_metadata(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -58,15 +59,20 @@ def sniff(header: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str, aliases: dict[str, list[str]] | None = None, required: tuple[str, ...] = ("doi", "title")) -> DataFrame:
-    """A table as text: separator sniffed, byte order mark off, columns by their aliases, line numbers as seq.
+    """A table as text: separator sniffed, byte order mark off, columns by their aliases, the number of a record's first line as seq.
 
-    Raises where a required column is missing.
+    Fields may have line ends within quotes, and a quote within quotes is written twice. Every
+    file begins with the header. A large file is many tasks' work. Raises where a required column
+    is missing. An empty file has no columns and no rows.
     """
-    first = spark.read.text(path).first()
-    header = (first.value if first else "").lstrip("﻿")
-    rows = spark.read.options(header="true", sep=sniff(header), inferSchema="false", multiLine="true", quote='"', escape='"').csv(path)
-    rows = rows.toDF(*(c.lstrip("﻿").strip() for c in rows.columns))
-    return resolve_columns(rows.withColumn("seq", F.monotonically_increasing_id()), aliases or ALIASES, required)
+    first = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path).first()
+    header = (first.value if first else "").lstrip("\ufeff").rstrip("\r")
+    sep = sniff(header)
+    names = [n.strip() for n in next(csv.reader([header], delimiter=sep), [])] if header else []
+    found = lines.records(spark, path).where("line_no > 1").withColumn("record", F.regexp_replace("record", "\r$", "")).where("record != ''")
+    fields = F.from_csv("record", ", ".join(f"c{i} string" for i in range(max(1, len(names)))), {"sep": sep, "quote": '"', "escape": '"', "maxCharsPerColumn": "-1"})
+    rows = found.select(fields.alias("r"), F.col("line_no").alias("seq")).select(*(F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)), "seq")
+    return resolve_columns(rows, aliases or ALIASES, required)
 
 
 def _plain(spark: SparkSession, names: list[str]) -> list[str]:
