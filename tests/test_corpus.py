@@ -282,7 +282,29 @@ def test_snapshots(spark, tmp_path):
     assert writers.write_snapshot(two, folder, "t3") == "t3"  # a file that went is a change
     assert writers.write_snapshot(files(("a", b"3")), folder, "t4", keep=2) == "t4"
     assert sorted(writers.snapshots(spark, folder)) == ["t3", "t4"]
-    assert spark.read.parquet(f"{folder}/content").select("taken_at").distinct().count() == 2
+    got = lambda name: {(r.path, bytes(r.content)) for r in writers.read_snapshot(spark, folder, name).collect()}
+    assert got("t3") == {("a", b"1")} and got("t4") == got(None) == {("a", b"3")}
+    with pytest.raises(KeyError):
+        got("t1")
+
+
+def test_a_snapshot_writes_new_contents_only(spark, tmp_path):
+    from lexloom.sources.store import Store
+
+    folder = str(tmp_path / "snapshots")
+    files = lambda d: spark.createDataFrame([(p, bytearray(c.encode())) for p, c in d.items()], "path string, content binary")
+    stored = lambda: Store(spark, folder).manifest()["tables"]["contents"]["paths"]
+    tree = {f"f{i}": f"text {i % 7}" for i in range(20)}
+    writers.write_snapshot(files(tree), folder, "t1", keep=2)
+    assert spark.read.parquet(*stored()).count() == 7
+    tree["f3"] = "another"
+    writers.write_snapshot(files(tree), folder, "t2", keep=2)
+    assert len(stored()) == 2 and spark.read.parquet(stored()[-1]).count() == 1
+    tree = {f"f{i}": "one of all" for i in range(5)} | {"x": "text 1"}
+    writers.write_snapshot(files(tree), folder, "t3", keep=1)  # of the first folder one of seven is still named, of the second none
+    assert spark.read.parquet(*stored()).count() == 2
+    assert {(r.path, r.content.decode()) for r in writers.read_snapshot(spark, folder).collect()} == set(tree.items())
+    assert writers.snapshots(spark, folder) == ["t3"]
 
 
 def test_flows_of_papers(spark):
