@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import col
-from lexloom.functions.text import SECTIONS, words
+from lexloom.functions.text import SECTIONS, trim_space, words
+from lexloom.operators.ranking import let
 
 TARGET, OVERLAP, STRETCH = 850, 120, 1.2
 MOST_CHARS, LEAST_COVER, LEAST_TABLE = 8000, 200, 200
@@ -250,9 +251,55 @@ def chunk_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _exploding(docs, id_col, text_col, "chunk", lambda t: pack_words(t, target, overlap))
 
 
+def char_units(text: Column, most: int) -> Column:
+    """A text as units in order (what joins it to the one before, its text, whether it begins a piece).
+
+    Units are paragraphs; of a longer one its lines; of a longer line its words; and of a longer
+    word its stretches, which stand alone but for the last.
+    """
+
+    def unit(sep: str, text: Column, fresh: bool = False) -> Column:
+        return F.struct(F.lit(sep).alias("sep"), text.alias("text"), F.lit(fresh).alias("fresh"))
+
+    def of_word(w: Column) -> Column:
+        stretches = F.transform(F.sequence(F.lit(1), F.length(w), F.lit(most)), lambda i: unit("", F.substr(w, i, F.lit(most)), True))
+        return F.when(F.length(w) <= most, F.array(unit(" ", w))).otherwise(stretches)
+
+    def of_line(line: Column) -> Column:
+        return F.when(F.length(line) <= most, F.array(unit("\n", line))).otherwise(F.flatten(F.transform(words(line), of_word)))
+
+    def of_paragraph(p: Column) -> Column:
+        lines = F.flatten(F.transform(F.filter(F.split(p, "\n"), lambda x: trim_space(x) != ""), of_line))
+        first = F.transform(lines, lambda u, i: F.struct(u["sep"].alias("sep"), u["text"].alias("text"), (u["fresh"] | (i == 0)).alias("fresh")))
+        return F.when(F.length(p) <= most, F.array(unit("\n\n", p))).otherwise(first)
+
+    paragraphs = F.filter(F.transform(F.split(text, "\n\n"), trim_space), lambda p: p != "")
+    return F.flatten(F.transform(paragraphs, of_paragraph))
+
+
+def char_pieces(text, most: int = MOST_CHARS) -> Column:
+    """As ``split_chars``, as a fold over a text's units: the open piece takes a unit or is closed by it."""
+    whole = trim_space(F.coalesce(col(text), F.lit("")))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"))
+
+    def step(a: Column, u: Column) -> Column:
+        close = (a["held"] != "") & (u["fresh"] | (F.length(a["held"]) + F.length(u["sep"]) + F.length(u["text"]) > most))
+        return F.when(close, F.struct(F.concat(a["done"], F.array(a["held"])).alias("done"), u["text"].alias("held"))).otherwise(
+            F.struct(a["done"].alias("done"), F.when(a["held"] == "", u["text"]).otherwise(F.concat(a["held"], u["sep"], u["text"])).alias("held"))
+        )
+
+    def cut(t: Column) -> Column:
+        folded = F.aggregate(char_units(t, most), start, step, lambda a: F.when(a["held"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["held"]))))
+        short = F.when(t == "", F.array().cast("array<string>")).otherwise(F.array(t))
+        return F.when(F.length(t) <= most, short).otherwise(folded)
+
+    return let(whole, cut)
+
+
 def split_long(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_CHARS) -> DataFrame:
-    """Pieces of at most ``most`` characters."""
-    return _exploding(docs, id_col, text_col, "piece", lambda t: split_chars(t, most))
+    """(id, piece_index from 1, piece): pieces of at most ``most`` characters. Null and empty texts have none."""
+    pieces = docs.select(F.col(id_col), F.posexplode(char_pieces(text_col, most)).alias("pos", "piece"))
+    return pieces.select(id_col, (F.col("pos") + 1).alias("piece_index"), "piece")
 
 
 def pack_chars(text: str, target: int = 1000, overlap: int = 150, least: int = 30) -> list[str]:

@@ -264,11 +264,41 @@ def chunk_stats(spark, d):
     return c.agg(F.count("*").alias("n"), F.sum("n_words").alias("n_words"), F.max(F.length("chunk")).alias("longest"), F.count_if(F.length("chunk") > 8000).alias("too_long"), F.round(F.avg(F.length("chunk")), 6).alias("mean_chars"))
 
 
-@query()
+def pieces_sql(x: str, most: int) -> str:
+    """Pieces of texts (doc_id, ``x``): a fold over units as rows of one type, the open piece as text and what is done beside it."""
+    strip = lambda v: f"regexp_replace({v}, '^\\s+|\\s+$', '', 'g')"
+    unit = lambda sep, text, fresh="false": f"{{'done': []::VARCHAR[], 'sep': '{sep}', 'text': {text}, 'fresh': {fresh}}}"
+    word = f"CASE WHEN length(w) <= {most} THEN [{unit(' ', 'w')}] ELSE list_transform(range(1, length(w) + 1, {most}), lambda i: {unit('', f'substr(w, i, {most})', 'true')}) END"
+    line = f"CASE WHEN length(l) <= {most} THEN [{unit(chr(10), 'l')}] ELSE flatten(list_transform(list_filter(regexp_split_to_array(l, '\\s+'), lambda w: w <> ''), lambda w: {word})) END"
+    lines = f"flatten(list_transform(list_filter(string_split(p, chr(10)), lambda l: {strip('l')} <> ''), lambda l: {line}))"
+    first = f"list_transform({lines}, lambda u, i: {{'done': u.done, 'sep': u.sep, 'text': u.text, 'fresh': u.fresh OR i = 1}})"
+    paragraph = f"CASE WHEN length(p) <= {most} THEN [{unit(chr(10) * 2, 'p')}] ELSE {first} END"
+    units = f"flatten(list_transform(list_filter(list_transform(string_split(t, chr(10) || chr(10)), lambda p: {strip('p')}), lambda p: p <> ''), lambda p: {paragraph}))"
+    step = f"""CASE WHEN u.fresh OR length(a.text) + length(u.sep) + length(u.text) > {most} THEN {{'done': list_append(a.done, a.text), 'sep': '', 'text': u.text, 'fresh': false}}
+ELSE {{'done': a.done, 'sep': '', 'text': a.text || u.sep || u.text, 'fresh': false}} END"""
+    return f"""cut AS (SELECT doc_id, CASE WHEN length(t) <= {most} THEN [t] ELSE list_append(f.done, f.text) END AS pieces FROM
+  (SELECT doc_id, t, CASE WHEN length(t) > {most} THEN list_reduce({units}, lambda a, u: {step}) END AS f FROM (SELECT doc_id, {strip(f"coalesce({x}, '')")} AS t FROM documents)) WHERE t <> ''),
+pieces AS (SELECT doc_id, unnest(pieces) AS piece, unnest(range(1, len(pieces) + 1))::INT AS piece_index FROM cut)"""
+
+
+PIECE_SQL = "SELECT doc_id, piece_index, length(piece)::INT AS chars, md5(piece) AS piece_md5 FROM pieces"
+
+
+@query(f"WITH {pieces_sql('text', 8000)} {PIECE_SQL}")
 def split_max_chars(spark, d):
     return chunking.split_long(table(spark, d, "documents")).select("doc_id", "piece_index", F.length("piece").alias("chars"), F.md5("piece").alias("piece_md5"))
 
 
+LAID_OUT = "CASE doc_id % 4 WHEN 0 THEN replace(text, ' ', '') WHEN 1 THEN replace(text, '. ', chr(10)) WHEN 2 THEN replace(text, '. ', chr(10) || chr(10)) ELSE text || chr(10) || chr(10) || replace(text, ' ', '') || ' and ' || text END"
+
+
+@query(f"WITH {pieces_sql(LAID_OUT, 300)} {PIECE_SQL}")
+def split_at_every_level(spark, d):
+    """Whole texts laid out as paragraphs, as lines, as one long word, and as all of them, in pieces of 300 characters."""
+    laid_out = table(spark, d, "documents").withColumn("text", F.expr(LAID_OUT))
+    return chunking.split_long(laid_out, most=300).select("doc_id", "piece_index", F.length("piece").alias("chars"), F.md5("piece").alias("piece_md5"))
+
+
 @query(f"WITH {WINDOWS_SQL} SELECT doc_id, chunk_index, md5(chunk) AS chunk_md5 FROM chunks")
 def packed_chunks(spark, d):
     return chunking.chunk_texts(table(spark, d, "documents")).select("doc_id", "chunk_index", F.md5("chunk").alias("chunk_md5"))

@@ -332,3 +332,16 @@ def test_flows_of_papers(spark):
     assert [(r.paper_id, r.project) for r in tables["papers"].collect()] == [("x", "p-1")] and tables["chunks"].where("project = 'p-1'").count() > 0
     with pytest.raises(ValueError):
         flows.process_project("p-1", names(), names("x"), tei)
+
+
+def test_the_fold_equals_the_loop(spark):
+    import random
+
+    rng = random.Random(9)
+    piece = lambda: rng.choice(["ab", "c" * rng.randrange(40), " ", "\n", "\n\n", "\n \n", "é漢", "\t", "d e f"])
+    texts = [None, "", " \n ", "x" * 95, *("".join(piece() for _ in range(rng.randrange(60))) for _ in range(300))]
+    for most in (5, 30):
+        rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {(r.doc_id, r.piece_index): r.piece for r in chunking.split_long(rows, most=most).collect()}
+        assert got == {(i, n): p for i, t in enumerate(texts) for n, p in enumerate(chunking.split_chars(t, most), 1)}
+    assert "MapInArrow" not in chunking.split_long(rows)._jdf.queryExecution().toString()
