@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import ids
 from lexloom.functions.text import key, title_key
+from lexloom.operators.ranking import checkpointed, numbered, running_max
 
 LEAST_TITLE = 10
 PREFIX = 60
@@ -183,31 +183,41 @@ def same_paper(papers: DataFrame, others: DataFrame) -> DataFrame:
 def unique_names(rows: DataFrame, name: str, seq: str, within: tuple[str, ...] = ()) -> DataFrame:
     """``rows`` with unique_name: in order of ``seq`` each takes its name, else the first of name_2, name_3, ... that is free.
 
-    Names are numbered where they stand; only families in which some name ends in a number, as
-    ``a_2`` does beside ``a``, are gone through one by one. Names must not be null.
+    Rows of one name are numbered where they stand. Only where a name ends in a number, as ``a_2``
+    beside ``a``, can rows of different names want the same: all propose at once, the first in order
+    holds a name, the others go on to the next that nobody before them holds, and so on until no
+    row is turned away. That gives what going through the rows one by one gives, since rows of one
+    name want the same names in the same order and whoever turns a row away has come before it. No
+    group is one task's. Names must not be null.
     """
-    root = F.regexp_replace(name, r"(_\d+)+$", "")
-    keyed = rows.withColumn("_root", root)
+    columns = [*rows.columns, "unique_name"]
+    keyed = rows.withColumn("_root", F.regexp_replace(name, r"(_\d+)+$", ""))
     family = [*within, "_root"]
     odd = keyed.where(F.col(name) != F.col("_root")).select(*family).distinct()
-    n = F.row_number().over(Window.partitionBy(*within, name).orderBy(seq))
-    plain = keyed.join(odd, family, "left_anti").withColumn("_n", n)
-    plain = plain.withColumn("unique_name", F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), F.col("_n"))))
-
-    columns = [*rows.columns, "unique_name"]
-
-    def probe(group: pd.DataFrame) -> pd.DataFrame:
-        group, taken, after = group.sort_values(seq, kind="stable"), set(), {}
-        out = []
-        for x in group[name]:
-            free, k = x, after.get(x, 2)
-            while free in taken:
-                free, k = f"{x}_{k}", k + 1
-            after[x] = k if free != x else 2
-            taken.add(free)
-            out.append(free)
-        return group.assign(unique_name=out)[columns]
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    probed = keyed.join(odd, family, "left_semi").groupBy(*family).applyInPandas(probe, f"{kinds}, unique_name string")
-    return plain.select(*columns).unionByName(probed)
+    own = F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), F.col("_n")))
+
+    def placed(df: DataFrame) -> DataFrame:
+        return numbered(df, [F.col(seq)], "_n", [*within, name]).withColumn("_n", F.col("_n") + 1)
+
+    plain = placed(keyed.join(odd, family, "left_anti")).withColumn("unique_name", own).select(*columns)
+    ordered = numbered(keyed.join(odd, family, "left_semi"), [F.col(seq), F.col(name)], "_o")
+    now = checkpointed(placed(ordered).withColumn("_j", F.col("_n")))
+    while True:
+        asked = now.withColumn("unique_name", own)
+        first = F.min(F.struct("_o", F.col(name).alias("by")))
+        held = checkpointed(asked.groupBy(*within, "unique_name").agg(first.alias("_f")).select(*within, "unique_name", F.col("_f._o").alias("_h"), F.col("_f.by").alias("_by")))
+        turned = asked.join(held, [*within, "unique_name"]).where(F.col("_o") > F.col("_h")).select("_o", "_n")
+        if not turned.limit(1).count():
+            return plain.unionByName(asked.select(*columns))
+        # Numbers of each name that rows of others hold, in runs without a gap.
+        number = F.regexp_extract("unique_name", r"_([1-9]\d{0,17})$", 1)
+        taken = held.where(number != "").select(*within, F.regexp_replace("unique_name", r"_\d+$", "").alias(name), number.cast("long").alias("_n"), "_h", "_by").where((F.col("_by") != F.col(name)) & (F.col("_n") > 1))
+        run = taken.withColumn("_run", F.col("_n") - F.row_number().over(Window.partitionBy(*within, name).orderBy("_n")))  # numbers, not rows
+        whole = run.groupBy(*within, name, "_run").agg(F.max("_n").alias("_end"), F.max("_h").alias("_last"))
+        ends = run.join(whole, [*within, name, "_run"]).select(*within, name, "_n", "_end", "_last")
+        on = [*within, name, "_n"]
+        moved = now.join(turned.select("_o", F.lit(True).alias("_t")), "_o", "left").join(ends, on, "left")
+        after = F.when(F.col("_last") < F.col("_o"), F.col("_end") + 1).otherwise(F.col("_n") + 1)  # a run that ends before a row is none of its own
+        step = moved.withColumn("_d", F.when(F.col("_t"), after).otherwise(F.col("_n")) - F.col("_j")).drop("_t", "_end", "_last")
+        # Of rows of one name each wants a later number than the one before it.
+        now = checkpointed(running_max(step, [*within, name], [F.col("_j")], "_d").withColumn("_n", F.col("_d") + F.col("_j")).drop("_d"))

@@ -48,3 +48,18 @@ def numbered(df: DataFrame, order: list[Column], name: str = "rank", group: list
         first = out.groupBy(*group).agg(F.min(name).alias("_f"))
         out = out.join(first, group).withColumn(name, F.col(name) - F.col("_f")).drop("_f")
     return out
+
+
+def running_max(df: DataFrame, group: list[str], order: list[Column], value: str) -> DataFrame:
+    """``df`` with ``value`` as the greatest so far in its group's order. A group may be any share of the rows.
+
+    As in ``numbered``: within range partitions first, then with what the partitions before have.
+    """
+    keys = [*map(F.col, group), *order]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = checkpointed(df.repartitionByRange(n, *keys).withColumn("_p", F.spark_partition_id()))
+    each = kept.groupBy("_p", *group).agg(F.max(value).alias("_m"))
+    before = Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    carried = each.select("_p", *group, F.max("_m").over(before).alias("_c"))
+    own = F.max(value).over(Window.partitionBy("_p", *group).orderBy(*order))
+    return kept.withColumn(value, own).join(carried, ["_p", *group]).withColumn(value, F.greatest(value, "_c")).drop("_p", "_c")

@@ -584,9 +584,15 @@ def resolved_ids(spark, d):
     return exports.resolved(rows.select("paper_id"), rows.where("NOT (source_type <=> 'manual')"))
 
 
-@query("""SELECT conv_id, turn, 'Said (A' || conv_id || '; B) and [9], (B).' AS answer FROM conversations""")
+CITED = lambda n: f"CASE {n} WHEN 1 THEN 'A' || conv_id WHEN 3 THEN 'B' END"
+
+
+@query(f"""WITH k AS (SELECT *, list_filter([{CITED("turn % 4")}, {CITED("conv_id % 7")}], lambda x: x IS NOT NULL) AS k FROM conversations)
+SELECT conv_id, turn, coalesce(text, '') || ' ' || CASE WHEN len(k) > 0 THEN '(' || array_to_string(k, '; ') || ')' ELSE '[' || (turn % 4) || '] [' || (conv_id % 7) || ']' END || ', (B).' AS answer FROM k""")
 def applied_citations(spark, d):
-    turns = table(spark, d, "conversations").select("conv_id", "turn", F.lit("Said [1] [3] and [9], [3].\n\nReferences:\n[1] a list").alias("answer"))
+    """Whole turns with numbers of their own: two that share a bracket, some of them unknown, and one by itself."""
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit(" ["), F.col("turn") % 4, F.lit("] ["), F.col("conv_id") % 7, F.lit("], [3].\n\nReferences:\n[1] a list"))
+    turns = table(spark, d, "conversations").select("conv_id", "turn", said.alias("answer"))
     who = turns.select("conv_id").distinct()
     context = who.select("conv_id", F.lit(1).alias("n"), F.concat(F.lit("(A"), "conv_id", F.lit(")")).alias("cite")).unionByName(who.select("conv_id", F.lit(3).alias("n"), F.lit("(B)").alias("cite")))
     return citations.apply_citations(turns, context, "conv_id").select("conv_id", "turn", "answer")

@@ -401,6 +401,27 @@ def test_unique_names_probe_until_free(spark):
     assert sorted(r.unique_name for r in dedup.unique_names(two, "name", "seq", ("g",)).collect()) == ["a", "a", "a_2"]
 
 
+def test_unique_names_equal_the_loop(spark):
+    import random
+
+    rng = random.Random(4)
+    # Names by chance, and a run of numbers that lies between rows of their name.
+    cases = [[rng.choice(["a", "a", "a_2", "a_3", "a_2_2", "a_02", "b", "b_1", "b_2"]) for _ in range(60)] for _ in range(3)]
+    cases.append(["a"] * 20 + [f"a_{i}" for i in range(21, 41)] + ["a"] * 20 + ["a_2"] * 3)
+    rows = [(g, x, i) for g, names in enumerate(cases) for i, x in enumerate(names)]
+    want = []
+    for g, names in enumerate(cases):
+        taken = set()
+        for i, x in enumerate(names):
+            free, k = x, 2
+            while free in taken:
+                free, k = f"{x}_{k}", k + 1
+            taken.add(free)
+            want.append((g, i, free))
+    got = dedup.unique_names(spark.createDataFrame(rows, "g int, name string, seq int").repartition(5), "name", "seq", ("g",))
+    assert sorted((r.g, r.seq, r.unique_name) for r in got.collect()) == want
+
+
 def test_first_rows_by_partial_minima(spark):
     rows = spark.createDataFrame([("a", 2, None), ("a", 1, "x"), ("b", None, "y"), ("b", 0, "z")], "k string, n int, v string")
     assert sorted(map(tuple, dedup.least_by(rows, ["k"], [F.col("n")]).collect()), key=str) == [("a", 1, "x"), ("b", None, "y")]
