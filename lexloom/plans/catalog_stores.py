@@ -13,10 +13,12 @@ from lexloom.operators.lexical import EPSILON
 from lexloom.operators.ranking import shared_folder
 from lexloom.operators.registry import shaped
 from lexloom.plans import retrieval
-from lexloom.plans.catalog import DISTANCE_SQL, ORACLES, QUESTION, UNIT_SQL, bm25_sql, chunk_collection, query
+from lexloom.plans.catalog import DISTANCE_SQL, ORACLES, QUESTION, UNIT_SQL, bm25_sql, chunk_collection, query, registry_parts
 from lexloom.plans.collection import KEY, Collection
 from lexloom.plans.tables import table
 from lexloom.sources.readers import file_marks
+from lexloom.sources.store import Store
+from lexloom.streaming.ledger import embedded, logged, once, registered
 
 
 def folder_of(spark: SparkSession, d: str, name: str) -> str:
@@ -165,3 +167,68 @@ def batch_hybrid(spark, d):
     kinds = {"type": "string", "part": "string", "papers": "array<string>", "year_end": "int", "doc_type": "string"}
     questions = asked.select(F.col("item_id").cast("string").alias("qid"), "text", F.col("embedding").cast("array<double>").alias("vector"), F.when(F.col("item_id") % 10 == 9, 0).otherwise(10).alias("k"), F.lit(True).alias("hybrid"), sections.alias("sections"), F.when(f == 1, 2000).alias("year_start"), F.lit(False).alias("scaled"), *(null.cast(t).alias(c) for c, t in kinds.items()))
     return retrieval.search_batch(chunk_collection(spark, d), questions).select("qid", "id", "score", "rank", "error")
+
+
+# --- micro-batches ----------------------------------------------------------------
+
+LIMIT = 3000
+
+
+class Counter:
+    """An embedder for tests: how many characters it was given, and how many of them are an e. Long texts are too long."""
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        if any(len(t) > LIMIT for t in texts):
+            raise ValueError("too long")
+        return [[float(len(t)), float(t.count("e"))] for t in texts]
+
+
+def in_turns(rows: DataFrame, write, store: Store, name: str, turns: int, seq: str) -> None:
+    """``rows`` as so many micro-batches by ``seq``, the last two of them handed over again, as after a failure."""
+    run = once(store, name, write)
+    for i in [*range(turns), *range(max(0, turns - 2), turns)]:
+        run(rows.where(F.pmod(F.col(seq), F.lit(turns)) == i), i)
+
+
+@query(f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+u AS (SELECT *, list_reduce(range(12), lambda c, i: CASE WHEN c > {LIMIT} THEN greatest(400, c * 2 // 3) ELSE c END, least(n, 8000)) AS used FROM t)
+SELECT doc_id, used::DOUBLE AS used, (used - length(replace(substr(text, 1, used), 'e', '')))::DOUBLE AS n_e, n > used AS embed_truncated FROM u""")
+def embedded_once(spark, d):
+    """Vectors of all documents from four micro-batches, of which some are handed over twice and one breaks off in the middle."""
+    store, docs = Store(spark, fresh_folder(spark, "embedded")), table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    write = embedded(store, "vectors", Counter)
+
+    def broken(c, rows):
+        write(c, rows)
+        raise InterruptedError
+
+    try:
+        once(store, "documents", broken)(docs.where("chunk_id % 4 = 0"), 0)
+    except InterruptedError:
+        pass
+    in_turns(docs, write, store, "documents", 4, "chunk_id")
+    in_turns(docs, write, store, "the same again", 2, "chunk_id")
+    v = store.read("vectors")
+    return v.select(F.col("chunk_id").alias("doc_id"), F.get("embedding", F.lit(0)).cast("double").alias("used"), F.get("embedding", F.lit(1)).cast("double").alias("n_e"), "embed_truncated")
+
+
+@query("SELECT strftime(ts, '%Y-%m') AS month, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY ALL")
+def monthly_log(spark, d):
+    """Events logged by month from five micro-batches, some of them handed over twice."""
+    store = Store(spark, fresh_folder(spark, "log"))
+    in_turns(table(spark, d, "events"), logged("usage"), store, "events", 5, "event_id")
+    return store.read("usage").groupBy("month", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"))
+
+
+@query(ORACLES["registry_upsert"])
+def registry_by_increments(spark, d):
+    """The registry after three micro-batches, in the order of their rows, of which the last two come twice."""
+    old, rows = registry_parts(spark, d)
+    store = Store(spark, fresh_folder(spark, "registry"))
+    with store.commit("before") as c:
+        c.replace("registry", old)
+    given = rows.select("seq", "doi", "title", "year", "category", F.lit("").alias("reason"))
+    low, high = given.agg(F.min("seq"), F.max("seq")).first()
+    turn = F.least(F.lit(2), F.floor((F.col("seq") - low) * 3 / max(1, high - low))).cast("int")
+    in_turns(given.withColumn("turn", turn), registered(store, "registry", "2026-01-01"), store, "papers", 3, "turn")
+    return store.read("registry")
