@@ -777,12 +777,12 @@ def catalogue_filter(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from lexloom.plans import catalog_more, catalog_stores  # noqa: F401  # register their own
+    from lexloom.plans import catalog_files, catalog_more, catalog_stores  # noqa: F401  # register their own
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from lexloom.plans import catalog_more, catalog_stores  # noqa: F401
+    from lexloom.plans import catalog_files, catalog_more, catalog_stores  # noqa: F401
 
     return dict(ORACLES)
