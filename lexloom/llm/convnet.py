@@ -76,8 +76,7 @@ def train(sequences: list[np.ndarray], labels: np.ndarray, classes: int, vocabul
     pad = np.full((most, n_tables), vocabulary, np.int64)
     for beta in betas:
         order = rng.permutation(len(sequences))
-        for at in range(0, max(1, len(order) - batch // 2), batch):
-            chosen = order[at : at + batch]
+        for chosen in np.array_split(order, -(-len(order) // batch)):  # all of them, in steps of like size
             ids = np.concatenate([x for i in chosen for x in (sequences[i], pad)])
             size = np.array([max(1, len(sequences[i])) for i in chosen])
             begin = np.cumsum([0, *(len(sequences[i]) + most for i in chosen)])[:-1]

@@ -16,16 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import bounded_batches, spread, table, text_bytes
+from lexloom.llm.common import bounded_batches, checkpointed, spread, table, text_bytes
 from lexloom.llm.convnet import ConvNet, softmax, train
 from lexloom.llm.toxicity import held_out
 
 #: Labelled rows of each language that a fit reads at most, and the windows of one text in it.
 SAMPLE_ROWS, SAMPLE_WINDOWS = 400, 3
-#: Rows of all languages together; very many languages have fewer rows each, but LEAST_ROWS.
+#: Rows of all languages together. Very many languages have fewer rows each, but LEAST_ROWS; of more than 2000, those with the most documents are learned.
 MOST_ROWS, LEAST_ROWS = 40_000, 20
-#: Numbers of rows by language that go to all tasks; those of more languages join.
-MOST_BROADCAST = 100_000
 WINDOW, DIM, WIDTHS, FILTERS, EPOCHS, LEAST_STEPS, BATCH = 256, 8, (2, 3, 4), 8, 6, 300, 32
 #: Windows scored at once.
 SLICE = 48
@@ -99,17 +97,18 @@ def _has_letter(text: str | None) -> bool:
 def labelled_sample(docs: DataFrame, rows: int) -> pa.Table:
     """(lang, windows) of at most ``rows`` documents of each language, by a hash of doc_id, none of the held-out fold.
 
-    Every language counts. The windows are SAMPLE_WINDOWS pieces of WINDOW characters from
+    Every language counts, up to MOST_ROWS / LEAST_ROWS of them. The windows are SAMPLE_WINDOWS pieces of WINDOW characters from
     hashed places of the whole text; of several rows with one doc_id and lang one text stands for all.
     """
     known = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     keys = known.select("doc_id", "lang")
     sizes = keys.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"))
+    sizes = checkpointed(sizes.orderBy(F.desc("n"), "lang").limit(max(1, MOST_ROWS // LEAST_ROWS)))
     n_languages = sizes.count()
     rows = max(min(rows, LEAST_ROWS), min(rows, MOST_ROWS // max(1, n_languages)))
     # A hash leaves some four times too many and forty more, so that no language is one task's, and their least hashes stay.
     near = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) <= F.lit(float((4 * rows + 40) << 32)) / F.col("n")
-    some = keys.join(F.broadcast(sizes) if n_languages <= MOST_BROADCAST else sizes, "lang").where(F.coalesce(near, F.lit(True))).select("doc_id", "lang").distinct()
+    some = keys.join(F.broadcast(sizes), "lang").where(F.coalesce(near, F.lit(True))).select("doc_id", "lang").distinct()
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = some.withColumn("nth", nth).where(F.col("nth") <= rows).select("doc_id", "lang")
     places = F.greatest(F.lit(1), F.ceil(F.length("text") / WINDOW))

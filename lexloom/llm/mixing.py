@@ -16,12 +16,16 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import checkpointed, table
 
 SEED = 17
+#: The columns of ``documents``.
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 #: Target weights are text shares to this power when none are given: 1 keeps the mix, 0 evens it out.
 TEMPERATURE = 0.7
 #: The greatest mean that is drawn at once: higher rates are sums of equal parts, each with a number of its own.
 MOST_RATE = 8.0
 #: The rates of up to so many sources go to all tasks; those of more join by source.
 MOST_BROADCAST = 100_000
+#: Characters of text in a partition of the mix, at most, about.
+TASK_CHARS = 128 << 20
 #: Terms of the distribution function; beyond them its rest is under 1e-12 at MOST_RATE.
 TERMS = 40
 
@@ -52,7 +56,7 @@ def copies(mean: Column, *keys: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, size: str | None = None) -> DataFrame:
-    """(source, rate) of every source: target share of the characters over actual share.
+    """(source, rate, chars) of every source: target share of the characters over actual share, and the characters.
 
     With ``weights``, a source that is not named gets none. Sources without any text count as
     one character, so that they have a rate too. A null source is a source of its own. A rate has
@@ -68,16 +72,16 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     wanted = sizes.withColumn("target", target)
     total = wanted.agg(F.sum(F.col("chars").cast("double")).alias("all_chars"), F.sum("target").alias("all_targets"))
     rate = F.col("target") / F.col("all_targets") * F.col("all_chars") / F.col("chars")
-    return wanted.crossJoin(F.broadcast(total)).select("source", F.when(F.col("all_targets") > 0, rate).otherwise(0.0).alias("rate"))  # total is one row
+    return wanted.crossJoin(F.broadcast(total)).select("source", F.when(F.col("all_targets") > 0, rate).otherwise(0.0).alias("rate"), "chars")  # total is one row
 
 
-def replicate(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED, size: str | None = None) -> DataFrame:
-    """``docs`` with each row repeated by its Poisson count; adds _rate, _copy and _shuffle_key.
+def replicate(docs: DataFrame, rate: DataFrame, seed: int = SEED) -> DataFrame:
+    """``docs`` with each row repeated by its Poisson count of ``rate``; adds _rate, _copy and _shuffle_key.
 
     Rows that repeat a doc_id get the same count each. A null doc_id counts as the empty id. An
     empty table gives no rows. Sources may be few or many: their rates join by source.
     """
-    rate = checkpointed(rates(docs, weights, temperature, size).select(F.col("source").alias("_source"), F.col("rate").alias("_rate")))
+    rate = rate.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
     if rate.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         rate = F.broadcast(rate)
     joined = docs.join(rate, F.col("source").cast("string").eqNullSafe(F.col("_source"))).drop("_source")
@@ -86,20 +90,28 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, temperat
     return repeats.withColumn("_shuffle_key", uniform(F.lit(seed), F.lit("order"), F.col("doc_id"), F.col("_copy")))
 
 
-def shuffled(mixed: DataFrame) -> DataFrame:
-    """In order of the hashed key over all partitions.
+def shuffled(mixed: DataFrame, n_chars: int = 0) -> DataFrame:
+    """In order of the hashed key over all partitions, ties by doc_id and copy; no rows give none.
 
     Keys are uniform in [0, 1), so equal ranges of them are equal partitions; no pass over the
-    data looks for their bounds.
+    data looks for their bounds. There are as many as ``n_chars`` of text ask for, and as the
+    session has at the least.
     """
-    n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_chars // TASK_CHARS))
     return mixed.repartitionById(n, F.floor(F.col("_shuffle_key") * n).cast("int")).sortWithinPartitions("_shuffle_key", "doc_id", "_copy")
 
 
 def draws(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
-    """The mixed and shuffled documents as structs ``row``, with the _rate, _copy and _shuffle_key of each."""
+    """The mixed and shuffled documents as structs ``row``, with the _rate, _copy and _shuffle_key of each.
+
+    Null texts count as no characters, a null source as one of its own, a null doc_id as the empty
+    id; repeated rows get the same count each, ties of the key go by doc_id and copy, and an empty
+    table gives no rows.
+    """
     rows = docs.select("doc_id", "source", F.length(F.col("text").cast("string")).cast("long").alias("chars"), F.struct(*docs.columns).alias("row"))
-    return shuffled(replicate(rows, weights, temperature, seed, "chars"))
+    rate = checkpointed(rates(rows, weights, temperature, "chars"))
+    expected = rate.agg(F.sum(F.col("rate") * F.col("chars"))).first()[0] or 0
+    return shuffled(replicate(rows, rate, seed), int(expected))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
@@ -113,29 +125,34 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
 
 
 def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The columns of OP5_SQL, taken from whole documents after the global shuffle."""
-    mixed = draws(table(spark, sf_dir, "documents"))
+    """The columns of OP5_SQL, taken from whole documents after the global shuffle; the digest is of all their columns."""
+    docs = table(spark, sf_dir, "documents")
+    mixed = draws(docs)
+    whole = F.concat_ws("|", *(F.coalesce(F.col(f"row.{c}").cast("string"), F.lit("")) for c in DOCUMENT))
     columns = F.col("row.doc_id"), F.col("row.source"), F.col("_copy").cast("long").alias("copy"), F.round("_rate", 9).alias("rate"), F.col("_shuffle_key").alias("shuffle_key")
-    return mixed.select(*columns, F.length("row.text").cast("long").alias("chars"))
+    return mixed.select(*columns, F.length("row.text").cast("long").alias("chars"), F.sha2(whole, 256).alias("row_sha256"))
 
 
 OP5_SQL = f"""
 WITH sizes AS (
   SELECT source, greatest(sum(coalesce(length(text), 0)), 1) AS chars FROM documents GROUP BY source),
 rates AS (
-  SELECT source, least({MOST_RATE}, pow(chars::DOUBLE, {TEMPERATURE}) / sum(pow(chars::DOUBLE, {TEMPERATURE})) OVER () * sum(chars::DOUBLE) OVER () / chars) AS rate FROM sizes),
+  SELECT source, pow(chars::DOUBLE, {TEMPERATURE}) / sum(pow(chars::DOUBLE, {TEMPERATURE})) OVER () * sum(chars::DOUBLE) OVER () / chars AS rate FROM sizes),
+shares AS (
+  SELECT source, rate, greatest(1, ceil(rate / {MOST_RATE}))::INT AS parts, rate / greatest(1, ceil(rate / {MOST_RATE})) AS share FROM rates),
+numbered AS (
+  SELECT *, row_number() OVER () AS r, sha256({" || '|' || ".join(f"coalesce({c}::VARCHAR, '')" for c in DOCUMENT)}) AS row_sha256 FROM documents),
 drawn AS (
-  SELECT d.doc_id, d.source, d.text, r.rate,
-         ('0x' || substr(md5('{SEED}|count|' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT / {float(1 << 52)} AS u
-  FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source),
+  SELECT d.r, d.source, unnest(range(parts)) AS j, coalesce(d.doc_id::VARCHAR, '') AS id FROM numbered d JOIN shares s ON d.source IS NOT DISTINCT FROM s.source),
+hashed AS (
+  SELECT r, source, ('0x' || substr(md5('{SEED}|count|' || id || CASE WHEN j > 0 THEN '|' || j ELSE '' END), 1, 13))::BIGINT / {float(1 << 52)} AS u FROM drawn),
 terms AS (
   SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c
-  FROM (SELECT source, k, exp(-rate) * pow(rate, k) / gamma(k + 1) AS p FROM rates, range({TERMS}) t(k))),
+  FROM (SELECT source, k, exp(-share) * pow(share, k) / gamma(k + 1) AS p FROM shares, range({TERMS}) t(k))),
 counted AS (
-  SELECT d.doc_id, d.source, d.text, d.rate, count(t.k) AS n
-  FROM drawn d LEFT JOIN terms t ON d.source IS NOT DISTINCT FROM t.source AND d.u >= t.c GROUP BY ALL)
+  SELECT r, count(t.k) AS n FROM hashed h LEFT JOIN terms t ON h.source IS NOT DISTINCT FROM t.source AND h.u >= t.c GROUP BY r)
 SELECT doc_id, source, copy, round(rate, 9) AS rate,
        ('0x' || substr(md5('{SEED}|order|' || coalesce(doc_id::VARCHAR, '') || '|' || copy), 1, 13))::BIGINT / {float(1 << 52)} AS shuffle_key,
-       length(text) AS chars
-FROM (SELECT *, unnest(range(n)) AS copy FROM counted WHERE n > 0)
+       length(text) AS chars, row_sha256
+FROM (SELECT d.*, s.rate, unnest(range(n)) AS copy FROM numbered d JOIN counted USING (r) JOIN shares s ON d.source IS NOT DISTINCT FROM s.source WHERE n > 0)
 """

@@ -62,8 +62,9 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     """Shortest-pack-first: rows (length, first rank, last rank + 1, first sequence, offset).
 
     Lengths come longest first. Each goes to the packs with most room that can take it, as many
-    at once as the pattern counts; a pattern splits where only some of its packs are filled, and
-    new packs open when no pack has room. Patterns number at most two a length.
+    at once as the pattern counts; a pattern splits where only some of its packs are filled. When
+    no pack has room, new ones open, as few as can take all that is left of the length. Patterns
+    number at most three a length.
     """
     rooms: dict[int, list] = {}
     order: list[int] = []
@@ -87,7 +88,12 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
                 if used < count:
                     rooms[room].append((count - used, chain))
             else:
-                room, used, chain = capacity, left, None
+                room, chain = capacity, None
+                each = min(capacity // length, left)
+                used = left // each
+                for _ in range(each - 1):
+                    chain = (length, capacity - room, chain)
+                    room, left = room - length, left - used
             left -= used
             link = (length, capacity - room, chain)
             if room == length:
@@ -115,7 +121,8 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
     histogram = {r.length: r.n for r in cuts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     part_rows = max(PART_ROWS, sum(histogram.values()) // MOST_PARTS)
     parts = spark.createDataFrame([(length, -(-n // part_rows)) for length, n in histogram.items()], "length long, parts long")
-    cuts = cuts.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("parts")))
+    # Pieces lie in the checkpoint as they are numbered here, so equal ones, which may change places, have many parts too.
+    cuts = cuts.withColumn("n", F.monotonically_increasing_id()).join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("n"), F.col("parts"))).drop("n")
     counts = cuts.groupBy("length", "part").agg(F.count("*").alias("n"))
     # MOST_PARTS rows, and one a length.
     before = counts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))

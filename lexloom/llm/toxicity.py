@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import bounded_batches, table, text_bytes
 from lexloom.llm.convnet import ConvNet, train
 
-#: Labelled rows that a fit reads at most, of each class; and the longest text among them.
+#: Labelled rows that a fit reads at most, of each class; and characters of each, in one piece from a hashed place of a longer text.
 SAMPLE_ROWS, SAMPLE_CHARS = 2500, 60_000
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 18, 8, (1, 2, 3), 6
 #: How soft the maximum is in the passes over the sample, the fewest steps that they make together, and rows of a step.
@@ -140,8 +140,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> pa.Table:
     parts = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for c in (0, 1)]
     chosen = parts[0].unionByName(parts[1])  # 2 * rows at most
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
-    texts = docs.select(F.col("doc_id").cast("long"), F.struct(F.col("text").cast("string").alias("text"), lang.cast("string").alias("lang")).alias("row")).where(F.coalesce(F.length("row.text"), F.lit(0)) <= SAMPLE_CHARS)
-    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("row", F.xxhash64("row.text")).alias("row"))
+    text = F.col("text").cast("string")
+    place = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length(text) - SAMPLE_CHARS + 1)).cast("int")
+    piece = F.substr(text, place + 1, F.lit(SAMPLE_CHARS))
+    texts = docs.select(F.col("doc_id").cast("long"), F.struct(piece.alias("text"), lang.cast("string").alias("lang")).alias("row"), F.xxhash64(text).alias("h"))
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("row", "h").alias("row"))
     return one.select("doc_id", "row.text", "row.lang", "toxic").toArrow().sort_by("doc_id")
 
 

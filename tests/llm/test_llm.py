@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from lexloom.llm import binary, chat, components, convnet, flac, langid, mixing, packing, quality, registry, simhash, suffix, tokens, toxicity
 from lexloom.llm.common import text_bytes
+from tests.test_oracles import rows as compared
 
 DIR = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, sequence_id string, kept string, fp string"
@@ -570,7 +571,7 @@ def test_mixing(docs, none, sample):
     target = {s: n**0.7 for s, n in sizes.items()}
     assert all(rate[s] == pytest.approx(min(8, target[s] / sum(target.values()) * sum(sizes.values()) / n)) for s, n in sizes.items())
     many = sample.crossJoin(sample.sparkSession.range(60)).withColumn("doc_id", F.col("doc_id") * 60 + F.col("id")).drop("id")
-    mean = mixing.replicate(many).groupBy("source").count().collect()
+    mean = mixing.replicate(many, mixing.rates(many)).groupBy("source").count().collect()
     rows = {r.source: r["count"] for r in many.groupBy("source").count().collect()}
     again = {r.source: r.rate for r in mixing.rates(many).collect()}
     assert all(abs(r["count"] / rows[r.source] - again[r.source]) < 6 * (again[r.source] / rows[r.source]) ** 0.5 + 0.01 for r in mean)
@@ -590,6 +591,59 @@ def test_small_sources_reach_their_weight(spark):
     assert abs(u[0] - 900) < 6 * (900 / 20_000) ** 0.5 and abs(u[1] / 900 - 1) < 0.1
 
 
+def test_mix_sql_with_rates_of_many_parts(spark, sample):
+    """A small source with a rate over MOST_RATE, null sources and a null id, in SQL too."""
+    rows = sample.withColumn("source", F.when(F.col("doc_id") == 3, "tiny").when(F.col("doc_id") % 9 == 0, F.lit(None)).otherwise("large")).withColumn("doc_id", F.when(F.col("doc_id") != 5, F.col("doc_id")))
+    duck = duckdb.connect()
+    duck.register("documents", rows.toPandas().astype({"doc_id": "Int64"}))
+    sql = mixing.OP5_SQL.replace(f"pow(chars::DOUBLE, {mixing.TEMPERATURE})", "pow(chars::DOUBLE, 0.0)")
+    want = Counter((r[0], r[1], r[2], round(r[3], 6), r[-1]) for r in duck.execute(sql).fetchall())
+    whole = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(f"row.{c}").cast("string"), F.lit("")) for c in mixing.DOCUMENT)), 256)
+    got = mixing.draws(rows, temperature=0.0).select("row.doc_id", "row.source", "_copy", "_rate", whole.alias("h")).collect()
+    assert Counter((r.doc_id, r.source, r["_copy"], round(r["_rate"], 6), r.h) for r in got) == want
+    assert max(r["_rate"] for r in got) > 5 * mixing.MOST_RATE
+
+
+def test_the_mix_has_partitions_for_its_text(sample, monkeypatch):
+    monkeypatch.setattr(mixing, "TASK_CHARS", 20_000)
+    mixed = mixing.mix(sample)
+    chars = sample.agg(F.sum(F.length("text"))).first()[0]
+    assert abs(mixed.rdd.getNumPartitions() - chars / 20_000) < 2 + 0.02 * chars / 20_000
+
+
+def test_equal_rows_are_packed_in_many_parts(spark, monkeypatch):
+    """Equal pieces of one length are dealt by row, and each has a place of its own."""
+    monkeypatch.setattr(packing, "PART_ROWS", 100)
+    rows = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same words").alias("text")).repartition(4)
+    parts = []
+    window = packing.Window.partitionBy
+
+    def seen(*by):
+        parts.append(by)
+        return window(*by)
+
+    monkeypatch.setattr(packing.Window, "partitionBy", seen)
+    got = packing.pack(rows).collect()
+    assert len({(r.sequence_id, r.offset) for r in got}) == 3000 and ("length", "part") in parts
+    length = got[0].length
+    each = 2048 // length
+    assert Counter(Counter(r.sequence_id for r in got).values()) == Counter({each: 3000 // each} | ({3000 % each: 1} if 3000 % each else {}))
+
+
+def test_samples_have_a_bound_whatever_the_table(spark, monkeypatch):
+    """Of too many languages the largest are learned; of very long labelled texts a piece is."""
+    monkeypatch.setattr(langid, "MOST_ROWS", 60)
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "big").otherwise(F.concat(F.lit("l"), F.col("id"))).alias("lang"), F.lit("some words here").alias("text"))
+    sample = langid.labelled_sample(rows, 400)
+    assert len(sample) <= 60 and sample.column("lang").to_pylist().count("big") == 20
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 50)
+    text = " ".join(f"w{i}" for i in range(100))
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+    sample = toxicity.labelled_sample(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic")), 30)
+    pieces = set(sample.column("text").to_pylist())
+    assert len(sample) == 60 and all(len(p) == 50 and p in text for p in pieces) and len(pieces) > 20
+
+
 def test_op5_shuffles_texts(spark):
     plan = mixing.op5_poisson_mix(spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Sort \[[^\n]*\n[ +-]*RepartitionByExpression[^\n]*\n[ +-]*Project \[[^\n]*text#", plan)
@@ -802,8 +856,7 @@ def test_registered_sql(spark):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     for name, sql in registry.oracle_sql().items():
         got, want = registry.queries()[name](spark, DIR).toPandas(), c.execute(sql).df()
-        by = lambda d: sorted(map(tuple, d[sorted(got.columns)].astype(str).itertuples(index=False)))
-        assert sorted(got.columns) == sorted(want.columns) and by(got) == by(want), name
+        assert sorted(got.columns) == sorted(want.columns) and compared(got) == compared(want), name
 
 
 def test_pipeline(spark, docs, sample):
