@@ -2,66 +2,70 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import filled
+from lexloom.functions import col
+from lexloom.functions.text import filled, trim_space
+from lexloom.operators.ranking import let
 
 # Headings that end a title or an abstract, and lines of a journal's header.
-TITLE_END = re.compile(r"^\s*(abstract|resumen|keywords?|palabras\s+clave|introduction|introducción|doi\b)", re.IGNORECASE)
-ABSTRACT = re.compile(r"(?im)^[ \t]*(abstract|resumen)[ \t]*$")
-ABSTRACT_END = re.compile(r"\n\s*\n|^\s*(keywords?|introduction|1[\s.]\s*\w|©|highlights?)", re.IGNORECASE | re.MULTILINE)
-SECTION = re.compile(r"^\s*(keywords?|palabras\s+clave|introduction|introducción|highlights?|graphical\s+abstract|1[\s.]\s*\w)", re.IGNORECASE)
-HEADER = re.compile(r"^\s*(\d{4}|vol\.?\s*\d+|doi\s*:|https?://|received\s*:|accepted\s*:|available\s+online|©|\bISSN\b|elsevier|springer|wiley|mdpi|taylor\s*&|[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,4})", re.IGNORECASE)
+TITLE_END = r"(?iU)^\s*(abstract|resumen|keywords?|palabras\s+clave|introduction|introducción|doi\b)"
+ABSTRACT = r"(?imd)^[ \t]*(abstract|resumen)[ \t]*$"
+ABSTRACT_END = r"(?imdU)\n\s*\n|^\s*(keywords?|introduction|1[\s.]\s*\w|©|highlights?)"
+SECTION = r"(?iU)^\s*(keywords?|palabras\s+clave|introduction|introducción|highlights?|graphical\s+abstract|1[\s.]\s*\w)"
+HEADER = r"(?iU)^\s*(\d{4}|vol\.?\s*\d+|doi\s*:|https?://|received\s*:|accepted\s*:|available\s+online|©|\bISSN\b|elsevier|springer|wiley|mdpi|taylor\s*&|[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,4})"
 TITLE_LINES, TITLE_CHARS, ABSTRACT_CHARS, LEAST_ABSTRACT, LEAST_LINE = 12, 350, 1500, 80, 45
 
 
-def _lines(text: str) -> list[str]:
-    return [x for x in map(str.strip, text.split("\n")) if x]
+def _filled_lines(text: Column) -> Column:
+    return F.filter(F.transform(F.split(text, "\n"), trim_space), lambda x: x != "")
+
+
+def _before(lines: Column, ends) -> Column:
+    """The lines before the first one that ``ends``."""
+    at = F.array_position(F.transform(lines, ends), True)
+    return F.when(at == 0, lines).otherwise(F.slice(lines, F.lit(1), (at - 1).cast("int")))
+
+
+def _from(lines: Column, begins) -> Column:
+    """The lines from the first one that ``begins``."""
+    at = F.array_position(F.transform(lines, begins), True).cast("int")
+    return F.when(at == 0, F.slice(lines, 1, 0)).otherwise(F.slice(lines, at, F.size(lines)))
+
 
+def _joined(lines: Column, most: int) -> Column:
+    """Lines in a row, up to the one that makes them longer than ``most``."""
+    return F.aggregate(lines, F.lit(""), lambda a, x: F.when(F.length(a) > most, a).when(a == "", x).otherwise(F.concat(a, F.lit(" "), x)))
 
-def title_of(page: str) -> str:
+
+def title_of(page) -> Column:
     """The first lines of a page, four at most, up to a heading that ends a title; tiny lines don't count."""
-    out: list[str] = []
-    for line in _lines(page)[:TITLE_LINES]:
-        if TITLE_END.match(line) or len(" ".join(out)) > TITLE_CHARS:
-            break
-        if len(line) >= 4:
-            out.append(line)
-    return " ".join(out[:4]).strip()
+    first = F.slice(_filled_lines(F.coalesce(col(page), F.lit(""))), 1, TITLE_LINES)
+    own = let(first, lambda lines: F.filter(_before(lines, lambda x: x.rlike(TITLE_END)), lambda x: F.length(x) >= 4))
+    return _joined(F.slice(own, 1, 4), TITLE_CHARS)
 
 
-def abstract_of(text: str) -> str:
+def abstract_of(text) -> Column:
     """What follows the heading of an abstract, else the first dense lines after a journal's header."""
-    if heading := ABSTRACT.search(text):
-        body = text[heading.end() :]
-        end = ABSTRACT_END.search(body[:2000])
-        found = body[: end.start() if end else ABSTRACT_CHARS].strip()
-        if len(found) > LEAST_ABSTRACT:
-            return found[:ABSTRACT_CHARS]
-    held: list[str] = []
-    for line in _lines(text):
-        if SECTION.match(line) or len(" ".join(held)) > ABSTRACT_CHARS - 100:
-            break
-        if held or not (HEADER.match(line) or len(line) < LEAST_LINE):
-            held.append(line)
-    return " ".join(held)[:ABSTRACT_CHARS] if held else text[:500].strip()
 
+    def under_heading(parts: Column) -> Column:
+        body = F.substring(F.get(parts, F.lit(1)), 1, 2000)
+        ended = F.when(body.rlike(ABSTRACT_END), F.get(F.split(body, ABSTRACT_END, 2), F.lit(0))).otherwise(F.substring(body, 1, ABSTRACT_CHARS))
+        return let(trim_space(ended), lambda x: F.when(F.length(x) > LEAST_ABSTRACT, F.substring(x, 1, ABSTRACT_CHARS)))
 
-def title_and_abstract(papers: DataFrame) -> DataFrame:
-    """(name, title, abstract) of (name, first_page, pages); null texts are empty."""
+    def dense(lines: Column) -> Column:
+        own = let(_before(lines, lambda x: x.rlike(SECTION)), lambda y: _from(y, lambda x: ~x.rlike(HEADER) & (F.length(x) >= LEAST_LINE)))
+        return F.nullif(F.substring(_joined(own, ABSTRACT_CHARS - 100), 1, ABSTRACT_CHARS), F.lit(""))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            titles = [title_of(x or "") for x in batch.column(1).to_pylist()]
-            abstracts = [abstract_of(x or "") for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(titles, pa.string()), pa.array(abstracts, pa.string())], ["name", "title", "abstract"])
+    whole = F.coalesce(col(text), F.lit(""))
+    headed = let(F.split(whole, ABSTRACT, 2), lambda parts: F.when(F.size(parts) > 1, under_heading(parts)))
+    return F.coalesce(headed, let(_filled_lines(whole), dense), trim_space(F.substring(whole, 1, 500)))
 
-    return papers.select("name", "first_page", "pages").mapInArrow(run, "name string, title string, abstract string")
+
+def title_and_abstract(papers: DataFrame) -> DataFrame:
+    """(name, title, abstract) of (name, first_page, pages); null texts are empty."""
+    return papers.select("name", title_of("first_page").alias("title"), abstract_of("pages").alias("abstract"))
 
 
 def append_missing(sheet: DataFrame, files: DataFrame, today: str) -> DataFrame:
