@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import ids
 from lexloom.functions.vectors import normalize
-from lexloom.operators import dedup, dense, lifecycle, metadata, pages
-from lexloom.plans import flows
-from lexloom.plans.catalog import ORACLES, dedup_records, query
+from lexloom.operators import citations, dedup, dense, lifecycle, metadata, pages
+from lexloom.operators.ranking import numbered
+from lexloom.plans import flows, retrieval
+from lexloom.plans.catalog import CORPUS_DOI, DISTANCE_SQL, ORACLES, UNIT_SQL, chunk_collection, dedup_records, loose_papers, query, query_vector
 from lexloom.plans.catalog_stores import fresh_folder
 from lexloom.plans.tables import PAPERS_SQL, papers, table
-from lexloom.sources import lines, readers, writers
+from lexloom.sources import lines, providers, readers, writers
 from lexloom.sources.store import Store
 
 # --- round trips -------------------------------------------------------------------
@@ -155,3 +156,65 @@ def loaded_index(spark, d):
     rows = table(spark, d, "embeddings").withColumn("embedding", normalize("embedding"))
     dense.assert_integrity(rows, rows.select("vec_id"), True)
     return rows.groupBy("label").agg(F.count("*").alias("n"))
+
+
+# --- folders and services --------------------------------------------------------------
+
+
+@query(f"WITH {PAPERS_SQL} SELECT category, paper_id AS stem, {CORPUS_DOI} <> '' AS listed, CASE WHEN seq % 4 = 0 THEN 'draft' ELSE category END AS phase FROM papers")
+def corpus_scan(spark, d):
+    """Papers as JSON lines in a folder for each category, scanned as records with their stem and phase; those without DOI aren't listed."""
+    folder = fresh_folder(spark, "corpus")
+    rows = papers(spark, d).select("category", "doi", F.concat(F.lit("tei/"), "paper_id", F.lit(".tei.xml")).alias("source_file"), F.when(F.col("seq") % 4 == 0, "draft").otherwise(" ").alias("phase"), "seq")
+    for (category,) in rows.select("category").distinct().orderBy("category").collect():  # folders of a few categories
+        writers.write_jsonl(rows.where(F.col("category") == category), f"{folder}/{category}")
+    schema = "category string, doi string, source_file string, phase string, seq long"
+    listed = readers.read_metadata(spark, folder, schema).select("seq", "stem")
+    chunks = readers.read_chunks(spark, folder, schema).select("seq", "category", "phase", F.regexp_extract("source_file", "^tei/(.*)[.]tei[.]xml$", 1).alias("own"))
+    return chunks.join(listed, "seq", "left").select("category", "own", "stem", "phase").select("category", F.coalesce("stem", "own").alias("stem"), F.col("stem").isNotNull().alias("listed"), "phase")
+
+
+@query("SELECT source AS name, count(DISTINCT lang) AS n_files, sum(CASE WHEN length(text) > 0 THEN 1 ELSE 0 END)::BIGINT AS n_texts FROM documents GROUP BY source")
+def listed_files(spark, d):
+    """A text file for each source and language, listed by name and read whole: a line in it for each document."""
+    folder = fresh_folder(spark, "files")
+    rows = table(spark, d, "documents").select("source", "lang", F.when(F.length("text") > 0, F.concat(F.lit("text of "), "doc_id")).otherwise("none").alias("value"))
+    rows.repartition("source", "lang").write.partitionBy("source", "lang").text(folder)
+    found = readers.list_files(spark, folder, "*.txt").select("name", F.regexp_extract("path", "/source=([^/]+)/", 1).alias("source"), "length")
+    texts = readers.read_texts(spark, folder).select(F.col("file").alias("name"), F.regexp_count("text", F.lit("(?m)^text of [0-9]+$")).alias("n"))
+    every = texts.agg(F.sum("n").alias("all")).withColumn("same", F.col("all") == rows.where("value != 'none'").count())
+    own = rows.groupBy(F.col("source").alias("name")).agg(F.count_if(F.col("value") != "none").alias("n_texts"))
+    listed = found.where("length > 0").groupBy(F.col("source").alias("name")).agg(F.count("*").alias("n_files"))
+    return listed.join(own, "name").crossJoin(F.broadcast(every)).where("same").select("name", "n_files", "n_texts")  # one row
+
+
+class Works:
+    """A lookup for tests: it knows the DOIs that end in an even number."""
+
+    def __call__(self, doi: str) -> str | None:
+        return f'{{"DOI": "{doi}"}}' if doi[-1:].isdigit() and int(doi[-1]) % 2 == 0 else None
+
+
+@query(f"WITH {PAPERS_SQL} SELECT DISTINCT lower(trim(doi)) AS doi, CASE WHEN regexp_matches(trim(doi), '[02468]$') THEN '{{\"DOI\": \"' || lower(trim(doi)) || '\"}}' END AS message FROM papers WHERE trim(doi) <> ''")
+def looked_up(spark, d):
+    """What a service of works knows of each different DOI, asked once."""
+    return providers.look_up(papers(spark, d), Works)
+
+
+@query(
+    f"""WITH a AS (SELECT vec_id AS id, {UNIT_SQL.replace("v,", "embedding,")} AS u FROM embeddings), q AS (SELECT u FROM a ORDER BY id LIMIT 1)
+SELECT id, {DISTANCE_SQL} AS score, row_number() OVER (ORDER BY {DISTANCE_SQL}, id) - 1 AS rank FROM a, q, documents WHERE doc_id = id AND ('doc_' || id) IN (SELECT 'doc_' || doc_id FROM labels WHERE quality = 1 ORDER BY doc_id LIMIT 60) QUALIFY rank < 15"""
+)
+def deepened(spark, d):
+    """A question asked again within sixty papers of good quality that a reader has chosen."""
+    good = [f"doc_{r.doc_id}" for r in table(spark, d, "labels").where("quality = 1").select("doc_id").orderBy("doc_id").limit(60).collect()]
+    spec = retrieval.SearchSpec("", query_vector(spark, d), 15, scaled=False)
+    return retrieval.deepen(chunk_collection(spark, d), spec, good).select("id", "score", "rank")
+
+
+@query(f"WITH c AS ({ORACLES['cite_keys']}), {PAPERS_SQL} SELECT p.seq, row_number() OVER (ORDER BY p.seq) AS n, cite FROM papers p JOIN c USING (seq)")
+def cited_results(spark, d):
+    """Every paper as a result, in the order of its number, with its own number and citation key."""
+    known = loose_papers(spark, d)
+    results = numbered(known.select("seq", "paper_id"), [F.col("seq")], "rank")
+    return citations.cited(results, known).select("seq", F.col("n").cast("long").alias("n"), "cite")
