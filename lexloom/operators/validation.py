@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lexloom.functions import ids
+from lexloom.functions.blocks import matching_ratios
 from lexloom.functions.text import filled, stem
 
 # Words of an affiliation, and surnames of a proceedings' editors.
@@ -96,7 +95,10 @@ def issue_counts(validated: DataFrame) -> DataFrame:
 
 @F.pandas_udf(DoubleType())
 def _blocks_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([1.0 if x is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+    asked = a.notna()
+    out = pd.Series(1.0, index=a.index)
+    out[asked] = matching_ratios(a[asked].tolist(), b[asked].tolist())
+    return out
 
 
 def matching_ratio(a: Column, b: Column) -> Column:
