@@ -18,7 +18,7 @@ LONG = 200
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(code points of all texts, offsets)."""
-    ends = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    ends = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64))).astype(np.int64)
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64), ends
 
 
