@@ -56,6 +56,8 @@ def fold_fully(text) -> Column:
 # The token alphabet of the lexical index.
 TOKEN = "[a-z0-9α-ω]+(?:-[a-z0-9α-ω]+)*"
 SEGMENT = "[a-zα-ω]+|[0-9]+"
+#: What a text has where any of its tokens has parts.
+JOINT = "[a-zα-ω][0-9]|[0-9][a-zα-ω]|[a-z0-9α-ω]-[a-z0-9α-ω]"
 
 
 def tokens(text) -> Column:
@@ -70,7 +72,11 @@ def tokens(text) -> Column:
         own = F.when(F.size(parts) > 1, parts).otherwise(F.array().cast("array<string>"))
         return F.when(raw.rlike("^[a-zα-ω]+$|^[0-9]+$"), F.array(raw)).otherwise(F.concat(F.array(raw), own, F.flatten(F.transform(parts, segments))))
 
-    return F.flatten(F.transform(F.regexp_extract_all(fold(text), F.lit(TOKEN), F.lit(0)), expand))
+    def found(folded: Column) -> Column:
+        raw = F.regexp_extract_all(folded, F.lit(TOKEN), F.lit(0))
+        return F.when(folded.rlike(JOINT), F.flatten(F.transform(raw, expand))).otherwise(raw)
+
+    return F.get(F.transform(F.array(fold(text)), found), F.lit(0))  # folded once
 
 
 # Words that only Spanish has among the two languages of queries.

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,3 +155,54 @@ def master_index(manifests: DataFrame, group: str = "category") -> DataFrame:
 def resolved(ids_: DataFrame, papers: DataFrame) -> DataFrame:
     """Ids with their papers' titles, ``not found`` where there is none."""
     return ids_.withColumn("_k", key("paper_id")).join(papers.select(key("paper_id").alias("_k"), "title"), "_k", "left").select("paper_id", F.coalesce("title", F.lit("not found")).alias("title"))
+
+
+def zipped(files: DataFrame, by: list[str]) -> DataFrame:
+    """(by…, n_files, archive): the files (by…, name, content) of each package as a ZIP, by name; the same files give the same bytes.
+
+    A package is made in one task and must fit in memory, as ``packages`` sees to. Of several
+    files of one name in a package the first by content stays. A null content is an empty file.
+    """
+    kinds = dict(files.dtypes)
+
+    def pack(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("name", "ascending"), ("content", "ascending")])
+        out, seen = io.BytesIO(), set()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, content in zip(rows.column("name").to_pylist(), rows.column("content").to_pylist(), strict=True):
+                if name not in seen:
+                    z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), content or b"", zipfile.ZIP_DEFLATED)
+                    seen.add(name)
+        return pa.table([*(rows.column(c).slice(0, 1) for c in by), pa.array([len(seen)], pa.int64()), pa.array([out.getvalue()], pa.binary())], [*by, "n_files", "archive"])
+
+    rows = files.where("name IS NOT NULL").select(*by, "name", F.col("content").cast("binary").alias("content"))
+    return rows.groupBy(*by).applyInArrow(pack, ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "n_files long, archive binary"]))
+
+
+def unzipped(archives: DataFrame, by: list[str]) -> DataFrame:
+    """(by…, name, content) of the files in archives."""
+    kinds = dict(archives.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, archive in enumerate(batch.column("archive").to_pylist()):
+                with zipfile.ZipFile(io.BytesIO(archive)) as z:
+                    names = z.namelist()
+                    own = [batch.column(c).take(pa.array([i] * len(names), pa.int64())) for c in by]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(names, pa.string()), pa.array([z.read(n) for n in names], pa.binary())], [*by, "name", "content"])
+
+    return archives.select(*by, "archive").mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "name string, content binary"]))
+
+
+def paper_files(papers: DataFrame, pdfs: DataFrame | None = None, texts: DataFrame | None = None, package: str = "package") -> DataFrame:
+    """(package, name, content) of papers (package, paper_id, stable_id): their PDFs under pdfs/, found by ``find_pdf``, and texts under md_clean/.
+
+    ``pdfs`` has name and content, ``texts`` paper_id and content. A paper without one or the other has the rest.
+    """
+    parts = []
+    if pdfs is not None:
+        held = find_pdf(papers, pdfs.select("name"))
+        parts.append(papers.join(held, "paper_id").join(pdfs, F.col("file") == F.col("name")).select(package, F.concat(F.lit("pdfs/"), "name").alias("name"), F.col("content").cast("binary").alias("content")))
+    if texts is not None:
+        parts.append(papers.join(texts, "paper_id").select(package, F.concat(F.lit("md_clean/"), "paper_id", F.lit(".clean.md")).alias("name"), F.col("content").cast("binary").alias("content")))
+    return reduce(DataFrame.unionByName, parts)

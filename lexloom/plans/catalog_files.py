@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import ids
 from lexloom.functions.vectors import normalize
-from lexloom.operators import citations, dedup, dense, lifecycle, metadata, pages
+from lexloom.operators import citations, dedup, dense, exports, lifecycle, metadata, pages
 from lexloom.operators.ranking import numbered
 from lexloom.plans import flows, retrieval
 from lexloom.plans.catalog import CORPUS_DOI, DISTANCE_SQL, ORACLES, UNIT_SQL, chunk_collection, dedup_records, loose_papers, query, query_vector
@@ -218,3 +218,16 @@ def cited_results(spark, d):
     known = loose_papers(spark, d)
     results = numbered(known.select("seq", "paper_id"), [F.col("seq")], "rank")
     return citations.cited(results, known).select("seq", F.col("n").cast("long").alias("n"), "cite")
+
+
+@query("""WITH r AS (SELECT doc_id, source AS category, 'p' || doc_id AS paper_id, text, row_number() OVER (PARTITION BY source ORDER BY 'p' || doc_id) AS n FROM documents), p AS (SELECT *, ceil(n / 45)::INT AS package FROM r)
+SELECT category, package, 'md_clean/' || paper_id || '.clean.md' AS name, md5(coalesce(text, '')) AS content_md5 FROM p UNION ALL SELECT category, package, 'pdfs/s' || doc_id || '.pdf', md5('pdf ' || doc_id) FROM p WHERE doc_id % 3 = 0""")
+def paper_archives(spark, d):
+    """Packages of papers as ZIP archives with whole texts and the PDFs that there are, opened again."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("category"), F.concat(F.lit("p"), "doc_id").alias("paper_id"), F.concat(F.lit("s"), "doc_id").alias("stable_id"), F.coalesce("text", F.lit("")).alias("content"))
+    packed = exports.packages(docs)
+    papers_ = docs.select("category", "paper_id", "stable_id").join(packed, ["category", "paper_id"]).withColumn("of", F.struct("category", "package"))
+    pdfs = docs.where("doc_id % 3 = 0").select(F.concat("stable_id", F.lit(".pdf")).alias("name"), F.concat(F.lit("pdf "), "doc_id").alias("content"))
+    files = exports.paper_files(papers_, pdfs, docs.select("paper_id", "content"), "of").select("of.category", "of.package", "name", "content")
+    by = ["category", "package"]
+    return exports.unzipped(exports.zipped(files, by), by).select(*by, "name", F.md5("content").alias("content_md5"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import csv
 import json
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -100,12 +102,32 @@ def find_column(columns: list[str], candidates: list[str]) -> str | None:
     return exact or next((c for c in columns for x in candidates if x.lower() in c.lower()), None)
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(file, text) of text and Markdown files; other endings raise when read."""
+def read_texts(spark: SparkSession, path: str, readers: dict[str, Callable[[], Callable[[bytes], str]]] | None = None) -> DataFrame:
+    """(file, text) of text and Markdown files, and of those endings that ``readers`` has a reader of; others raise when read.
+
+    A reader is made once a task and takes a file's bytes, as one of PDF would. Bytes that are no
+    UTF-8 are replaced.
+    """
+    made = readers or {}
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    name = F.regexp_extract("path", r"[^/]*$", 0).alias("file")
     text = F.when(ending.isin("txt", "md"), F.expr("try_to_binary(hex(content), 'hex')").cast("string")).otherwise(F.raise_error(F.concat(F.lit("unsupported file: "), F.col("path"))))
-    return files.select(F.regexp_extract("path", r"[^/]*$", 0).alias("file"), text.alias("text"))
+    plain = files.where(~ending.isin(list(made))).select(name, text.alias("text")) if made else files.select(name, text.alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Callable[[bytes], str]] = {}
+        for batch in batches:
+            out = []
+            for kind, content in zip(batch.column("ending").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                if kind not in known:
+                    known[kind] = made[kind]()
+                out.append(known[kind](content or b""))
+            yield pa.RecordBatch.from_arrays([batch.column("file"), pa.array(out, pa.string())], ["file", "text"])
+
+    if not made:
+        return plain
+    return plain.unionByName(files.where(ending.isin(list(made))).select(name, ending.alias("ending"), "content").mapInArrow(run, "file string, text string"))
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:

@@ -345,3 +345,32 @@ def test_the_fold_equals_the_loop(spark):
         got = {(r.doc_id, r.piece_index): r.piece for r in chunking.split_long(rows, most=most).collect()}
         assert got == {(i, n): p for i, t in enumerate(texts) for n, p in enumerate(chunking.split_chars(t, most), 1)}
     assert "MapInArrow" not in chunking.split_long(rows)._jdf.queryExecution().toString()
+
+
+def test_texts_by_an_injected_reader(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("é plain".encode())
+    (tmp_path / "b.PDF").write_bytes(b"%PDF two pages")
+    reader = lambda: lambda content: content.decode()[5:].upper()
+    assert {(r.file, r.text) for r in readers.read_texts(spark, str(tmp_path), {"pdf": reader}).collect()} == {("a.txt", "é plain"), ("b.PDF", "TWO PAGES")}
+    with pytest.raises(Exception, match="unsupported file"):
+        readers.read_texts(spark, str(tmp_path)).collect()
+    (tmp_path / "c.doc").write_bytes(b"x")
+    with pytest.raises(Exception, match="unsupported file"):
+        readers.read_texts(spark, str(tmp_path), {"pdf": reader}).collect()
+
+
+def test_archives(spark):
+    from lexloom.operators import exports
+
+    rows = [("a", 1, "x.md", b"one"), ("a", 1, "x.md", b"later"), ("a", 1, "d/é.pdf", None), ("a", 2, "y", b"\x00" * 5000), ("b", 1, None, b"lost")]
+    files = spark.createDataFrame(rows, "category string, package int, name string, content binary")
+    by = ["category", "package"]
+    archives = exports.zipped(files, by)
+    assert {(r.category, r.package, r.n_files) for r in archives.collect()} == {("a", 1, 2), ("a", 2, 1)}
+    assert {(r.package, r.name, bytes(r.content)) for r in exports.unzipped(archives, by).collect()} == {(1, "x.md", b"later"), (1, "d/é.pdf", b""), (2, "y", b"\x00" * 5000)}
+    again = exports.zipped(files.repartition(5), by)
+    assert {bytes(r.archive) for r in archives.collect()} == {bytes(r.archive) for r in again.collect()}
+    assert exports.zipped(files.where("package > 5"), by).count() == 0
+    papers = spark.createDataFrame([("p1", "s1", "k"), ("p2", None, "k"), ("p3", None, "k")], "paper_id string, stable_id string, package string")
+    pdfs, texts = spark.createDataFrame([("s1.pdf", b"1"), ("p2.pdf", b"2")], "name string, content binary"), spark.createDataFrame([("p3", "three")], "paper_id string, content string")
+    assert {(r.name, bytes(r.content)) for r in exports.paper_files(papers, pdfs, texts).collect()} == {("pdfs/s1.pdf", b"1"), ("pdfs/p2.pdf", b"2"), ("md_clean/p3.clean.md", b"three")}
