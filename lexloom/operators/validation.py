@@ -10,6 +10,7 @@ from pyspark.sql.types import DoubleType
 from lexloom.functions import ids
 from lexloom.functions.blocks import matching_ratios
 from lexloom.functions.text import filled, stem
+from lexloom.operators.ranking import let
 
 # Words of an affiliation, and surnames of a proceedings' editors.
 AFFILIATION = [
@@ -41,32 +42,38 @@ def last_word(name: Column) -> Column:
     return F.element_at(F.split(F.trim(name), r"(?U)\s+"), -1)
 
 
-def title_is_journal() -> Column:
-    return (stem("title") != "") & (stem("title") == stem("journal"))
+def title_is_journal(title: Column, journal: Column) -> Column:
+    """Of stems."""
+    return (title != "") & (title == journal)
 
 
-def title_begins_with_journal() -> Column:
-    return (F.length(stem("journal")) >= LEAST_JOURNAL) & (stem("title") != stem("journal")) & stem("title").startswith(F.concat(stem("journal"), F.lit("_")))
+def title_begins_with_journal(title: Column, journal: Column) -> Column:
+    """Of stems."""
+    return (F.length(journal) >= LEAST_JOURNAL) & (title != journal) & title.startswith(F.concat(journal, F.lit("_")))
 
 
 def issues(this_year: int) -> Column:
-    """All local issues of a record with title, journal, authors, year and doi."""
-    names = author_names()
-    glued = F.exists(names, lambda n: ~n.rlike(r"(?U)\s") & n.rlike("[a-z][A-Z]"))
-    placed = F.exists(names, lambda n: n.rlike(r"\d") | n.rlike(r"(?iU)\b(" + "|".join(AFFILIATION) + r")\b"))
-    editors = F.size(F.filter(F.slice(names, 1, 5), lambda n: F.lower(last_word(n)).isin(EDITORS)))
-    series = F.lower(F.coalesce("doi", F.lit(""))).startswith(EDITORS_DOI)
-    year = ids.year_number("year")
-    found = F.array(
-        _issue(title_is_journal(), "title_eq_journal", "title", "high"),
-        _issue(title_begins_with_journal(), "title_has_journal_prefix", "title", "medium"),
-        _issue(glued, "authors_glued", "authors", "info"),
-        _issue(placed, "authors_affiliation", "authors", "high"),
-        _issue((editors >= 3) | (series & (editors >= 2)), "authors_editors", "authors", "high"),
-        _issue(year.isNull() | ~year.between(1900, this_year + 1), "year_implausible", "year", "medium"),
-        _issue(filled("doi").isNotNull() & ~ids.doi_valid("doi"), "doi_malformed", "doi", "high"),
-    )
-    return F.filter(found, lambda x: x.isNotNull())
+    """All local issues of a record with title, journal, authors, year and doi. Stems and names are made once for each record."""
+
+    def found(v: Column) -> Column:
+        names = v["names"]
+        glued = F.exists(names, lambda n: ~n.rlike(r"(?U)\s") & n.rlike("[a-z][A-Z]"))
+        placed = F.exists(names, lambda n: n.rlike(r"\d") | n.rlike(r"(?iU)\b(" + "|".join(AFFILIATION) + r")\b"))
+        editors = F.size(F.filter(F.slice(names, 1, 5), lambda n: F.lower(last_word(n)).isin(EDITORS)))
+        series = F.lower(F.coalesce("doi", F.lit(""))).startswith(EDITORS_DOI)
+        year = ids.year_number("year")
+        every = F.array(
+            _issue(title_is_journal(v["title"], v["journal"]), "title_eq_journal", "title", "high"),
+            _issue(title_begins_with_journal(v["title"], v["journal"]), "title_has_journal_prefix", "title", "medium"),
+            _issue(glued, "authors_glued", "authors", "info"),
+            _issue(placed, "authors_affiliation", "authors", "high"),
+            _issue((editors >= 3) | (series & (editors >= 2)), "authors_editors", "authors", "high"),
+            _issue(year.isNull() | ~year.between(1900, this_year + 1), "year_implausible", "year", "medium"),
+            _issue(filled("doi").isNotNull() & ~ids.doi_valid("doi"), "doi_malformed", "doi", "high"),
+        )
+        return F.filter(every, lambda x: x.isNotNull())
+
+    return let(F.struct(stem("title").alias("title"), stem("journal").alias("journal"), author_names().alias("names")), found)
 
 
 def drop_dismissed(rows: DataFrame, dismissed: DataFrame, column: str = "issues") -> DataFrame:
@@ -148,7 +155,7 @@ def compare(papers: DataFrame, lookup: DataFrame, by_ratio: bool = True) -> Data
 
     known, title, journal = F.col("fetched"), filled("_title"), filled("_journal")
     short, mine = filled("_journal_short"), filled("journal")
-    as_journal = title_is_journal() | title_begins_with_journal()
+    as_journal = title_is_journal(stem("title"), stem("journal")) | title_begins_with_journal(stem("title"), stem("journal"))
     year, their_year, id_year = ids.year_number("year"), F.nullif(ids.year_number("_year"), F.lit(0)), ids.year_in_id("paper_id")
     their_names = F.filter(F.transform(F.coalesce("_authors", F.expr("array()").cast("array<struct<family:string,given:string>>")), lambda a: stem(last_word(filled(a["family"])))), lambda x: x.isNotNull())
     common = F.size(F.array_intersect(F.array_distinct(surnames(F.col("authors"))), F.array_distinct(their_names)))
