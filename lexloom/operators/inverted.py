@@ -112,15 +112,36 @@ class InvertedIndex:
 
         ``marks`` is kept for the next reader, who may then spare a refresh.
         """
-        now = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("sha256", F.sha2("text", 256))
+        now, tables = self._hashed(docs, id_col, text_col), self.tables()
+        gone = self._alive(tables).join(now.select("id", "sha256"), ["id", "sha256"], "left_anti") if tables else None
+        return self._take_in(now, gone, tables, f"refresh {marks}")
+
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[int, int] | None:
+        """Takes in ``docs``, in place of the texts that their ids had before; other documents stay.
+
+        The same documents again change nothing, so a micro-batch may be handed over twice.
+        """
+        now, tables = self._hashed(docs, id_col, text_col), self.tables()
+        gone = self._alive(tables).join(now.select("id").distinct(), "id", "left_semi").join(now.select("id", "sha256"), ["id", "sha256"], "left_anti") if tables else None
+        return self._take_in(now, gone, tables, "add")
+
+    def remove(self, ids: DataFrame, id_col: str = "doc_id") -> tuple[int, int] | None:
+        """Takes documents out by their ids."""
         tables = self.tables()
-        fresh, gone = now, None
-        if tables:
-            alive = self._alive(tables)
-            fresh = now.join(alive.select("id", "sha256"), ["id", "sha256"], "left_anti")
-            gone = checkpointed(alive.join(now.select("id", "sha256"), ["id", "sha256"], "left_anti").select("segment", "id", "dl", "terms"))
+        if not tables:
+            return None
+        gone = self._alive(tables).join(ids.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
+        none = tables["forward"].where(F.lit(False)).select("id", F.lit("").alias("text"), "sha256")
+        return self._take_in(none, gone, tables, "remove")
+
+    @staticmethod
+    def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("sha256", F.sha2("text", 256))
+
+    def _take_in(self, now: DataFrame, gone: DataFrame | None, tables: dict[str, DataFrame], note: str) -> tuple[int, int] | None:
+        fresh = now.join(self._alive(tables).select("id", "sha256"), ["id", "sha256"], "left_anti") if tables else now
         toks = fresh.dropDuplicates(["id", "sha256"]).select("id", "sha256", tokens("text").alias("toks"))
-        return self._commit(toks, gone, tables, f"refresh {marks}")
+        return self._commit(toks, checkpointed(gone.select("segment", "id", "dl", "terms")) if gone is not None else None, tables, note)
 
     def _commit(self, toks: DataFrame, gone: DataFrame | None, tables: dict[str, DataFrame], note: str) -> tuple[int, int] | None:
         kind = toks.schema["id"].dataType.simpleString()
@@ -130,7 +151,7 @@ class InvertedIndex:
         came, n_tokens = counted.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         went, lost = gone.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first() if gone is not None else (0, 0)
         if tables and not came and not went:
-            if self.marks() != (note.partition("refresh ")[2] or None):
+            if note.startswith("refresh ") and self.marks() != (note.partition("refresh ")[2] or None):
                 with self.store.commit(note):
                     pass
             return None

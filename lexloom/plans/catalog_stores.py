@@ -68,6 +68,18 @@ def bm25_index_refresh(spark, d):
     return index.top_one(OTHER, 30).crossJoin(F.broadcast(index.integrity().select("n_docs", "ok")))  # one row
 
 
+@query(f"WITH {bm25_sql(f'SELECT 0 AS qid, {OTHER!r} AS query', 30).replace('FROM documents)', 'FROM documents WHERE doc_id % 11 <> 0)')} SELECT rank, id, score FROM lexical")
+def bm25_index_increments(spark, d):
+    """An index that takes in the documents in turns, one of them twice, with texts that change later, and then loses some."""
+    docs = table(spark, d, "documents")
+    index = InvertedIndex(spark, fresh_folder(spark, "increments"))
+    index.add(docs.where("doc_id % 3 = 0").withColumn("text", F.lit("what it was before")))
+    for turn in (1, 0, 2, 2):
+        index.add(docs.where(F.col("doc_id") % 3 == turn))
+    index.remove(docs.where("doc_id % 11 = 0"))
+    return index.top_one(OTHER, 30)
+
+
 @query(f"WITH {bm25_sql('SELECT 0 AS qid, text AS query FROM benchmark', 1)} SELECT term, df, round(idf, 6) AS idf FROM df JOIN idf USING (term)")
 def index_statistics(spark, d):
     t = index_of(spark, d).tables()

@@ -250,6 +250,21 @@ def test_index_equals_scan_through_refreshes(spark, tmp_path, small_stripes):
     assert index.top_one("gas", 3).count() == 0 and index.integrity().first().n_docs == 0
 
 
+def test_an_index_grows_and_shrinks(spark, tmp_path, small_stripes):
+    index = small_stripes.InvertedIndex(spark, str(tmp_path / "index"))
+    rows = lambda d: spark.createDataFrame(list(d.items()), "doc_id long, text string")
+    assert index.remove(rows({1: "x"})) is None
+    assert index.add(rows({1: "gas", 2: "gas gas"})) == (2, 0)
+    assert index.add(rows({2: "H2S", 3: None})) == (2, 1)
+    assert index.add(rows({2: "H2S", 3: None})) is None
+    assert index.remove(rows({1: None, 9: None})) == (0, 1)
+    docs = rows({2: "H2S", 3: None})
+    assert [(r.id, r.score) for r in index.top_one("h2s gas", 3).collect()] == [(r.id, round(r.score, 6)) for r in lexical.bm25_query(docs, "h2s gas", "doc_id").collect()]
+    row = index.integrity().first()
+    assert row.ok and row.n_docs == 2
+    assert index.refresh(docs, marks="m") is None and index.marks() == "m"
+
+
 def test_index_reads_its_terms_only(spark, tmp_path, small_stripes):
     rows = [(i, " ".join(["gas"] * (1 + i % 3) + [f"w{i}"] * (i % 40) + ["rare"] * (i in (5, 90)))) for i in range(120)]
     index = small_stripes.InvertedIndex(spark, str(tmp_path / "index"))
