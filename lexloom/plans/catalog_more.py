@@ -661,19 +661,26 @@ def chat_models(spark, d):
 
 PAGES = """CASE doc_id % 4 WHEN 0 THEN 'A study of ' || lang || chr(10) || 'x' || chr(10) || 'by some people' || chr(10) || ' ABSTRACT ' || chr(10) || t || chr(10) || chr(10) || 'Keywords: none'
 WHEN 1 THEN '2020 Elsevier' || chr(10) || 'short' || chr(10) || t || chr(10) || 'Introduction' || chr(10) || t WHEN 2 THEN t || chr(10) || 'Resumen' || chr(10) || 'Too little.' || chr(10) || chr(10) || 'Keywords' ELSE '' END"""
+# The rules of ``screening`` in RE2, which knows white space, letters and digits beyond ASCII by their classes only.
+SPACE, WORD = "[\\t-\\r\\x{85}\\p{Z}]", "\\p{L}\\p{M}\\p{Nd}\\p{Pc}"
+TRIMMED = f"regexp_replace({{x}}, '^{SPACE}+|{SPACE}+$', '', 'g')"
+TITLE_END = f"(?i)^{SPACE}*(abstract|resumen|keywords?|palabras{SPACE}+clave|introduction|introducción|doi([^{WORD}]|$))"
+SECTION = f"(?i)^{SPACE}*(keywords?|palabras{SPACE}+clave|introduction|introducción|highlights?|graphical{SPACE}+abstract|1(\\.|{SPACE}){SPACE}*[{WORD}])"
+ABSTRACT_END = f"(?im)\\n{SPACE}*\\n|^{SPACE}*(keywords?|introduction|1(\\.|{SPACE}){SPACE}*[{WORD}]|©|highlights?)"
+HEADER = f"(?i)^{SPACE}*(\\p{{Nd}}{{4}}|vol\\.?{SPACE}*\\p{{Nd}}+|doi{SPACE}*:|https?://|received{SPACE}*:|accepted{SPACE}*:|available{SPACE}+online|©|issn([^{WORD}]|$)|elsevier|springer|wiley|mdpi|taylor{SPACE}*&|[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{{2,4}})"
 JOINED = lambda xs, most: f"coalesce(list_reduce({xs}, lambda a, x: CASE WHEN length(a) > {most} THEN a WHEN a = '' THEN x ELSE a || ' ' || x END, ''), '')"
 FIRST = lambda xs, test: f"coalesce(list_position(list_transform({xs}, lambda x: {test}), true), 0)"
 
 
-@query(f"""WITH d AS (SELECT doc_id, lang, replace(trim(coalesce(text, '')), '. ', '.' || chr(10)) AS t FROM documents), p AS (SELECT doc_id, {PAGES} AS page FROM d),
-l AS (SELECT doc_id, page, list_filter(list_transform(string_split(page, chr(10)), lambda x: {STRIP.format(x="x")}), lambda x: x <> '') AS l, regexp_split_to_array(page, '(?im)^[ \\t]*(abstract|resumen)[ \\t]*$') AS parts FROM p),
-c AS (SELECT *, l[1:12] AS f, array_to_string(parts[2:], '') AS body, {FIRST("l[1:12]", "regexp_matches(x, '(?i)^(abstract|resumen|keywords?|introduction|doi\\b)')")} AS ti, {FIRST("l", "regexp_matches(x, '(?i)^(keywords?|introduction|highlights?|1[\\s.]\\s*\\w)')")} AS si FROM l),
+@query(f"""WITH d AS (SELECT doc_id, lang, replace(trim(coalesce(text, '')), '. ', '.' || chr(10)) AS t FROM documents), p AS (SELECT doc_id, coalesce({PAGES}, '') AS page FROM d),
+l AS (SELECT doc_id, page, list_filter(list_transform(string_split(page, chr(10)), lambda x: {TRIMMED.replace("{x}", "x")}), lambda x: x <> '') AS l, regexp_split_to_array(page, '(?im)^[ \\t]*(abstract|resumen)[ \\t]*$') AS parts FROM p),
+c AS (SELECT *, l[1:12] AS f, substr(page, length(parts[1]) + length(regexp_extract(page, '(?im)^[ \\t]*(abstract|resumen)[ \\t]*$')) + 1) AS body, {FIRST("l[1:12]", f"regexp_matches(x, '{TITLE_END}')")} AS ti, {FIRST("l", f"regexp_matches(x, '{SECTION}')")} AS si FROM l),
 e AS (SELECT *, list_filter(CASE WHEN ti = 0 THEN f ELSE f[1:ti - 1] END, lambda x: length(x) >= 4)[1:4] AS title_lines, CASE WHEN si = 0 THEN l ELSE l[1:si - 1] END AS before FROM c),
-g AS (SELECT *, {FIRST("before", "NOT regexp_matches(x, '(?i)^(\\d{{4}}|elsevier)') AND length(x) >= 45")} AS di,
- CASE WHEN len(parts) > 1 THEN {STRIP.format(x="regexp_split_to_array(substr(body, 1, 2000), '(?im)\\n\\s*\\n|^\\s*(keywords?|introduction|1[\\s.]\\s*\\w|highlights?)')[1]")} END AS cut, CASE WHEN len(parts) > 1 THEN regexp_matches(substr(body, 1, 2000), '(?im)\\n\\s*\\n|^\\s*(keywords?|introduction|1[\\s.]\\s*\\w|highlights?)') END AS ended FROM e),
-h AS (SELECT *, CASE WHEN ended THEN cut ELSE {STRIP.format(x="substr(body, 1, 1500)")} END AS found FROM g)
+g AS (SELECT *, {FIRST("before", f"NOT regexp_matches(x, '{HEADER}') AND length(x) >= 45")} AS di,
+ CASE WHEN len(parts) > 1 THEN {TRIMMED.replace("{x}", f"regexp_split_to_array(substr(body, 1, 2000), '{ABSTRACT_END}')[1]")} END AS cut, CASE WHEN len(parts) > 1 THEN regexp_matches(substr(body, 1, 2000), '{ABSTRACT_END}') END AS ended FROM e),
+h AS (SELECT *, CASE WHEN ended THEN cut ELSE {TRIMMED.replace("{x}", "substr(body, 1, 1500)")} END AS found FROM g)
 SELECT doc_id AS name, {JOINED("title_lines", 350)} AS title, CASE WHEN len(parts) > 1 AND length(found) > 80 THEN substr(found, 1, 1500)
- ELSE coalesce(nullif(substr({JOINED("CASE WHEN di = 0 THEN [] ELSE before[di:] END", 1400)}, 1, 1500), ''), {STRIP.format(x="substr(page, 1, 500)")}) END AS abstract FROM h""")
+ ELSE coalesce(nullif(substr({JOINED("CASE WHEN di = 0 THEN [] ELSE before[di:] END", 1400)}, 1, 1500), ''), {TRIMMED.replace("{x}", "substr(page, 1, 500)")}) END AS abstract FROM h""")
 def first_pages(spark, d):
     """Titles and abstracts of pages made of whole documents: with a heading, after a journal's header, with too little under a heading, and empty."""
     rows = table(spark, d, "documents").withColumn("t", F.replace(F.trim(F.coalesce("text", F.lit(""))), F.lit(". "), F.lit(".\n"))).withColumn("page", F.expr(PAGES.replace("chr(", "char(")))
