@@ -148,7 +148,7 @@ def package_manifest(packed: DataFrame, papers: DataFrame, group: str = "categor
 
 def master_index(manifests: DataFrame, group: str = "category") -> DataFrame:
     """(category, n_packages, n_papers, packages) over all manifests."""
-    shown = F.array_join(F.sort_array(F.collect_list(F.format_string("%03d", F.col("package")))), ",")
+    shown = F.array_join(F.transform(F.sort_array(F.collect_list("package")), lambda p: F.format_string("%03d", p)), ",")  # by number: 1000 comes after 999
     return manifests.groupBy(group).agg(F.count("*").alias("n_packages"), F.sum("n_papers").alias("n_papers"), shown.alias("packages"))
 
 
