@@ -10,6 +10,8 @@ from lexloom.functions.text import key, title_key
 from lexloom.operators.ranking import checkpointed, numbered, running_max
 
 LEAST_TITLE = 10
+#: Rows, at most about, that a task sorts.
+TASK_ROWS = 250_000
 PREFIX = 60
 
 
@@ -73,6 +75,7 @@ def decide(papers: DataFrame, across: bool = False) -> DataFrame:
     removed once. Rows without DOI or stem take no part.
     """
     known = papers.where((F.coalesce("doi", F.lit("")) != "") & (F.coalesce("stem", F.lit("")) != ""))
+    known = known.repartition(max(int(papers.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known.count() // TASK_ROWS)), "doi")  # all windows lie within a DOI
     inside = Window.partitionBy("doi", "category").orderBy(*keep_intra_order())
     ranked = known.withColumn("n", F.row_number().over(inside)).withColumn("keep_stem", F.first("stem").over(inside))
     intra = ranked.where("n > 1").select("doi", F.lit("intra").alias("duplicate_type"), F.col("category").alias("keep_category"), "keep_stem", F.col("category").alias("remove_category"), F.col("stem").alias("remove_stem"), F.col("line_no").alias("remove_line"))
