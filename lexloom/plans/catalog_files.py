@@ -18,6 +18,9 @@ from lexloom.plans.tables import PAPERS_SQL, papers, table
 from lexloom.sources import lines, providers, readers, writers
 from lexloom.sources.store import Store
 
+#: Rows of a file that is written and read back, so that files grow in number and not in size.
+FILE_ROWS = 3000
+
 # --- round trips -------------------------------------------------------------------
 
 
@@ -32,7 +35,7 @@ def jsonl_round_trip(spark, d):
     whole = F.to_json(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     broken = F.concat(F.lit('{"doc_id":'), F.col("doc_id"), F.lit(',"text":'))
     rows = table(spark, d, "documents").select("lang", F.explode(F.when(F.col("doc_id") % 7 == 0, F.array(whole, broken)).otherwise(F.array(whole))).alias("value"))
-    rows.repartition(5).write.partitionBy("lang").text(folder)
+    rows.write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("lang").text(folder)
     found = lines.numbered(spark, folder)
     files = found.groupBy("path").agg(((F.max("line_no") == F.count("*")) & (F.sum("line_no") == F.count("*") * (F.count("*") + 1) / 2)).alias("numbered"))
     read = found.join(files, "path").select("numbered", F.regexp_extract("path", "/lang=([^/]+)/", 1).alias("phase"), "line", F.from_json("line", "doc_id long, text string").alias("r"))
@@ -49,7 +52,7 @@ def csv_round_trip(spark, d):
     """
     folder = fresh_folder(spark, "csv")
     docs = table(spark, d, "documents").select(F.concat(F.lit('"'), "text").alias("Título"), F.col("lang").alias("Revista"), F.col("doc_id").alias("DOI"))
-    docs.repartition(3).write.options(header="true", encoding="UTF-8", sep=";", escape='"').csv(folder)
+    docs.write.options(header="true", encoding="UTF-8", sep=";", escape='"', maxRecordsPerFile=FILE_ROWS).csv(folder)
     found = readers.read_csv(spark, folder)
     numbered_ = lines.records(spark, folder).select(F.col("line_no").alias("seq"), "record", "path")
     size = F.size(F.split("record", "\n")).cast("long")
