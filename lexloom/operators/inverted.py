@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.text import tokens
 from lexloom.operators.lexical import EPSILON, K1, B, query_terms, top_by_query
-from lexloom.operators.ranking import checkpointed
+from lexloom.operators.ranking import bounded_batches, checkpointed
 from lexloom.sources.store import Store
 
 BUCKETS = 64
@@ -143,6 +143,7 @@ class InvertedIndex:
         return self._commit(fresh.dropDuplicates(["id", "sha256"]), checkpointed(gone.select("segment", "id", "dl", "terms")) if gone is not None else None, tables, note)
 
     def _commit(self, fresh: DataFrame, gone: DataFrame | None, tables: dict[str, DataFrame], note: str) -> tuple[int, int] | None:
+        bounded_batches(self.spark)
         kind = fresh.schema["id"].dataType.simpleString()
         # Ranges by length of text, which is there before its tokens are.
         toks = fresh.repartitionByRange(F.octet_length("text"), "id").select("id", "sha256", tokens("text").alias("toks"))
@@ -181,6 +182,7 @@ class InvertedIndex:
 
     def compact(self) -> None:
         """One segment of all that is alive, without what is dead; statistics stay."""
+        bounded_batches(self.spark)
         tables = self.tables()
         alive = self._alive(tables)
         kind = alive.schema["id"].dataType.simpleString()

@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch of texts or tokens, about.
+BATCH_BYTES = 4 << 20
 _ROWS = 33  # bits of a row's number within its partition
 
 
@@ -26,6 +28,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches by their bytes, so that what a task holds in Python doesn't grow with its rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once for each row."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
