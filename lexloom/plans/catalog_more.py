@@ -315,13 +315,13 @@ TEI_YEAR = "CASE WHEN year >= 1900 THEN year ELSE 1987 END"
 
 @query(f"""WITH {PAPERS_SQL} SELECT seq::VARCHAR AS paper_id, title, trim(coalesce(doi, '')) AS doi, journal, {TEI_YEAR.replace("1987", "NULL")} AS year, 'Maria Cus' AS authors, coalesce(abstract, '') AS abstract, 1 AS n_references FROM papers""")
 def tei_metadata(spark, d):
-    found = tei.read_tei(tei_papers(spark, d))
+    found = tei.read_tei(tei_papers(spark, d), ["title", "doi", "journal", "year", "authors", "abstract", "references"])
     return found.select("paper_id", "title", "doi", "journal", "year", F.array_join(F.transform("authors", lambda a: a["full"]), "; ").alias("authors"), "abstract", F.size("references").alias("n_references"))
 
 
 @query(f"WITH {PAPERS_SQL} SELECT seq::VARCHAR AS paper_id, left(sha1('10.1/c' || seq), 12) AS ref_key, '10.1/C' || seq AS doi, 'Cited ' || seq AS title, 'Old Journal' AS container, 1987 AS year, 'Bo Li' AS authors FROM papers")
 def tei_references(spark, d):
-    r = tei.read_tei(tei_papers(spark, d)).select("paper_id", F.explode("references").alias("r"))
+    r = tei.read_tei(tei_papers(spark, d), ["references"]).select("paper_id", F.explode("references").alias("r"))
     return r.select("paper_id", "r.ref_key", "r.doi", "r.title", "r.container", "r.year", F.array_join("r.authors", "; ").alias("authors"))
 
 
@@ -333,7 +333,7 @@ UNION ALL SELECT seq, 'Materials', 'methods', CASE WHEN abstract IS NULL THEN {C
 UNION ALL SELECT seq, 'Counts', 'table', '## Counts' || chr(10) || chr(10) || 'By row' || chr(10) || chr(10) || '| Exp. | n |' || chr(10) || '| a | ' || n_references || ' |' || chr(10) || '|  | 2 |', 3 FROM papers)
 SELECT seq::VARCHAR AS paper_id, section, canonical AS section_canonical, row_number() OVER (PARTITION BY seq ORDER BY k) AS chunk_index, md5(t) AS text_md5 FROM c""")
 def tei_chunks(spark, d):
-    return chunking.chunk_articles(tei.read_tei(tei_papers(spark, d))).select("paper_id", "section", "section_canonical", "chunk_index", F.md5("text").alias("text_md5"))
+    return chunking.chunk_articles(tei.read_tei(tei_papers(spark, d), ["markdown", "tables"])).select("paper_id", "section", "section_canonical", "chunk_index", F.md5("text").alias("text_md5"))
 
 
 @query(f"""WITH t AS (SELECT doc_id, {STRIP.format(x="coalesce(text, '')")} AS t FROM documents) SELECT doc_id AS file, '__attachment__' AS paper_id, 1 AS chunk_index, md5(t) AS text_md5 FROM t WHERE length(t) >= 30""")
