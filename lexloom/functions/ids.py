@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexloom.functions import col
+from lexloom.functions import col, let
 from lexloom.functions.text import file_name, filled, short_title, slug
 
 DOI_TEXT = r"(?i)\b(10\.\d{4,9}/[-._;(),<>/:A-Z0-9]+)\b"
@@ -54,8 +54,9 @@ def doi(value, mode: str) -> Column:
         return F.nullif(doi_tail(F.regexp_extract(bare, DOI_TEXT, 1)), F.lit(""))
     if mode == "filename":
         name = F.regexp_replace(x, r"(?i)\.pdf$", "")
-        raw = F.coalesce(F.nullif(F.regexp_extract(name, r"\[(10\.\d{4,9}_[^\]]+)\]", 1), F.lit("")), F.nullif(F.regexp_extract(name, r"^(10\.\d{4,9}_\S+)$", 1), F.lit("")))
-        return F.nullif(doi(F.regexp_replace(raw, "^([^_]*)_", "$1/"), "plain"), F.lit(""))
+        found = lambda n, pattern: let(F.regexp_extract(n, pattern, 1), lambda r: F.nullif(r, F.lit("")))
+        raw = let(name, lambda n: F.coalesce(found(n, r"\[(10\.\d{4,9}_[^\]]+)\]"), found(n, r"^(10\.\d{4,9}_\S+)$")))
+        return let(doi(F.regexp_replace(raw, "^([^_]*)_", "$1/"), "plain"), lambda r: F.nullif(r, F.lit("")))
     if mode == "loose":
         return F.lower(F.coalesce(doi(value, "text"), F.lit("")))
     raise ValueError(f"no DOI mode {mode!r}")
@@ -100,8 +101,8 @@ def surname_of(authors) -> Column:
 
 def paper_id(year, authors, title) -> Column:
     """``year_surname_short_title``; what is missing is 0000, unknownauthor, untitled."""
-    surname = F.coalesce(F.nullif(slug(surname_of(authors)), F.lit("")), F.lit("unknownauthor"))
-    name = F.concat_ws("_", F.coalesce(F.nullif(col(year).cast("string"), F.lit("0")), F.lit("0000")), surname, short_title(F.coalesce(filled(title), F.lit("untitled"))))
+    surname = let(slug(surname_of(authors)), lambda s: F.coalesce(F.nullif(s, F.lit("")), F.lit("unknownauthor")))
+    name = F.concat_ws("_", F.coalesce(F.nullif(col(year).cast("string"), F.lit("0")), F.lit("0000")), surname, let(filled(title), lambda t: short_title(F.coalesce(t, F.lit("untitled")))))
     return F.regexp_replace(file_name(F.concat(name, F.lit(".pdf"))), r"\.pdf$", "")
 
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexloom.functions import col
+from lexloom.functions import col, let
 
 
 def _fold_pairs() -> tuple[str, str]:
@@ -152,17 +152,19 @@ TITLE_STOPWORDS = [
 
 def short_title(text, most: int = 8) -> Column:
     plain = F.regexp_replace(F.lower(strip_accents(text)), r"[^a-z0-9\s]", " ")
-    all_words = words(plain)
-    telling = F.filter(all_words, lambda w: ~w.isin(TITLE_STOPWORDS))
-    chosen = F.when(F.size(telling) > 0, telling).otherwise(all_words)
-    return F.when(F.size(chosen) > 0, F.array_join(F.slice(chosen, 1, most), "_")).otherwise("untitled")
+
+    def chosen(every: Column) -> Column:
+        telling = F.filter(every, lambda w: ~w.isin(TITLE_STOPWORDS))
+        return let(telling, lambda t: F.when(F.size(t) > 0, t).otherwise(every))
+
+    return let(let(words(plain), chosen), lambda w: F.when(F.size(w) > 0, F.array_join(F.slice(w, 1, most), "_")).otherwise("untitled"))
 
 
 def file_name(text, most: int = 180) -> Column:
     """A name without forbidden characters; a longer one keeps ``most`` - 4 characters and ends in .pdf."""
     x = F.regexp_replace(F.regexp_replace(F.coalesce(col(text), F.lit("")), r'[<>:"/\\|?*]', "_"), r"(?U)\s+", "_")
     x = F.regexp_replace(F.regexp_replace(x, "_+", "_"), r"^[._ ]+|[._ ]+$", "")
-    return F.when(F.length(x) > most, F.concat(F.substring(F.regexp_replace(x, r"\.[^.]*$", ""), 1, most - 4), F.lit(".pdf"))).otherwise(x)
+    return let(x, lambda x: F.when(F.length(x) > most, F.concat(F.substring(F.regexp_replace(x, r"\.[^.]*$", ""), 1, most - 4), F.lit(".pdf"))).otherwise(x))
 
 
 def clean_name(text, most: int = 150) -> Column:

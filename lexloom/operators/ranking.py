@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexloom.functions import let  # noqa: F401
+
 #: Bytes of an Arrow batch of texts or tokens, about.
 BATCH_BYTES = 4 << 20
 _ROWS = 33  # bits of a row's number within its partition
@@ -33,11 +35,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once for each row."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def numbered(df: DataFrame, order: list[Column], name: str = "rank", group: list[str] | None = None) -> DataFrame:
     """``df`` with 0, 1, ... in the total order ``order``, within each ``group`` if one is given.
 
