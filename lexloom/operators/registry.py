@@ -106,8 +106,13 @@ def blocked_dois(registry: DataFrame) -> DataFrame:
 
 def known_dois(papers: DataFrame, names: DataFrame) -> DataFrame:
     """DOIs of metadata and those inside file names."""
-    a, b = papers.select(ids.doi("doi", "corpus").alias("doi")), names.select(F.lower(ids.doi("name", "filename")).alias("doi"))
-    return a.unionByName(b).where("doi != ''").distinct()
+    a, b = papers.select(_some(ids.doi("doi", "corpus")).alias("doi")), names.select(_some(F.lower(ids.doi("name", "filename"))).alias("doi"))
+    return a.unionByName(b).distinct()
+
+
+def _some(doi: Column) -> Column:
+    """A row for a DOI that is there. A filter would be computed again, also on other tables whose keys it is made of."""
+    return F.explode(F.filter(F.array(doi), lambda x: x != ""))
 
 
 def download_plan(rows: DataFrame, blocked: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -120,9 +125,9 @@ def download_plan(rows: DataFrame, blocked: DataFrame, corpus: DataFrame) -> Dat
 
 def doi_origins(papers: DataFrame, files: DataFrame) -> DataFrame:
     """(doi, origin) over metadata first and file names after, the first of each."""
-    a = papers.select(ids.doi("doi", "corpus").alias("doi"), F.col("origin"), F.lit(0).alias("turn"))
-    b = files.select(F.lower(ids.doi("name", "filename")).alias("doi"), F.col("name").alias("origin"), F.lit(1).alias("turn"))
-    return least_by(a.unionByName(b).where("doi != ''"), ["doi"], [F.col("turn"), F.col("origin")]).select("doi", "origin")
+    a = papers.select(_some(ids.doi("doi", "corpus")).alias("doi"), F.col("origin"), F.lit(0).alias("turn"))
+    b = files.select(_some(F.lower(ids.doi("name", "filename"))).alias("doi"), F.col("name").alias("origin"), F.lit(1).alias("turn"))
+    return least_by(a.unionByName(b), ["doi"], [F.col("turn"), F.col("origin")]).select("doi", "origin")
 
 
 def with_outcome(rows: DataFrame, outcomes: DataFrame, on: str = "row_id") -> DataFrame:
