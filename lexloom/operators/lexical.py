@@ -9,6 +9,8 @@ from lexloom.functions.text import tokens
 from lexloom.operators.ranking import checkpointed, let
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Terms of all questions, counted in each, up to which their weights go to all tasks; of more they are joined by term.
+MOST_WEIGHTS = 500_000
 
 
 def tokenized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -50,9 +52,14 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", tex
     size = corpus_size(toks)
     asked = query_terms(queries, query_id, query_text)
     known = asked.select("term").distinct().withColumnRenamed("term", "asked_term")
-    weights = idf(document_frequency(toks), size).join(known, F.col("term") == F.col("asked_term"), "left_semi")
-    postings = toks.select("id", F.size("toks").alias("dl"), F.explode("toks").alias("term")).join(known, F.col("term") == F.col("asked_term"), "left_semi").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    found = postings.join(weights, "term").join(asked, "term").crossJoin(F.broadcast(size))
+    weights = idf(document_frequency(toks), size).join(asked, "term").select("term", "idf", "qid", "qtf")
+    weights = checkpointed(weights)
+    if weights.limit(MOST_WEIGHTS + 1).count() <= MOST_WEIGHTS:  # a term of very many documents is then no task of its own
+        weights, known = F.broadcast(weights), F.broadcast(known)
+    # By document, so that what the questions give it adds up where its postings are.
+    own = toks.select("id", F.size("toks").alias("dl"), F.explode("toks").alias("term")).join(known, F.col("term") == F.col("asked_term"), "left_semi").repartition("id")
+    postings = own.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    found = postings.join(weights, "term").crossJoin(F.broadcast(size))  # size is one row
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return found.groupBy("qid", "id").agg(F.sum(part).alias("score")).where("score > 0")
 
