@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import ids
 from lexloom.functions.vectors import normalize
 from lexloom.operators import citations, dedup, dense, exports, lifecycle, metadata, pages
-from lexloom.operators.ranking import numbered
+from lexloom.operators.ranking import checkpointed, numbered
 from lexloom.plans import flows, retrieval
 from lexloom.plans.catalog import CORPUS_DOI, DISTANCE_SQL, ORACLES, UNIT_SQL, chunk_collection, dedup_records, loose_papers, query, query_vector
 from lexloom.plans.catalog_stores import fresh_folder
@@ -169,6 +169,7 @@ def corpus_scan(spark, d):
     """Papers as JSON lines in a folder for each category, scanned as records with their stem and phase; those without DOI aren't listed."""
     folder = fresh_folder(spark, "corpus")
     rows = papers(spark, d).select("category", "doi", F.concat(F.lit("tei/"), "paper_id", F.lit(".tei.xml")).alias("source_file"), F.when(F.col("seq") % 4 == 0, "draft").otherwise(" ").alias("phase"), "seq")
+    rows = checkpointed(rows)  # each folder is written from them
     for (category,) in rows.select("category").distinct().orderBy("category").collect():  # folders of a few categories
         writers.write_jsonl(rows.where(F.col("category") == category), f"{folder}/{category}")
     schema = "category string, doi string, source_file string, phase string, seq long"
