@@ -23,6 +23,8 @@ CAPACITY = 2048
 GRAIN = 512
 #: Ranks within a length are counted in parts of at least so many pieces, so that no length is one task's; and the most parts beside one a length.
 PART_ROWS, MOST_PARTS = 250, 100_000
+#: Equal pieces that become rows at once.
+AT_ONCE = 10_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -121,14 +123,19 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
     histogram = {r.length: r.n for r in cuts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     part_rows = max(PART_ROWS, sum(histogram.values()) // MOST_PARTS)
     parts = spark.createDataFrame([(length, -(-n // part_rows)) for length, n in histogram.items()], "length long, parts long")
-    # Pieces lie in the checkpoint as they are numbered here, so equal ones, which may change places, have many parts too.
-    cuts = cuts.withColumn("n", F.monotonically_increasing_id()).join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("n"), F.col("parts"))).drop("n")
-    counts = cuts.groupBy("length", "part").agg(F.count("*").alias("n"))
+    # Equal pieces are one row with their number, so that ranks go by what a piece is alone: parts are ranges of its hash, and their number changes no rank.
+    same = ("length", "doc_id", "start", "ids_crc32", "doc_tokens")
+    each = cuts.groupBy(*same).agg(F.count("*").alias("n")).withColumn("hash", F.xxhash64(*same)).join(F.broadcast(parts), "length")
+    each = each.withColumn("part", F.floor(F.shiftrightunsigned("hash", 11) / F.lit(float(1 << 53)) * F.col("parts")).cast("long"))
+    counts = each.groupBy("length", "part").agg(F.sum("n").alias("n"))
     # MOST_PARTS rows, and one a length.
     before = counts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     slots = spark.createDataFrame(plan(histogram, capacity), "length long, lo long, hi long, base long, offset long")
-    within = Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")
-    ranked = cuts.withColumn("nth", F.row_number().over(within)).join(F.broadcast(before), ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth") - 1)
+    within = Window.partitionBy("length", "part").orderBy(F.shiftrightunsigned("hash", 11), *same[1:])
+    first = each.withColumn("nth", F.sum("n").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).join(F.broadcast(before), ["length", "part"])
+    runs = first.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / AT_ONCE)))).withColumn("run", F.col("run") * AT_ONCE)
+    own = F.explode(F.sequence(F.col("run"), F.least(F.col("run") + AT_ONCE, F.col("n")) - 1))
+    ranked = runs.select(*same, "before", "nth", own.alias("own")).withColumn("rank", F.col("before") + F.col("nth") + F.col("own"))
     placed = ranked.join(F.broadcast(slots.withColumnRenamed("length", "slot_length")), (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
 

@@ -879,3 +879,20 @@ def test_pipeline(spark, docs, sample):
     for _, stage in corpus_pipeline.STAGES:  # odd rows and no rows go through
         stage(spark, docs, DIR).count()
         assert stage(spark, docs.where("doc_id < -9"), DIR).count() == 0
+
+
+def test_no_switch_by_size_changes_the_pipeline(spark, docs, sample, monkeypatch):
+    """Every stage gives the same rows with the switches of small and of large inputs, and however its rows lie in partitions."""
+    rows = sample.unionByName(docs.select(*sample.columns)).where("length(text) < 3000 OR text IS NULL").limit(150)
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+
+    def results(n: int) -> dict[str, list[str]]:
+        return {name: sorted(map(str, stage(spark, rows.repartition(n), DIR).collect())) for name, stage in corpus_pipeline.STAGES}
+
+    want = results(3)
+    assert all(want.values())
+    for module, name, value in [(quality, "MOST_REFERENCES", 0), (simhash, "MANY", 0), (simhash, "BLOCK", 4), (simhash, "MOST_BROADCAST", 0), (mixing, "MOST_BROADCAST", 0), (mixing, "TASK_CHARS", 20_000), (packing, "PART_ROWS", 3), (packing, "AT_ONCE", 2), (suffix, "BATCH_BYTES", 20_000), (suffix, "SLICE_BYTES", 20_000), (suffix, "TASK_BYTES", 20_000), (suffix, "MOST_CUTS", 2), (suffix, "MOST_LOCAL", 1), (suffix, "MOST_SHARED", 2)]:
+        assert hasattr(module, name)
+        monkeypatch.setattr(module, name, value)
+    got = results(5)
+    assert {n: got[n] == want[n] for n in want} == dict.fromkeys(want, True)
