@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import tokens
-from lexloom.operators.lexical import EPSILON, K1, B, query_terms, top_by_query
+from lexloom.operators.lexical import EPSILON, K1, B, query_terms, term_counts, top_by_query
 from lexloom.operators.ranking import bounded_batches, checkpointed
 from lexloom.sources.store import Store
 
@@ -40,20 +40,6 @@ def _bucket(term: Column | str) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(..., toks) as (..., dl, terms, tfs): the different tokens of each row, and how often it has them."""
-    for batch in batches:
-        toks = batch.column(batch.num_columns - 1)
-        size = np.diff(np.asarray(toks.offsets))
-        coded = toks.flatten().dictionary_encode()
-        row = np.repeat(np.arange(batch.num_rows), size)
-        pair, tf = np.unique(row * max(1, len(coded.dictionary)) + np.asarray(coded.indices, np.int64), return_counts=True)
-        own, term = np.divmod(pair, max(1, len(coded.dictionary)))
-        ends = pa.array(np.searchsorted(own, np.arange(batch.num_rows + 1)), pa.int32())
-        made = [pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(term))), pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32)))]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], "dl", "terms", "tfs"])
-
-
 def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(stripe, id, dl, terms, tfs) as blocks of one term in one stripe."""
     for batch in batches:
@@ -149,7 +135,7 @@ class InvertedIndex:
         toks = fresh.repartitionByRange(F.octet_length("text"), "id").select("id", "sha256", tokens("text").alias("toks"))
         placed = toks.withColumn("_n", F.size("toks")).sortWithinPartitions("_n", "id")
         stripes = placed.select(F.shiftright(F.monotonically_increasing_id(), STRIPE).alias("stripe"), "id", "sha256", "toks")
-        counted = checkpointed(stripes.mapInArrow(_counted, f"stripe long, id {kind}, sha256 string, dl int, terms array<string>, tfs array<int>"))
+        counted = checkpointed(stripes.mapInArrow(term_counts, f"stripe long, id {kind}, sha256 string, dl int, terms array<string>, tfs array<int>"))
         came, n_tokens = counted.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         went, lost = gone.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first() if gone is not None else (0, 0)
         if tables and not came and not went:

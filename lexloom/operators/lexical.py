@@ -2,17 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import tokens
-from lexloom.operators.ranking import checkpointed, let
+from lexloom.operators.ranking import bounded_batches, checkpointed, let
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Terms of all questions, counted in each, up to which their weights go to all tasks; of more they are joined by term.
 MOST_WEIGHTS = 500_000
 
 
+def term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(..., toks) as (..., dl, terms, tfs): the different tokens of each row, and how often it has them."""
+    for batch in batches:
+        toks = batch.column(batch.num_columns - 1)
+        size = np.diff(np.asarray(toks.offsets))
+        coded = toks.flatten().dictionary_encode()
+        row = np.repeat(np.arange(batch.num_rows), size)
+        pair, tf = np.unique(row * max(1, len(coded.dictionary)) + np.asarray(coded.indices, np.int64), return_counts=True)
+        own, term = np.divmod(pair, max(1, len(coded.dictionary)))
+        ends = pa.array(np.searchsorted(own, np.arange(batch.num_rows + 1)), pa.int32())
+        made = [pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(term))), pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32)))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], "dl", "terms", "tfs"])
+
+
 def tokenized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, toks) of every row; a null text has no tokens."""
     return docs.select(F.col(id_col).alias("id"), tokens(text_col).alias("toks"))
@@ -64,6 +82,24 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", tex
     return found.groupBy("qid", "id").agg(F.sum(part).alias("score")).where("score > 0")
 
 
+def counted_terms(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with dl, terms and tfs, the counts of each text's tokens, in place of their text; computed once."""
+    bounded_batches(docs.sparkSession)
+    rest = [c for c in docs.columns if c != text]
+    kinds = dict(docs.dtypes)
+    made = docs.select(*rest, tokens(text).alias("toks")).mapInArrow(term_counts, ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "dl int, terms array<string>, tfs array<int>"]))
+    return checkpointed(made)
+
+
+def question_weights(corpus: DataFrame, queries: DataFrame) -> tuple[DataFrame, float]:
+    """((qid, terms, ws) of each question, the corpus' mean length), from ``counted_terms``."""
+    size = corpus.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    df = corpus.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    weights = idf(checkpointed(df), size).join(query_terms(queries, "qid", "query"), "term").select("qid", "term", (F.col("idf") * F.col("qtf")).alias("w"))
+    listed = weights.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("x"))  # the terms of a question
+    return listed.select("qid", F.col("x.term").alias("terms"), F.col("x.w").alias("ws")), float(size.first().avgdl or 1.0)
+
+
 def bm25_query(docs: DataFrame, query: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, score) for one query, of rows with a positive score.
 

@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.ids import year_in_id
+from lexloom.operators.blocks import fused
 from lexloom.operators.citations import cited, contexts
 from lexloom.operators.dense import distances, grid, nearest
-from lexloom.operators.fusion import RRF_K, ChunkFilter, fuse_dense, fuse_hybrid, pool_size, ranked, rrf
-from lexloom.operators.lexical import bm25_query, bm25_scores
-from lexloom.operators.ranking import checkpointed, numbered
+from lexloom.operators.fusion import ChunkFilter, fuse_dense, fuse_hybrid, pool_size, ranked, rrf
+from lexloom.operators.lexical import bm25_query, counted_terms, question_weights
+from lexloom.operators.ranking import checkpointed
 
 
 @dataclass(frozen=True)
@@ -96,8 +97,8 @@ def passes(f) -> Column:
 def search_batch(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     """(qid, rank from 0, id, score, error and the chunk's columns): ``search`` for a table of QUESTIONS, in one plan.
 
-    The plan has the same size for any number of questions. Dense and lexical ranks are numbered
-    together, within each question and over range partitions. A question that can't be answered
+    The plan has the same size for any number of questions. Ranks of hybrid ones are counted where
+    they are needed (see ``blocks``); texts are tokenized only where there is a hybrid one. A question that can't be answered
     (no qid or one that others have, no vector or one of other length, k below 1, a hybrid one
     without text) has one row with its error, and the others are as without it. A question that
     nothing answers has no row. Without questions there are no rows.
@@ -119,18 +120,21 @@ def search_batch(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     seen = F.transform(F.filter("filters", passes), lambda f: f["only"])
     kinds = {"type": "string", "paper_id": "string", "section_canonical": "string", "year": "int", "doc_type": "string"}
     described = chunks.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in chunks.columns})
-    known = checkpointed(described.crossJoin(F.broadcast(every)).select("id", F.col("embedding").cast("array<double>").alias("v"), "text", seen.alias("passes")))
+    seen_by = lambda rows: rows.crossJoin(F.broadcast(every)).select("id", F.col("embedding").cast("array<double>").alias("v"), "text", seen.alias("passes"))
     # A hybrid question ranks the whole collection and is filtered afterwards, a dense one first.
-    near = grid(known, asked.select("qid", F.col("vector").alias("v"), F.when(~F.col("hybrid") | F.col("only").isNull(), F.col("pool").cast("int")).alias("keep"), F.when(~F.col("hybrid"), F.col("only")).alias("only"), "scaled"))
-    words = bm25_scores(known, asked.where("hybrid").select("qid", F.col("text").alias("query")), "id")
-    arms = near.select("qid", F.lit("dense").alias("arm"), "id", F.col("distance").alias("by")).unionByName(words.select("qid", F.lit("lexical").alias("arm"), "id", (-F.round("score", 6)).alias("by")))
-    ranks = numbered(arms, [F.col("by"), F.col("id")], group=["qid", "arm"]).join(asked.select("qid", "hybrid", "only", "k", "pool"), "qid").where(F.col("rank") < F.col("pool"))
-    fused = ranks.where("hybrid").groupBy("qid", "id", "only", "k").agg(F.round(F.sum(1.0 / (F.lit(RRF_K) + F.col("rank") + 1)), 9).alias("score"))
-    may = fused.where("only IS NULL").unionByName(fused.where("only IS NOT NULL").join(known.select("id", F.explode("passes").alias("only")), ["id", "only"], "left_semi").select(*fused.columns))
-    best = may.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id")) - 1).where(F.col("rank") < F.col("k"))
-    plain = ranks.where(~F.col("hybrid")).select("qid", "id", F.col("by").alias("score"), F.col("rank").cast("int").alias("rank"))
-    hits = plain.unionByName(best.select("qid", "id", "score", F.col("rank").cast("int").alias("rank")))
-    found = hits.join(chunks.drop("embedding"), "id").withColumn("error", F.lit(None).cast("string"))
+    plain = asked.where("NOT hybrid")
+    hits = spark.createDataFrame([], f"qid string, id {dict(chunks.dtypes)['id']}, score double, rank int")
+    if plain.limit(1).count():
+        near = grid(checkpointed(seen_by(described.where("embedding IS NOT NULL")).select("id", "v", "passes")), plain.select("qid", F.col("vector").alias("v"), F.col("k").alias("keep"), "only", "scaled"))
+        best = near.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id")) - 1).join(plain.select("qid", "k"), "qid").where(F.col("rank") < F.col("k"))
+        hits = hits.unionByName(best.select("qid", "id", F.col("distance").alias("score"), F.col("rank").cast("int").alias("rank")))
+    both = asked.where("hybrid")
+    if both.limit(1).count():
+        corpus = counted_terms(seen_by(described))
+        terms, avgdl = question_weights(corpus, both.select("qid", F.col("text").alias("query")))
+        given = both.select("qid", F.col("vector").alias("v"), "only", "scaled", "k", "pool").join(terms, "qid", "left")
+        hits = hits.unionByName(fused(corpus, checkpointed(given), avgdl))
+    found = checkpointed(hits).join(chunks.drop("embedding"), "id").withColumn("error", F.lit(None).cast("string")).orderBy("qid", "rank")
     return found.unionByName(wrong, allowMissingColumns=True)
 
 
