@@ -126,14 +126,14 @@ class InvertedIndex:
 
     def _take_in(self, now: DataFrame, gone: DataFrame | None, tables: dict[str, DataFrame], note: str) -> tuple[int, int] | None:
         fresh = now.join(self._alive(tables).select("id", "sha256"), ["id", "sha256"], "left_anti") if tables else now
-        return self._commit(fresh.dropDuplicates(["id", "sha256"]), checkpointed(gone.select("segment", "id", "dl", "terms")) if gone is not None else None, tables, note)
+        return self._commit(fresh, checkpointed(gone.select("segment", "id", "dl", "terms")) if gone is not None else None, tables, note)
 
     def _commit(self, fresh: DataFrame, gone: DataFrame | None, tables: dict[str, DataFrame], note: str) -> tuple[int, int] | None:
         bounded_batches(self.spark)
         kind = fresh.schema["id"].dataType.simpleString()
-        # Ranges by length of text, which is there before its tokens are.
-        toks = fresh.repartitionByRange(F.octet_length("text"), "id").select("id", "sha256", tokens("text").alias("toks"))
-        placed = toks.withColumn("_n", F.size("toks")).sortWithinPartitions("_n", "id")
+        # Ranges by length of text, which is sorted before its tokens, which take far more room, are there; equal rows meet in their range.
+        near = fresh.withColumn("_n", F.octet_length("text")).repartitionByRange("_n", "id").dropDuplicates(["_n", "id", "sha256"])
+        placed = near.sortWithinPartitions("_n", "id").select("id", "sha256", tokens("text").alias("toks"))
         stripes = placed.select(F.shiftright(F.monotonically_increasing_id(), STRIPE).alias("stripe"), "id", "sha256", "toks")
         counted = checkpointed(stripes.mapInArrow(term_counts, f"stripe long, id {kind}, sha256 string, dl int, terms array<string>, tfs array<int>"))
         came, n_tokens = counted.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
