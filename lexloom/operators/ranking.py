@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from urllib.parse import unquote
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,6 +34,32 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` computed once, as compressed files in the shared folder, which ``emptied`` frees; a checkpoint of the same rows takes several times the room."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def emptied(df: DataFrame) -> None:
+    """Frees the files of what ``stored`` returned; it can't be read any more."""
+    files = df.inputFiles()
+    if files:
+        df.sparkSession.createDataFrame([], "freed boolean").coalesce(1).write.mode("overwrite").parquet(unquote(files[0]).rpartition("/")[0])
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of an action within go when it ends, not when the JVM happens to drop what points to them."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches by their bytes, so that what a task holds in Python doesn't grow with its rows."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

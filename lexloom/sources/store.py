@@ -34,6 +34,8 @@ class Commit:
     def _stage(self, name: str, df: DataFrame, by: list[str] | None) -> str:
         path = f"{self.store.folder}/data/{name}/staged={uuid.uuid4().hex}"
         writer = df.write.partitionBy(*by) if by else df.write
+        if self.store.compression:
+            writer = writer.option("compression", self.store.compression)
         writer.parquet(path)
         return path
 
@@ -45,6 +47,10 @@ class Commit:
         before = self.tables.get(name, {"paths": [], "schema": df.schema.jsonValue()})
         self.tables[name] = before | {"paths": [*before["paths"], self._stage(name, df, by)]}
 
+    def newest(self, name: str) -> DataFrame:
+        """What this commit has staged last of a table."""
+        return self.store._of(name, self.tables[name] | {"paths": self.tables[name]["paths"][-1:]})
+
     def drop(self, name: str) -> None:
         self.tables.pop(name, None)
 
@@ -52,8 +58,8 @@ class Commit:
 class Store:
     """Tables under a folder. ``at`` names a commit by its number; without it, the newest counts."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, compression: str | None = None):
+        self.spark, self.folder, self.compression = spark, folder.rstrip("/"), compression
 
     def _manifests(self) -> DataFrame | None:
         try:
